@@ -1 +1,197 @@
-"""placeholder"""
+"""Registered lookup-joined fetch queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hostlens.operators.scan import ordinal
+from hostlens.plans.fetch_spec import (FetchSpec, Lookup, fetch, key_filter, list_bad_members, list_ids,
+                                       options)
+from hostlens.registry import register, table
+
+
+def _t(spark, sf, *names):
+    return {n: table(spark, sf, n) for n in names}
+
+
+NATION = Lookup("nation", fk="c_nationkey", fields=("n_name", "n_regionkey"), key="n_nationkey")
+CUSTOMERS = FetchSpec("customer", "c_custkey", ("c_name", "c_acctbal"), (NATION,), scope_col="c_nationkey")
+
+
+def _flat(df, *structs):
+    return df.select("DT_RowId", *[f"{s}.*" for s in structs])
+
+
+@register("t2_key_filter", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""")
+def t2(spark, sf):
+    keys = table(spark, sf, "customer").where("c_nationkey = 3").select("c_custkey")
+    return key_filter(table(spark, sf, "orders"), "o_custkey", keys).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@register("t3_scope_filter", """
+SELECT CAST(c_custkey AS VARCHAR) AS "DT_RowId", c_custkey, c_name, c_acctbal, n_name, n_regionkey
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey = 7""")
+def t3(spark, sf):
+    return _flat(fetch(CUSTOMERS, _t(spark, sf, "customer", "nation"), scope=7), "main", "nation")
+
+
+@register("t5_single_lookup", """
+SELECT CAST(c_custkey AS VARCHAR) AS "DT_RowId", c_custkey, c_name, c_acctbal, n_name, n_regionkey
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def t5(spark, sf):
+    return _flat(fetch(CUSTOMERS, _t(spark, sf, "customer", "nation")), "main", "nation")
+
+
+@register("t9_order_limit", """
+SELECT CAST(c_custkey AS VARCHAR) AS "DT_RowId", c_custkey, c_name, c_acctbal, n_name, n_regionkey
+FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 15""")
+def t9(spark, sf):
+    spec = FetchSpec("customer", "c_custkey", ("c_name", "c_acctbal"),
+                     (Lookup("nation", fk="c_nationkey", fields=("n_name", "n_regionkey"), key="n_nationkey",
+                             how="inner"),),
+                     order=(("c_acctbal", "desc"),), limit=15)
+    return _flat(fetch(spec, _t(spark, sf, "customer", "nation")), "main", "nation")
+
+
+def _orders_with_part_lists(spark, sf):
+    """each order with the comma list of its line items' part keys."""
+    li = table(spark, sf, "lineitem")
+    lists = li.groupBy("l_orderkey").agg(
+        F.concat_ws(",", F.collect_list(F.col("l_partkey").cast("string"))).alias("fk_part_list"))
+    return table(spark, sf, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+
+
+PARTS = Lookup("part", fk="fk_part_list", label=("p_name", "p_brand"), key="p_partkey", kind="list")
+
+_SQL_LISTS = """
+WITH lists AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',') AS fk_part_list FROM lineitem GROUP BY 1),
+m AS (SELECT o.o_orderkey, o.o_orderstatus, l.fk_part_list FROM orders o LEFT JOIN lists l ON o.o_orderkey = l.l_orderkey)"""
+
+
+@register("t6_list_lookup", _SQL_LISTS + """,
+ex AS (SELECT o_orderkey, TRY_CAST(trim(u) AS BIGINT) AS v FROM m, unnest(string_split(fk_part_list, ',')) AS t(u)),
+pairs AS (SELECT DISTINCT ex.o_orderkey, ex.v, p.p_name || ' ' || p.p_brand AS label
+          FROM ex JOIN part p ON p.p_partkey = ex.v),
+agg AS (SELECT o_orderkey, string_agg(CAST(v AS VARCHAR), ',' ORDER BY label, v) AS part_values,
+               string_agg(label, '|' ORDER BY label, v) AS part_labels, count(*) AS n_parts FROM pairs GROUP BY 1)
+SELECT CAST(m.o_orderkey AS VARCHAR) AS "DT_RowId", m.o_orderkey, m.o_orderstatus,
+  coalesce(agg.part_values, '') AS part_values, coalesce(agg.part_labels, '') AS part_labels,
+  coalesce(agg.n_parts, 0) AS n_parts
+FROM m LEFT JOIN agg USING (o_orderkey)""")
+def t6(spark, sf):
+    spec = FetchSpec("orders", "o_orderkey", ("o_orderstatus",), (PARTS,))
+    tabs = {"orders": _orders_with_part_lists(spark, sf), "part": table(spark, sf, "part")}
+    out = fetch(spec, tabs)
+    return out.select("DT_RowId", "main.o_orderkey", "main.o_orderstatus",
+                      F.array_join(F.transform("part", lambda e: e["value"].cast("string")), ",").alias("part_values"),
+                      F.array_join(F.transform("part", lambda e: e["label"]), "|").alias("part_labels"),
+                      F.size("part").cast("bigint").alias("n_parts"))
+
+
+@register("t12_list_parse", _SQL_LISTS + """,
+t AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN fk_part_list || ', n/a,' ELSE fk_part_list END AS txt FROM m),
+u AS (SELECT o_orderkey, trim(x) AS x FROM t, unnest(string_split(txt, ',')) AS s(x) WHERE trim(x) <> '')
+SELECT t.o_orderkey, coalesce(sum(CASE WHEN TRY_CAST(u.x AS BIGINT) IS NOT NULL THEN 1 ELSE 0 END), 0) AS n_ids,
+  coalesce(sum(CASE WHEN TRY_CAST(u.x AS BIGINT) IS NULL AND u.x IS NOT NULL THEN 1 ELSE 0 END), 0) AS n_bad
+FROM t LEFT JOIN u USING (o_orderkey) GROUP BY t.o_orderkey""")
+def t12(spark, sf):
+    m = _orders_with_part_lists(spark, sf)
+    txt = F.when(F.col("o_orderstatus") == "P", F.concat(F.col("fk_part_list"), F.lit(", n/a,"))) \
+        .otherwise(F.col("fk_part_list"))
+    return m.select("o_orderkey", F.size(list_ids(txt)).cast("bigint").alias("n_ids"),
+                    F.size(list_bad_members(txt)).cast("bigint").alias("n_bad"))
+
+
+@register("t13_json_props", """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
+def t13(spark, sf):
+    ev = table(spark, sf, "events")
+    return ev.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@register("t15_option_lists", """
+WITH o AS (
+  SELECT DISTINCT 'c_nationkey' AS field, n_name AS label, CAST(n_nationkey AS BIGINT) AS value FROM nation
+  UNION ALL SELECT DISTINCT 'n_regionkey', r_name, CAST(r_regionkey AS BIGINT) FROM region
+  UNION ALL SELECT DISTINCT 'l_partkey', p_name || ' ' || p_brand, p_partkey FROM part)
+SELECT field, label, value, row_number() OVER (PARTITION BY field ORDER BY label, value) - 1 AS rank FROM o""")
+def t15(spark, sf):
+    opts = options([("c_nationkey", table(spark, sf, "nation"), ["n_name"], "n_nationkey"),
+                    ("n_regionkey", table(spark, sf, "region"), ["r_name"], "r_regionkey"),
+                    ("l_partkey", table(spark, sf, "part"), ["p_name", "p_brand"], "p_partkey")])
+    return ordinal(opts, "field", [F.col("label"), F.col("value")], name="rank")
+
+
+@register("t16_scoped_options", """
+SELECT 'o_custkey' AS field, c_name AS label, c_custkey AS value FROM customer WHERE c_nationkey = 7
+UNION ALL SELECT 'c_nationkey', n_name, CAST(n_nationkey AS BIGINT) FROM nation""")
+def t16(spark, sf):
+    cust = options([("o_custkey", table(spark, sf, "customer"), ["c_name"], "c_custkey")],
+                   scope_col="c_nationkey", scope=7)
+    nat = options([("c_nationkey", table(spark, sf, "nation"), ["n_name"], "n_nationkey")],
+                  scope_col="c_nationkey", scope=7)      # nation has no scope column: all rows
+    return cust.unionByName(nat)
+
+
+def _types(spark, sf):
+    """F6 types derived from nation: type text ends in Pub/Sub, object type Cucm/Ucce."""
+    n = table(spark, sf, "nation")
+    return n.select(F.col("n_nationkey").alias("pkid"),
+                    F.concat(F.col("n_name"), F.lit(" "),
+                             F.when(F.col("n_regionkey") <= 1, F.lit("Pub")).otherwise(F.lit("Sub"))).alias("type"),
+                    F.when(F.col("n_nationkey") < 15, F.lit("Cucm")).otherwise(F.lit("Ucce")).alias("object_type"))
+
+
+def _hosts(spark, sf):
+    s = table(spark, sf, "supplier")
+    suffix = F.when(F.col("s_acctbal") > 5000, F.lit("A")).when(F.col("s_acctbal") < 1000, F.lit("b")).otherwise(F.lit(""))
+    return s.select(F.col("s_suppkey").alias("pkid"), F.concat(F.col("s_name"), suffix).alias("hostname"),
+                    F.col("s_nationkey").alias("fk_types"))
+
+
+_SQL_TYPES = """
+WITH types AS (SELECT n_nationkey AS pkid, n_name || ' ' || CASE WHEN n_regionkey <= 1 THEN 'Pub' ELSE 'Sub' END AS type,
+                      CASE WHEN n_nationkey < 15 THEN 'Cucm' ELSE 'Ucce' END AS object_type FROM nation),
+hosts AS (SELECT s_suppkey AS pkid, s_name || CASE WHEN s_acctbal > 5000 THEN 'A' WHEN s_acctbal < 1000 THEN 'b' ELSE '' END AS hostname,
+                 s_nationkey AS fk_types FROM supplier)"""
+
+
+@register("t17_role_options", _SQL_TYPES + """
+SELECT string_split(t.type, ' ')[-1] AS role, string_split(t.type, ' ')[-1] <> 'Pub' AS multi,
+  h.pkid AS value, h.hostname AS label
+FROM hosts h JOIN types t ON h.fk_types = t.pkid WHERE t.object_type = 'Cucm'""")
+def t17(spark, sf):
+    t = _types(spark, sf).where(F.col("object_type") == "Cucm").select(F.col("pkid").alias("t_pkid"), "type")
+    j = _hosts(spark, sf).join(t, F.col("fk_types") == F.col("t_pkid"))
+    role = F.element_at(F.split(F.col("type"), " "), -1)
+    return j.select(role.alias("role"), (role != "Pub").alias("multi"),
+                    F.col("pkid").alias("value"), F.col("hostname").alias("label"))
+
+
+@register("t18_side_options", _SQL_TYPES + """
+SELECT side, h.pkid AS value, h.hostname AS label
+FROM hosts h JOIN types t ON h.fk_types = t.pkid,
+  unnest(CASE WHEN lower(h.hostname) LIKE '%a' THEN ['a'] WHEN lower(h.hostname) LIKE '%b' THEN ['b']
+              ELSE ['a', 'b'] END) AS s(side)
+WHERE t.object_type = 'Ucce'""")
+def t18(spark, sf):
+    t = _types(spark, sf).where(F.col("object_type") == "Ucce").select(F.col("pkid").alias("t_pkid"))
+    h = _hosts(spark, sf)
+    j = h.join(t, F.col("fk_types") == F.col("t_pkid"))
+    low = F.lower(F.col("hostname"))
+    sides = (F.when(low.endswith("a"), F.array(F.lit("a"))).when(low.endswith("b"), F.array(F.lit("b")))
+             .otherwise(F.array(F.lit("a"), F.lit("b"))))
+    return j.select(F.explode(sides).alias("side"), F.col("pkid").alias("value"), F.col("hostname").alias("label"))
+
+
+@register("t20_chart_list", """
+SELECT o_orderkey, c_name, n_name, r_name, o_totalprice FROM orders
+LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN region ON n_regionkey = r_regionkey""")
+def t20(spark, sf):
+    o, c, n, r = (table(spark, sf, x) for x in ("orders", "customer", "nation", "region"))
+    return (o.join(c, o.o_custkey == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left")
+            .join(r, n.n_regionkey == r.r_regionkey, "left")
+            .select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice"))
