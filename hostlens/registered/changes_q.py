@@ -1 +1,277 @@
-"""placeholder"""
+"""Registered change-set and write-kernel queries.
+
+``customer`` is the state table; change sets are derived from its rows by
+fixed rules (segment decides the action, a few columns carry bad values).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hostlens.operators import changes as E
+from hostlens.operators import kernels as K
+from hostlens.registry import register, table
+
+RULES = [
+    E.FieldRule("c_name", "varchar", 18, unique=True),
+    E.FieldRule("c_acctbal", "int", 4),
+    E.FieldRule("c_nationkey", "int", 2, has_reqs=True),
+    E.FieldRule("c_mktsegment", "varchar", 10),
+]
+
+
+def change_rows(spark, sf):
+    """F7 batch form derived from ``customer``: (seq, action, pkid, field, value)."""
+    c = table(spark, sf, "customer")
+    action = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("create")).otherwise(F.lit("edit"))
+    name = F.concat(F.col("c_name"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("!")).otherwise(F.lit("")))
+    bal = (F.when(F.col("c_acctbal") < 0, F.lit("n/a"))
+           .when(F.col("c_mktsegment") == "MACHINERY", F.lit(""))
+           .otherwise(F.floor("c_acctbal").cast("bigint").cast("string")))
+    nat = F.when(F.col("c_nationkey") == 0, F.lit("")).otherwise(F.col("c_nationkey").cast("string"))
+    fields = [F.struct(F.lit("c_name").alias("field"), name.alias("value")),
+              F.struct(F.lit("c_acctbal").alias("field"), bal.alias("value")),
+              F.struct(F.lit("c_nationkey").alias("field"), nat.alias("value")),
+              F.struct(F.lit("DT_RowId").alias("field"), F.col("c_custkey").cast("string").alias("value")),
+              F.struct(F.when(F.col("c_mktsegment") == "FURNITURE", F.lit("c_comment"))
+                       .otherwise(F.lit("c_mktsegment")).alias("field"),
+                       F.regexp_replace(F.col("c_mktsegment"), "O", " ").alias("value"))]
+    return c.select(F.col("c_custkey").alias("seq"), action.alias("action"), F.col("c_custkey").alias("pkid"),
+                    F.explode(F.array(*fields)).alias("_f")).select("seq", "action", "pkid", "_f.*")
+
+
+_SQL_CHANGES = """
+WITH c AS (SELECT * FROM customer),
+ch AS (
+  SELECT c_custkey AS seq, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'create' ELSE 'edit' END AS action,
+         c_custkey AS pkid, f.field, f.value
+  FROM c, unnest([
+    {'field': 'c_name', 'value': c_name || CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '!' ELSE '' END},
+    {'field': 'c_acctbal', 'value': CASE WHEN c_acctbal < 0 THEN 'n/a' WHEN c_mktsegment = 'MACHINERY' THEN ''
+                                         ELSE CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) END},
+    {'field': 'c_nationkey', 'value': CASE WHEN c_nationkey = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END},
+    {'field': 'DT_RowId', 'value': CAST(c_custkey AS VARCHAR)},
+    {'field': CASE WHEN c_mktsegment = 'FURNITURE' THEN 'c_comment' ELSE 'c_mktsegment' END,
+     'value': replace(c_mktsegment, 'O', chr(160))}]) AS t(f)),
+rules AS (SELECT * FROM (VALUES ('c_name', 'varchar', 18, true, false), ('c_acctbal', 'int', 4, false, false),
+                                ('c_nationkey', 'int', 2, false, true), ('c_mktsegment', 'varchar', 10, false, false))
+          AS r(field, type, length, is_unique, has_reqs)),
+j AS (SELECT ch.*, r.type, r.length, coalesce(r.is_unique, false) AS is_unique, coalesce(r.has_reqs, false) AS has_reqs,
+             replace(coalesce(ch.value, ''), chr(160), ' ') AS v
+      FROM ch LEFT JOIN rules r USING (field) WHERE ch.field <> 'DT_RowId'),
+k AS (SELECT *, v = '' AS blank, TRY_CAST(trim(v) AS BIGINT) AS as_int, (v = '' AND has_reqs) AS optional_blank FROM j),
+d AS (SELECT *, (optional_blank AND field LIKE 'fk\\_%' ESCAPE '\\') OR (type = 'date' AND blank)
+                 OR (type = 'int' AND blank AND NOT optional_blank AND lower(action) = 'create')
+                 OR field LIKE '%-many-count' AS "drop" FROM k),
+o AS (SELECT *,
+  CASE WHEN optional_blank AND type = 'int' AND NOT field LIKE 'fk\\_%' ESCAPE '\\' THEN '0'
+       WHEN type = 'int' AND blank THEN CASE WHEN lower(action) = 'edit' THEN '^NULL^' END
+       WHEN type = 'int' THEN CAST(as_int AS VARCHAR) ELSE v END AS out_value,
+  CASE WHEN type IS NULL AND NOT field LIKE '%-many-count' THEN 'Unable to validate field "' || field || '"'
+       WHEN "drop" THEN NULL
+       WHEN type = 'varchar' AND length(v) > length THEN 'Data length (' || length(v) || ') greater than DB length of ' || length
+       WHEN type = 'int' AND NOT blank AND as_int IS NULL THEN 'Required type int but submitted as class ''str'''
+       WHEN type = 'int' AND NOT blank AND length > 0 AND length(CAST(as_int AS VARCHAR)) > length
+         THEN 'Data length (' || length(CAST(as_int AS VARCHAR)) || ') greater than DB length of ' || length
+  END AS status0 FROM d),
+clash AS (SELECT DISTINCT o.seq, o.field FROM o JOIN c ON o.field = 'c_name' AND o.out_value = c.c_name
+          WHERE o.is_unique AND o.status0 IS NULL AND NOT o."drop"
+            AND (lower(o.action) = 'create' OR CAST(c.c_custkey AS VARCHAR) <> CAST(o.pkid AS VARCHAR))),
+firsts AS (SELECT field, out_value, min(seq) AS first_seq FROM o WHERE is_unique AND status0 IS NULL AND NOT "drop"
+           GROUP BY 1, 2),
+v AS (SELECT o.seq, o.action, o.pkid, o.field, o.value, o.out_value, o."drop",
+        CASE WHEN o.status0 IS NOT NULL THEN o.status0
+             WHEN clash.seq IS NOT NULL OR (o.is_unique AND f.first_seq IS NOT NULL AND o.seq > f.first_seq)
+               THEN 'Duplicate data, modify to be unique.' END AS status
+      FROM o LEFT JOIN clash ON o.seq = clash.seq AND o.field = clash.field
+      LEFT JOIN firsts f ON o.field = f.field AND o.out_value = f.out_value)"""
+
+
+def _validated(spark, sf):
+    return E.validate(change_rows(spark, sf), RULES, table(spark, sf, "customer"), "c_custkey")
+
+
+@register("e2_validate", _SQL_CHANGES + """
+SELECT seq, action, pkid, field, value, out_value, "drop", status FROM v""")
+def e2(spark, sf):
+    return _validated(spark, sf)
+
+
+@register("e2_record_status", _SQL_CHANGES + """
+SELECT seq, action, pkid, count(status) = 0 AS valid, count(status) AS n_errors,
+  coalesce(string_agg(field || ': ' || status, '; ' ORDER BY field, status), '') AS errors
+FROM v GROUP BY seq, action, pkid""")
+def e2r(spark, sf):
+    r = E.record_status(_validated(spark, sf))
+    return r.select("seq", "action", "pkid", "valid", F.size("errors").cast("bigint").alias("n_errors"),
+                    F.array_join(F.transform("errors", lambda e: F.concat(e["name"], F.lit(": "), e["status"])),
+                                 "; ").alias("errors"))
+
+
+@register("e12_until_first_bad", _SQL_CHANGES + """
+SELECT seq, field, out_value FROM v WHERE seq < coalesce((SELECT min(seq) FROM v WHERE status IS NOT NULL), 9223372036854775807)""")
+def e12(spark, sf):
+    return E.until_first_bad(_validated(spark, sf)).select("seq", "field", "out_value")
+
+
+@register("e12_valid_only", _SQL_CHANGES + """
+SELECT seq, field, out_value FROM v WHERE seq NOT IN (SELECT seq FROM v WHERE status IS NOT NULL)""")
+def e12v(spark, sf):
+    return E.valid_only(_validated(spark, sf)).select("seq", "field", "out_value")
+
+
+@register("e1_form_keys", """
+SELECT CAST(c_custkey AS VARCHAR) AS pkid, f.field, f.value, f.is_file FROM customer, unnest([
+  {'field': 'c_name', 'value': c_name, 'is_file': false},
+  {'field': 'c_mktsegment', 'value': c_mktsegment, 'is_file': false},
+  {'field': 'files', 'value': CAST(c_nationkey AS VARCHAR), 'is_file': true},
+  {'field': 'files-many-count', 'value': '1', 'is_file': false},
+  {'field': 'DT_RowId', 'value': CAST(c_custkey AS VARCHAR), 'is_file': false}]) AS t(f)""")
+def e1(spark, sf):
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey").cast("string")
+    pair = lambda key, val: F.struct(key.alias("key"), val.alias("value"))
+    pairs = c.select(F.explode(F.array(
+        pair(F.lit("action"), F.lit("edit")),
+        pair(F.format_string("data[%s][main][c_name]", k), F.col("c_name")),
+        pair(F.format_string("data[%s][main][c_mktsegment]", k), F.col("c_mktsegment")),
+        pair(F.format_string("data[%s][files][0][id]", k), F.col("c_nationkey").cast("string")),
+        pair(F.format_string("data[%s][files-many-count]", k), F.lit("1")),
+        pair(F.format_string("data[%s][DT_RowId]", k), k))).alias("p")).select("p.*")
+    return E.parse_form(pairs).select("pkid", "field", "value", "is_file")
+
+
+@register("e3_new_lookup_values", """
+WITH labels AS (SELECT DISTINCT c_mktsegment AS n_name FROM customer
+                UNION SELECT DISTINCT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+known AS (SELECT l.n_name, CAST(n.n_nationkey AS BIGINT) AS n_nationkey, false AS is_new FROM labels l JOIN nation n USING (n_name)),
+unknown AS (SELECT n_name FROM labels WHERE n_name NOT IN (SELECT n_name FROM nation))
+SELECT * FROM known UNION ALL
+SELECT n_name, (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY n_name), true FROM unknown""")
+def e3(spark, sf):
+    c, s, n = (table(spark, sf, x) for x in ("customer", "supplier", "nation"))
+    labels = c.select(F.col("c_mktsegment").alias("n_name")).unionByName(
+        s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name"))
+    look = n.select("n_name", F.col("n_nationkey").cast("bigint").alias("n_nationkey"))
+    return E.new_lookup_values(labels, look, "n_name", "n_nationkey")
+
+
+_STATE = "SELECT c_custkey, c_name, c_nationkey FROM customer"
+
+
+@register("k1_append_keys", _STATE + """ UNION ALL
+SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_suppkey), s_name, s_nationkey FROM supplier""")
+def k1(spark, sf):
+    state = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    rows = table(spark, sf, "supplier").select(F.col("s_name").alias("c_name"),
+                                               F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
+    new = K.assign_keys(state, rows, "c_custkey", ["s_suppkey"]).drop("s_suppkey")
+    return state.unionByName(new)
+
+
+@register("k2_insert_ignore", """
+SELECT c_custkey, c_name FROM customer UNION ALL
+SELECT s_suppkey + 1000000, s_name FROM supplier WHERE s_name NOT IN (SELECT c_name FROM customer)""")
+def k2(spark, sf):
+    state = table(spark, sf, "customer").select("c_custkey", "c_name")
+    again = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(
+        F.col("c_custkey").alias("_seq"), "c_custkey", "c_name")
+    fresh = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1000000).alias("_seq"),
+                                                (F.col("s_suppkey") + 1000000).alias("c_custkey"),
+                                                F.col("s_name").alias("c_name"))
+    return K.insert_ignore(state, again.unionByName(fresh), "c_name", seq="_seq").drop("_seq")
+
+
+@register("k3_upsert", """
+WITH r AS (SELECT c_custkey, NULL::VARCHAR AS c_name, c_acctbal + 100 AS c_acctbal FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
+           UNION ALL SELECT s_suppkey + 1000000, s_name, s_acctbal FROM supplier)
+SELECT coalesce(s.c_custkey, r.c_custkey) AS c_custkey, coalesce(r.c_name, s.c_name) AS c_name,
+  coalesce(r.c_acctbal, s.c_acctbal) AS c_acctbal
+FROM (SELECT c_custkey, c_name, c_acctbal FROM customer) s FULL OUTER JOIN r ON s.c_custkey = r.c_custkey""")
+def k3(spark, sf):
+    state = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    a = table(spark, sf, "customer").where("c_mktsegment = 'AUTOMOBILE'").select(
+        "c_custkey", F.lit(None).cast("string").alias("c_name"), (F.col("c_acctbal") + 100).alias("c_acctbal"))
+    b = table(spark, sf, "supplier").select((F.col("s_suppkey") + 1000000).alias("c_custkey"),
+                                            F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+    return K.upsert(state, a.unionByName(b), "c_custkey")
+
+
+def _k4(spark, sf):
+    state = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    ch = table(spark, sf, "customer").where("c_mktsegment = 'MACHINERY'").select(
+        "c_custkey", (F.col("c_acctbal") * 2).alias("c_acctbal"), F.lit(True).alias("_set_c_acctbal"),
+        F.lit(None).cast("string").alias("c_mktsegment"), (F.col("c_acctbal") < 0).alias("_set_c_mktsegment"))
+    return state, K.update(state, ch, "c_custkey", ["c_acctbal", "c_mktsegment"])
+
+
+_SQL_K4 = """
+SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal,
+  CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer"""
+
+
+@register("k4_update", _SQL_K4)
+def k4(spark, sf):
+    return _k4(spark, sf)[1]
+
+
+@register("r14_affected_count", """
+SELECT 0::BIGINT AS n_inserted, 0::BIGINT AS n_deleted,
+  count(*) FILTER (WHERE c_mktsegment = 'MACHINERY' AND (c_acctbal <> 0 OR c_acctbal < 0)) AS n_updated FROM customer""")
+def r14(spark, sf):
+    before, after = _k4(spark, sf)
+    return K.affected(before, after, "c_custkey")
+
+
+@register("k5_delete", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 0)")
+def k5(spark, sf):
+    c = table(spark, sf, "customer")
+    return K.delete(c.select("c_custkey", "c_name"), c.where("c_nationkey = 0"), "c_custkey")
+
+
+@register("e7_read_back", """
+SELECT c_custkey, 'c_acctbal' AS field, CAST(c_acctbal * 2 AS VARCHAR) AS requested, CAST(c_acctbal AS VARCHAR) AS stored
+FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal * 2 <> c_acctbal""")
+def e7(spark, sf):
+    c = table(spark, sf, "customer")
+    requested = c.where("c_mktsegment = 'MACHINERY'").select("c_custkey", (F.col("c_acctbal") * 2).alias("c_acctbal"))
+    stored = c.join(requested.select("c_custkey"), "c_custkey", "left_semi").select("c_custkey", "c_acctbal")
+    return E.read_back(requested, stored, "c_custkey")
+
+
+@register("e8_dependency_count", """
+SELECT * FROM (SELECT c_nationkey AS n_nationkey, count(*) AS n, 'customer' AS ref_table FROM customer GROUP BY 1
+               UNION ALL SELECT s_nationkey, count(*), 'supplier' FROM supplier GROUP BY 1)
+WHERE n_nationkey IN (SELECT n_nationkey FROM nation)""")
+def e8(spark, sf):
+    c, s, n = (table(spark, sf, x) for x in ("customer", "supplier", "nation"))
+    return E.dependency_counts(n, "n_nationkey", [("customer", c, "c_nationkey"), ("supplier", s, "s_nationkey")])
+
+
+@register("e9_guarded_delete", """
+SELECT p_partkey, coalesce(d.n, 0) AS n_dependents, coalesce(d.n, 0) = 0 AS deleted
+FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) d ON p_partkey = d.l_partkey
+WHERE p_size > 45""")
+def e9(spark, sf):
+    p, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
+    _, report = E.guarded_delete(p, p.where("p_size > 45"), "p_partkey", [("lineitem", li, "l_partkey")])
+    return report
+
+
+@register("e10_reorder", """
+SELECT a.c_custkey, coalesce(b.c_custkey * 10, a.c_custkey * 10) AS row_order
+FROM customer a LEFT JOIN customer b ON b.c_custkey = xor(a.c_custkey, 1)""")
+def e10(spark, sf):
+    c = table(spark, sf, "customer")
+    state = c.select("c_custkey", (F.col("c_custkey") * 10).alias("row_order"))
+    mapping = c.select("c_custkey", F.col("c_custkey").bitwiseXOR(F.lit(1)).alias("names"))
+    return E.reorder(state, mapping, "c_custkey", "row_order", "names")
+
+
+@register("e11_duplicate_row", """
+SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY c_custkey) AS c_custkey, c_name, c_nationkey
+FROM customer WHERE c_mktsegment = 'BUILDING'""")
+def e11(spark, sf):
+    c = table(spark, sf, "customer")
+    rows = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("_src"), "c_name", "c_nationkey")
+    return K.assign_keys(c, rows, "c_custkey", ["_src"]).drop("_src")

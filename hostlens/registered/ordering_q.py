@@ -1 +1,62 @@
-"""placeholder"""
+"""Registered ordering queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hostlens.operators.ordering import filtered_counts, natural_rank, page
+from hostlens.registry import register, table
+
+
+def _sql_natkey(x: str) -> str:
+    return (f"list_transform(regexp_extract_all(trim(coalesce({x}, '')), '(\\d+|\\D+)'), "
+            "lambda c: {'t': NOT regexp_matches(c, '^\\d'), "
+            "'l': CASE WHEN regexp_matches(c, '^\\d') THEN length(regexp_replace(c, '^0+', '')) ELSE 0 END, "
+            "'d': CASE WHEN regexp_matches(c, '^\\d') THEN regexp_replace(c, '^0+', '') ELSE '' END, 'r': c})")
+
+
+def _sql_rank(table_: str, x: str, tie: str, pre: str = "") -> str:
+    key = _sql_natkey(pre or x)
+    return (f"SELECT {tie}, {x}, row_number() OVER (ORDER BY {key}, {x}, {tie}) - 1 AS rank FROM {table_}")
+
+
+@register("o1_natural_sort_names", _sql_rank("customer", "c_name", "c_custkey"))
+def o1(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return natural_rank(c, "c_name", "c_custkey")
+
+
+@register("o1_natural_sort_urls", _sql_rank("pages", "url", "page_id"))
+def o1u(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return natural_rank(p, "url", "page_id")
+
+
+@register("o2_natural_nohtml", """
+SELECT page_id, row_number() OVER (ORDER BY """ + _sql_natkey("regexp_replace(html, '<[^>]+>', '', 'g')")
+          + """, html, page_id) - 1 AS rank FROM pages""")
+def o2(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "html")
+    return natural_rank(p, "html", "page_id", strip_html=True).select("page_id", "rank")
+
+
+@register("o3_natural_ci", _sql_rank("pages", "url", "page_id", pre="lower(url)"))
+def o3(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return natural_rank(p, "url", "page_id", case_insensitive=True)
+
+
+@register("o4_page", """
+SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey
+LIMIT 10 OFFSET 20""")
+def o4(spark, sf):
+    c = table(spark, sf, "customer")
+    return page(c, [F.col("c_mktsegment"), F.col("c_acctbal").desc()], "c_custkey", 20, 10) \
+        .select("c_custkey", "c_name", "c_acctbal")
+
+
+@register("o5_filtered_count", """
+SELECT count(*) AS n_total, count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE') AS n_shown,
+  count(*) - count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE') AS n_filtered_out FROM customer""")
+def o5(spark, sf):
+    return filtered_counts(table(spark, sf, "customer"), F.col("c_mktsegment") == "AUTOMOBILE")
