@@ -1 +1,119 @@
-"""placeholder"""
+"""Registered ingestion queries (I1-I9): events rendered as raw files, read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hostlens.functions.address import address_to_name
+from hostlens.functions.headings import normalize_headings
+from hostlens.functions.timefmt import normalize_time_text
+from hostlens.plans.template import extract
+from hostlens.session import scratch_path
+from hostlens.sources.counters import read_counters
+from hostlens.sources.inventory import inventory, inventory_lookup
+from hostlens.sources.lines import read_lines, text_lines
+from hostlens.sources.render import render_counter_csv, render_device_log
+from hostlens.registry import register, table
+
+COUNTER = "Events\\purchase"
+
+# Fixed value: the sample template of the reference's demo (device call counts).
+CALLS_TEMPLATE = r"""Value timestamp (.+\d+:\d+:\d+.+\d+)
+Value Filldown hostname (\S+)
+Value total_calls (.+)
+
+
+Start
+  ^.*Query @ ${timestamp}
+  ^${hostname}[>#].*
+  ^Total Number of Active Calls : ${total_calls} -> Record"""
+
+
+def counter_files(spark, sf):
+    return render_counter_csv(table(spark, sf, "events"), scratch_path(spark, "counters"))
+
+
+def log_files(spark, sf):
+    return render_device_log(table(spark, sf, "events"), scratch_path(spark, "logs"))
+
+
+@register("i1_counter_csv", """
+SELECT strftime(ts, '%m/%d/%Y %H:%M:%S') AS "Timestamp", 'HOST' || CAST(user_id AS VARCHAR) AS "Hostname",
+  CASE WHEN event_type = 'purchase' THEN round(value, 2) END AS "Events\\purchase" FROM events""")
+def i1(spark, sf):
+    rows, _ = read_counters(spark, counter_files(spark, sf), COUNTER)
+    return rows.select(normalize_time_text("time_text").alias("Timestamp"), "Hostname", F.col(f"`{COUNTER}`"))
+
+
+@register("i2_line_scan", """
+SELECT 'cube' || CAST(user_id AS VARCHAR) AS host, count(*) * 2 + 1 AS n_lines, count(*) * 2 AS last_line_no,
+  count(*) * 2 * (count(*) * 2 + 1) // 2 AS sum_line_no FROM events GROUP BY user_id""")
+def i2(spark, sf):
+    lines = read_lines(spark, log_files(spark, sf))
+    host = F.regexp_extract("file", r"host=([^/]+)/", 1)
+    return lines.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n_lines"),
+                                                 F.max("line_no").alias("last_line_no"),
+                                                 F.sum("line_no").alias("sum_line_no"))
+
+
+@register("i2_document_lines", """
+SELECT doc_id, line_no, length(line) AS n_chars FROM (
+  SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS line_no
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))""")
+def i2d(spark, sf):
+    d = text_lines(table(spark, sf, "documents"), "doc_id", "text")
+    return d.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.length("line").alias("n_chars"))
+
+
+@register("i3_template_extract", """
+SELECT strftime(ts, '%m/%d/%Y %H:%M:%S') AS "Timestamp", 'cube' || CAST(user_id AS VARCHAR) AS "Hostname",
+  printf('%.2f', value) AS "Total Calls" FROM events
+UNION ALL SELECT '', 'cube' || CAST(user_id AS VARCHAR), '' FROM events GROUP BY user_id""")
+def i3(spark, sf):
+    lines = read_lines(spark, log_files(spark, sf))
+    recs = extract(lines, CALLS_TEMPLATE)
+    return recs.select(normalize_time_text("Timestamp").alias("Timestamp"), "Hostname", "Total Calls")
+
+
+@register("i3_template_no_eof", """
+SELECT strftime(ts, '%m/%d/%Y %H:%M:%S') AS "Timestamp", 'cube' || CAST(user_id AS VARCHAR) AS "Hostname",
+  printf('%.2f', value) AS "Total Calls" FROM events""")
+def i3n(spark, sf):
+    lines = read_lines(spark, log_files(spark, sf))
+    recs = extract(lines, CALLS_TEMPLATE + "\n\nEOF\n")
+    return recs.select(normalize_time_text("Timestamp").alias("Timestamp"), "Hostname", "Total Calls")
+
+
+@register("i4_headings", """
+SELECT s_suppkey AS "S Suppkey", s_name AS "S Name", s_nationkey AS "S Nationkey", s_acctbal AS "S Acctbal" FROM supplier""")
+def i4(spark, sf):
+    return normalize_headings(table(spark, sf, "supplier"))
+
+
+_SQL_IP = r"(^|[^\pL\pN_])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})($|[^\pL\pN_])"
+
+
+@register("i6_address_to_name", f"""
+WITH hosts AS (SELECT DISTINCT ip, 'host-' || replace(ip, '.', '-') AS hostname
+               FROM (SELECT unnest(regexp_extract_all(text, '{_SQL_IP}', 2)) AS ip FROM documents WHERE lang = 'en')),
+f AS (SELECT doc_id, text, nullif(regexp_extract(text, '{_SQL_IP}', 2), '') AS ip FROM documents)
+SELECT doc_id, CASE WHEN h.hostname IS NOT NULL THEN replace(f.text, f.ip, h.hostname) ELSE f.text END AS text
+FROM f LEFT JOIN hosts h ON f.ip = h.ip""")
+def i6(spark, sf):
+    docs = table(spark, sf, "documents")
+    ip_any = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
+    hosts = (docs.where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit(ip_any), 0)).alias("ip"))
+             .distinct().select("ip", F.concat(F.lit("host-"), F.regexp_replace("ip", r"\.", "-")).alias("hostname")))
+    return address_to_name(docs.select("doc_id", "text"), "text", hosts)
+
+
+@register("i8_file_inventory")
+def i8(spark, sf):
+    return inventory(spark, counter_files(spark, sf))
+
+
+@register("i9_inventory_lookup")
+def i9(spark, sf):
+    inv = inventory(spark, counter_files(spark, sf))
+    keyed = inv.withColumn("id", F.xxhash64("filename"))
+    return inventory_lookup(keyed, keyed.select("id"))
