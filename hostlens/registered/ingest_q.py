@@ -29,12 +29,23 @@ Start
   ^Total Number of Active Calls : ${total_calls} -> Record"""
 
 
+_RENDERED: dict = {}
+
+
+def _rendered(spark, sf, kind, fn):
+    """Render once per application and table set (inputs are immutable)."""
+    k = (spark.sparkContext.applicationId, sf.rstrip("/"), kind)
+    if k not in _RENDERED:
+        _RENDERED[k] = fn(table(spark, sf, "events"), scratch_path(spark, kind))
+    return _RENDERED[k]
+
+
 def counter_files(spark, sf):
-    return render_counter_csv(table(spark, sf, "events"), scratch_path(spark, "counters"))
+    return _rendered(spark, sf, "counters", render_counter_csv)
 
 
 def log_files(spark, sf):
-    return render_device_log(table(spark, sf, "events"), scratch_path(spark, "logs"))
+    return _rendered(spark, sf, "logs", render_device_log)
 
 
 @register("i1_counter_csv", """

@@ -60,3 +60,37 @@ SELECT count(*) AS n_total, count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE')
   count(*) - count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE') AS n_filtered_out FROM customer""")
 def o5(spark, sf):
     return filtered_counts(table(spark, sf, "customer"), F.col("c_mktsegment") == "AUTOMOBILE")
+
+
+@register("o6_per_host_files", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events)
+SELECT 'series-' || CAST(user_id AS VARCHAR) AS file_name, rn // 2 AS bucket, arg_max(value, rn) AS "Value"
+FROM r GROUP BY user_id, rn // 2""")
+def o6(spark, sf):
+    from hostlens.operators import series as S
+    from hostlens.registered.common import measurements
+    from hostlens.session import scratch_path
+    from hostlens.sources.sinks import write_per_host
+    df = S.positional_buckets(S.coerce_numeric(measurements(spark, sf), "Value"), 30, "last")
+    out = write_per_host(df.select("Hostname", "bucket", "Value"), scratch_path(spark, "per-host"),
+                         template="series-{hostname}")
+    back = spark.read.option("basePath", out).parquet(out)
+    return back.select(F.col("file_name").cast("string").alias("file_name"), "bucket", "Value")
+
+
+@register("o7_json_rows", """
+SELECT json_object('o_orderkey', o_orderkey, 'o_orderdate', strftime(o_orderdate, '%m-%d-%Y %H:%M:%S'),
+  'o_totalprice', o_totalprice, 'o_orderstatus', o_orderstatus)::VARCHAR AS json FROM orders""")
+def o7(spark, sf):
+    from hostlens.sources.sinks import json_rows
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    return json_rows(o)
+
+
+@register("o8_export_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def o8(spark, sf):
+    from hostlens.session import scratch_path
+    from hostlens.sources.sinks import export_csv
+    c = table(spark, sf, "customer")
+    out = export_csv(c, scratch_path(spark, "export"))
+    return spark.read.schema(c.schema).option("header", True).csv(out)

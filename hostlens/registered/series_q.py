@@ -252,3 +252,24 @@ def q14(spark, sf):
     df = add_magnitude(df, "cents", "m1000_3", 1000, three_digit=True)
     df = add_magnitude(df, "_small", "m_small", 1000)
     return df.drop("_small")
+
+
+def _saved_specs(spark, sf):
+    """One saved chart per series value: options JSON as a chart page stores it;
+    click and view charts chose the max, the others kept the default."""
+    ev = table(spark, sf, "events")
+    et = ev.select("event_type").distinct()
+    opts = F.when(F.col("event_type").isin("click", "view"),
+                  F.to_json(F.create_map(F.lit("filter"), F.col("event_type"), F.lit("aggregation"), F.lit("MAX"))))\
+        .otherwise(F.to_json(F.create_map(F.lit("filter"), F.col("event_type"))))
+    return et.select(F.col("event_type").alias("spec_id"), opts.alias("options"))
+
+
+@register("q15_saved_specs", f"""
+SELECT "Series" AS spec_id, "Hostname", {sql_ts(_sql_bucket(3600))} AS bucket_start,
+  CASE WHEN "Series" IN ('click', 'view') THEN max("Value") ELSE arg_max("Value", ("Timestamp", pos)) END AS "Value"
+FROM {M} m GROUP BY "Series", "Hostname", {_sql_bucket(3600)}""")
+def q15(spark, sf):
+    from hostlens.operators.specs import run_specs
+    out = run_specs(_numeric(spark, sf), _saved_specs(spark, sf))
+    return out.withColumn("bucket_start", ts_text("bucket_start"))

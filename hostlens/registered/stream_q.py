@@ -1 +1,70 @@
-"""placeholder"""
+"""Registered S1 (batch and stream) and streaming Q9 queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hostlens.session import scratch_path
+from hostlens.streaming.tail import stream_time_buckets, tail_after, tail_stream
+from hostlens.registry import r6, register, sql_ts, table, ts_text
+
+SEEN_UNTIL = "2024-01-15 00:00:00"
+
+
+def _log(spark, sf):
+    """F8: events as an import log (pkid, Time, Level, Message)."""
+    ev = table(spark, sf, "events")
+    return ev.select(F.col("event_id").alias("pkid"), F.col("ts").alias("Time"),
+                     F.col("event_type").alias("Level"), F.col("props").alias("Message"))
+
+
+def _cursor(spark, sf):
+    """The last key already shown: the newest row before a point in time (one value)."""
+    return (table(spark, sf, "events").where(F.col("ts") < F.lit(SEEN_UNTIL).cast("timestamp_ntz"))
+            .agg(F.max("event_id")).first()[0])
+
+
+_SQL_TAIL = f"""
+SELECT event_id AS pkid, {sql_ts('ts')} AS "Time", event_type AS "Level", props AS "Message",
+  (SELECT max(event_id) FROM events) AS next_cursor FROM events
+WHERE event_id > (SELECT max(event_id) FROM events WHERE ts < TIMESTAMP '{SEEN_UNTIL}')"""
+
+
+@register("s1_log_tail_batch", _SQL_TAIL)
+def s1(spark, sf):
+    out = tail_after(_log(spark, sf), "pkid", _cursor(spark, sf))
+    return out.withColumn("Time", ts_text("Time"))
+
+
+@register("s1_log_tail_stream", _SQL_TAIL.replace(",\n  (SELECT max(event_id) FROM events) AS next_cursor", ""))
+def s1s(spark, sf):
+    log = _log(spark, sf)
+    src = scratch_path(spark, "log-source")
+    log.repartition(4).write.mode("errorifexists").parquet(src)
+    sink = scratch_path(spark, "log-sink")
+    tail_stream(spark, src, log.schema, "pkid", _cursor(spark, sf), sink, scratch_path(spark, "log-ckpt"))
+    return spark.read.parquet(sink).withColumn("Time", ts_text("Time"))
+
+
+DELAY_HOURS = 2
+
+
+@register("q9_stream_time_buckets", f"""
+SELECT CAST(user_id AS VARCHAR) AS "Hostname", {sql_ts('make_timestamp(epoch_us(ts) // 3600000000 * 3600000000)')} AS bucket_start,
+  count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events
+GROUP BY 1, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000)
+HAVING make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) + INTERVAL 1 HOUR
+       <= (SELECT max(ts) FROM events) - INTERVAL {DELAY_HOURS} HOUR""")
+def q9s(spark, sf):
+    ev = table(spark, sf, "events").select(F.col("ts").alias("Timestamp"),
+                                           F.col("user_id").cast("string").alias("Hostname"),
+                                           F.col("value").alias("Value"))
+    src = scratch_path(spark, "events-source")
+    ev.repartition(4).write.mode("errorifexists").parquet(src)
+    sink = scratch_path(spark, "buckets-sink")
+    stream_time_buckets(spark, src, ev.schema, time_col="Timestamp", host_col="Hostname", value_col="Value",
+                        seconds=3600, delay=f"{DELAY_HOURS} hours", sink_dir=sink,
+                        checkpoint_dir=scratch_path(spark, "buckets-ckpt"))
+    out = spark.read.parquet(sink)
+    return out.select("Hostname", ts_text("bucket_start").alias("bucket_start"), "n",
+                      r6("mean_value").alias("mean_value"), "max_value")
