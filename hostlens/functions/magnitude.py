@@ -1,9 +1,11 @@
 """Q14: readable magnitude of an integer (``2.4G``) as a column expression.
 
 Decimal places are chosen from the magnitude as the reference does; the
-quotient is rounded half-to-even with exact integer arithmetic, so the text
-does not depend on binary floating point.  Floats are truncated to bigint,
-null gives null.
+quotient is rounded as C-style ``%.Nf`` formatting rounds the binary double
+``x / base**k``: to nearest, where an exact decimal tie is settled by the side
+of the tie the double actually lies on (read from its bits), and an exact
+binary tie goes to even.  All of it is integer / decimal arithmetic in the
+JVM.  Floats are truncated to bigint, null gives null.
 """
 
 from __future__ import annotations
@@ -44,8 +46,22 @@ def add_magnitude(df: DataFrame, col, out: str, base: int = 1000, three_digit: b
          .withColumn(t + "n", (F.col(t + "ax") * F.col(t + "sc")).cast("decimal(38,0)")))
     d = d.withColumn(t + "q0", F.floor(F.col(t + "n") / F.col(t + "den")).cast("decimal(38,0)"))
     d = d.withColumn(t + "r", (F.col(t + "n") - F.col(t + "q0") * F.col(t + "den")).cast("decimal(38,0)"))
+    # the double x / den and its exact binary value mant * 2^-e
+    dbl = F.col(t + "ax").cast("double") / F.col(t + "den").cast("double")
+    d = d.withColumn(t + "bits", F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"),
+                                        F.coalesce(dbl, F.lit(0.0))).cast("bigint"))
+    d = (d.withColumn(t + "mant", (F.col(t + "bits").bitwiseAND(F.lit(0xFFFFFFFFFFFFF))
+                                   .bitwiseOR(F.lit(1 << 52))).cast("decimal(38,0)"))
+         .withColumn(t + "e", (F.lit(1075) - F.expr(f"shiftright({t}bits, 52)").bitwiseAND(F.lit(0x7FF))).cast("int")))
+    tie = F.col(t + "r") * 2 == F.col(t + "den")
+    # compare the double with the tie (2 q0 + 1) / (2 sc):  mant * 2 * sc  vs  (2 q0 + 1) * 2^e
+    lhs = F.col(t + "mant") * 2 * F.col(t + "sc")
+    rhs = (F.col(t + "q0") * 2 + 1) * F.expr(f"shiftleft(cast(1 as bigint), {t}e)").cast("decimal(38,0)")
+    exact_ok = (F.col(t + "e") >= 0) & (F.col(t + "e") <= 62)
+    above = F.when(exact_ok, lhs > rhs).otherwise(F.lit(False))
+    equal = F.when(exact_ok, lhs == rhs).otherwise(F.lit(True))
     up = ((F.col(t + "r") * 2 > F.col(t + "den")) |
-          ((F.col(t + "r") * 2 == F.col(t + "den")) & (F.pmod(F.col(t + "q0"), F.lit(2)) == 1)))
+          (tie & (above | (equal & (F.pmod(F.col(t + "q0"), F.lit(2)) == 1)))))
     d = d.withColumn(t + "q", (F.col(t + "q0") + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("decimal(38,0)"))
     d = d.withColumn(t + "w", F.floor(F.col(t + "q") / F.col(t + "sc")).cast("decimal(38,0)"))
     frac = (F.col(t + "q") - F.col(t + "w") * F.col(t + "sc")).cast("bigint").cast("string")

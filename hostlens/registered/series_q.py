@@ -224,11 +224,9 @@ def _sql_magnitude(x: str, base: int, three_digit: bool) -> str:
         ill = f"(({mag} + 1) // 3)"
         places = f"(CASE WHEN {mag} % 3 = 1 THEN 1 ELSE 2 END)"
     den = f"CAST(pow({base}, {ill}) AS HUGEINT)"
-    scale = f"(CASE WHEN {places} = 1 THEN 10 ELSE 100 END)"
-    q0 = f"(({ax} * {scale}) // {den})"
-    r = f"(({ax} * {scale}) - {q0} * {den})"
-    q = f"({q0} + CASE WHEN 2 * {r} > {den} OR (2 * {r} = {den} AND {q0} % 2 = 1) THEN 1 ELSE 0 END)"
-    fixed = f"(CAST({q} // {scale} AS VARCHAR) || '.' || lpad(CAST({q} % {scale} AS VARCHAR), {places}, '0'))"
+    # printf rounds the binary double correctly, as C / Python formatting does
+    fixed = (f"(CASE WHEN {places} = 1 THEN printf('%.1f', CAST({ax} AS DOUBLE) / CAST({den} AS DOUBLE)) "
+             f"ELSE printf('%.2f', CAST({ax} AS DOUBLE) / CAST({den} AS DOUBLE)) END)")
     suffix = f"(['', 'K', 'M', 'G', 'T', 'P'])[{ill} + 1]"
     sign = f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END)"
     big = f"({sign} || CAST({ax} // CAST(pow({base}, 5) AS HUGEINT) AS VARCHAR) || 'P')"
