@@ -4,17 +4,15 @@ A ``Window.partitionBy(key)`` puts every row of a key into one task.  A host
 or a file that holds a third of the data would then be sorted and scanned by a
 single core.  ``keyed_scan`` instead
 
-1. range-partitions on ``(key, order...)`` so a hot key is cut into many
-   contiguous, similarly sized slices (the partitioner samples the data);
-2. runs the scan inside each slice (one Arrow-batched pass, carrying state
-   from batch to batch);
-3. builds a per-slice summary (one row per slice, so its size is bounded by
-   the partition count chosen at plan time) and derives, for the first key of
-   each slice, what the earlier slices contributed;
-4. broadcasts that bounded table and adds the carry.
-
-The summary reads the scan output, so the in-slice pass is evaluated by both
-branches (the range exchange beneath it is shared).
+1. samples the sort key ``(key, order...)`` (a bounded sample, as Spark's
+   range partitioner does) and cuts it into ``n`` contiguous slices;
+2. gives every row its slice id -- a pure function of the row, so every
+   branch of the plan (and every retry after a lost executor) agrees on it;
+3. hash-partitions on the slice and runs the scan as a JVM window per
+   ``(slice, key)``: a hot key is cut into many similar slices;
+4. aggregates a per-slice summary (one row per slice, so bounded by ``n``, a
+   plan-time constant) and derives what earlier slices carry into the first
+   key of each slice; that table is broadcast and added.
 
 Supported scans: running sums of integer columns (row ordinals are a running
 count of ones) and "last non-null value so far" (fill down).  Both are
@@ -25,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,56 +31,63 @@ from hostlens.session import num_partitions
 
 _KEY = "_scan_key"
 _PART = "_scan_part"
-
-
-def _same(a, b) -> bool:
-    if a is None or (isinstance(a, float) and pd.isna(a)):
-        return b is None or (isinstance(b, float) and pd.isna(b))
-    if b is None or (isinstance(b, float) and pd.isna(b)):
-        return False
-    return a == b
-
-
-def _local_pass(sums: Sequence[str], fills: Sequence[str]):
-    """Per-slice scan: running sums and fill-down per key, carried across batches."""
-
-    def run(batches):
-        prev_key = object()
-        carry_sum = {c: 0 for c in sums}
-        carry_fill = {c: None for c in fills}
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf
-                continue
-            keys = pdf[_KEY]
-            # run id: increments whenever the key changes (rows arrive sorted by key)
-            k_obj = keys.astype(object).where(keys.notna(), None)
-            change = k_obj.ne(k_obj.shift(1)) & ~(k_obj.isna() & k_obj.shift(1).isna())
-            change.iloc[0] = True
-            run_id = change.cumsum()
-            first_run = run_id == 1
-            continues = _same(k_obj.iloc[0], prev_key)
-            g = pdf.groupby(run_id, sort=False)
-            for c in sums:
-                v = g[c].cumsum().astype("int64")
-                if continues:
-                    v = v.where(~first_run, v + carry_sum[c])
-                pdf["_loc_" + c] = v
-            for c in fills:
-                v = g[c].ffill()
-                if continues and carry_fill[c] is not None:
-                    v = v.where(~(first_run & v.isna()), carry_fill[c])
-                pdf["_loc_" + c] = v
-            # state for the next batch: the last run's totals
-            for c in sums:
-                carry_sum[c] = int(pdf["_loc_" + c].iloc[-1])
-            for c in fills:
-                tail = pdf["_loc_" + c].iloc[-1]
-                carry_fill[c] = None if pd.isna(tail) else tail
-            prev_key = k_obj.iloc[-1]
-            yield pdf
-
-    return run
+_SAMPLE_PER_SLICE = 60
+_SAMPLE_CAP = 1_000_000
+
+
+def _sort_key(row) -> tuple:
+    # Spark orders nulls first in ascending order
+    return tuple((v is not None, v) for v in row)
+
+
+def _bounds(df: DataFrame, sort_struct: Column, n: int) -> list:
+    """At most ``n - 1`` increasing slice boundaries from a bounded sample of the sort key."""
+    if n <= 1:
+        return []
+    total = df.count()
+    if total == 0:
+        return []
+    want = min(_SAMPLE_CAP, _SAMPLE_PER_SLICE * n)
+    frac = min(1.0, want / total)
+    rows = [tuple(r[0]) for r in df.select(sort_struct.alias("_s")).sample(False, frac, seed=17).collect()]
+    if not rows:
+        return []
+    rows.sort(key=_sort_key)
+    out: list = []
+    for i in range(1, n):
+        b = rows[min(len(rows) - 1, (i * len(rows)) // n)]
+        if not out or _sort_key(b) > _sort_key(out[-1]):
+            out.append(b)
+    return out
+
+
+def _typed_lit(v, dt: T.DataType) -> Column:
+    """A literal of type ``dt`` for a value collected from a column of that type."""
+    if v is None:
+        return F.lit(None).cast(dt)
+    if isinstance(dt, T.StructType):
+        return F.struct(*[_typed_lit(v[i], f.dataType).alias(f.name) for i, f in enumerate(dt.fields)])
+    if isinstance(dt, T.ArrayType):
+        if not v:
+            return F.array().cast(dt)
+        return F.array(*[_typed_lit(x, dt.elementType) for x in v]).cast(dt)
+    if isinstance(dt, T.TimestampNTZType):
+        return F.lit(v.isoformat(sep=" ")).cast(dt)       # independent of the Python time zone
+    return F.lit(v).cast(dt)
+
+
+def _slice_expr(sort_struct: Column, bounds: list, types: list) -> Column:
+    """Slice id = number of boundaries <= the row's sort key (a balanced CASE tree)."""
+    def lit(b) -> Column:
+        return F.struct(*[_typed_lit(v, t).alias(f"c{i}") for i, (v, t) in enumerate(zip(b, types))])
+
+    def build(lo: int, hi: int) -> Column:   # slice ids lo..hi
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2               # rows >= bounds[mid - 1] belong to mid..hi
+        return F.when(sort_struct < lit(bounds[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
+
+    return build(0, len(bounds))
 
 
 def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column | str], *,
@@ -98,6 +102,7 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
               value within the key up to and including the row.
     ``key=None`` scans the whole frame (one logical key).
     ``order`` must be a total order (include a unique tiebreak).
+    Plan-time cost: a row count and a bounded key sample (two small jobs).
     """
     sums = dict(sums or {})
     fills = dict(fills or {})
@@ -111,32 +116,44 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
         base = base.withColumn("_in_" + name, F.coalesce(expr.cast("long"), F.lit(0)))
     for name, expr in fills.items():
         base = base.withColumn("_in_" + name, F.col(expr) if isinstance(expr, str) else expr)
-    sorted_ = (base.repartitionByRange(n, F.col(_KEY).asc_nulls_first(), *order_cols)
-               .sortWithinPartitions(F.col(_KEY).asc_nulls_first(), *order_cols)
-               .withColumn(_PART, F.spark_partition_id()))
-
-    # 2. in-slice scan (Arrow batches, state carried between batches)
-    in_sums = ["_in_" + s for s in sums]
-    in_fills = ["_in_" + f for f in fills]
-    out_fields = list(sorted_.schema.fields)
-    fill_types = {f.name: f.dataType for f in sorted_.schema.fields}
-    out_fields += [T.StructField("_loc__in_" + s, T.LongType()) for s in sums]
-    out_fields += [T.StructField("_loc__in_" + f, fill_types["_in_" + f]) for f in fills]
-    scanned = sorted_.mapInPandas(_local_pass(in_sums, in_fills), T.StructType(out_fields))
-
-    # 3. per-slice summary: the value of each local scan at the slice's last
-    # row.  It is read from the scan's own output, so both branches sit on the
-    # one (reused) range exchange and agree on slice ids.
+    ord_names = []
+    for i, oc in enumerate(order_cols):
+        base = base.withColumn(f"_sk{i}", oc)
+        ord_names.append(f"_sk{i}")
+    sort_cols = [_KEY] + ord_names
+    sort_struct = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(sort_cols)])
+    types = [base.schema[c].dataType for c in sort_cols]
+
+    # 1-2. slices: contiguous ranges of the sort key, assigned by a pure expression
+    bounds = _bounds(base, sort_struct, n)
+    base = base.withColumn(_PART, _slice_expr(sort_struct, bounds, types) if bounds else F.lit(0))
+
+    # 3. the scan per (slice, key); hash partitioning on the slice satisfies the
+    #    window's clustering, so the data is shuffled once
+    w = (Window.partitionBy(_PART, _KEY).orderBy(*[F.col(c).asc_nulls_first() for c in ord_names])
+         .rowsBetween(Window.unboundedPreceding, 0))
+    scanned = base.repartition(n, _PART)
+    for s in sums:
+        scanned = scanned.withColumn("_loc_" + s, F.sum("_in_" + s).over(w))
+    for f in fills:
+        scanned = scanned.withColumn("_loc_" + f, F.last("_in_" + f, ignorenulls=True).over(w))
+
+    # 4. per-slice summary from the input (partial aggregation, one row per slice)
     kstruct = F.struct(F.col(_KEY))
-    last_row = F.struct(F.col(_KEY), *order_cols)
-    per_part = scanned.groupBy(_PART).agg(
-        F.min(kstruct).alias("first_k"),
-        F.max(kstruct).alias("last_k"),
-        *[F.max_by(F.col("_loc__in_" + s), last_row).alias("ls_" + s) for s in sums],
-        *[F.max_by(F.col("_loc__in_" + f), last_row).alias("lf_" + f) for f in fills])
+    ord_struct = F.struct(*[F.col(c) for c in ord_names])
+    per_key = base.groupBy(_PART, _KEY).agg(
+        *[F.sum("_in_" + s).alias("s_" + s) for s in sums],
+        *[F.max_by(F.col("_in_" + f), F.when(F.col("_in_" + f).isNotNull(), ord_struct)).alias("f_" + f)
+          for f in fills],
+        F.count(F.lit(1)).alias("_n"))
+    per_part = per_key.groupBy(_PART).agg(
+        F.min(kstruct).alias("first_k"), F.max(kstruct).alias("last_k"),
+        *[F.max_by(F.col("s_" + s), kstruct).alias("ls_" + s) for s in sums],
+        *[F.max_by(F.col("f_" + f), kstruct).alias("lf_" + f) for f in fills])
+    # what slices before p contribute to p's first key: the run of earlier
+    # slices whose last key equals it (computed on the tiny slice table)
     by_last = Window.partitionBy("last_k").orderBy(_PART).rowsBetween(Window.unboundedPreceding, 0)
-    # a tiny table (one row per slice): an unpartitioned window is fine here
-    by_part = Window.orderBy(_PART)
+    by_part = Window.orderBy(_PART)   # at most n rows: an unpartitioned window is fine here
     carry = per_part
     for s in sums:
         carry = carry.withColumn("cs_" + s, F.sum("ls_" + s).over(by_last))
@@ -151,16 +168,15 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
         sel.append(F.when(joins_prev, F.lag("cf_" + f).over(by_part)).alias("car_" + f))
     carry = carry.select(*sel)
 
-    # 4. add the carry; the carry table has at most ``n`` rows
+    # the carry table has at most n rows (one per slice): a bounded broadcast
     out = scanned.join(F.broadcast(carry), _PART, "left")
     is_first = kstruct.eqNullSafe(F.col("first_k"))
     for s in sums:
-        out = out.withColumn(s, F.col("_loc__in_" + s) + F.when(is_first, F.col("off_" + s)).otherwise(F.lit(0)))
+        out = out.withColumn(s, F.col("_loc_" + s) + F.when(is_first, F.col("off_" + s)).otherwise(F.lit(0)))
     for f in fills:
-        out = out.withColumn(f, F.coalesce(F.col("_loc__in_" + f),
-                                           F.when(is_first, F.col("car_" + f))))
-    drop = [_KEY, _PART, "first_k"] + ["_in_" + s for s in sums] + ["_in_" + f for f in fills]
-    drop += ["_loc__in_" + s for s in sums] + ["_loc__in_" + f for f in fills]
+        out = out.withColumn(f, F.coalesce(F.col("_loc_" + f), F.when(is_first, F.col("car_" + f))))
+    drop = [_KEY, _PART, "first_k"] + ord_names + ["_in_" + s for s in sums] + ["_in_" + f for f in fills]
+    drop += ["_loc_" + s for s in sums] + ["_loc_" + f for f in fills]
     drop += ["off_" + s for s in sums] + ["car_" + f for f in fills]
     return out.drop(*drop)
 

@@ -39,4 +39,4 @@ def test_scan_plan_broadcasts_only_the_slice_table(spark):
     ev = _skewed(spark)
     out = ordinal(ev, "host", ["ts", "event_id"], partitions=16)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan and "BroadcastExchange" in plan
+    assert "hashpartitioning(_scan_part" in plan and "BroadcastExchange" in plan and "MapInPandas" not in plan
