@@ -40,16 +40,39 @@ def _sort_key(row) -> tuple:
     return tuple((v is not None, v) for v in row)
 
 
+def _estimated_rows(df: DataFrame) -> int | None:
+    """Row count estimate from Catalyst statistics (no job); None when unknown."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        rc = stats.rowCount()
+        if rc.isDefined():
+            return int(rc.get().toString())
+        size = int(stats.sizeInBytes().toString())
+        width = max(8, sum(f.dataType.defaultSize() for f in df.schema.fields))
+        est = size // width
+        return est if 0 < est < 10 ** 15 else None
+    except Exception:  # noqa: BLE001 - statistics are an optimisation only
+        return None
+
+
 def _bounds(df: DataFrame, sort_struct: Column, n: int) -> list:
-    """At most ``n - 1`` increasing slice boundaries from a bounded sample of the sort key."""
+    """At most ``n - 1`` increasing slice boundaries from a bounded sample of the sort key.
+
+    One job: the sampling fraction comes from the plan's size estimate (a row
+    count only when there is none); the sample is capped, so a bad estimate
+    costs balance, never correctness or driver memory.
+    """
     if n <= 1:
         return []
-    total = df.count()
+    want = min(_SAMPLE_CAP, _SAMPLE_PER_SLICE * n)
+    total = _estimated_rows(df)
+    if total is None:
+        total = df.count()
     if total == 0:
         return []
-    want = min(_SAMPLE_CAP, _SAMPLE_PER_SLICE * n)
     frac = min(1.0, want / total)
-    rows = [tuple(r[0]) for r in df.select(sort_struct.alias("_s")).sample(False, frac, seed=17).collect()]
+    sample = df.select(sort_struct.alias("_s")).sample(False, frac, seed=17).limit(10 * want)
+    rows = [tuple(r[0]) for r in sample.collect()]
     if not rows:
         return []
     rows.sort(key=_sort_key)

@@ -174,24 +174,28 @@ def parse_template(text: str, unescape: bool = False) -> Template:
     return Template(tuple(values), tuple(rules), "EOF" in states)
 
 
-def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file", line_no_col: str = "line_no",
-            text_col: str = "line", carry_across_files: bool = False, implicit_eof: bool = True,
-            title_headings: bool = True) -> DataFrame:
+def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file",
+            order_cols=("line_no",), text_col: str = "line", carry_across_files: bool = False,
+            implicit_eof: bool = True, title_headings: bool = True) -> DataFrame:
     """Records as rows: ``file``, ``record_no`` and one string column per value
-    (headings normalised: ``total_calls`` -> ``Total Calls``)."""
+    (headings normalised: ``total_calls`` -> ``Total Calls``).
+
+    ``order_cols`` give the line order inside a file (``line_no``, or the read
+    position ``_block, _mid`` of ``raw_lines`` -- no numbering pass needed).
+    """
     t = parse_template(template) if isinstance(template, str) else template
     vals = list(t.values)
+    fd = [v for v in vals if v.filldown]
+    has_clearall = any(r.record_op == "Clearall" for r in t.rules)
+    ocols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    base = lines.select(F.col(file_col).alias("_file"), F.col(text_col).alias("_line"),
+                        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(ocols)])
+    onames = [f"_o{i}" for i in range(len(ocols))]
     line = F.col("_line")
     rule_idx = F.lit(None).cast("int")
     for i in reversed(range(len(t.rules))):
         rule_idx = F.when(line.rlike(t.rules[i].pattern), F.lit(i)).otherwise(rule_idx)
-    base = lines.select(F.col(file_col).alias("_file"), F.col(line_no_col).alias("_ln"),
-                        F.col(text_col).alias("_line"))
-    if carry_across_files:
-        base = base.withColumn("_key", F.lit(""))
-    else:
-        base = base.withColumn("_key", F.col("_file"))
-    base = base.withColumn("_rule", rule_idx)
+    base = base.withColumn("_key", F.lit("") if carry_across_files else F.col("_file")).withColumn("_rule", rule_idx)
 
     def op_flag(ops):
         idx = [i for i, r in enumerate(t.rules) if r.record_op in ops]
@@ -204,33 +208,46 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
             if v.name in r.groups:
                 c = F.when(F.col("_rule") == i, F.regexp_extract("_line", r.pattern, r.groups[v.name])).otherwise(c)
         caps[v.name] = F.when(c != "", c)
-    base = base.select("_key", "_file", "_ln",
+    base = base.select("_key", "_file", *onames,
                        op_flag({"Record"}).alias("_rec"),
                        op_flag({"Record", "Clear", "Clearall"}).alias("_reset"),
                        op_flag({"Clearall"}).alias("_reset_all"),
                        *[caps[v.name].alias("_c_" + v.name) for v in vals])
-    order = [F.col("_file"), F.col("_ln")]
+    order = [F.col("_file")] + [F.col(o) for o in onames]
+    # one keyed scan over the lines: segment numbers, and (without Clearall)
+    # the Filldown values, which then never reset inside a file
+    line_fills = {} if has_clearall else {"_fd_" + v.name: "_c_" + v.name for v in fd}
     seg = keyed_scan(base, "_key", order, sums={"_seg": F.col("_reset").cast("int"),
-                                                "_segfd": F.col("_reset_all").cast("int")})
+                                                "_segfd": F.col("_reset_all").cast("int")},
+                     fills=line_fills)
     seg = (seg.withColumn("_seg", F.col("_seg") - F.col("_reset").cast("long"))
-           .withColumn("_segfd", F.col("_segfd") - F.col("_reset_all").cast("long")))
+           .withColumn("_segfd", F.col("_segfd") - F.col("_reset_all").cast("long"))
+           .withColumn("_ord", F.struct(*order)))
     # the pending segment at end of input (exists even when the file ends on a Record line)
-    tails = seg.groupBy("_key").agg((F.max(F.col("_seg") + F.col("_reset").cast("long"))).alias("_seg"),
-                                    F.max(F.col("_segfd") + F.col("_reset_all").cast("long")).alias("_segfd"),
-                                    F.max("_file").alias("_last_file"))
-    seg_rows = seg.select("_key", "_seg", "_segfd", "_rec", "_reset", "_ln", "_file",
-                          *[F.col("_c_" + v.name) for v in vals])
+    tails = seg.groupBy("_key").agg(
+        F.max(F.col("_seg") + F.col("_reset").cast("long")).alias("_seg"),
+        F.max(F.col("_segfd") + F.col("_reset_all").cast("long")).alias("_segfd"),
+        F.max_by("_file", "_ord").alias("_file"),
+        *[F.max_by("_fd_" + v.name, "_ord").alias("_tfd_" + v.name) for v in fd if line_fills])
+    fd_cols = [v.name for v in fd] if line_fills else []
+    seg_rows = seg.select("_key", "_seg", "_segfd", "_rec", "_reset", "_ord", "_file",
+                          *[F.col("_c_" + v.name) for v in vals],
+                          *[F.col("_fd_" + n).alias("_fd_" + n) for n in fd_cols],
+                          *[F.lit(None).cast("string").alias("_tfd_" + n) for n in fd_cols])
     tail_rows = tails.select("_key", "_seg", "_segfd", F.lit(False).alias("_rec"), F.lit(False).alias("_reset"),
-                             F.lit(None).cast("long").alias("_ln"), F.col("_last_file").alias("_file"),
-                             *[F.lit(None).cast("string").alias("_c_" + v.name) for v in vals])
-    last_cap = lambda name: F.max_by(F.col("_c_" + name), F.when(F.col("_c_" + name).isNotNull(),
-                                                                 F.struct(F.col("_file"), F.col("_ln"))))
+                             F.lit(None).cast(seg.schema["_ord"].dataType).alias("_ord"), "_file",
+                             *[F.lit(None).cast("string").alias("_c_" + v.name) for v in vals],
+                             *[F.lit(None).cast("string").alias("_fd_" + n) for n in fd_cols],
+                             *[F.col("_tfd_" + n) for n in fd_cols])
+    last_cap = lambda name: F.max_by(F.col("_c_" + name), F.when(F.col("_c_" + name).isNotNull(), F.col("_ord")))
     segs = seg_rows.unionByName(tail_rows).groupBy("_key", "_seg").agg(
         F.max("_segfd").alias("_segfd"), F.max(F.col("_rec").cast("int")).alias("_rec"),
-        F.max(F.col("_reset").cast("int")).alias("_closed"), F.coalesce(F.max_by("_file", F.col("_ln")), F.max("_file")).alias("_file"),
-        *[last_cap(v.name).alias(v.name) for v in vals])
-    fd = [v for v in vals if v.filldown]
-    if fd:
+        F.max(F.col("_reset").cast("int")).alias("_closed"),
+        F.coalesce(F.max_by("_file", "_ord"), F.max("_file")).alias("_file"),
+        *[last_cap(v.name).alias(v.name) for v in vals if v.name not in fd_cols],
+        *[F.coalesce(F.max_by("_fd_" + n, "_ord"), F.max("_tfd_" + n)).alias(n) for n in fd_cols])
+    if fd and not line_fills:
+        # with Clearall, Filldown restarts per Clearall period: scan the (small) segment table
         segs = keyed_scan(segs, F.concat_ws("\u0001", F.col("_key"), F.col("_segfd").cast("string")),
                           [F.col("_seg")], fills={"_fd_" + v.name: v.name for v in fd})
         for v in fd:
@@ -245,8 +262,7 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
     for v in vals:
         if v.required:
             keep = keep & F.col(v.name).isNotNull()
-    out = segs.where(keep).select(
+    return segs.where(keep).select(
         F.col("_file").alias("file"), F.col("_seg").alias("record_no"),
         *[F.coalesce(F.col(v.name), F.lit("")).alias(heading(v.name, title_headings) if title_headings else v.name)
           for v in vals])
-    return out

@@ -11,7 +11,7 @@ from hostlens.plans.template import extract
 from hostlens.session import scratch_path
 from hostlens.sources.counters import read_counters
 from hostlens.sources.inventory import inventory, inventory_lookup
-from hostlens.sources.lines import read_lines, text_lines
+from hostlens.sources.lines import raw_lines, read_lines, text_lines
 from hostlens.sources.render import render_counter_csv, render_device_log
 from hostlens.registry import register, table
 
@@ -81,8 +81,8 @@ SELECT strftime(ts, '%m/%d/%Y %H:%M:%S') AS "Timestamp", 'cube' || CAST(user_id
   printf('%.2f', value) AS "Total Calls" FROM events
 UNION ALL SELECT '', 'cube' || CAST(user_id AS VARCHAR), '' FROM events GROUP BY user_id""")
 def i3(spark, sf):
-    lines = read_lines(spark, log_files(spark, sf))
-    recs = extract(lines, CALLS_TEMPLATE)
+    lines = raw_lines(spark, log_files(spark, sf))          # read order is enough: no numbering pass
+    recs = extract(lines, CALLS_TEMPLATE, order_cols=["_block", "_mid"])
     return recs.select(normalize_time_text("Timestamp").alias("Timestamp"), "Hostname", "Total Calls")
 
 
@@ -90,8 +90,8 @@ def i3(spark, sf):
 SELECT strftime(ts, '%m/%d/%Y %H:%M:%S') AS "Timestamp", 'cube' || CAST(user_id AS VARCHAR) AS "Hostname",
   printf('%.2f', value) AS "Total Calls" FROM events""")
 def i3n(spark, sf):
-    lines = read_lines(spark, log_files(spark, sf))
-    recs = extract(lines, CALLS_TEMPLATE + "\n\nEOF\n")
+    lines = raw_lines(spark, log_files(spark, sf))
+    recs = extract(lines, CALLS_TEMPLATE + "\n\nEOF\n", order_cols=["_block", "_mid"])
     return recs.select(normalize_time_text("Timestamp").alias("Timestamp"), "Hostname", "Total Calls")
 
 

@@ -100,3 +100,18 @@ def test_carry_across_files(spark):
     carried = [(r.Hostname, r["Total Calls"]) for r in extract(df, CALLS_TEMPLATE, carry_across_files=True).collect()]
     assert sorted(per_file) == [("", "5"), ("vz1", "")]
     assert sorted(carried) == [("vz1", ""), ("vz1", "5")]
+
+
+def test_template_clearall_resets_filldown(spark):
+    tpl = """Value Filldown host (\\w+)
+Value n (\\d+)
+
+Start
+  ^host ${host}
+  ^n ${n} -> Record
+  ^wipe -> Clearall
+"""
+    rows = [("f", i, l) for i, l in enumerate(["host a", "n 1", "n 2", "wipe", "n 3", "host b", "n 4"])]
+    df = spark.createDataFrame(rows, "file string, line_no long, line string")
+    got = [(r.Host, r.N) for r in extract(df, tpl).orderBy("record_no").collect()]
+    assert got == [("a", "1"), ("a", "2"), ("", "3"), ("b", "4"), ("b", "")]
