@@ -229,3 +229,9 @@ def valid_only(validated: DataFrame) -> DataFrame:
     """Alternative mode: apply every valid record."""
     bad = validated.where(F.col("status").isNotNull()).select("seq").distinct()
     return validated.join(bad, "seq", "left_anti")
+
+
+# E6 ------------------------------------------------------------------------
+def stamp_scope(rows: DataFrame, scope_col: str, active) -> DataFrame:
+    """Creates in a scoped page get the active scope written into their scope column."""
+    return rows.withColumn(scope_col, F.lit(active))

@@ -110,3 +110,26 @@ def publish(spark: SparkSession, df: DataFrame, root: str, name: str) -> str:
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     path = spark.read.text(f"{root}/{name}/_current").first()[0]
     return spark.read.parquet(path)
+
+
+def top_k_keys(state: DataFrame, key: str, where: str | None, order: Sequence[Column], limit: int) -> DataFrame:
+    """The keys an ``... WHERE .. ORDER BY .. LIMIT n`` statement touches (top-k, not a full sort)."""
+    df = state.where(where) if where else state
+    return df.orderBy(*order, F.col(key)).limit(limit).select(key)
+
+
+def update_top_k(state: DataFrame, key: str, where: str | None, order: Sequence[Column], limit: int,
+                 set_exprs: dict[str, Column]) -> DataFrame:
+    """Update set .. where .. order by .. limit n."""
+    keys = top_k_keys(state, key, where, order, limit).withColumn("_hit", F.lit(True))
+    j = state.join(F.broadcast(keys), key, "left")     # at most ``limit`` rows
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    out = j
+    for c, e in set_exprs.items():
+        out = out.withColumn(c, F.when(hit, e).otherwise(F.col(c)))
+    return out.drop("_hit")
+
+
+def delete_top_k(state: DataFrame, key: str, where: str | None, order: Sequence[Column], limit: int) -> DataFrame:
+    """Delete where .. order by .. limit n."""
+    return state.join(F.broadcast(top_k_keys(state, key, where, order, limit)), key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostlens.operators.scan import ordinal
-from hostlens.plans.fetch_spec import (FetchSpec, Lookup, fetch, key_filter, list_bad_members, list_ids,
+from hostlens.plans.fetch_spec import (FetchSpec, Lookup, fetch, json_ids, key_filter, list_bad_members, list_ids,
                                        options)
 from hostlens.registry import register, table
 
@@ -195,3 +195,44 @@ def t20(spark, sf):
     return (o.join(c, o.o_custkey == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left")
             .join(r, n.n_regionkey == r.r_regionkey, "left")
             .select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice"))
+
+
+# The two chart sources the catalogue is seeded with.
+GRAPH_SOURCES = [(1, "fk_textfsm", "Text File"), (2, "fk_perfmon_counters", "Perfmon CSV")]
+
+
+@register("t19_catalogue", """
+WITH c AS (SELECT o.o_orderkey, CASE WHEN o.o_orderstatus = 'F' THEN 'fk_textfsm' ELSE 'fk_perfmon_counters' END AS field,
+                  n.n_nationkey, n.n_name, r.r_name
+           FROM orders o JOIN customer cu ON o.o_custkey = cu.c_custkey JOIN nation n ON cu.c_nationkey = n.n_nationkey
+           JOIN region r ON n.n_regionkey = r.r_regionkey),
+f AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+SELECT c.o_orderkey AS chart_id, p.p_partkey AS upload_id, p.p_name AS upload_name, c.field AS source_field,
+  CASE WHEN c.field = 'fk_textfsm' THEN 'Value ' || lower(c.r_name) || ' (\\S+)' ELSE c.n_name || '\\% Processor Time' END AS filter_data
+FROM c JOIN f ON f.l_orderkey = c.o_orderkey JOIN part p ON p.p_partkey = f.l_partkey""")
+def t19(spark, sf):
+    o, li, cu, n, r, p = (table(spark, sf, x) for x in ("orders", "lineitem", "customer", "nation", "region", "part"))
+    # F4 catalogue derived from the tables: a chart per order, its file set as JSON ids (the parts of its
+    # lines), its source by status, templates per region, counters per nation
+    files = li.groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_set(
+        F.struct(F.col("l_partkey").cast("string").alias("id"))))).alias("uploaded_files"))
+    charts = (o.join(cu, o.o_custkey == cu.c_custkey).join(n, cu.c_nationkey == n.n_nationkey)
+              .join(files, o.o_orderkey == files.l_orderkey, "left")
+              .select(F.col("o_orderkey").alias("pkid"), "uploaded_files",
+                      F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("fk_graph_sources"),
+                      F.col("n_regionkey").alias("fk_textfsm"), F.col("n_nationkey").alias("fk_perfmon_counters")))
+    sources = spark.createDataFrame(GRAPH_SOURCES, "pkid int, field string, title string")
+    textfsm = r.select(F.col("r_regionkey").alias("t_pkid"),
+                       F.concat(F.lit("Value "), F.lower("r_name"), F.lit(" (\\S+)")).alias("script"))
+    counters = n.select(F.col("n_nationkey").alias("c_pkid"),
+                        F.concat("n_name", F.lit("\\% Processor Time")).alias("counter"))
+    ids = charts.select("pkid", "fk_graph_sources", "fk_textfsm", "fk_perfmon_counters",
+                        F.explode(json_ids("uploaded_files")).alias("f"))
+    res = (ids.join(p, F.col("f.id") == F.col("p_partkey"))
+           .join(F.broadcast(sources), F.col("fk_graph_sources") == sources.pkid)
+           .join(textfsm, F.col("fk_textfsm") == F.col("t_pkid"), "left")
+           .join(counters, F.col("fk_perfmon_counters") == F.col("c_pkid"), "left"))
+    return res.select(ids.pkid.alias("chart_id"), F.col("p_partkey").alias("upload_id"),
+                      F.col("p_name").alias("upload_name"), F.col("field").alias("source_field"),
+                      F.when(F.col("field") == "fk_textfsm", F.col("script")).otherwise(F.col("counter"))
+                      .alias("filter_data"))

@@ -110,3 +110,25 @@ def r12(spark, sf):
 @register("r13_column_values", "SELECT DISTINCT c_mktsegment FROM customer")
 def r13(spark, sf):
     return table(spark, sf, "customer").select("c_mktsegment").distinct()
+
+
+@register("r10_update_order_limit", """
+WITH hit AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 10)
+SELECT c_custkey, CASE WHEN c_custkey IN (SELECT c_custkey FROM hit) THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal
+FROM customer""")
+def r10(spark, sf):
+    from hostlens.operators.kernels import update_top_k
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    out = update_top_k(c, "c_custkey", "c_mktsegment = 'BUILDING'", [F.col("c_acctbal").desc()], 10,
+                       {"c_acctbal": F.col("c_acctbal") + 1})
+    return out.select("c_custkey", "c_acctbal")
+
+
+@register("r11_delete_order_limit", """
+SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (
+  SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice, o_orderkey LIMIT 20)""")
+def r11(spark, sf):
+    from hostlens.operators.kernels import delete_top_k
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return delete_top_k(o, "o_orderkey", "o_orderstatus = 'O'", [F.col("o_totalprice")], 20) \
+        .select("o_orderkey", "o_orderstatus")

@@ -58,3 +58,12 @@ def read_counters(spark: SparkSession, paths, counter: str, recursive: bool = Tr
         F.col("_host").alias("Hostname"),
         F.trim(raw_v).try_cast("double").alias(counter))
     return rows, rejects
+
+
+def stack(frames) -> DataFrame:
+    """Stack per-file frames whose columns differ (missing columns are null)."""
+    frames = list(frames)
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -95,3 +95,21 @@ def test_kernels_roundtrip(spark):
     assert sorted(r.k for r in new.collect()) == [1, 2, 3, 4]
     inv = K.delete(new, spark.createDataFrame([(3,), (4,)], "k long"), "k")   # change then inverse
     assert sorted(map(tuple, inv.collect())) == sorted(map(tuple, state.collect()))
+
+
+def test_multi_select_counts_and_form_keys(spark):
+    rows = spark.createDataFrame([(1, 1, "files-many-count", "2"), (1, 1, "files", "7"),
+                                  (2, 2, "tags-many-count", "1"),
+                                  (3, 3, "tags-many-count", "0")], "seq long, pkid long, field string, value string")
+    got = {r.seq: (r.field, r.status, r.add_blank) for r in E.multi_select_counts(rows).collect()}
+    assert got[1] == ("files", None, False) and got[2] == ("tags", E.MSG_NO_MULTI_FIELD, False)
+    assert got[3] == ("tags", None, True)
+    pairs = spark.createDataFrame([("action", "edit"), ("data[12][main][name]", "x"), ("data[12][files][0][id]", "4"),
+                                   ("data[12][files][1][id]", "2"), ("data[12][files-many-count]", "2")],
+                                  "key string, value string")
+    parsed = E.parse_form(pairs)
+    assert {(r.pkid, r.field, r.value, r.is_file) for r in parsed.collect()} == {
+        ("12", "name", "x", False), ("12", "files", "4", True), ("12", "files", "2", True),
+        ("12", "files-many-count", "2", False)}
+    ids = E.gather_files(parsed).first()
+    assert [e.id for e in ids.ids] == [2, 4]
