@@ -28,6 +28,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master.startswith("local"):
+        # one machine: list folders on the driver instead of launching a listing job
+        # (clusters keep Spark's default, which parallelises listing of large remote stores)
+        conf["spark.sql.sources.parallelPartitionDiscovery.threshold"] = "100000"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
