@@ -195,8 +195,7 @@ def hour_ticks(df: DataFrame, key: str = "Hostname", time_col: str = "Timestamp"
     """Q13: whole-hour offsets from each series start to its end, thinned to
     about ``max_labels`` labels (step = floor(hours / max_labels), at least 1)."""
     span = df.groupBy(key).agg(F.min(time_col).alias("start"), F.max(time_col).alias("end"))
-    hours = F.floor((F.unix_micros(F.col("end").cast("timestamp")) -
-                     F.unix_micros(F.col("start").cast("timestamp"))) / F.lit(3_600_000_000)).cast("int")
+    hours = F.floor(F.timestamp_diff("MICROSECOND", F.col("start"), F.col("end")) / F.lit(3_600_000_000)).cast("int")
     step = (F.greatest(F.floor(hours / F.lit(max_labels)), F.lit(1)).cast("int") if max_labels
             else F.lit(1))
     return (span.withColumn("hours", hours)

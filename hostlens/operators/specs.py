@@ -33,9 +33,11 @@ def run_specs(measurements: DataFrame, specs: DataFrame, *, selected: str = "Ser
         F.col("opts")["interval"].try_cast("bigint").alias("_width"),
         F.lower(F.col("opts")["aggregation"]).alias("_agg"))
     j = measurements.join(o, F.col(selected) == F.col("_filter"), "inner")
-    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    # epoch micros of a wall-clock (NTZ) time, independent of the session time zone
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    us = F.timestamp_diff("MICROSECOND", epoch, F.col(time_col).cast("timestamp_ntz"))
     width_us = F.col("_width") * F.lit(1_000_000)
-    j = j.withColumn("bucket_start", F.timestamp_micros(F.floor(us / width_us) * width_us).cast("timestamp_ntz"))
+    j = j.withColumn("bucket_start", F.timestamp_add("MICROSECOND", F.floor(us / width_us) * width_us, epoch))
     rank = F.struct(F.col(time_col), F.col(pos_col))
     g = j.groupBy("spec_id", "_agg", host_col, "bucket_start").agg(
         F.max(value_col).alias("_max"), F.min(value_col).alias("_min"), F.avg(value_col).alias("_avg"),

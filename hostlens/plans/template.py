@@ -223,29 +223,25 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
     seg = (seg.withColumn("_seg", F.col("_seg") - F.col("_reset").cast("long"))
            .withColumn("_segfd", F.col("_segfd") - F.col("_reset_all").cast("long"))
            .withColumn("_ord", F.struct(*order)))
-    # the pending segment at end of input (exists even when the file ends on a Record line)
-    tails = seg.groupBy("_key").agg(
-        F.max(F.col("_seg") + F.col("_reset").cast("long")).alias("_seg"),
-        F.max(F.col("_segfd") + F.col("_reset_all").cast("long")).alias("_segfd"),
-        F.max_by("_file", "_ord").alias("_file"),
-        *[F.max_by("_fd_" + v.name, "_ord").alias("_tfd_" + v.name) for v in fd if line_fills])
-    fd_cols = [v.name for v in fd] if line_fills else []
-    seg_rows = seg.select("_key", "_seg", "_segfd", "_rec", "_reset", "_ord", "_file",
-                          *[F.col("_c_" + v.name) for v in vals],
-                          *[F.col("_fd_" + n).alias("_fd_" + n) for n in fd_cols],
-                          *[F.lit(None).cast("string").alias("_tfd_" + n) for n in fd_cols])
-    tail_rows = tails.select("_key", "_seg", "_segfd", F.lit(False).alias("_rec"), F.lit(False).alias("_reset"),
-                             F.lit(None).cast(seg.schema["_ord"].dataType).alias("_ord"), "_file",
-                             *[F.lit(None).cast("string").alias("_c_" + v.name) for v in vals],
-                             *[F.lit(None).cast("string").alias("_fd_" + n) for n in fd_cols],
-                             *[F.col("_tfd_" + n) for n in fd_cols])
     last_cap = lambda name: F.max_by(F.col("_c_" + name), F.when(F.col("_c_" + name).isNotNull(), F.col("_ord")))
-    segs = seg_rows.unionByName(tail_rows).groupBy("_key", "_seg").agg(
+    fd_cols = [v.name for v in fd] if line_fills else []
+    segs = seg.groupBy("_key", "_seg").agg(
         F.max("_segfd").alias("_segfd"), F.max(F.col("_rec").cast("int")).alias("_rec"),
         F.max(F.col("_reset").cast("int")).alias("_closed"),
-        F.coalesce(F.max_by("_file", "_ord"), F.max("_file")).alias("_file"),
+        F.max(F.col("_reset_all").cast("int")).alias("_closed_all"),
+        F.max_by("_file", "_ord").alias("_file"),
         *[last_cap(v.name).alias(v.name) for v in vals if v.name not in fd_cols],
-        *[F.coalesce(F.max_by("_fd_" + n, "_ord"), F.max("_tfd_" + n)).alias(n) for n in fd_cols])
+        *[F.max_by("_fd_" + n, "_ord").alias(n) for n in fd_cols])
+    # the pending segment at end of input: when a key's last segment is closed,
+    # an empty one follows (its Filldown values persist unless Clearall closed it)
+    last = segs.groupBy("_key").agg(F.max_by(F.struct(*[F.col(c) for c in segs.columns if c != "_key"]),
+                                             F.col("_seg")).alias("_l")).select("_key", "_l.*")
+    tail = last.where(F.col("_closed") == 1).select(
+        "_key", (F.col("_seg") + 1).alias("_seg"), (F.col("_segfd") + F.col("_closed_all")).alias("_segfd"),
+        F.lit(0).alias("_rec"), F.lit(0).alias("_closed"), F.lit(0).alias("_closed_all"), "_file",
+        *[F.lit(None).cast("string").alias(v.name) for v in vals if v.name not in fd_cols],
+        *[F.when(F.col("_closed_all") == 0, F.col(n)).alias(n) for n in fd_cols])
+    segs = segs.unionByName(tail)
     if fd and not line_fills:
         # with Clearall, Filldown restarts per Clearall period: scan the (small) segment table
         segs = keyed_scan(segs, F.concat_ws("\u0001", F.col("_key"), F.col("_segfd").cast("string")),
