@@ -143,14 +143,15 @@ def fetch(spec: FetchSpec, tables: Mapping[str, DataFrame], keys=None, scope=Non
     main = key_filter(main, spec.key, keys) if keys is not None else main
     main = scope_filter(main, spec.scope_col, scope)
     fields = [spec.key] + [f for f in spec.fields if f != spec.key]           # T4
-    out = main.select(*{*fields, *[lk.fk for lk in spec.lookups]})
+    needed = list(dict.fromkeys([*fields, *[lk.fk for lk in spec.lookups]]))   # ordered, unique
+    out = main.select(*needed)
     struct_cols = [F.col(spec.key).cast("string").alias("DT_RowId"),
                    F.struct(*[F.col(f) for f in fields]).alias("main")]
     for i, lk in enumerate(spec.lookups):
         ldf = scope_filter(tables[lk.table], lk.scope_col, scope)
         if lk.kind == "single":                                               # T5
             pre = f"_l{i}_"
-            sel = ldf.select(*[F.col(c).alias(pre + c) for c in {lk.key, *lk.fields}])
+            sel = ldf.select(*[F.col(c).alias(pre + c) for c in dict.fromkeys([lk.key, *lk.fields])])
             out = out.join(sel, F.col(lk.fk) == F.col(pre + lk.key), "inner" if lk.how == "inner" else "left")
             struct_cols.append(F.struct(*[F.col(pre + f).alias(f) for f in lk.fields]).alias(lk.table))
         else:                                                                 # T6-T8

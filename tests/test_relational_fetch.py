@@ -113,3 +113,25 @@ def test_multi_select_counts_and_form_keys(spark):
         ("12", "files-many-count", "2", False)}
     ids = E.gather_files(parsed).first()
     assert [e.id for e in ids.ids] == [2, 4]
+
+
+def test_publish_versions_and_pointer(spark):
+    import tempfile
+    root = tempfile.mkdtemp(prefix="hl-pub-")
+    v1 = K.publish(spark, spark.createDataFrame([(1, "a")], "k long, n string"), root, "t")
+    cur = K.current(spark, root, "t")
+    v2 = K.publish(spark, K.upsert(cur, spark.createDataFrame([(2, "b")], "k long, n string"), "k"), root, "t")
+    assert v1 != v2 and sorted(map(tuple, K.current(spark, root, "t").collect())) == [(1, "a"), (2, "b")]
+    assert spark.read.parquet(v1).count() == 1          # the old version is untouched
+
+
+def test_validation_partitions_every_row(spark):
+    from hostlens.registered.changes_q import RULES, change_rows
+    from hostlens.registry import table
+    from tests.conftest import SF
+    ch = change_rows(spark, SF)
+    v = E.validate(ch, RULES, table(spark, SF, "customer"), "c_custkey")
+    total = ch.where("field <> 'DT_RowId'").count()
+    ok = v.where("status IS NULL").count()
+    bad = v.where("status IS NOT NULL").count()
+    assert ok + bad == total and bad > 0

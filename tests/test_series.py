@@ -90,3 +90,26 @@ def test_pivot_and_ordinal(spark):
     assert [(r.row_key, r.x, r.y) for r in p] == [("a", 4, 2), ("b", 1, None)]   # count skips the null value
     xs = S.ordinal_x(df, "Hostname", ["Timestamp", "pos"]).where("Hostname = 'a'").orderBy("pos").collect()
     assert [r.x for r in xs] == list(range(7))
+
+
+def test_same_answer_under_partition_counts(spark):
+    from hostlens.registry import all_queries
+    qs = all_queries()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("1", "4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = qs["q8a_last_30"].build(spark, SF)
+            results.append(sorted(map(tuple, df.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2]
+
+
+def test_natural_rank_keeps_rows(spark):
+    from hostlens.operators.ordering import natural_rank
+    p = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    r = natural_rank(p, "url", "page_id")
+    row = r.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
+    assert row[0] == p.count() == row[1] and row[2] == 0 and row[3] == row[0] - 1
