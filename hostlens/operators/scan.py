@@ -116,9 +116,12 @@ def _slice_expr(sort_struct: Column, bounds: list, types: list) -> Column:
 def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column | str], *,
                sums: dict[str, Column] | None = None,
                fills: dict[str, Column | str] | None = None,
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, mark_last: str | None = None) -> DataFrame:
     """Add running-sum and fill-down columns within ``key`` ordered by ``order``.
 
+    ``mark_last`` names a boolean output column that is true on the last row
+    of each key (computed in the same window and slice table, no extra pass).
+
     ``sums``  name -> integer expression; output column ``name`` is the
               inclusive running sum within the key.
     ``fills`` name -> expression; output column ``name`` is the last non-null
@@ -160,6 +163,11 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
         scanned = scanned.withColumn("_loc_" + s, F.sum("_in_" + s).over(w))
     for f in fills:
         scanned = scanned.withColumn("_loc_" + f, F.last("_in_" + f, ignorenulls=True).over(w))
+    if mark_last:
+        whole = Window.partitionBy(_PART, _KEY).orderBy(*[F.col(c).asc_nulls_first() for c in ord_names]) \
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        scanned = scanned.withColumn("_last_in_slice",
+                                     F.count(F.lit(1)).over(w) == F.count(F.lit(1)).over(whole))
 
     # 4. per-slice summary from the input (partial aggregation, one row per slice)
     kstruct = F.struct(F.col(_KEY))
@@ -184,7 +192,9 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
         carry = carry.withColumn("cf_" + f, F.last("lf_" + f, ignorenulls=True).over(by_last))
     carry = carry.withColumn("prev_last_k", F.lag("last_k").over(by_part))
     joins_prev = F.col("prev_last_k").eqNullSafe(F.col("first_k"))
-    sel = [F.col(_PART), F.col("first_k")]
+    sel = [F.col(_PART), F.col("first_k"), F.col("last_k"),
+           # does the slice's last key go on in the next slice?
+           F.coalesce(F.lead("first_k").over(by_part).eqNullSafe(F.col("last_k")), F.lit(False)).alias("_cont")]
     for s in sums:
         sel.append(F.when(joins_prev, F.lag("cs_" + s).over(by_part)).otherwise(F.lit(0)).alias("off_" + s))
     for f in fills:
@@ -198,7 +208,10 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
         out = out.withColumn(s, F.col("_loc_" + s) + F.when(is_first, F.col("off_" + s)).otherwise(F.lit(0)))
     for f in fills:
         out = out.withColumn(f, F.coalesce(F.col("_loc_" + f), F.when(is_first, F.col("car_" + f))))
-    drop = [_KEY, _PART, "first_k"] + ord_names + ["_in_" + s for s in sums] + ["_in_" + f for f in fills]
+    if mark_last:
+        out = out.withColumn(mark_last, F.col("_last_in_slice") &
+                             ~(kstruct.eqNullSafe(F.col("last_k")) & F.col("_cont")))
+    drop = ["_last_in_slice", "last_k", "_cont"] + [_KEY, _PART, "first_k"] + ord_names + ["_in_" + s for s in sums] + ["_in_" + f for f in fills]
     drop += ["_loc_" + s for s in sums] + ["_loc_" + f for f in fills]
     drop += ["off_" + s for s in sums] + ["car_" + f for f in fills]
     return out.drop(*drop)

@@ -199,7 +199,7 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
 
     def op_flag(ops):
         idx = [i for i, r in enumerate(t.rules) if r.record_op in ops]
-        return F.col("_rule").isin(idx) if idx else F.lit(False)
+        return F.coalesce(F.col("_rule").isin(idx), F.lit(False)) if idx else F.lit(False)
 
     caps = {}
     for v in vals:
@@ -207,7 +207,7 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
         for i, r in enumerate(t.rules):
             if v.name in r.groups:
                 c = F.when(F.col("_rule") == i, F.regexp_extract("_line", r.pattern, r.groups[v.name])).otherwise(c)
-        caps[v.name] = F.when(c != "", c)
+        caps[v.name] = F.nullif(c, F.lit(""))
     base = base.select("_key", "_file", *onames,
                        op_flag({"Record"}).alias("_rec"),
                        op_flag({"Record", "Clear", "Clearall"}).alias("_reset"),
@@ -219,29 +219,31 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
     line_fills = {} if has_clearall else {"_fd_" + v.name: "_c_" + v.name for v in fd}
     seg = keyed_scan(base, "_key", order, sums={"_seg": F.col("_reset").cast("int"),
                                                 "_segfd": F.col("_reset_all").cast("int")},
-                     fills=line_fills)
+                     fills=line_fills, mark_last="_key_end")
     seg = (seg.withColumn("_seg", F.col("_seg") - F.col("_reset").cast("long"))
            .withColumn("_segfd", F.col("_segfd") - F.col("_reset_all").cast("long"))
            .withColumn("_ord", F.struct(*order)))
-    last_cap = lambda name: F.max_by(F.col("_c_" + name), F.when(F.col("_c_" + name).isNotNull(), F.col("_ord")))
     fd_cols = [v.name for v in fd] if line_fills else []
-    segs = seg.groupBy("_key", "_seg").agg(
-        F.max("_segfd").alias("_segfd"), F.max(F.col("_rec").cast("int")).alias("_rec"),
-        F.max(F.col("_reset").cast("int")).alias("_closed"),
-        F.max(F.col("_reset_all").cast("int")).alias("_closed_all"),
+    # The pending segment at end of input: when a key's last line closes its
+    # segment, an empty segment follows.  The last line stands in for it (no
+    # captures; Filldown values as they stand, unless Clearall closed it), so
+    # the line table is aggregated once.
+    tail = F.struct(F.lit(True).alias("t"), (F.col("_seg") + 1).alias("seg"),
+                    (F.col("_segfd") + F.col("_reset_all").cast("long")).alias("segfd"))
+    own = F.struct(F.lit(False).alias("t"), F.col("_seg").alias("seg"), F.col("_segfd").alias("segfd"))
+    seg = seg.withColumn("_as", F.explode(F.when(F.col("_key_end") & F.col("_reset"), F.array(own, tail))
+                                          .otherwise(F.array(own))))
+    is_tail = F.col("_as.t")
+    cap = lambda n: F.when(~is_tail, F.col("_c_" + n))
+    last_cap = lambda name: F.max_by(cap(name), F.when(cap(name).isNotNull(), F.col("_ord")))
+    fdv = lambda n: F.when(~(is_tail & F.col("_reset_all")), F.col("_fd_" + n))
+    segs = seg.groupBy("_key", F.col("_as.seg").alias("_seg")).agg(
+        F.max("_as.segfd").alias("_segfd"),
+        F.max(F.when(~is_tail, F.col("_rec").cast("int")).otherwise(0)).alias("_rec"),
+        F.max(F.when(~is_tail, F.col("_reset").cast("int")).otherwise(0)).alias("_closed"),
         F.max_by("_file", "_ord").alias("_file"),
         *[last_cap(v.name).alias(v.name) for v in vals if v.name not in fd_cols],
-        *[F.max_by("_fd_" + n, "_ord").alias(n) for n in fd_cols])
-    # the pending segment at end of input: when a key's last segment is closed,
-    # an empty one follows (its Filldown values persist unless Clearall closed it)
-    last = segs.groupBy("_key").agg(F.max_by(F.struct(*[F.col(c) for c in segs.columns if c != "_key"]),
-                                             F.col("_seg")).alias("_l")).select("_key", "_l.*")
-    tail = last.where(F.col("_closed") == 1).select(
-        "_key", (F.col("_seg") + 1).alias("_seg"), (F.col("_segfd") + F.col("_closed_all")).alias("_segfd"),
-        F.lit(0).alias("_rec"), F.lit(0).alias("_closed"), F.lit(0).alias("_closed_all"), "_file",
-        *[F.lit(None).cast("string").alias(v.name) for v in vals if v.name not in fd_cols],
-        *[F.when(F.col("_closed_all") == 0, F.col(n)).alias(n) for n in fd_cols])
-    segs = segs.unionByName(tail)
+        *[F.max_by(fdv(n), "_ord").alias(n) for n in fd_cols])
     if fd and not line_fills:
         # with Clearall, Filldown restarts per Clearall period: scan the (small) segment table
         segs = keyed_scan(segs, F.concat_ws("\u0001", F.col("_key"), F.col("_segfd").cast("string")),
