@@ -55,25 +55,6 @@ def _estimated_rows(df: DataFrame) -> int | None:
         return None
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - statistics are an optimisation only
-        return None
-
-
-def _small_input(df: DataFrame) -> bool:
-    """True when the plan's size estimate fits one advisory partition (AQE's target size)."""
-    est = _estimated_bytes(df)
-    if est is None:
-        return False
-    target = df.sparkSession.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    t = target.strip().lower().rstrip("b") or "0"
-    limit = int(float(t[:-1]) * units[t[-1]]) if t[-1] in units else int(t)
-    return est <= limit
-
-
 def _bounds(df: DataFrame, sort_struct: Column, n: int) -> list:
     """At most ``n - 1`` increasing slice boundaries from a bounded sample of the sort key.
 
@@ -141,12 +122,6 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
     ``mark_last`` names a boolean output column that is true on the last row
     of each key (computed in the same window and slice table, no extra pass).
 
-    With ``partitions=None`` the path is chosen like AQE chooses: an input
-    whose size estimate fits one advisory partition is scanned with a plain
-    window per key (no sampling, no carry); anything larger is sliced.  An
-    explicit ``partitions`` (or the session setting
-    ``hostlens.scan.alwaysSlice=true``) always slices.
-
     ``sums``  name -> integer expression; output column ``name`` is the
               inclusive running sum within the key.
     ``fills`` name -> expression; output column ``name`` is the last non-null
@@ -171,9 +146,6 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
     for i, oc in enumerate(order_cols):
         base = base.withColumn(f"_sk{i}", oc)
         ord_names.append(f"_sk{i}")
-    always = spark.conf.get("hostlens.scan.alwaysSlice", "false").lower() == "true"
-    if partitions is None and not always and _small_input(base):
-        return _plain_scan(base, sums, fills, ord_names, mark_last)
     sort_cols = [_KEY] + ord_names
     sort_struct = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(sort_cols)])
     types = [base.schema[c].dataType for c in sort_cols]
@@ -245,22 +217,6 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
     return out.drop(*drop)
 
 
-def _plain_scan(base: DataFrame, sums: dict, fills: dict, ord_names: list, mark_last: str | None) -> DataFrame:
-    """The small-input path: one window per key (the whole input is below one partition's size)."""
-    order = [F.col(c).asc_nulls_first() for c in ord_names]
-    w = Window.partitionBy(_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = base
-    for s in sums:
-        out = out.withColumn(s, F.sum("_in_" + s).over(w))
-    for f in fills:
-        out = out.withColumn(f, F.last("_in_" + f, ignorenulls=True).over(w))
-    if mark_last:
-        whole = Window.partitionBy(_KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding,
-                                                                     Window.unboundedFollowing)
-        out = out.withColumn(mark_last, F.count(F.lit(1)).over(w) == F.count(F.lit(1)).over(whole))
-    return out.drop(_KEY, *ord_names, *["_in_" + s for s in sums], *["_in_" + f for f in fills])
-
-
 def ordinal(df: DataFrame, key: Column | str | None, order: Sequence[Column | str],
             name: str = "rn", partitions: int | None = None) -> DataFrame:
     """0-based row position within ``key`` (or the frame) by ``order``."""

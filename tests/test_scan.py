@@ -40,10 +40,3 @@ def test_scan_plan_broadcasts_only_the_slice_table(spark):
     out = ordinal(ev, "host", ["ts", "event_id"], partitions=16)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_scan_part" in plan and "BroadcastExchange" in plan and "MapInPandas" not in plan
-
-
-def test_small_and_sliced_paths_agree(spark):
-    ev = _skewed(spark)
-    a = ordinal(ev, "host", ["ts", "event_id"]).select("event_id", "rn")           # size-chosen path
-    b = ordinal(ev, "host", ["ts", "event_id"], partitions=16).select("event_id", "rn")   # forced slices
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
