@@ -235,3 +235,41 @@ def valid_only(validated: DataFrame) -> DataFrame:
 def stamp_scope(rows: DataFrame, scope_col: str, active) -> DataFrame:
     """Creates in a scoped page get the active scope written into their scope column."""
     return rows.withColumn(scope_col, F.lit(active))
+
+
+# E2i -----------------------------------------------------------------------
+# The coded field and the flag fields each code expands to.
+DEVICE_TYPE_CODES = {"0": {"ios": "0", "server": "0"},
+                     "1": {"ios": "1", "server": "0"},
+                     "2": {"ios": "0", "server": "1"}}
+
+
+def expand_coded(changes: DataFrame, field: str = "device_type", codes=None) -> DataFrame:
+    """A coded field becomes the fields its code stands for (joined to a declared
+    code table); the coded field itself is removed, unknown codes add nothing."""
+    codes = codes or DEVICE_TYPE_CODES
+    spark = changes.sparkSession
+    table = spark.createDataFrame([(c, f, v) for c, m in codes.items() for f, v in m.items()],
+                                  "_code string, _field string, _value string")
+    coded = changes.where(F.col("field") == field)
+    # the code table is declared: a bounded broadcast
+    added = (coded.join(F.broadcast(table), F.col("value") == F.col("_code"))
+             .withColumn("field", F.col("_field")).withColumn("value", F.col("_value"))
+             .drop("_code", "_field", "_value"))
+    return changes.where(F.col("field") != field).unionByName(added)
+
+
+# E4 ------------------------------------------------------------------------
+def edits_to_changes(validated: DataFrame, fields: Sequence[str], key: str = "pkid") -> DataFrame:
+    """Valid edit records (every field of the record valid) to the wide change
+    form of ``kernels.update``: one row per key, a value and a ``_set_`` flag per
+    field; the null marker becomes NULL.  Groups are one record's fields."""
+    ok = valid_only(validated).where(~F.col("drop") & (F.lower("action") == "edit"))
+    aggs = []
+    for f in fields:
+        aggs.append(F.max(F.when(F.col("field") == f, F.col("out_value"))).alias(f))
+        aggs.append(F.max(F.col("field") == f).alias("_set_" + f))
+    w = ok.groupBy(F.col("pkid").alias(key)).agg(*aggs)
+    for f in fields:
+        w = w.withColumn(f, F.when(F.col(f) != NULL_MARKER, F.col(f)))
+    return w

@@ -275,3 +275,42 @@ def e11(spark, sf):
     c = table(spark, sf, "customer")
     rows = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("_src"), "c_name", "c_nationkey")
     return K.assign_keys(c, rows, "c_custkey", ["_src"]).drop("_src")
+
+
+@register("e2i_coded_field", """
+WITH ch AS (SELECT c_custkey AS seq, c_custkey AS pkid, 'device_type' AS field,
+                   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '1' WHEN 'MACHINERY' THEN '2'
+                                     WHEN 'HOUSEHOLD' THEN '7' ELSE '0' END AS value FROM customer
+            UNION ALL SELECT c_custkey, c_custkey, 'c_name', c_name FROM customer),
+codes AS (SELECT * FROM (VALUES ('0', 'ios', '0'), ('0', 'server', '0'), ('1', 'ios', '1'), ('1', 'server', '0'),
+                                ('2', 'ios', '0'), ('2', 'server', '1')) AS t(code, f, v))
+SELECT seq, pkid, field, value FROM ch WHERE field <> 'device_type'
+UNION ALL SELECT ch.seq, ch.pkid, codes.f, codes.v FROM ch JOIN codes ON ch.field = 'device_type' AND ch.value = codes.code""")
+def e2i(spark, sf):
+    c = table(spark, sf, "customer")
+    code = (F.when(F.col("c_mktsegment") == "AUTOMOBILE", "1").when(F.col("c_mktsegment") == "MACHINERY", "2")
+            .when(F.col("c_mktsegment") == "HOUSEHOLD", "7").otherwise("0"))
+    ch = c.select(F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("pkid"),
+                  F.explode(F.array(F.struct(F.lit("device_type").alias("field"), code.alias("value")),
+                                    F.struct(F.lit("c_name").alias("field"), F.col("c_name").alias("value"))))
+                  .alias("_f")).select("seq", "pkid", "_f.*")
+    return E.expand_coded(ch)
+
+
+@register("e4_apply_edits", _SQL_CHANGES + """,
+bad AS (SELECT DISTINCT seq FROM v WHERE status IS NOT NULL),
+ok AS (SELECT * FROM v WHERE seq NOT IN (SELECT seq FROM bad) AND NOT "drop" AND lower(action) = 'edit'),
+w AS (SELECT pkid, max(CASE WHEN field = 'c_name' THEN out_value END) AS n_name, bool_or(field = 'c_name') AS s_name,
+             max(CASE WHEN field = 'c_acctbal' THEN out_value END) AS n_bal, bool_or(field = 'c_acctbal') AS s_bal,
+             max(CASE WHEN field = 'c_nationkey' THEN out_value END) AS n_nat, bool_or(field = 'c_nationkey') AS s_nat
+      FROM ok GROUP BY pkid)
+SELECT c.c_custkey,
+  CASE WHEN coalesce(w.s_name, false) THEN nullif(w.n_name, '^NULL^') ELSE c.c_name END AS c_name,
+  CASE WHEN coalesce(w.s_bal, false) THEN CAST(nullif(w.n_bal, '^NULL^') AS DOUBLE) ELSE c.c_acctbal END AS c_acctbal,
+  CASE WHEN coalesce(w.s_nat, false) THEN CAST(nullif(w.n_nat, '^NULL^') AS INTEGER) ELSE c.c_nationkey END AS c_nationkey
+FROM customer c LEFT JOIN w ON c.c_custkey = w.pkid""")
+def e4(spark, sf):
+    fields = ["c_name", "c_acctbal", "c_nationkey"]
+    state = table(spark, sf, "customer").select("c_custkey", *fields)
+    ch = E.edits_to_changes(_validated(spark, sf), fields, key="c_custkey")
+    return K.update(state, ch, "c_custkey", fields)
