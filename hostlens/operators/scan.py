@@ -40,21 +40,65 @@ def _sort_key(row) -> tuple:
     return tuple((v is not None, v) for v in row)
 
 
+def _as_int(v) -> int:
+    """A Scala BigInt / Long coming through py4j (already an int, or a Java object)."""
+    return v if isinstance(v, int) else int(v.toString())
+
+
+def _width(dt: T.DataType) -> int:
+    """Rough in-memory bytes of a value (as Catalyst's default sizes)."""
+    if isinstance(dt, (T.ByteType, T.BooleanType)):
+        return 1
+    if isinstance(dt, (T.ShortType,)):
+        return 2
+    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return 20
+    if isinstance(dt, T.StructType):
+        return sum(_width(f.dataType) for f in dt.fields)
+    if isinstance(dt, (T.ArrayType, T.MapType)):
+        return 100
+    return 8
+
+
 def _estimated_rows(df: DataFrame) -> int | None:
     """Row count estimate from Catalyst statistics (no job); None when unknown."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
         rc = stats.rowCount()
         if rc.isDefined():
-            return int(rc.get().toString())
-        size = int(stats.sizeInBytes().toString())
-        width = max(8, sum(f.dataType.defaultSize() for f in df.schema.fields))
+            return _as_int(rc.get())
+        size = _as_int(stats.sizeInBytes())
+        width = max(8, sum(_width(f.dataType) for f in df.schema.fields))
         est = size // width
         return est if 0 < est < 10 ** 15 else None
     except Exception:  # noqa: BLE001 - statistics are an optimisation only
         return None
 
 
+def _bytes_conf(text: str) -> int:
+    t = text.strip().lower()
+    t = t[:-1] if t.endswith("b") and len(t) > 1 and not t[-2].isdigit() else t
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if t and t[-1] in units:
+        return int(float(t[:-1]) * units[t[-1]])
+    return int(t.rstrip("b"))
+
+
+def _slice_count(df: DataFrame, n: int) -> int:
+    """About one slice per advisory partition size of input (Catalyst's
+    estimate), at most ``n``; ``hostlens.scan.sliceBytes`` overrides the size."""
+    spark = df.sparkSession
+    target = spark.conf.get("hostlens.scan.sliceBytes",
+                            spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
+    try:
+        est = _as_int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # noqa: BLE001 - statistics are an optimisation only
+        return n
+    return max(1, min(n, -(-est // max(1, _bytes_conf(target)))))
+
+
 def _bounds(df: DataFrame, sort_struct: Column, n: int) -> list:
     """At most ``n - 1`` increasing slice boundaries from a bounded sample of the sort key.
 
@@ -119,6 +163,9 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
                partitions: int | None = None, mark_last: str | None = None) -> DataFrame:
     """Add running-sum and fill-down columns within ``key`` ordered by ``order``.
 
+    ``partitions`` fixes the slice count; by default it follows the input's
+    estimated size (one slice per advisory partition size, at most
+    ``spark.sql.shuffle.partitions``), so small inputs skip the sampling job.
     ``mark_last`` names a boolean output column that is true on the last row
     of each key (computed in the same window and slice table, no extra pass).
 
@@ -133,7 +180,6 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
     sums = dict(sums or {})
     fills = dict(fills or {})
     spark = df.sparkSession
-    n = num_partitions(spark, partitions)
     key_col = F.lit(0) if key is None else (F.col(key) if isinstance(key, str) else key)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -151,6 +197,7 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
     types = [base.schema[c].dataType for c in sort_cols]
 
     # 1-2. slices: contiguous ranges of the sort key, assigned by a pure expression
+    n = partitions if partitions else _slice_count(base, num_partitions(spark))
     bounds = _bounds(base, sort_struct, n)
     base = base.withColumn(_PART, _slice_expr(sort_struct, bounds, types) if bounds else F.lit(0))
 

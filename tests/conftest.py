@@ -15,3 +15,21 @@ def spark():
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
+
+
+class small_slices:
+    """Force many scan slices on small test data (one slice per ``size`` of input)."""
+
+    def __init__(self, spark, size="2k"):
+        self.spark, self.size = spark, size
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("hostlens.scan.sliceBytes", None)
+        self.spark.conf.set("hostlens.scan.sliceBytes", self.size)
+        return self
+
+    def __exit__(self, *exc):
+        if self.old is None:
+            self.spark.conf.unset("hostlens.scan.sliceBytes")
+        else:
+            self.spark.conf.set("hostlens.scan.sliceBytes", self.old)

@@ -30,8 +30,9 @@ SCAN_QUERIES = ["flagship_series", "q7_per_host_series", "q8a_last_30", "q8b_min
 def test_sliced_scan_path_matches_oracle(spark):
     """The skew-safe path (sampled slices + carry) at sf0.01 on every query that uses a keyed scan."""
     from tools.compare import compare
-    from tests.conftest import SF
-    res = compare(spark, SF, SCAN_QUERIES, verbose=False)
+    from tests.conftest import SF, small_slices
+    with small_slices(spark, "16k"):
+        res = compare(spark, SF, SCAN_QUERIES, verbose=False)
     assert len(res) >= len(SCAN_QUERIES)
     bad = {k: v for k, v in res.items() if v[0] not in ("OK", "rows-only")}
     assert not bad, bad

@@ -81,11 +81,13 @@ def test_random_templates_match_interpreter(spark):
     rows = [(f, i, line) for f, lines in files.items() for i, line in enumerate(lines)]
     df = spark.createDataFrame(rows, "file string, line_no long, line string")
     expected = sorted((f, *rec) for f, lines in files.items() for rec in interpret(lines))
+    from tests.conftest import small_slices
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for n in ("3", "37"):
+        for n, size in (("3", "64MB"), ("37", "1k")):     # one slice; many slices
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            got = sorted((r.file, r.Host, r.Metric, r.Val) for r in extract(df, TEMPLATE).collect())
+            with small_slices(spark, size):
+                got = sorted((r.file, r.Host, r.Metric, r.Val) for r in extract(df, TEMPLATE).collect())
             assert got == expected, n
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
