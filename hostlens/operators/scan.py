@@ -87,8 +87,9 @@ def _bytes_conf(text: str) -> int:
 
 
 def _slice_count(df: DataFrame, n: int) -> int:
-    """About one slice per advisory partition size of input (Catalyst's
-    estimate), at most ``n``; ``hostlens.scan.sliceBytes`` overrides the size."""
+    """Slices for an input of Catalyst's estimated size: one per advisory
+    partition size (``hostlens.scan.sliceBytes`` overrides it), but at least one
+    per core once the input passes 1 MB, and at most ``n``."""
     spark = df.sparkSession
     target = spark.conf.get("hostlens.scan.sliceBytes",
                             spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
@@ -96,7 +97,11 @@ def _slice_count(df: DataFrame, n: int) -> int:
         est = _as_int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except Exception:  # noqa: BLE001 - statistics are an optimisation only
         return n
-    return max(1, min(n, -(-est // max(1, _bytes_conf(target)))))
+    by_size = -(-est // max(1, _bytes_conf(target)))
+    if spark.conf.get("hostlens.scan.sliceBytes", None) is None:
+        cores = spark.sparkContext.defaultParallelism
+        by_size = max(by_size, min(cores, -(-est // (1 << 20))))
+    return max(1, min(n, by_size))
 
 
 def _bounds(df: DataFrame, sort_struct: Column, n: int) -> list:
@@ -216,7 +221,9 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
         scanned = scanned.withColumn("_last_in_slice",
                                      F.count(F.lit(1)).over(w) == F.count(F.lit(1)).over(whole))
 
-    # 4. per-slice summary from the input (partial aggregation, one row per slice)
+    # 4. per-slice summary: partial aggregation of the input before any shuffle
+    #    (column pruning gives this branch its own narrow scan; only partial
+    #    aggregates, one row per (slice, key) per task, are shuffled)
     kstruct = F.struct(F.col(_KEY))
     ord_struct = F.struct(*[F.col(c) for c in ord_names])
     per_key = base.groupBy(_PART, _KEY).agg(
