@@ -155,9 +155,19 @@ def fetch(spec: FetchSpec, tables: Mapping[str, DataFrame], keys=None, scope=Non
             out = out.join(sel, F.col(lk.fk) == F.col(pre + lk.key), "inner" if lk.how == "inner" else "left")
             struct_cols.append(F.struct(*[F.col(pre + f).alias(f) for f in lk.fields]).alias(lk.table))
         else:                                                                 # T6-T8
-            pairs = list_lookup_pairs(out, spec.key, lk, ldf).select(
-                F.col("_k").alias(f"_lk{i}"), F.col("_pairs").alias(f"_pairs{i}"))
-            out = out.join(pairs, F.col(spec.key) == F.col(f"_lk{i}"), "left")
+            # explode the list carrying the (already pruned) main fields, join the
+            # labels, and regroup by the main key: the main frame is derived once
+            # and never joined back; a group is one main row's list
+            carried = [c for c in out.columns if c != spec.key]
+            ex = out.select("*", F.explode_outer(list_ids(lk.fk)).alias("_v"))
+            lab = ldf.select(F.col(lk.key).alias("_v"),
+                             label_expr(lk.label or lk.fields, lk.separator).alias("_l"))
+            pair = F.when(F.col("_l").isNotNull(), F.struct(F.col("_l").alias("label"), F.col("_v").alias("value")))
+            out = (ex.join(lab, "_v", "left").groupBy(spec.key)
+                   .agg(*[F.first(c).alias(c) for c in carried],
+                        F.array_sort(F.collect_set(pair)).alias(f"_p{i}")))
+            out = out.withColumn(f"_pairs{i}", F.transform(f"_p{i}", lambda e: F.struct(
+                e["value"].alias("value"), e["label"].alias("label")))).drop(f"_p{i}")
             struct_cols.append(F.coalesce(F.col(f"_pairs{i}"), F.array().cast(
                 "array<struct<value:bigint,label:string>>")).alias(lk.table))
     res = out.select(*struct_cols, F.col(spec.key).alias("_order_key"), *[F.col(f).alias("_o_" + f) for f in fields])
