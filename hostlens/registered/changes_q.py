@@ -20,9 +20,12 @@ RULES = [
 ]
 
 
-def change_rows(spark, sf):
-    """F7 batch form derived from ``customer``: (seq, action, pkid, field, value)."""
+def change_rows(spark, sf, segment: str | None = None):
+    """F7 batch form derived from ``customer``: (seq, action, pkid, field, value);
+    ``segment`` makes the batch one market segment's records."""
     c = table(spark, sf, "customer")
+    if segment:
+        c = c.where(F.col("c_mktsegment") == segment)
     action = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("create")).otherwise(F.lit("edit"))
     name = F.concat(F.col("c_name"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("!")).otherwise(F.lit("")))
     bal = (F.when(F.col("c_acctbal") < 0, F.lit("n/a"))
@@ -314,3 +317,12 @@ def e4(spark, sf):
     state = table(spark, sf, "customer").select("c_custkey", *fields)
     ch = E.edits_to_changes(_validated(spark, sf), fields, key="c_custkey")
     return K.update(state, ch, "c_custkey", fields)
+
+
+@register("e12_until_first_bad_segment", _SQL_CHANGES.replace(
+    "FROM c, unnest([", "FROM (SELECT * FROM c WHERE c_mktsegment = 'MACHINERY') c, unnest([", 1) + """
+SELECT seq, field, out_value FROM v WHERE seq < coalesce((SELECT min(seq) FROM v WHERE status IS NOT NULL), 9223372036854775807)""")
+def e12s(spark, sf):
+    batch = change_rows(spark, sf, segment="MACHINERY")
+    v = E.validate(batch, RULES, table(spark, sf, "customer"), "c_custkey")
+    return E.until_first_bad(v).select("seq", "field", "out_value")
