@@ -128,3 +128,11 @@ def i9(spark, sf):
     inv = inventory(spark, counter_files(spark, sf))
     keyed = inv.withColumn("id", F.xxhash64("filename"))
     return inventory_lookup(keyed, keyed.select("id"))
+
+
+@register("i1_counter_rejects", """
+SELECT DISTINCT 'HOST' || CAST(user_id AS VARCHAR) AS host, 'counter not found: Events\\refund' AS reason FROM events""")
+def i1r(spark, sf):
+    # no file carries this counter: every file goes to the rejects frame
+    _, rejects = read_counters(spark, counter_files(spark, sf), "Events\\refund")
+    return rejects.select(F.regexp_extract("file", r"host=([^/]+)/", 1).alias("host"), "reason")
