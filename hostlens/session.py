@@ -7,6 +7,7 @@ when that setting is absent, which is the case in local tests.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,14 +42,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables (``spark.checkpoint.dir``)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The shared folder for intermediate tables (``spark.checkpoint.dir``).
+
+    Where it is unset, a local session gets a folder of this machine; on a
+    cluster that would be a folder per machine, so it is an error there.
+    """
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="hostlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="hostlens-ckpt-"))
+        d = sc.getCheckpointDir()
     return d.rstrip("/")
 
 
