@@ -3,9 +3,10 @@
 Decimal places are chosen from the magnitude as the reference does; the
 quotient is rounded as C-style ``%.Nf`` formatting rounds the binary double
 ``x / base**k``: to nearest, where an exact decimal tie is settled by the side
-of the tie the double actually lies on (read from its bits), and an exact
-binary tie goes to even.  All of it is integer / decimal arithmetic in the
-JVM.  Floats are truncated to bigint, null gives null.
+of the tie the double actually lies on (an error-free product tells), and an
+exact binary tie goes to even.  All of it is plain arithmetic in generated
+code.  Floats are truncated to bigint, null gives null.  ``chart`` is the form
+that chart labels use: magnitudes to the base 10.24, divided by powers of 1000.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ SUFFIXES = ["", "K", "M", "G", "T", "P"]
 MAX_MAGNITUDE = 16
 
 
-def add_magnitude(df: DataFrame, col, out: str, base: int = 1000, three_digit: bool = False) -> DataFrame:
+def add_magnitude(df: DataFrame, col, out: str, base: int = 1000, three_digit: bool = False,
+                  chart: bool = False) -> DataFrame:
     """Add column ``out`` with the readable magnitude of ``col``.
 
     Built in stages (one column per step) so that shared sub-expressions are
@@ -28,7 +30,7 @@ def add_magnitude(df: DataFrame, col, out: str, base: int = 1000, three_digit: b
     x = src.try_cast("double").try_cast("bigint")
     t = "_mg_"
     d = df.withColumn(t + "x", x).withColumn(t + "ax", F.abs(F.col(t + "x").cast("decimal(38,0)")))
-    if base == 1024:
+    if base == 1024 or chart:
         mag = F.floor(F.log(F.abs(F.col(t + "x")).cast("double")) / F.log(F.lit(10.24))).cast("int")
     else:
         mag = (F.length(F.col(t + "ax").cast("string")) - 1).cast("int")
@@ -46,20 +48,16 @@ def add_magnitude(df: DataFrame, col, out: str, base: int = 1000, three_digit: b
          .withColumn(t + "n", (F.col(t + "ax") * F.col(t + "sc")).cast("decimal(38,0)")))
     d = d.withColumn(t + "q0", F.floor(F.col(t + "n") / F.col(t + "den")).cast("decimal(38,0)"))
     d = d.withColumn(t + "r", (F.col(t + "n") - F.col(t + "q0") * F.col(t + "den")).cast("decimal(38,0)"))
-    # the double x / den and its exact binary value mant * 2^-e
+    # which side of the tie (2 q0 + 1) / (2 sc) the double x / den lies on: the double times 2 sc is
+    # taken apart into two products without rounding (Dekker), so the sign of the difference is exact
     dbl = F.col(t + "ax").cast("double") / F.col(t + "den").cast("double")
-    d = d.withColumn(t + "bits", F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"),
-                                        F.coalesce(dbl, F.lit(0.0))).cast("bigint"))
-    d = (d.withColumn(t + "mant", (F.col(t + "bits").bitwiseAND(F.lit(0xFFFFFFFFFFFFF))
-                                   .bitwiseOR(F.lit(1 << 52))).cast("decimal(38,0)"))
-         .withColumn(t + "e", (F.lit(1075) - F.expr(f"shiftright({t}bits, 52)").bitwiseAND(F.lit(0x7FF))).cast("int")))
+    d = d.withColumn(t + "dbl", dbl).withColumn(t + "split", F.col(t + "dbl") * F.lit(134217729.0))
+    high = F.col(t + "split") - (F.col(t + "split") - F.col(t + "dbl"))
+    d = d.withColumn(t + "high", high).withColumn(t + "two", (F.col(t + "sc") * 2).cast("double"))
+    d = d.withColumn(t + "off", (F.col(t + "high") * F.col(t + "two") - (F.col(t + "q0") * 2 + 1).cast("double"))
+                     + (F.col(t + "dbl") - F.col(t + "high")) * F.col(t + "two"))
     tie = F.col(t + "r") * 2 == F.col(t + "den")
-    # compare the double with the tie (2 q0 + 1) / (2 sc):  mant * 2 * sc  vs  (2 q0 + 1) * 2^e
-    lhs = F.col(t + "mant") * 2 * F.col(t + "sc")
-    rhs = (F.col(t + "q0") * 2 + 1) * F.expr(f"shiftleft(cast(1 as bigint), {t}e)").cast("decimal(38,0)")
-    exact_ok = (F.col(t + "e") >= 0) & (F.col(t + "e") <= 62)
-    above = F.when(exact_ok, lhs > rhs).otherwise(F.lit(False))
-    equal = F.when(exact_ok, lhs == rhs).otherwise(F.lit(True))
+    above, equal = F.col(t + "off") > 0, F.col(t + "off") == 0
     up = ((F.col(t + "r") * 2 > F.col(t + "den")) |
           (tie & (above | (equal & (F.pmod(F.col(t + "q0"), F.lit(2)) == 1)))))
     d = d.withColumn(t + "q", (F.col(t + "q0") + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("decimal(38,0)"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The output text format of normalised timestamps and the
@@ -26,6 +26,10 @@ DEFAULT_INPUT_FORMATS = (
 )
 
 
+# The clock text of devices: time, zone, weekday, date.
+DEVICE_CLOCK = r"^[*.]?(\d{1,2}:\d{2}:\d{2})(?:\.\d+)? (\w+) \w{3} (\w{3} \d{1,2} \d{4})$"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -36,8 +40,9 @@ def parse_time(col, formats: Sequence[str] = DEFAULT_INPUT_FORMATS) -> Column:
     Text that parses under no format gives null (the caller keeps the raw text).
     Typed timestamps pass through (truncated).
     """
-    c = _c(col)
-    parsed = F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats])
+    c = F.trim(_c(col))
+    device = F.regexp_replace(F.when(c.rlike(DEVICE_CLOCK), c), DEVICE_CLOCK, "$1 $2 $3")
+    parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats], F.try_to_timestamp(device, F.lit("H:mm:ss z MMM d yyyy")))
     return F.date_trunc("second", parsed).cast("timestamp_ntz")
 
 
@@ -48,6 +53,13 @@ def normalize_time_text(col, formats: Sequence[str] = DEFAULT_INPUT_FORMATS,
     return F.coalesce(F.date_format(parse_time(c, formats), out_format), c.cast("string"))
 
 
+def time_losses(df: DataFrame, col: str, formats: Sequence[str] = DEFAULT_INPUT_FORMATS) -> DataFrame:
+    """(n_rows, n_unparsed, example): how much time text no format reads, which a time range would leave out."""
+    lost = F.col(col).isNotNull() & (F.trim(F.col(col).cast("string")) != "") & parse_time(F.col(col), formats).isNull()
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(lost).alias("n_unparsed"),
+                  F.min(F.when(lost, F.col(col).cast("string"))).alias("example"))
+
+
 def time_text(col, fmt: str = "yyyy-MM-dd HH:mm:ss.SSSSSS") -> Column:
     """Stable text of a timestamp for output."""
     return F.date_format(_c(col), fmt)

@@ -1,4 +1,4 @@
-"""Change sets applied as set-based DataFrame plans.
+"""Change sets applied as set-based DataFrame plans.
 
 A change set is a long table ``(seq, action, pkid, field, value)``.  Rules
 per field come from a declared rule table (``TableRule`` rows), not from
@@ -8,19 +8,21 @@ the rule table and to the stored state; nothing loops over records.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.operators.kernels import assign_keys
+from hostlens.operators.kernels import assign_keys, delete, insert_ignore, update
+from hostlens.plans.fetch_spec import list_ids
 
 # The messages the reference reports for field errors.
 MSG_TOO_LONG = "Data length ({}) greater than DB length of {}"
 MSG_NOT_INT = "Required type int but submitted as class 'str'"
 MSG_DUPLICATE = "Duplicate data, modify to be unique."
 MSG_NO_MULTI_FIELD = "System error: No field found for multi-select"
+MSG_NOT_TEXT = "Required type varchar(string) but submitted as {}"
 MSG_UNKNOWN_FIELD = 'Unable to validate field "{}"'
 NULL_MARKER = "^NULL^"
 ROW_ID = "DT_RowId"
@@ -68,6 +70,41 @@ def parse_form(pairs: DataFrame, key_col: str = "key", value_col: str = "value")
             .dropDuplicates(["pkid", "section", "field", "is_file", "value"]))
 
 
+def form_changes(pairs: DataFrame, key_col: str = "key", value_col: str = "value", pos_col: str = "pos",
+                 upload_many: Mapping[str, str] | None = None) -> DataFrame:
+    """E1 as the head of the edit pipeline: posted pairs (with their position) to change
+    rows ``(seq, action, pkid, field, value)``.
+
+    ``seq`` is the position of a record's first pair, the order in which records
+    are applied; ``action`` is the post's own.  A key ``data[pkid]...[field]`` sets
+    the field, the last of equal keys wins.  A list key (``...[field][]``) gathers
+    its values to comma text.  ``upload_many`` maps the name of a many-file part
+    to its field, which gets the posted ids as JSON; their counts are skipped.
+    """
+    upload_many = dict(upload_many or {})
+    k = F.col(key_col)
+    names = F.regexp_extract_all(k, F.lit(r"\[([A-Za-z0-9_\-]+)\]"), 1)
+    action = pairs.where(k == "action").agg(F.max(value_col).alias("action"))      # one row
+    part = F.element_at(names, 2)
+    file_field = F.try_element_at(F.create_map(*[F.lit(x) for p in upload_many.items() for x in p]), part) if upload_many else F.lit(None).cast("string")
+    own = [F.lit(n) for n in upload_many]
+    counts = part.endswith("-many-count") & (F.substring_index(part, "-", 1).isin(*own) if own else F.lit(False))
+    rows = (pairs.where(k.rlike(r"^data\[") & (F.size(names) >= 2) & F.element_at(names, 1).rlike("^[0-9]+$") & ~counts)
+            .select(F.element_at(names, 1).cast("bigint").alias("pkid"), F.coalesce(file_field, F.element_at(names, -1)).alias("field"),
+                    F.when(file_field.isNotNull(), "files").when(k.endswith("[]"), "list").otherwise("text").alias("kind"),
+                    F.col(value_col).alias("value"), F.col(pos_col).alias("pos")))
+    at = F.struct(F.col("pos"), F.col("value").alias("v"))
+    # a group is one field of one record
+    gathered = F.array_sort(F.collect_list(F.when(F.col("kind") != "text", at)))
+    fields = rows.groupBy("pkid", "field").agg(F.max("kind").alias("kind"), F.min("kind").alias("files"), F.min("pos").alias("pos"),
+                                               F.max_by("value", F.when(F.col("kind") == "text", F.col("pos"))).alias("text"), gathered.alias("l"))
+    value = (F.when(F.col("files") == "files", F.to_json(F.transform("l", lambda x: F.struct(x["v"].alias("id")))))
+             .when(F.col("files") == "list", F.array_join(F.transform("l", lambda x: x["v"]), ",")).otherwise(F.col("text")))
+    first = rows.groupBy("pkid").agg(F.min("pos").cast("bigint").alias("seq"))
+    return (fields.join(first, "pkid").crossJoin(F.broadcast(action))
+            .select("seq", "action", "pkid", "field", value.alias("value")))
+
+
 def gather_files(rows: DataFrame) -> DataFrame:
     """Many-file rows to one ``array<struct<id>>`` per (pkid, field), sorted."""
     f = rows.where("is_file")
@@ -82,9 +119,18 @@ def validate(changes: DataFrame, rules: Sequence[FieldRule], state: DataFrame, k
     Output: every input row with ``out_value`` (normalised text, or the null
     marker), ``drop`` (field removed from the write) and ``status`` (error text
     or null).  Unique checks look at the stored state (create: any owner;
-    edit: another owner) and at earlier rows of the same batch.
+    edit: another owner) and at earlier rows of the same batch.  Multi-select
+    counts are checked (E2g): a missing field of a count above 0 is an error row,
+    of a count of 0 a blank row.  An optional column ``kind`` tells what a value
+    was submitted as; anything but text, a list or files is an error for text
+    fields.
     """
     ch = changes.where(F.col("field") != ROW_ID)
+    if "kind" not in ch.columns:
+        ch = ch.withColumn("kind", F.lit("text"))
+    missing = multi_select_counts(ch.select("seq", "action", "pkid", "field", "value"))
+    ch = ch.withColumn("given", F.lit(None).cast("string")).unionByName(missing.where(F.col("add_blank") | F.col("status").isNotNull()).select(
+        "seq", "action", "pkid", "field", F.lit("").alias("value"), F.lit("text").alias("kind"), F.col("status").alias("given")))
     # the rule table is declared (one row per field), so broadcasting it is bounded
     j = ch.join(F.broadcast(rule_table(changes.sparkSession, rules)), "field", "left")
     v = F.regexp_replace(F.coalesce(F.col("value"), F.lit("")), "\u00a0", " ")
@@ -98,14 +144,17 @@ def validate(changes: DataFrame, rules: Sequence[FieldRule], state: DataFrame, k
 
     drop = ((optional_blank & is_fk) | ((F.col("type") == "date") & blank)
             | ((F.col("type") == "int") & blank & ~optional_blank & (act == "create"))
-            | F.col("field").endswith("-many-count"))
+            | F.col("field").endswith("-many-count") | (F.col("field") == "row_order"))
     out_value = (F.when(optional_blank & (F.col("type") == "int") & ~is_fk, F.lit("0"))
                  .when((F.col("type") == "int") & blank, F.when(act == "edit", F.lit(NULL_MARKER)))
                  .when(F.col("type") == "int", as_int.cast("string"))
                  .otherwise(v))
-    status = (F.when(F.col("type").isNull() & ~F.col("field").endswith("-many-count"),
+    status = (F.when(F.col("given").isNotNull(), F.col("given"))
+              .when(F.col("type").isNull() & ~F.col("field").endswith("-many-count") & (F.col("field") != "row_order"),
                      F.format_string(MSG_UNKNOWN_FIELD.replace("{}", "%s"), F.col("field")))
               .when(drop, F.lit(None))
+              .when((F.col("type") == "varchar") & ~F.col("kind").isin("text", "list", "files"),
+                    F.format_string(MSG_NOT_TEXT.replace("{}", "%s"), F.col("kind")))
               .when((F.col("type") == "varchar") & (F.length(v) > F.col("length")), length_err(F.length(v)))
               .when((F.col("type") == "int") & ~blank & as_int.isNull(), F.lit(MSG_NOT_INT))
               .when((F.col("type") == "int") & ~blank & (F.col("length") > 0) &
@@ -117,24 +166,26 @@ def validate(changes: DataFrame, rules: Sequence[FieldRule], state: DataFrame, k
 
 
 def _unique_checks(rows: DataFrame, names: Sequence[str], state: DataFrame, key: str) -> DataFrame:
-    """E2e / E2f: stored duplicates (long form of the unique columns of the state)
-    plus earlier duplicates within the batch (first by ``seq`` keeps the value)."""
+    """E2e / E2f: a value of a unique field belongs to whom it came from first, a stored row
+    before any change.  A change that brings it for another owner is a duplicate; a
+    row that sends its own value again is not.  Only rows of unique fields are
+    shuffled, once, by (field, value); the few hits are joined back."""
     if not names:
         return rows.drop("is_unique")
-    stored = state.select(F.col(key).cast("string").alias("_owner"),
+    stored = state.select(F.lit(-(1 << 63)).alias("seq"), F.col(key).cast("string").alias("owner"),
                           F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("out_value"))
-                                              for n in names])).alias("_u")).select("_owner", "_u.*")
-    clash = (rows.where(F.coalesce(F.col("is_unique"), F.lit(False)) & F.col("status").isNull() & ~F.col("drop"))
-             .join(stored, ["field", "out_value"], "inner")
-             .where((F.lower(F.col("action")) == "create") | (F.col("_owner") != F.col("pkid")))
-             .select("seq", "field").distinct().withColumn("_dup", F.lit(True)))
-    first = (rows.where(F.coalesce(F.col("is_unique"), F.lit(False)) & F.col("status").isNull() & ~F.col("drop"))
-             .groupBy("field", "out_value").agg(F.min("seq").alias("_first_seq")))
-    r = rows.join(clash, ["seq", "field"], "left").join(first, ["field", "out_value"], "left")
-    batch_dup = F.coalesce(F.col("is_unique"), F.lit(False)) & F.col("_first_seq").isNotNull() & (F.col("seq") > F.col("_first_seq"))
-    status = F.when(F.col("status").isNotNull(), F.col("status")).when(
-        F.coalesce(F.col("_dup"), F.lit(False)) | batch_dup, F.lit(MSG_DUPLICATE))
-    return r.withColumn("status", status).drop("_dup", "_first_seq", "is_unique")
+                                              for n in names])).alias("_u")).select("seq", "owner", "_u.*").where("out_value is not null")
+    new = F.lower("action") == "create"
+    asked = (rows.where(F.coalesce("is_unique", F.lit(False)) & F.col("status").isNull() & ~F.col("drop") & F.col("out_value").isNotNull()
+                        & (F.col("out_value") != NULL_MARKER))
+             .select(F.col("seq").cast("bigint").alias("seq"),
+                     F.when(new, F.concat(F.lit("new "), F.col("seq").cast("string"))).otherwise(F.col("pkid").cast("string")).alias("owner"),
+                     "field", "out_value"))
+    first = asked.unionByName(stored).groupBy("field", "out_value").agg(F.min(F.struct("seq", "owner"))["owner"].alias("first_owner"))
+    hits = (asked.join(first, ["field", "out_value"]).where("owner != first_owner")
+            .select("seq", "field").distinct().withColumn("_dup", F.lit(True)))
+    return (rows.join(hits, ["seq", "field"], "left")
+            .withColumn("status", F.coalesce("status", F.when(F.col("_dup"), F.lit(MSG_DUPLICATE)))).drop("_dup", "is_unique"))
 
 
 def record_status(validated: DataFrame) -> DataFrame:
@@ -148,15 +199,17 @@ def record_status(validated: DataFrame) -> DataFrame:
 def multi_select_counts(record_fields: DataFrame) -> DataFrame:
     """E2g: ``<f>-many-count`` > 0 without field ``<f>`` is an error; 0 adds a blank ``<f>``.
 
-    Input long rows ``(seq, pkid, field, value)``; output error rows and added blank rows.
+    Input long rows ``(seq, pkid, field, value)``, with ``action`` or not; output error
+    rows and added blank rows.
     """
+    own = ["seq", *(["action"] if "action" in record_fields.columns else []), "pkid"]
     counts = (record_fields.where(F.col("field").endswith("-many-count"))
-              .select("seq", "pkid", F.regexp_replace("field", "-many-count$", "").alias("target"),
+              .select(*own, F.regexp_replace("field", "-many-count$", "").alias("target"),
                       F.col("value").try_cast("int").alias("n")))
     present = record_fields.select("seq", F.col("field").alias("target")).distinct().withColumn("_has", F.lit(True))
     j = counts.join(present, ["seq", "target"], "left")
     has = F.coalesce(F.col("_has"), F.lit(False))
-    return j.select("seq", "pkid", F.col("target").alias("field"),
+    return j.select(*own, F.col("target").alias("field"),
                     F.when((F.col("n") > 0) & ~has, F.lit(MSG_NO_MULTI_FIELD)).alias("status"),
                     ((F.col("n") == 0) & ~has).alias("add_blank"))
 
@@ -171,6 +224,30 @@ def new_lookup_values(labels: DataFrame, lookup: DataFrame, label_col: str, key_
     return known.unionByName(fresh.select(label_col, key_col, "is_new"))
 
 
+@dataclass(frozen=True)
+class Tag:
+    """A lookup that takes new labels: its table, label column and key column."""
+    table: DataFrame
+    label: str
+    key: str = "pkid"
+
+
+def resolve_tags(changes: DataFrame, tags: Mapping[str, Tag]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """E3 before validation: text in a field ``fk_<table>`` of a tag-enabled lookup is replaced by
+    its key; unknown labels are added to the lookup.  Returns the changes and the lookups' next
+    states."""
+    after: dict[str, DataFrame] = {}
+    for name, tag in tags.items():
+        mine = (F.col("field") == f"fk_{name}") & (F.coalesce("value", F.lit("")) != "") & F.trim("value").try_cast("bigint").isNull()
+        labels = changes.where(mine).select(F.col("value").alias(tag.label)).distinct()
+        known = new_lookup_values(labels, tag.table, tag.label, tag.key)
+        after[name] = tag.table.unionByName(known.where("is_new").select(F.col(tag.key).cast(dict(tag.table.dtypes)[tag.key]).alias(tag.key), tag.label),
+                                            allowMissingColumns=True)
+        keys = known.select(F.lit(f"fk_{name}").alias("field"), F.col(tag.label).alias("value"), F.col(tag.key).cast("string").alias("_key"))
+        changes = changes.join(keys, ["field", "value"], "left").withColumn("value", F.coalesce("_key", "value")).drop("_key")
+    return changes, after
+
+
 # E7 ------------------------------------------------------------------------
 def read_back(requested: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Requested vs stored values per (key, field): rows where they differ."""
@@ -184,15 +261,27 @@ def read_back(requested: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 # E8 / E9 -------------------------------------------------------------------
+def reference_columns(tables: Mapping[str, DataFrame], table: str) -> list[tuple[str, DataFrame, str]]:
+    """The columns that refer to ``table``: ``fk_<table>``, one key, and ``fk_<table>_list``, comma text of keys."""
+    wanted = (f"fk_{table}", f"fk_{table}_list")
+    return [(name, df, c) for name, df in tables.items() for c in df.columns if c in wanted]
+
+
 def dependency_counts(keys: DataFrame, key: str, refs: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
-    """Count referencing rows per (key, referencing table).  ``refs``: (table
-    name, table, fk column).  One union of partial aggregates, then a join."""
-    parts = [df.groupBy(F.col(fk).alias(key)).agg(F.count(F.lit(1)).alias("n")).withColumn("ref_table", F.lit(name))
-             for name, df, fk in refs]
+    """Count referencing rows per (key, referencing table).  ``refs``: (table name, table, column);
+    a column that ends in ``_list`` holds lists of keys, and a row counts once per key.
+    Rows are first reduced to the asked keys by a semi join, then counted."""
+    asked = keys.select(key).distinct()
+    parts = []
+    for name, df, fk in refs:
+        ref = (df.select(F.explode(F.array_distinct(list_ids(fk))).alias(key)) if fk.endswith("_list") else df.select(F.col(fk).alias(key)))
+        parts.append(ref.join(asked, key, "left_semi").withColumn("ref_table", F.lit(name)))
+    if not parts:
+        return asked.select(key, F.lit(0).cast("bigint").alias("n"), F.lit("").alias("ref_table")).limit(0)
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return keys.select(key).distinct().join(u, key, "inner")
+    return u.groupBy(key, "ref_table").agg(F.count(F.lit(1)).alias("n")).select(key, "n", "ref_table")
 
 
 def guarded_delete(state: DataFrame, requested: DataFrame, key: str,
@@ -204,8 +293,7 @@ def guarded_delete(state: DataFrame, requested: DataFrame, key: str,
     deps = dependency_counts(req, key, refs).groupBy(key).agg(F.sum("n").alias("n_dependents"))
     rep = req.join(deps, key, "left").select(key, F.coalesce("n_dependents", F.lit(0)).cast("bigint").alias("n_dependents"))
     rep = rep.withColumn("deleted", F.col("n_dependents") == 0)
-    nxt = state.join(rep.where("deleted").select(key), key, "left_anti")
-    return nxt, rep
+    return delete(state, rep.where("deleted"), key), rep
 
 
 # E10 -----------------------------------------------------------------------
@@ -217,6 +305,21 @@ def reorder(state: DataFrame, mapping: DataFrame, key: str, order_col: str, name
             .withColumn(order_col, F.coalesce(F.col("_named_order"), F.col(order_col))).drop("_named_order"))
 
 
+def is_reorder(changes: DataFrame) -> bool:
+    """E10 applies only when there are changes and every record holds the row id alone (one probe)."""
+    return not changes.where(F.col("field") != ROW_ID).take(1) and bool(changes.take(1))
+
+
+def reorder_changes(state: DataFrame, changes: DataFrame, key: str, order_col: str) -> DataFrame:
+    """E10 of a post: record r takes the present order of the row its row id names; a post with
+    any other field leaves the order alone."""
+    if not is_reorder(changes):
+        return state
+    kind = dict(state.dtypes)[key]
+    mapping = changes.groupBy(F.col("pkid").cast(kind).alias(key)).agg(F.max_by("value", "seq").try_cast(kind).alias("_names"))
+    return reorder(state, mapping, key, order_col, "_names")
+
+
 # E12 -----------------------------------------------------------------------
 def until_first_bad(validated: DataFrame) -> DataFrame:
     """Rows of records before the first invalid record (by seq)."""
@@ -265,11 +368,66 @@ def edits_to_changes(validated: DataFrame, fields: Sequence[str], key: str = "pk
     form of ``kernels.update``: one row per key, a value and a ``_set_`` flag per
     field; the null marker becomes NULL.  Groups are one record's fields."""
     ok = valid_only(validated).where(~F.col("drop") & (F.lower("action") == "edit"))
+    order = F.col("seq")
     aggs = []
     for f in fields:
-        aggs.append(F.max(F.when(F.col("field") == f, F.col("out_value"))).alias(f))
-        aggs.append(F.max(F.col("field") == f).alias("_set_" + f))
+        mine = F.col("field") == f
+        aggs.append(F.max_by("out_value", F.when(mine, order)).alias(f))
+        aggs.append(F.bool_or(mine).alias("_set_" + f))
     w = ok.groupBy(F.col("pkid").alias(key)).agg(*aggs)
     for f in fields:
         w = w.withColumn(f, F.when(F.col(f) != NULL_MARKER, F.col(f)))
     return w
+
+
+# E5 ------------------------------------------------------------------------
+def creates_to_rows(state: DataFrame, validated: DataFrame, fields: Sequence[str], key: str, stop: bool = False) -> DataFrame:
+    """Valid create records as rows with their assigned key: (seq, key, fields).  The key and
+    fields that are left out or null stay null; keys follow ``seq``.  Groups are one record's fields."""
+    ok = (until_first_bad(validated) if stop else valid_only(validated)).where(~F.col("drop") & (F.lower("action") == "create"))
+    types = dict(state.dtypes)
+    rows = ok.groupBy("seq").agg(*[F.max(F.when(F.col("field") == f, F.col("out_value"))).alias(f) for f in fields if f != key])
+    keyed = assign_keys(state, rows, key, ["seq"])
+    return keyed.select("seq", F.col(key).cast(types[key]).alias(key), *[F.col(f).try_cast(types[f]).alias(f) for f in fields if f != key])
+
+
+# E13 -----------------------------------------------------------------------
+def seed(state: DataFrame | None, rows: DataFrame, unique: str, key: str | None = None) -> DataFrame:
+    """Create a table if absent and insert fixed rows whose unique value is not there yet; with ``key``
+    new rows get keys in the order of their unique value."""
+    if state is None:
+        state = rows.limit(0) if key is None else rows.limit(0).select(F.lit(None).cast("bigint").alias(key), "*")
+    if key is None:
+        return insert_ignore(state, rows, unique)
+    new = rows.dropDuplicates([unique]).join(state.select(unique), unique, "left_anti")
+    return state.unionByName(assign_keys(state, new, key, [unique]).select(*state.columns))
+
+
+# the whole pipeline ----------------------------------------------------------
+@dataclass(frozen=True)
+class Edited:
+    """What a batch of changes made of a table."""
+    state: DataFrame                                       # next state
+    records: DataFrame                                     # seq, action, pkid, valid, errors
+    created: DataFrame                                     # seq and the assigned key
+    lookups: dict[str, DataFrame] = field(default_factory=dict)     # next states of tag lookups
+
+
+def apply_edits(state: DataFrame, changes: DataFrame, rules: Sequence[FieldRule], key: str, *, tags: Mapping[str, Tag] | None = None,
+                codes: Mapping[str, Mapping] | None = None, scope: tuple[str, object] | None = None, stop: bool = True) -> Edited:
+    """E1 rows to the next table state: coded fields (E2i), new lookup labels (E3), validation
+    (E2 with E2g), then records before the first bad one, or with ``stop=False`` every
+    valid record: edits (E4, K4) and creates (E5, K1), stamped with the scope (E6).
+    """
+    for name, table in (codes or {}).items():
+        changes = expand_coded(changes, name, table)
+    changes, lookups = resolve_tags(changes, tags or {})
+    checked = validate(changes, rules, state, key)
+    fields = [r.name for r in rules if r.name in state.columns and r.name != key]
+    good = until_first_bad(checked) if stop else checked
+    edits = edits_to_changes(good, fields, key)
+    changed = update(state, edits, key, fields)
+    made = creates_to_rows(state, good, fields, key)
+    rows = stamp_scope(made, *scope) if scope else made
+    full = changed.unionByName(rows.drop("seq").select(*[F.col(c).cast(t) for c, t in state.dtypes if c in rows.columns]), allowMissingColumns=True)
+    return Edited(full, record_status(checked), made.select("seq", key), lookups)

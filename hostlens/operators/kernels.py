@@ -2,13 +2,14 @@
 
 Spark has no in-place update of parquet; each kernel returns the next version
 of a table as a DataFrame.  ``publish`` writes it to a new versioned folder
-under the shared scratch root and only then moves the current-version
-pointer, so a reader never sees a half-written table and the folder being
-read is never overwritten.
+under the shared scratch root and only then adds the marker that shows it, so
+a reader never sees a half-written table and nothing that is read is ever
+overwritten.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +19,13 @@ from hostlens.operators.scan import ordinal
 
 
 def assign_keys(state: DataFrame, rows: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
-    """K1 helper: give ``rows`` keys max(state.key) + 1 + position by ``order``.
+    """K1 helper: give ``rows`` keys max(state.key) + 1 + position by ``order``;
+    the first key of an empty table is 1.
 
     Positions come from a range-partitioned scan (no single-task window); the
     max is a one-row aggregate, so the cross join is with one row.
     """
-    top = state.agg(F.coalesce(F.max(key), F.lit(-1)).cast("bigint").alias("_max"))
+    top = state.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint").alias("_max"))
     ranked = ordinal(rows, None, [F.col(o) if isinstance(o, str) else o for o in order], name="_pos")
     return (ranked.crossJoin(F.broadcast(top))
             .withColumn(key, F.col("_max") + 1 + F.col("_pos")).drop("_max", "_pos"))
@@ -35,45 +37,48 @@ def append_with_keys(state: DataFrame, rows: DataFrame, key: str, order: Sequenc
 
 
 def insert_ignore(state: DataFrame, rows: DataFrame, unique: str, seq: str | None = None) -> DataFrame:
-    """K2: insert rows whose unique value is not yet stored (first of duplicates wins)."""
-    new = rows
-    if seq:
-        new = rows.groupBy(unique).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.col(seq)).alias("_r")) \
-            .select("_r.*")
-    else:
-        new = rows.dropDuplicates([unique])
-    new = new.join(state.select(unique), unique, "left_anti")
+    """K2: insert rows whose unique value is not yet stored.  Of duplicates the first by
+    ``seq`` wins, else the smallest row, so the result is repeatable."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    new = (rows.groupBy(unique).agg(F.min_by(row, F.struct(seq, row) if seq else row).alias("_r")).select("_r.*")
+           .join(state.select(unique), unique, "left_anti"))
     return state.unionByName(new, allowMissingColumns=True)
 
 
-def upsert(state: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """K3: insert new keys, refresh the fields of existing ones (new non-null values win)."""
+def _last_set(rows: DataFrame, key: str, fields: Sequence[str], seq: str | None, is_set) -> list[Column]:
+    """Per field the value of the last row by ``seq`` that sets it (without ``seq`` the largest value)."""
+    order = F.col(seq) if seq else None
+    return [F.max_by(F.col(f), F.when(is_set(f), order if order is not None else F.struct(F.col(f).isNull(), F.col(f)))).alias("_n_" + f)
+            for f in fields]
+
+
+def upsert(state: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """K3: insert new keys, refresh the fields of existing ones (new non-null values win).
+
+    Rows that share a key are first reduced to one, applied in the order of ``seq``.
+    """
     cols = [c for c in state.columns if c != key]
-    s = state.select(key, *[F.col(c).alias("_o_" + c) for c in cols])
-    r = rows.select(key, *[F.col(c).alias("_n_" + c) for c in cols if c in rows.columns])
+    given = [c for c in cols if c in rows.columns]
+    s = state.select(key, *[F.col(c).alias("_o_" + c) for c in cols], F.lit(True).alias("_stored"))
+    r = rows.groupBy(key).agg(*_last_set(rows, key, given, seq, lambda f: F.col(f).isNotNull()), F.lit(True).alias("_given"))
     j = s.join(r, key, "full")
-    return j.select(key, *[F.coalesce(F.col("_n_" + c), F.col("_o_" + c)).alias(c) if c in rows.columns
-                           else F.col("_o_" + c).alias(c) for c in cols])
+    return j.select(key, *[F.coalesce(F.col("_n_" + c), F.col("_o_" + c)).alias(c) if c in given else F.col("_o_" + c).alias(c) for c in cols])
 
 
-def update(state: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+def update(state: DataFrame, changes: DataFrame, key: str, fields: Sequence[str], seq: str | None = None) -> DataFrame:
     """K4: set fields of existing keys.
 
     ``changes`` holds ``key``, a value column per field and ``_set_<field>``
     flags; a set flag with a null value writes NULL (the null marker), an unset
-    flag keeps the stored value.
+    flag keeps the stored value.  Changes that share a key are first reduced to
+    one, applied in the order of ``seq``.
     """
-    ch = changes.select(key, *[F.col(f).alias("_n_" + f) for f in fields],
-                        *[F.col("_set_" + f).alias("_s_" + f) for f in fields])
+    ch = changes.groupBy(key).agg(*_last_set(changes, key, fields, seq, lambda f: F.coalesce(F.col("_set_" + f), F.lit(False))),
+                                  *[F.bool_or(F.coalesce(F.col("_set_" + f), F.lit(False))).alias("_s_" + f) for f in fields])
     j = state.join(ch, key, "left")
-    out = []
-    for c in state.columns:
-        if c in fields:
-            out.append(F.when(F.coalesce(F.col("_s_" + c), F.lit(False)), F.col("_n_" + c).cast(
-                dict(state.dtypes)[c])).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return j.select(*out)
+    types = dict(state.dtypes)
+    return j.select(*[F.when(F.coalesce(F.col("_s_" + c), F.lit(False)), F.col("_n_" + c).cast(types[c])).otherwise(F.col(c)).alias(c)
+                      if c in fields else F.col(c) for c in state.columns])
 
 
 def delete(state: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -94,22 +99,45 @@ def affected(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, df: DataFrame, root: str, name: str) -> str:
-    """Write ``df`` as a new version of table ``name`` and move the pointer.
+    """Write ``df`` as a new version of table ``name`` and show it; returns the version's path.
 
-    Returns the path of the written version.  The pointer is a one-line text
-    dataset ``<root>/<name>/_current`` holding the version folder.
+    A version is shown by a marker file that is made whole or not at all and never
+    changed: ``<root>/<name>/_published/<number>@<version folder>``.  Readers take the
+    highest number, so there is a complete version at every moment.
     """
-    import uuid
-    version = f"{root}/{name}/v-{uuid.uuid4().hex[:12]}"
-    df.write.mode("errorifexists").parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1) \
-        .write.mode("overwrite").text(f"{root}/{name}/_current")
-    return version
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    df.write.mode("errorifexists").parquet(f"{root}/{name}/{version}")
+    fs, path = _file_system(spark, root)
+    markers = path(f"{root}/{name}/_published")
+    fs.mkdirs(markers)
+    last = max([int(m.split("@")[0]) for m in _markers(fs, markers)], default=0)
+    fs.createNewFile(path(f"{root}/{name}/_published/{last + 1:012d}@{version}"))
+    return f"{root}/{name}/{version}"
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    path = spark.read.text(f"{root}/{name}/_current").first()[0]
-    return spark.read.parquet(path)
+    """The newest published version of table ``name``."""
+    fs, path = _file_system(spark, root)
+    newest = max(_markers(fs, path(f"{root}/{name}/_published")))
+    return spark.read.parquet(f"{root}/{name}/{newest.split('@')[1]}")
+
+
+def _file_system(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _markers(fs, folder) -> list[str]:
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return [n for n in names if "@" in n and not n.endswith(".crc")]
+
+
+#: Key sets up to this size may be broadcast; larger ones are joined as tables.
+BROADCAST_KEYS = 100_000
+
+
+def _few(keys: DataFrame, limit: int) -> DataFrame:
+    return F.broadcast(keys) if limit <= BROADCAST_KEYS else keys
 
 
 def top_k_keys(state: DataFrame, key: str, where: str | None, order: Sequence[Column], limit: int) -> DataFrame:
@@ -122,7 +150,7 @@ def update_top_k(state: DataFrame, key: str, where: str | None, order: Sequence[
                  set_exprs: dict[str, Column]) -> DataFrame:
     """Update set .. where .. order by .. limit n."""
     keys = top_k_keys(state, key, where, order, limit).withColumn("_hit", F.lit(True))
-    j = state.join(F.broadcast(keys), key, "left")     # at most ``limit`` rows
+    j = state.join(_few(keys, limit), key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     out = j
     for c, e in set_exprs.items():
@@ -132,4 +160,4 @@ def update_top_k(state: DataFrame, key: str, where: str | None, order: Sequence[
 
 def delete_top_k(state: DataFrame, key: str, where: str | None, order: Sequence[Column], limit: int) -> DataFrame:
     """Delete where .. order by .. limit n."""
-    return state.join(F.broadcast(top_k_keys(state, key, where, order, limit)), key, "left_anti")
+    return state.join(_few(top_k_keys(state, key, where, order, limit), limit), key, "left_anti")

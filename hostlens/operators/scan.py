@@ -4,15 +4,20 @@ A ``Window.partitionBy(key)`` puts every row of a key into one task.  A host
 or a file that holds a third of the data would then be sorted and scanned by a
 single core.  ``keyed_scan`` instead
 
-1. samples the sort key ``(key, order...)`` (a bounded sample, as Spark's
-   range partitioner does) and cuts it into ``n`` contiguous slices;
-2. gives every row its slice id -- a pure function of the row, so every
-   branch of the plan (and every retry after a lost executor) agrees on it;
-3. hash-partitions on the slice and runs the scan as a JVM window per
-   ``(slice, key)``: a hot key is cut into many similar slices;
-4. aggregates a per-slice summary (one row per slice, so bounded by ``n``, a
-   plan-time constant) and derives what earlier slices carry into the first
-   key of each slice; that table is broadcast and added.
+1. range-partitions the rows by ``(key, order...)`` with Spark's own range
+   partitioner, so a hot key is cut into many similar slices, and writes them
+   once with their slice number below the shared scratch folder: every branch
+   of the plan, and every retry after a lost executor, reads the same slices;
+2. aggregates that table to a summary per slice and derives what earlier
+   slices carry into the first key of a slice;
+3. adds the carry as one more row at the head of its slice (and a mark at the
+   tail where a key goes on), places rows by slice number and runs the scan as
+   a JVM window per ``(slice, key)``.  Nothing is broadcast.
+
+The number of slices follows the counted rows (``hostlens.scan.sliceRows`` per
+slice, one slice per core at least) and has no upper limit.  Range bounds hold
+at most ``PREFIX`` characters of a text; longer texts with the same prefix stay
+in one slice, and are told apart inside it.
 
 Supported scans: running sums of integer columns (row ordinals are a running
 count of ones) and "last non-null value so far" (fill down).  Both are
@@ -27,248 +32,122 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlens.session import num_partitions
+from hostlens.session import scratch_path
 
+SLICE_ROWS = 1_000_000
+PREFIX = 256
 _KEY = "_scan_key"
 _PART = "_scan_part"
-_SAMPLE_PER_SLICE = 60
-_SAMPLE_CAP = 1_000_000
+_ROLE = "_scan_role"        # -1 carry at the head of a slice, 0 data, 1 mark at its tail
 
 
-def _sort_key(row) -> tuple:
-    # Spark orders nulls first in ascending order
-    return tuple((v is not None, v) for v in row)
-
-
-def _as_int(v) -> int:
-    """A Scala BigInt / Long coming through py4j (already an int, or a Java object)."""
-    return v if isinstance(v, int) else int(v.toString())
-
-
-def _width(dt: T.DataType) -> int:
-    """Rough in-memory bytes of a value (as Catalyst's default sizes)."""
-    if isinstance(dt, (T.ByteType, T.BooleanType)):
-        return 1
-    if isinstance(dt, (T.ShortType,)):
-        return 2
-    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        return 20
-    if isinstance(dt, T.StructType):
-        return sum(_width(f.dataType) for f in dt.fields)
-    if isinstance(dt, (T.ArrayType, T.MapType)):
-        return 100
-    return 8
-
-
-def _estimated_rows(df: DataFrame) -> int | None:
-    """Row count estimate from Catalyst statistics (no job); None when unknown."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        rc = stats.rowCount()
-        if rc.isDefined():
-            return _as_int(rc.get())
-        size = _as_int(stats.sizeInBytes())
-        width = max(8, sum(_width(f.dataType) for f in df.schema.fields))
-        est = size // width
-        return est if 0 < est < 10 ** 15 else None
-    except Exception:  # noqa: BLE001 - statistics are an optimisation only
-        return None
-
-
-def _bytes_conf(text: str) -> int:
-    t = text.strip().lower()
-    t = t[:-1] if t.endswith("b") and len(t) > 1 and not t[-2].isdigit() else t
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if t and t[-1] in units:
-        return int(float(t[:-1]) * units[t[-1]])
-    return int(t.rstrip("b"))
-
-
-def _slice_count(df: DataFrame, n: int) -> int:
-    """Slices for an input of Catalyst's estimated size: one per advisory
-    partition size (``hostlens.scan.sliceBytes`` overrides it), but at least one
-    per core once the input passes 1 MB, and at most ``n``."""
+def slice_count(df: DataFrame) -> int:
+    """Slices for the rows of ``df``, which are counted."""
     spark = df.sparkSession
-    target = spark.conf.get("hostlens.scan.sliceBytes",
-                            spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
-    try:
-        est = _as_int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # noqa: BLE001 - statistics are an optimisation only
-        return n
-    by_size = -(-est // max(1, _bytes_conf(target)))
-    if spark.conf.get("hostlens.scan.sliceBytes", None) is None:
-        cores = spark.sparkContext.defaultParallelism
-        by_size = max(by_size, min(cores, -(-est // (1 << 20))))
-    return max(1, min(n, by_size))
-
-
-def _bounds(df: DataFrame, sort_struct: Column, n: int) -> list:
-    """At most ``n - 1`` increasing slice boundaries from a bounded sample of the sort key.
-
-    One job: the sampling fraction comes from the plan's size estimate (a row
-    count only when there is none); the sample is capped, so a bad estimate
-    costs balance, never correctness or driver memory.
-    """
-    if n <= 1:
-        return []
-    want = min(_SAMPLE_CAP, _SAMPLE_PER_SLICE * n)
-    total = _estimated_rows(df)
-    if total is None:
-        total = df.count()
-    if total == 0:
-        return []
-    frac = min(1.0, want / total)
-    sample = df.select(sort_struct.alias("_s")).sample(False, frac, seed=17).limit(10 * want)
-    rows = [tuple(r[0]) for r in sample.collect()]
-    if not rows:
-        return []
-    rows.sort(key=_sort_key)
-    out: list = []
-    for i in range(1, n):
-        b = rows[min(len(rows) - 1, (i * len(rows)) // n)]
-        if not out or _sort_key(b) > _sort_key(out[-1]):
-            out.append(b)
+    rows = int(spark.conf.get("hostlens.scan.sliceRows", str(SLICE_ROWS)))
+    return max(spark.sparkContext.defaultParallelism, -(-df.count() // max(1, rows)))
+
+
+def _range_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Sort columns of bounded width in the same order: a long text is cut, and what
+    follows a cut text is left out, as its order depends on the rest of the text."""
+    out, exact = [], F.lit(True)
+    for name in names:
+        c = F.col(name)
+        if not isinstance(df.schema[name].dataType, T.StringType):
+            out.append(F.when(exact, c))
+            continue
+        cut = F.coalesce(F.length(c) > PREFIX, F.lit(False))
+        out += [F.when(exact, F.substring(c, 1, PREFIX)), F.when(exact, cut)]
+        exact = exact & ~cut
     return out
 
 
-def _typed_lit(v, dt: T.DataType) -> Column:
-    """A literal of type ``dt`` for a value collected from a column of that type."""
-    if v is None:
-        return F.lit(None).cast(dt)
-    if isinstance(dt, T.StructType):
-        return F.struct(*[_typed_lit(v[i], f.dataType).alias(f.name) for i, f in enumerate(dt.fields)])
-    if isinstance(dt, T.ArrayType):
-        if not v:
-            return F.array().cast(dt)
-        return F.array(*[_typed_lit(x, dt.elementType) for x in v]).cast(dt)
-    if isinstance(dt, T.TimestampNTZType):
-        return F.lit(v.isoformat(sep=" ")).cast(dt)       # independent of the Python time zone
-    return F.lit(v).cast(dt)
-
-
-def _slice_expr(sort_struct: Column, bounds: list, types: list) -> Column:
-    """Slice id = number of boundaries <= the row's sort key (a balanced CASE tree)."""
-    def lit(b) -> Column:
-        return F.struct(*[_typed_lit(v, t).alias(f"c{i}") for i, (v, t) in enumerate(zip(b, types))])
-
-    def build(lo: int, hi: int) -> Column:   # slice ids lo..hi
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2               # rows >= bounds[mid - 1] belong to mid..hi
-        return F.when(sort_struct < lit(bounds[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
-
-    return build(0, len(bounds))
+def sliced(df: DataFrame, sort_names: Sequence[str], n: int) -> DataFrame:
+    """``df`` with its slice number, written once: slices are contiguous in the sort order."""
+    spark = df.sparkSession
+    plain = [F.col(f"`{f.name}`").cast("string").alias(f"c{i}") if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`").alias(f"c{i}")
+             for i, f in enumerate(df.schema.fields)]
+    ranged = df.repartitionByRange(n, *_range_columns(df, sort_names))
+    stored = ranged.select(*plain, F.spark_partition_id().alias(_PART))
+    path = scratch_path(spark, "slices")
+    stored.write.parquet(path)
+    back = spark.read.schema(stored.schema).parquet(path)
+    return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(df.schema.fields)], _PART)
 
 
 def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column | str], *,
                sums: dict[str, Column] | None = None,
                fills: dict[str, Column | str] | None = None,
+               befores: dict[str, Column | str] | None = None,
                partitions: int | None = None, mark_last: str | None = None) -> DataFrame:
     """Add running-sum and fill-down columns within ``key`` ordered by ``order``.
 
-    ``partitions`` fixes the slice count; by default it follows the input's
-    estimated size (one slice per advisory partition size, at most
-    ``spark.sql.shuffle.partitions``), so small inputs skip the sampling job.
-    ``mark_last`` names a boolean output column that is true on the last row
-    of each key (computed in the same window and slice table, no extra pass).
-
     ``sums``  name -> integer expression; output column ``name`` is the
               inclusive running sum within the key.
     ``fills`` name -> expression; output column ``name`` is the last non-null
               value within the key up to and including the row.
+    ``befores`` the same, up to but not including the row.
+    ``partitions`` fixes the slice count; by default it follows the row count.
+    ``mark_last`` names a boolean output column that is true on the last row
+    of each key.
     ``key=None`` scans the whole frame (one logical key).
     ``order`` must be a total order (include a unique tiebreak).
-    Plan-time cost: a row count and a bounded key sample (two small jobs).
     """
     sums = dict(sums or {})
-    fills = dict(fills or {})
-    spark = df.sparkSession
+    befores = dict(befores or {})
+    fills = {**dict(fills or {}), **befores}
     key_col = F.lit(0) if key is None else (F.col(key) if isinstance(key, str) else key)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
 
-    base = df.withColumn(_KEY, key_col)
-    for name, expr in sums.items():
-        base = base.withColumn("_in_" + name, F.coalesce(expr.cast("long"), F.lit(0)))
-    for name, expr in fills.items():
-        base = base.withColumn("_in_" + name, F.col(expr) if isinstance(expr, str) else expr)
-    ord_names = []
-    for i, oc in enumerate(order_cols):
-        base = base.withColumn(f"_sk{i}", oc)
-        ord_names.append(f"_sk{i}")
-    sort_cols = [_KEY] + ord_names
-    sort_struct = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(sort_cols)])
-    types = [base.schema[c].dataType for c in sort_cols]
-
-    # 1-2. slices: contiguous ranges of the sort key, assigned by a pure expression
-    n = partitions if partitions else _slice_count(base, num_partitions(spark))
-    bounds = _bounds(base, sort_struct, n)
-    base = base.withColumn(_PART, _slice_expr(sort_struct, bounds, types) if bounds else F.lit(0))
-
-    # 3. the scan per (slice, key); hash partitioning on the slice satisfies the
-    #    window's clustering, so the data is shuffled once
-    w = (Window.partitionBy(_PART, _KEY).orderBy(*[F.col(c).asc_nulls_first() for c in ord_names])
-         .rowsBetween(Window.unboundedPreceding, 0))
-    scanned = base.repartition(n, _PART)
-    for s in sums:
-        scanned = scanned.withColumn("_loc_" + s, F.sum("_in_" + s).over(w))
-    for f in fills:
-        scanned = scanned.withColumn("_loc_" + f, F.last("_in_" + f, ignorenulls=True).over(w))
-    if mark_last:
-        whole = Window.partitionBy(_PART, _KEY).orderBy(*[F.col(c).asc_nulls_first() for c in ord_names]) \
-            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        scanned = scanned.withColumn("_last_in_slice",
-                                     F.count(F.lit(1)).over(w) == F.count(F.lit(1)).over(whole))
-
-    # 4. per-slice summary: partial aggregation of the input before any shuffle
-    #    (column pruning gives this branch its own narrow scan; only partial
-    #    aggregates, one row per (slice, key) per task, are shuffled)
+    # all inputs are evaluated against the caller's columns before any is named
+    made = {_KEY: key_col}
+    made |= {"_in_" + name: F.coalesce(expr.cast("long"), F.lit(0)) for name, expr in sums.items()}
+    made |= {"_in_" + name: F.col(expr) if isinstance(expr, str) else expr for name, expr in fills.items()}
+    ords = [f"_sk{i}" for i in range(len(order_cols))]
+    made |= dict(zip(ords, order_cols))
+    base = df.withColumns(made)
+    n = partitions or slice_count(df)
+    data = sliced(base, [_KEY, *ords], n)
+
+    # what earlier slices carry into a slice's first key
     kstruct = F.struct(F.col(_KEY))
-    ord_struct = F.struct(*[F.col(c) for c in ord_names])
-    per_key = base.groupBy(_PART, _KEY).agg(
+    at = F.struct(*[F.col(c) for c in ords])
+    per_key = data.groupBy(_PART, _KEY).agg(
+        F.count(F.lit(1)).alias("_n"),
         *[F.sum("_in_" + s).alias("s_" + s) for s in sums],
-        *[F.max_by(F.col("_in_" + f), F.when(F.col("_in_" + f).isNotNull(), ord_struct)).alias("f_" + f)
-          for f in fills],
-        F.count(F.lit(1)).alias("_n"))
+        *[F.max_by("_in_" + f, F.when(F.col("_in_" + f).isNotNull(), at)).alias("f_" + f) for f in fills])
     per_part = per_key.groupBy(_PART).agg(
         F.min(kstruct).alias("first_k"), F.max(kstruct).alias("last_k"),
-        *[F.max_by(F.col("s_" + s), kstruct).alias("ls_" + s) for s in sums],
-        *[F.max_by(F.col("f_" + f), kstruct).alias("lf_" + f) for f in fills])
-    # what slices before p contribute to p's first key: the run of earlier
-    # slices whose last key equals it (computed on the tiny slice table)
-    by_last = Window.partitionBy("last_k").orderBy(_PART).rowsBetween(Window.unboundedPreceding, 0)
-    by_part = Window.orderBy(_PART)   # at most n rows: an unpartitioned window is fine here
-    carry = per_part
-    for s in sums:
-        carry = carry.withColumn("cs_" + s, F.sum("ls_" + s).over(by_last))
-    for f in fills:
-        carry = carry.withColumn("cf_" + f, F.last("lf_" + f, ignorenulls=True).over(by_last))
-    carry = carry.withColumn("prev_last_k", F.lag("last_k").over(by_part))
-    joins_prev = F.col("prev_last_k").eqNullSafe(F.col("first_k"))
-    sel = [F.col(_PART), F.col("first_k"), F.col("last_k"),
-           # does the slice's last key go on in the next slice?
-           F.coalesce(F.lead("first_k").over(by_part).eqNullSafe(F.col("last_k")), F.lit(False)).alias("_cont")]
-    for s in sums:
-        sel.append(F.when(joins_prev, F.lag("cs_" + s).over(by_part)).otherwise(F.lit(0)).alias("off_" + s))
-    for f in fills:
-        sel.append(F.when(joins_prev, F.lag("cf_" + f).over(by_part)).alias("car_" + f))
-    carry = carry.select(*sel)
-
-    # the carry table has at most n rows (one per slice): a bounded broadcast
-    out = scanned.join(F.broadcast(carry), _PART, "left")
-    is_first = kstruct.eqNullSafe(F.col("first_k"))
-    for s in sums:
-        out = out.withColumn(s, F.col("_loc_" + s) + F.when(is_first, F.col("off_" + s)).otherwise(F.lit(0)))
-    for f in fills:
-        out = out.withColumn(f, F.coalesce(F.col("_loc_" + f), F.when(is_first, F.col("car_" + f))))
-    if mark_last:
-        out = out.withColumn(mark_last, F.col("_last_in_slice") &
-                             ~(kstruct.eqNullSafe(F.col("last_k")) & F.col("_cont")))
-    drop = ["_last_in_slice", "last_k", "_cont"] + [_KEY, _PART, "first_k"] + ord_names + ["_in_" + s for s in sums] + ["_in_" + f for f in fills]
-    drop += ["_loc_" + s for s in sums] + ["_loc_" + f for f in fills]
-    drop += ["off_" + s for s in sums] + ["car_" + f for f in fills]
-    return out.drop(*drop)
+        *[F.max_by("s_" + s, kstruct).alias("s_" + s) for s in sums],
+        *[F.max_by("f_" + f, kstruct).alias("f_" + f) for f in fills])
+    # one row per slice from here on
+    same_last = Window.partitionBy("last_k").orderBy(_PART).rowsBetween(Window.unboundedPreceding, 0)
+    by_part = Window.orderBy(_PART)
+    total = per_part.withColumns({**{"s_" + s: F.sum("s_" + s).over(same_last) for s in sums},
+                                  **{"f_" + f: F.last("f_" + f, ignorenulls=True).over(same_last) for f in fills}})
+    linked = total.select(
+        _PART, "first_k", "last_k",
+        F.lag("last_k").over(by_part).eqNullSafe(F.col("first_k")).alias("_joins"),
+        F.lead("first_k").over(by_part).eqNullSafe(F.col("last_k")).alias("_goes_on"),
+        *[F.lag("s_" + s).over(by_part).alias("_in_" + s) for s in sums],
+        *[F.lag("f_" + f).over(by_part).alias("_in_" + f) for f in fills])
+    inputs = [*["_in_" + s for s in sums], *["_in_" + f for f in fills]]
+    head = linked.where("_joins").select(_PART, F.col(f"first_k.{_KEY}").alias(_KEY), F.lit(-1).alias(_ROLE), *inputs)
+    tail = linked.where("_goes_on").select(_PART, F.col(f"last_k.{_KEY}").alias(_KEY), F.lit(1).alias(_ROLE))
+    extra = head.unionByName(tail, allowMissingColumns=True) if mark_last else head
+
+    # the scan per (slice, key); rows are placed by slice number
+    placed = (data.withColumn(_ROLE, F.lit(0)).unionByName(extra, allowMissingColumns=True)
+              .repartitionById(n, _PART))
+    sort = [F.col(_ROLE), *[F.col(c).asc_nulls_first() for c in ords]]
+    whole = Window.partitionBy(_PART, _KEY).orderBy(*sort)
+    run = whole.rowsBetween(Window.unboundedPreceding, 0)
+    prior = whole.rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumns({**{s: F.sum("_in_" + s).over(run) for s in sums},
+                              **{f: F.last("_in_" + f, ignorenulls=True).over(prior if f in befores else run) for f in fills},
+                              **({mark_last: F.lead(F.lit(True)).over(whole).isNull()} if mark_last else {})})
+    return out.where(F.col(_ROLE) == 0).drop(_KEY, _PART, _ROLE, *ords, *inputs)
 
 
 def ordinal(df: DataFrame, key: Column | str | None, order: Sequence[Column | str],

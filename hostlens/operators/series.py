@@ -89,7 +89,7 @@ def bucket_rows(interval) -> int:
 
 
 def _aggregate(df: DataFrame, keys: Sequence[str], rank: Column, aggregation: str,
-               time_col: str, value_cols: Sequence[str]) -> DataFrame:
+               time_col: str, value_cols: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     agg = (aggregation or "").lower()
     others = [c for c in df.columns if c not in keys and not c.startswith("_")]
     if agg in ("last", "first"):
@@ -100,7 +100,8 @@ def _aggregate(df: DataFrame, keys: Sequence[str], rank: Column, aggregation: st
         f = F.min if agg == "min" else F.max
         return df.groupBy(*keys).agg(*[f(c).alias(c) for c in others])
     if agg in ("average", "mean"):
-        exprs = [F.min(time_col).alias(time_col)] + [F.avg(c).alias(c) for c in value_cols]
+        exprs = ([F.min(time_col).alias(time_col)] + [F.min_by(F.col(c), rank).alias(c) for c in carry]
+                 + [F.avg(c).alias(c) for c in value_cols])
         return df.groupBy(*keys).agg(*exprs)
     raise ValueError(f"unknown aggregation {aggregation!r}")
 
@@ -108,7 +109,7 @@ def _aggregate(df: DataFrame, keys: Sequence[str], rank: Column, aggregation: st
 def positional_buckets(df: DataFrame, interval, aggregation: str, *, key: str | None = "Hostname",
                        time_col: str = "Timestamp", pos_col: str = "pos",
                        value_cols: Sequence[str] = ("Value",), partitions: int | None = None,
-                       order: Sequence[str] | None = None) -> DataFrame:
+                       order: Sequence[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Q8: bucket = position // (interval // 15) within a host (or the frame, ``key=None``).
 
     Rows pass through when the interval is not a multiple above 15 or the
@@ -122,7 +123,7 @@ def positional_buckets(df: DataFrame, interval, aggregation: str, *, key: str |
     ranked = ordinal(df, key, [F.col(o) for o in order], name="_rn", partitions=partitions)
     ranked = ranked.withColumn("bucket", F.floor(F.col("_rn") / F.lit(k)).cast("bigint"))
     keys = ([key] if key else []) + ["bucket"]
-    return _aggregate(ranked, keys, F.col("_rn"), aggregation, time_col, value_cols)
+    return _aggregate(ranked, keys, F.col("_rn"), aggregation, time_col, value_cols, carry)
 
 
 def frame_buckets(df: DataFrame, interval, aggregation: str, *, pos_col: str = "pos",
@@ -171,9 +172,15 @@ def ordinal_x(df: DataFrame, key: str | None, order: Sequence[str], name: str =
 
 def grouped_series(df: DataFrame, selected: str, seconds: int, aggregation: str, *,
                    time_col: str = "Timestamp", pos_col: str = "pos",
-                   value_cols: Sequence[str] = ("Value",)) -> DataFrame:
-    """Q10: one line per value of the selected column, after time bucketing,
-    with the ordinal x of each point inside its line."""
+                   value_cols: Sequence[str] = ("Value",), positional: bool = False) -> DataFrame:
+    """Q10: one line per value of the selected column, after bucketing, with the
+    ordinal x of each point inside its line.  Buckets are time buckets of each
+    line, or with ``positional`` buckets of the frame's rows before grouping."""
+    if positional:
+        rows = positional_buckets(df, seconds, aggregation, key=None, time_col=time_col, pos_col=pos_col,
+                                  value_cols=value_cols, order=[pos_col], carry=(selected,))
+        order = [c for c in ("bucket", pos_col) if c in rows.columns]
+        return ordinal(rows, selected, [F.col(c) for c in order], name="x")
     b = time_buckets(df, seconds, aggregation, key=selected, time_col=time_col, pos_col=pos_col,
                      value_cols=value_cols)
     return ordinal(b, selected, [F.col("bucket_start")], name="x")
@@ -181,22 +188,42 @@ def grouped_series(df: DataFrame, selected: str, seconds: int, aggregation: str,
 
 # Q11 -----------------------------------------------------------------------
 def pivot_wide(df: DataFrame, row_key: Column | str, pivot_col: str, values: Sequence, value_col: str,
-               agg: str = "first") -> DataFrame:
+               agg: str = "first", order: Sequence[str] = ("pos",)) -> DataFrame:
     """Q11: one column per pivot value aligned on ``row_key``; the values are
-    passed in so Spark skips the distinct-values job."""
+    passed in so Spark skips the distinct-values job.  ``first`` is the value at
+    the smallest ``order``; rows of other pivot values make no column."""
     rk = F.col(row_key) if isinstance(row_key, str) else row_key
-    fn = {"first": F.first, "avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[agg]
-    return df.groupBy(rk.alias("row_key")).pivot(pivot_col, list(values)).agg(fn(value_col))
+    if agg == "first":
+        made = F.min_by(value_col, F.struct(*order))
+    else:
+        made = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[agg](value_col)
+    return df.groupBy(rk.alias("row_key")).pivot(pivot_col, list(values)).agg(made)
+
+
+def pivot_left(df: DataFrame, row_key: Column | str, pivot_col: str, values: Sequence, value_col: str,
+               agg: str = "first", order: Sequence[str] = ("pos",)) -> DataFrame:
+    """Q11, left to the first value: only row keys at which the first of ``values`` has a row."""
+    rk = F.col(row_key) if isinstance(row_key, str) else row_key
+    keys = df.where(F.col(pivot_col) == F.lit(values[0])).select(rk.alias("row_key")).distinct()
+    return pivot_wide(df, row_key, pivot_col, values, value_col, agg, order).join(keys, "row_key", "left_semi")
+
+
+def pivot_values(df: DataFrame, pivot_col: str, most: int = 1000) -> list:
+    """The values to pivot by, sorted; an error beyond ``most``, as columns are a plan-time matter."""
+    found = [r[0] for r in df.select(pivot_col).where(F.col(pivot_col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {pivot_col} to pivot by")
+    return sorted(found)
 
 
 # Q13 -----------------------------------------------------------------------
 def hour_ticks(df: DataFrame, key: str = "Hostname", time_col: str = "Timestamp",
                max_labels: int = 0) -> DataFrame:
-    """Q13: whole-hour offsets from each series start to its end, thinned to
-    about ``max_labels`` labels (step = floor(hours / max_labels), at least 1)."""
+    """Q13: whole-hour offsets from each series start to its end, thinned to at
+    most ``max_labels`` labels (0: all)."""
     span = df.groupBy(key).agg(F.min(time_col).alias("start"), F.max(time_col).alias("end"))
     hours = F.floor(F.timestamp_diff("MICROSECOND", F.col("start"), F.col("end")) / F.lit(3_600_000_000)).cast("int")
-    step = (F.greatest(F.floor(hours / F.lit(max_labels)), F.lit(1)).cast("int") if max_labels
-            else F.lit(1))
+    # labels 0, step, 2 step, ...: floor(hours / step) + 1 of them
+    step = F.greatest(F.ceil((hours + 1) / F.lit(max_labels)), F.lit(1)).cast("int") if max_labels else F.lit(1)
     return (span.withColumn("hours", hours)
             .select(key, "start", F.explode(F.sequence(F.lit(0), F.col("hours"), step)).alias("tick_hour")))

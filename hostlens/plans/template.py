@@ -3,21 +3,25 @@
 The template is read into a ``Template`` (values and rules); ``extract``
 turns it into a DataFrame plan over ``(file, line_no, line)``:
 
-* rule choice: first rule whose pattern matches (``rlike`` chain);
-* captures:   ``regexp_extract`` of the chosen rule's group for each value;
-* segments:   running count of Record / Clear / Clearall lines before a line
-              (keyed scan per file, range partitioned);
-* values of a record: last capture in its segment (an aggregation per
-  (file, segment), so a large file spreads over its many segments);
-* Filldown values: last capture over earlier segments (keyed scan over the
-  segment table, one row per record, not per line);
-* Required values: records missing them are skipped; records with every
-  value empty are skipped; end of input emits the pending record unless the
-  template defines an ``EOF`` state (``implicit_eof``).
-
-Supported natively: one state (``Start``), actions Next with Record / NoRecord /
-Clear / Clearall, options Filldown, Required, Key.  ``Continue``, state
-changes, ``List`` and ``Fillup`` raise ``NotImplementedError``.
+* rule choice: first rule whose pattern matches (``rlike`` chain).  Rules with
+  ``Continue`` apply and let the line go on to the rules below them; such a
+  line becomes one row per rule that applies;
+* captures:   ``regexp_extract`` of the rule's group for each value.  A group
+  that matches the empty text is a capture too;
+* one keyed scan over the lines brings the last capture of every value, and the
+  last Record / Clear / Clearall line, to each line.  A value is set on a
+  Record line if its capture is younger than the last reset (Filldown: than
+  the last Clearall).  Only Record lines leave the scan; no further shuffle;
+* Required values: records in which one is unset or empty are skipped; records
+  with every value unset are skipped; the end of a file emits the pending
+  record unless the template defines an ``EOF`` state (``implicit_eof``);
+* List values: the captures of a segment, gathered per record;
+* Fillup values: a second keyed scan, backwards.
+
+Supported natively: one state (``Start``), actions Next and Continue with Record
+/ NoRecord / Clear / Clearall, options Filldown, Required, Key, List, Fillup.
+State changes and ``List`` with ``Filldown`` or ``Fillup`` raise
+``NotImplementedError``.  ``$$`` in a rule is the end of the line.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from hostlens.functions.headings import heading
 from hostlens.operators.scan import keyed_scan
 
-SUPPORTED_OPTIONS = {"Filldown", "Required", "Key"}
+SUPPORTED_OPTIONS = {"Filldown", "Required", "Key", "List", "Fillup"}
 RECORD_OPS = {"Record", "NoRecord", "Clear", "Clearall"}
 
 
@@ -49,12 +53,21 @@ class Value:
     def required(self) -> bool:
         return "Required" in self.options
 
+    @property
+    def listed(self) -> bool:
+        return "List" in self.options
+
+    @property
+    def fillup(self) -> bool:
+        return "Fillup" in self.options
+
 
 @dataclass(frozen=True)
 class Rule:
     pattern: str          # Java regex with the value groups substituted
     groups: dict          # value name -> group index
     record_op: str        # Record | NoRecord | Clear | Clearall
+    goes_on: bool = False  # Continue: the line is also offered to the rules below
 
 
 @dataclass(frozen=True)
@@ -115,6 +128,8 @@ def parse_template(text: str, unescape: bool = False) -> Template:
         for o in opts:
             if o not in SUPPORTED_OPTIONS:
                 raise NotImplementedError(f"value option {o} is not supported natively")
+        if "List" in opts and {"Filldown", "Fillup"} & set(opts):
+            raise NotImplementedError("List with Filldown or Fillup is not supported natively")
         values.append(Value(name, regex.strip(), opts))
     by_name = {v.name: v for v in values}
     state = None
@@ -149,9 +164,9 @@ def parse_template(text: str, unescape: bool = False) -> Template:
                 record_op = op
             else:
                 raise NotImplementedError(f"action {op} is not supported natively")
-        if line_op != "Next":
-            raise NotImplementedError("Continue is not supported natively")
-        # substitute ${name} / $name; $$ is a literal $
+        if line_op not in ("Next", "Continue") or record_op not in RECORD_OPS:
+            raise NotImplementedError(f"action {action} is not supported natively")
+        # substitute ${name} / $name; $$ is the end of the line
         groups: dict[str, int] = {}
         out = ""
         i = 0
@@ -160,7 +175,7 @@ def parse_template(text: str, unescape: bool = False) -> Template:
             if m and pat[i] == "$":
                 tok = m.group(0)
                 if tok == "$$":
-                    out += "\\$"
+                    out += "$"
                 else:
                     name = m.group(1) or m.group(2)
                     v = by_name[name]
@@ -170,7 +185,7 @@ def parse_template(text: str, unescape: bool = False) -> Template:
                 continue
             out += pat[i]
             i += 1
-        rules.append(Rule(_to_java(out), groups, record_op))
+        rules.append(Rule(_to_java(out), groups, record_op, line_op == "Continue"))
     return Template(tuple(values), tuple(rules), "EOF" in states)
 
 
@@ -178,89 +193,110 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
             order_cols=("line_no",), text_col: str = "line", carry_across_files: bool = False,
             implicit_eof: bool = True, title_headings: bool = True) -> DataFrame:
     """Records as rows: ``file``, ``record_no`` and one string column per value
-    (headings normalised: ``total_calls`` -> ``Total Calls``).
+    (headings normalised: ``total_calls`` -> ``Total Calls``); List values are arrays.
 
     ``order_cols`` give the line order inside a file (``line_no``, or the read
     position ``_block, _mid`` of ``raw_lines`` -- no numbering pass needed).
     """
     t = parse_template(template) if isinstance(template, str) else template
     vals = list(t.values)
-    fd = [v for v in vals if v.filldown]
-    has_clearall = any(r.record_op == "Clearall" for r in t.rules)
     ocols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    base = lines.select(F.col(file_col).alias("_file"), F.col(text_col).alias("_line"),
-                        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(ocols)])
     onames = [f"_o{i}" for i in range(len(ocols))]
-    line = F.col("_line")
-    rule_idx = F.lit(None).cast("int")
-    for i in reversed(range(len(t.rules))):
-        rule_idx = F.when(line.rlike(t.rules[i].pattern), F.lit(i)).otherwise(rule_idx)
-    base = base.withColumn("_key", F.lit("") if carry_across_files else F.col("_file")).withColumn("_rule", rule_idx)
+    base = lines.select(F.col(file_col).alias("_file"), F.col(text_col).alias("_line"),
+                        *[F.col(c).alias(o) for c, o in zip(ocols, onames)])
+    base = _applied(base, t.rules).withColumn("_key", F.lit("") if carry_across_files else F.col("_file"))
+    rule = F.col("_rule")
 
-    def op_flag(ops):
+    def op_flag(*ops):
         idx = [i for i, r in enumerate(t.rules) if r.record_op in ops]
-        return F.coalesce(F.col("_rule").isin(idx), F.lit(False)) if idx else F.lit(False)
+        return F.coalesce(rule.isin(idx), F.lit(False)) if idx else F.lit(False)
 
-    caps = {}
-    for v in vals:
+    def capture(v: Value):
         c = F.lit(None).cast("string")
         for i, r in enumerate(t.rules):
             if v.name in r.groups:
-                c = F.when(F.col("_rule") == i, F.regexp_extract("_line", r.pattern, r.groups[v.name])).otherwise(c)
-        caps[v.name] = F.nullif(c, F.lit(""))
-    base = base.select("_key", "_file", *onames,
-                       op_flag({"Record"}).alias("_rec"),
-                       op_flag({"Record", "Clear", "Clearall"}).alias("_reset"),
-                       op_flag({"Clearall"}).alias("_reset_all"),
-                       *[caps[v.name].alias("_c_" + v.name) for v in vals])
-    order = [F.col("_file")] + [F.col(o) for o in onames]
-    # one keyed scan over the lines: segment numbers, and (without Clearall)
-    # the Filldown values, which then never reset inside a file
-    line_fills = {} if has_clearall else {"_fd_" + v.name: "_c_" + v.name for v in fd}
-    seg = keyed_scan(base, "_key", order, sums={"_seg": F.col("_reset").cast("int"),
-                                                "_segfd": F.col("_reset_all").cast("int")},
-                     fills=line_fills, mark_last="_key_end")
-    seg = (seg.withColumn("_seg", F.col("_seg") - F.col("_reset").cast("long"))
-           .withColumn("_segfd", F.col("_segfd") - F.col("_reset_all").cast("long"))
-           .withColumn("_ord", F.struct(*order)))
-    fd_cols = [v.name for v in fd] if line_fills else []
-    # The pending segment at end of input: when a key's last line closes its
-    # segment, an empty segment follows.  The last line stands in for it (no
-    # captures; Filldown values as they stand, unless Clearall closed it), so
-    # the line table is aggregated once.
-    tail = F.struct(F.lit(True).alias("t"), (F.col("_seg") + 1).alias("seg"),
-                    (F.col("_segfd") + F.col("_reset_all").cast("long")).alias("segfd"))
-    own = F.struct(F.lit(False).alias("t"), F.col("_seg").alias("seg"), F.col("_segfd").alias("segfd"))
-    seg = seg.withColumn("_as", F.explode(F.when(F.col("_key_end") & F.col("_reset"), F.array(own, tail))
-                                          .otherwise(F.array(own))))
-    is_tail = F.col("_as.t")
-    cap = lambda n: F.when(~is_tail, F.col("_c_" + n))
-    last_cap = lambda name: F.max_by(cap(name), F.when(cap(name).isNotNull(), F.col("_ord")))
-    fdv = lambda n: F.when(~(is_tail & F.col("_reset_all")), F.col("_fd_" + n))
-    segs = seg.groupBy("_key", F.col("_as.seg").alias("_seg")).agg(
-        F.max("_as.segfd").alias("_segfd"),
-        F.max(F.when(~is_tail, F.col("_rec").cast("int")).otherwise(0)).alias("_rec"),
-        F.max(F.when(~is_tail, F.col("_reset").cast("int")).otherwise(0)).alias("_closed"),
-        F.max_by("_file", "_ord").alias("_file"),
-        *[last_cap(v.name).alias(v.name) for v in vals if v.name not in fd_cols],
-        *[F.max_by(fdv(n), "_ord").alias(n) for n in fd_cols])
-    if fd and not line_fills:
-        # with Clearall, Filldown restarts per Clearall period: scan the (small) segment table
-        segs = keyed_scan(segs, F.concat_ws("\u0001", F.col("_key"), F.col("_segfd").cast("string")),
-                          [F.col("_seg")], fills={"_fd_" + v.name: v.name for v in fd})
-        for v in fd:
-            segs = segs.withColumn(v.name, F.col("_fd_" + v.name)).drop("_fd_" + v.name)
-    emit = F.col("_rec") == 1
-    if implicit_eof and not t.has_eof_state:
-        emit = emit | (F.col("_closed") == 0)
-    any_value = F.lit(False)
+                c = F.when(rule == i, F.regexp_extract("_line", r.pattern, r.groups[v.name])).otherwise(c)
+        return c
+
+    step = ["_file", *onames, "_rule_no"]
+    base = base.select("_key", *step, op_flag("Record").alias("_rec"), op_flag("Record", "Clear", "Clearall").alias("_reset"),
+                       op_flag("Clearall").alias("_reset_all"), *[capture(v).alias("_c_" + v.name) for v in vals])
+    here = F.struct(*step)
+
+    def stamped(v: Value):
+        return F.when(F.col("_c_" + v.name).isNotNull(), F.struct(here.alias("at"), F.col("_c_" + v.name).alias("v")))
+
+    plain = [v for v in vals if not v.listed]
+    seg = keyed_scan(base, "_key", [F.col(c) for c in step], sums={"_seg": F.col("_reset")},
+                     fills={"_f_" + v.name: stamped(v) for v in plain},
+                     befores={"_cleared": F.when(F.col("_reset"), here), "_cleared_all": F.when(F.col("_reset_all"), here)},
+                     mark_last="_key_end")
+    # a line closes its segment with a record; the last line of a file also stands for the end of input
+    end = F.lit(implicit_eof and not t.has_eof_state) & F.col("_key_end")
+    at_end = seg.select("*", F.explode(F.filter(F.array(F.when(F.col("_rec"), F.lit(False)), F.when(end, F.lit(True))),
+                                                lambda x: x.isNotNull())).alias("_eof"))
+    cleared = F.when(F.col("_eof") & F.col("_reset"), here).otherwise(F.col("_cleared"))
+    cleared_all = F.when(F.col("_eof") & F.col("_reset_all"), here).otherwise(F.col("_cleared_all"))
+
+    def value(v: Value):
+        f, since = F.col("_f_" + v.name), cleared_all if v.filldown else cleared
+        return F.when(f.isNotNull() & (since.isNull() | (f["at"] > since)), f["v"])
+
+    number = F.col("_seg") - F.when(F.col("_reset") & ~F.col("_eof"), F.lit(1)).otherwise(F.lit(0))
+    records = at_end.select("_key", *step, number.alias("_no"), *[value(v).alias(v.name) for v in plain])
+    for v in vals:
+        if v.listed:
+            own = F.col("_seg") - F.col("_reset").cast("long")
+            got = (seg.where(F.col("_c_" + v.name).isNotNull()).groupBy("_key", own.alias("_no"))
+                   .agg(F.array_sort(F.collect_list(F.struct(here.alias("at"), F.col("_c_" + v.name).alias("v")))).alias("_l")))
+            records = (records.join(got, ["_key", "_no"], "left").withColumn(v.name, F.transform("_l", lambda x: x["v"])).drop("_l"))
+    keep = F.lit(False)
     for v in vals:
-        any_value = any_value | F.col(v.name).isNotNull()
-    keep = emit & any_value
+        keep = keep | F.col(v.name).isNotNull()
     for v in vals:
         if v.required:
-            keep = keep & F.col(v.name).isNotNull()
-    return segs.where(keep).select(
-        F.col("_file").alias("file"), F.col("_seg").alias("record_no"),
-        *[F.coalesce(F.col(v.name), F.lit("")).alias(heading(v.name, title_headings) if title_headings else v.name)
+            keep = keep & F.coalesce((F.size(v.name) > 0) if v.listed else F.col(v.name) != "", F.lit(False))
+    records = records.where(keep)
+    ups = [v for v in vals if v.fillup]
+    if ups:
+        records = _filled_up(records, seg, ups, step, onames)
+    empty = {v.name: F.array().cast("array<string>") if v.listed else F.lit("") for v in vals}
+    return records.select(
+        F.col("_file").alias("file"), F.col("_no").alias("record_no"),
+        *[F.coalesce(F.col(v.name), empty[v.name]).alias(heading(v.name, title_headings) if title_headings else v.name)
           for v in vals])
+
+
+def _applied(base: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``base`` with the rule that applies to a line (``_rule``, null if none); a line that
+    goes on after a Continue rule is one row per rule, numbered by ``_rule_no``."""
+    line = F.col("_line")
+    if not any(r.goes_on for r in rules):
+        first = F.lit(None).cast("int")
+        for i in reversed(range(len(rules))):
+            first = F.when(line.rlike(rules[i].pattern), F.lit(i)).otherwise(first)
+        return base.withColumn("_rule", first).withColumn("_rule_no", F.lit(0))
+    open_, hits = F.lit(True), []
+    for i, r in enumerate(rules):
+        hit = line.rlike(r.pattern)
+        hits.append(F.when(open_ & hit, F.lit(i)))
+        if not r.goes_on:
+            open_ = open_ & ~F.coalesce(hit, F.lit(False))
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return (base.select("*", F.posexplode_outer(found).alias("_rule_no", "_rule"))
+            .withColumn("_rule_no", F.coalesce("_rule_no", F.lit(0))))
+
+
+def _filled_up(records: DataFrame, seg: DataFrame, ups: list[Value], step: list[str], onames: list[str]) -> DataFrame:
+    """Fillup: an empty value of a record takes the next capture that is not empty, which may
+    stand on a line that no record holds.  One keyed scan backwards over records and captures."""
+    caught = seg.where(" or ".join(f"coalesce(`_c_{v.name}`, '') != ''" for v in ups)).select(
+        "_key", *step, *[F.nullif(F.col("_c_" + v.name), F.lit("")).alias("_u_" + v.name) for v in ups], F.lit(False).alias("_is_rec"))
+    rows = records.withColumn("_is_rec", F.lit(True)).unionByName(caught, allowMissingColumns=True)
+    back = [F.col(o) * -1 for o in [*onames, "_rule_no"]]
+    # a record's own captures are not after it: at one line the record comes first in reverse order's end
+    scanned = keyed_scan(rows, "_key", [*back, F.when(F.col("_is_rec"), 0).otherwise(1), F.col("_no")],
+                         fills={"_next_" + v.name: "_u_" + v.name for v in ups})
+    for v in ups:
+        scanned = scanned.withColumn(v.name, F.when(F.coalesce(F.col(v.name), F.lit("")) == "", F.col("_next_" + v.name)).otherwise(F.col(v.name)))
+    return scanned.where("_is_rec")

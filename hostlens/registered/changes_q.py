@@ -20,12 +20,9 @@ RULES = [
 ]
 
 
-def change_rows(spark, sf, segment: str | None = None):
-    """F7 batch form derived from ``customer``: (seq, action, pkid, field, value);
-    ``segment`` makes the batch one market segment's records."""
+def change_rows(spark, sf, seq: str = "c_custkey"):
+    """F7 batch form derived from ``customer``: (seq, action, pkid, field, value); ``seq`` is the order of records."""
     c = table(spark, sf, "customer")
-    if segment:
-        c = c.where(F.col("c_mktsegment") == segment)
     action = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("create")).otherwise(F.lit("edit"))
     name = F.concat(F.col("c_name"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("!")).otherwise(F.lit("")))
     bal = (F.when(F.col("c_acctbal") < 0, F.lit("n/a"))
@@ -39,7 +36,7 @@ def change_rows(spark, sf, segment: str | None = None):
               F.struct(F.when(F.col("c_mktsegment") == "FURNITURE", F.lit("c_comment"))
                        .otherwise(F.lit("c_mktsegment")).alias("field"),
                        F.regexp_replace(F.col("c_mktsegment"), "O", " ").alias("value"))]
-    return c.select(F.col("c_custkey").alias("seq"), action.alias("action"), F.col("c_custkey").alias("pkid"),
+    return c.select(F.expr(seq).cast("bigint").alias("seq"), action.alias("action"), F.col("c_custkey").alias("pkid"),
                     F.explode(F.array(*fields)).alias("_f")).select("seq", "action", "pkid", "_f.*")
 
 
@@ -111,10 +108,21 @@ def e2r(spark, sf):
                                  "; ").alias("errors"))
 
 
-@register("e12_until_first_bad", _SQL_CHANGES + """
-SELECT seq, field, out_value FROM v WHERE seq < coalesce((SELECT min(seq) FROM v WHERE status IS NOT NULL), 9223372036854775807)""")
+# the batch in an order that puts the records that can be valid first, by falling balance: it stops midway
+_BALANCE_FIRST = ("CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 0 ELSE 1000000000000000 END"
+                  " + (1000000 - CAST(floor(c_acctbal) AS BIGINT)) * 10000000 + c_custkey")
+_UNTIL_BAD = """
+SELECT seq, field, out_value FROM v WHERE seq < coalesce((SELECT min(seq) FROM v WHERE status IS NOT NULL), 9223372036854775807)"""
+
+
+def _reordered(seq: str) -> str:
+    return _SQL_CHANGES.replace("SELECT c_custkey AS seq,", f"SELECT {seq} AS seq,", 1)
+
+
+@register("e12_until_first_bad", _reordered(_BALANCE_FIRST) + _UNTIL_BAD)
 def e12(spark, sf):
-    return E.until_first_bad(_validated(spark, sf)).select("seq", "field", "out_value")
+    v = E.validate(change_rows(spark, sf, _BALANCE_FIRST), RULES, table(spark, sf, "customer"), "c_custkey")
+    return E.until_first_bad(v).select("seq", "field", "out_value")
 
 
 @register("e12_valid_only", _SQL_CHANGES + """
@@ -319,10 +327,237 @@ def e4(spark, sf):
     return K.update(state, ch, "c_custkey", fields)
 
 
-@register("e12_until_first_bad_segment", _SQL_CHANGES.replace(
-    "FROM c, unnest([", "FROM (SELECT * FROM c WHERE c_mktsegment = 'MACHINERY') c, unnest([", 1) + """
-SELECT seq, field, out_value FROM v WHERE seq < coalesce((SELECT min(seq) FROM v WHERE status IS NOT NULL), 9223372036854775807)""")
+_SEGMENT_FIRST = "CASE WHEN c_mktsegment = 'MACHINERY' THEN 0 ELSE 1000000000000000 END + c_custkey"
+
+
+@register("e12_until_first_bad_segment", _reordered(_SEGMENT_FIRST) + _UNTIL_BAD)
 def e12s(spark, sf):
-    batch = change_rows(spark, sf, segment="MACHINERY")
-    v = E.validate(batch, RULES, table(spark, sf, "customer"), "c_custkey")
+    v = E.validate(change_rows(spark, sf, _SEGMENT_FIRST), RULES, table(spark, sf, "customer"), "c_custkey")
     return E.until_first_bad(v).select("seq", "field", "out_value")
+
+
+# ---- sequences: the last edit wins, owners of unique values, duplicate keys, empty tables ----
+
+@register("e4_conflicting_edits", """
+SELECT c_custkey, CAST(coalesce(l.q, c_acctbal) AS DOUBLE) AS c_acctbal
+FROM customer LEFT JOIN (SELECT o_custkey, arg_max(CAST(floor(o_totalprice) AS BIGINT), o_orderkey) AS q FROM orders GROUP BY 1) l
+  ON o_custkey = c_custkey""")
+def e4_conflict(spark, sf):
+    # every order is an edit of its customer's balance; edits are applied in order key order
+    ch = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.lit("edit").alias("action"), F.col("o_custkey").alias("pkid"), F.lit("c_acctbal").alias("field"),
+        F.floor("o_totalprice").cast("bigint").cast("string").alias("value"))
+    state = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    v = E.validate(ch, [E.FieldRule("c_acctbal", "int", 12)], state, "c_custkey")
+    return K.update(state, E.edits_to_changes(v, ["c_acctbal"], "c_custkey"), "c_custkey", ["c_acctbal"])
+
+
+@register("e2f_same_row", """
+WITH e AS (SELECT o_orderkey AS seq, o_custkey AS pkid, CASE WHEN o_orderstatus = 'P' THEN o_custkey % 1000 ELSE o_custkey END AS name FROM orders),
+n AS (SELECT seq, pkid, 'Customer#' || lpad(CAST(name AS VARCHAR), 9, '0') AS value FROM e),
+firsts AS (SELECT value, arg_min(owner, s) AS owner FROM (
+  SELECT value, pkid AS owner, seq AS s FROM n UNION ALL SELECT c_name, c_custkey, -1 FROM customer) GROUP BY 1)
+SELECT seq, pkid, value, CASE WHEN pkid <> owner THEN 'Duplicate data, modify to be unique.' END AS status FROM n JOIN firsts USING (value)""")
+def e2f(spark, sf):
+    # customers send their own name again and again, now and then one that may be another's
+    who = F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") % 1000).otherwise(F.col("o_custkey"))
+    ch = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.lit("edit").alias("action"), F.col("o_custkey").alias("pkid"), F.lit("c_name").alias("field"),
+        F.concat(F.lit("Customer#"), F.lpad(who.cast("string"), 9, "0")).alias("value"))
+    v = E.validate(ch, [E.FieldRule("c_name", "varchar", 18, unique=True)], table(spark, sf, "customer"), "c_custkey")
+    return v.select("seq", "pkid", "value", "status")
+
+
+@register("k3_duplicate_keys", """
+WITH r AS (SELECT o_custkey AS c_custkey, arg_max(o_totalprice, o_orderkey) AS c_acctbal,
+                  arg_max(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'O') AS c_mktsegment FROM orders GROUP BY 1)
+SELECT c_custkey, c_name, coalesce(r.c_acctbal, s.c_acctbal) AS c_acctbal, coalesce(r.c_mktsegment, s.c_mktsegment) AS c_mktsegment
+FROM customer s FULL OUTER JOIN r USING (c_custkey)""")
+def k3_dup(spark, sf):
+    state = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"),
+                                             F.nullif("o_orderstatus", F.lit("O")).alias("c_mktsegment"), "o_orderkey")
+    return K.upsert(state, rows, "c_custkey", seq="o_orderkey")
+
+
+@register("k1_empty_table", "SELECT row_number() OVER (ORDER BY s_suppkey) AS id, s_name FROM supplier")
+def k1_empty(spark, sf):
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    empty = rows.select(F.col("s_suppkey").alias("id"), "s_name").limit(0)
+    return K.append_with_keys(empty, rows, "id", ["s_suppkey"]).select("id", "s_name")
+
+
+# ---- single rules ----
+
+@register("e2c_dates", """
+SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'O' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value, o_orderstatus = 'O' AS dropped
+FROM orders""")
+def e2c(spark, sf):
+    day = F.when(F.col("o_orderstatus") == "O", F.lit("")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    ch = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.lit("edit").alias("action"), F.col("o_orderkey").alias("pkid"),
+                                           F.lit("o_orderdate").alias("field"), day.alias("value"))
+    v = E.validate(ch, [E.FieldRule("o_orderdate", "date")], table(spark, sf, "orders"), "o_orderkey")
+    return v.select("seq", "value", F.col("drop").alias("dropped"))
+
+
+@register("e2d_required", """
+WITH b AS (SELECT c_custkey AS seq, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'create' ELSE 'edit' END AS action FROM customer)
+SELECT seq, 'fk_nation' AS field, action = 'edit' AS dropped, CASE WHEN action = 'edit' THEN '^NULL^' END AS out_value FROM b
+UNION ALL SELECT seq, 'size', false, '0' FROM b
+UNION ALL SELECT seq, 'need', action = 'create', CASE WHEN action = 'edit' THEN '^NULL^' END FROM b""")
+def e2d(spark, sf):
+    # blank fields: a foreign key required on insert only, an int never required, an int always required
+    c = table(spark, sf, "customer")
+    action = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "create").otherwise("edit")
+    ch = c.select(F.col("c_custkey").alias("seq"), action.alias("action"), F.col("c_custkey").alias("pkid"),
+                  F.explode(F.array(F.lit("fk_nation"), F.lit("size"), F.lit("need"))).alias("field"), F.lit("").alias("value"))
+    rules = [E.FieldRule("fk_nation", "int", has_reqs=True, required_insert=True), E.FieldRule("size", "int", has_reqs=True),
+             E.FieldRule("need", "int", has_reqs=True, required_insert=True, required_update=True)]
+    v = E.validate(ch, rules, c, "c_custkey")
+    # a required foreign key left blank on insert is an unset int, which a create leaves out
+    shown = F.when(F.col("field") == "fk_nation", F.lower("action") == "edit").otherwise(F.col("drop"))
+    return v.select("seq", "field", shown.alias("dropped"), "out_value")
+
+
+@register("e2g_multi_counts", """
+WITH b AS (SELECT o_orderkey AS seq, CAST(o_custkey % 3 AS VARCHAR) AS n, o_orderstatus = 'F' AS has FROM orders)
+SELECT seq, 'parts' AS field, CASE WHEN NOT has AND n <> '0' THEN 'System error: No field found for multi-select' END AS status
+FROM b WHERE has OR n <> '0' OR n = '0'""")
+def e2g(spark, sf):
+    o = table(spark, sf, "orders")
+    pair = F.when(F.col("o_orderstatus") == "F", F.array(F.struct(F.lit("parts").alias("field"), F.lit("1,2").alias("value")))) \
+        .otherwise(F.array().cast("array<struct<field:string,value:string>>"))
+    count = F.array(F.struct(F.lit("parts-many-count").alias("field"), (F.col("o_custkey") % 3).cast("string").alias("value")))
+    ch = o.select(F.col("o_orderkey").alias("seq"), F.lit("edit").alias("action"), F.col("o_orderkey").alias("pkid"),
+                  F.explode(F.concat(pair, count)).alias("f")).select("seq", "action", "pkid", "f.*")
+    v = E.validate(ch, [E.FieldRule("parts", "varchar", 40)], o, "o_orderkey")
+    return v.where("field = 'parts'").select("seq", "field", "status")
+
+
+# ---- creates, scope, seeds ----
+
+_CREATED = """
+WITH m AS (SELECT max(c_custkey) AS m FROM customer),
+n AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier
+      WHERE s_acctbal >= 0)"""
+
+
+def _create_rows(spark, sf):
+    s = table(spark, sf, "supplier")
+    bal = F.when(F.col("s_acctbal") < 0, F.lit("none")).when(F.col("s_nationkey") == 0, F.lit("")).otherwise(F.floor("s_acctbal").cast("bigint").cast("string"))
+    fields = [F.struct(F.lit("c_name").alias("field"), F.col("s_name").alias("value")), F.struct(F.lit("c_acctbal").alias("field"), bal.alias("value"))]
+    return s.select(F.col("s_suppkey").alias("seq"), F.lit("create").alias("action"), F.lit(0).cast("bigint").alias("pkid"),
+                    F.explode(F.array(*fields)).alias("f")).select("seq", "action", "pkid", "f.*")
+
+
+_CREATE_RULES = [E.FieldRule("c_name", "varchar", 25, unique=True), E.FieldRule("c_acctbal", "int", 6)]
+
+
+@register("e5_create", _CREATED + """
+SELECT s_suppkey AS seq, m + k AS c_custkey, n.s_name AS c_name,
+  CASE WHEN s_nationkey = 0 THEN NULL ELSE CAST(floor(s_acctbal) AS DOUBLE) END AS c_acctbal
+FROM n JOIN supplier USING (s_suppkey), m""")
+def e5(spark, sf):
+    state = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    v = E.validate(_create_rows(spark, sf), _CREATE_RULES, state, "c_custkey")
+    return E.creates_to_rows(state, v, ["c_name", "c_acctbal"], "c_custkey")
+
+
+@register("e6_scope_stamp", _CREATED + """
+SELECT m + k AS c_custkey, s_name AS c_name, 7 AS c_nationkey FROM n, m
+UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer""")
+def e6(spark, sf):
+    state = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    out = E.apply_edits(state, _create_rows(spark, sf), _CREATE_RULES, "c_custkey", scope=("c_nationkey", 7), stop=False)
+    return out.state.select("c_custkey", "c_name", "c_nationkey")
+
+
+@register("e13_seed", """
+SELECT n_nationkey + 1 AS pkid, n_name AS name, true AS seeded_twice FROM (SELECT row_number() OVER (ORDER BY n_name) - 1 AS n_nationkey, n_name FROM nation)
+UNION ALL SELECT (SELECT count(*) FROM nation) + row_number() OVER (ORDER BY r_name), r_name, false FROM region""")
+def e13(spark, sf):
+    # an absent table is created with the nations, then seeded again with nations and regions
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit(True).alias("seeded_twice"))
+    r = table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit(False).alias("seeded_twice"))
+    first = E.seed(None, n, "name", key="pkid")
+    return E.seed(first, n.withColumn("seeded_twice", F.lit(False)).unionByName(r), "name", key="pkid").select("pkid", "name", "seeded_twice")
+
+
+# ---- references ----
+
+def _referring(spark, sf):
+    """Tables that refer to parts by one key and by lists: an order's parts, a line's part."""
+    li = table(spark, sf, "lineitem")
+    lines = li.select("l_orderkey", F.col("l_partkey").alias("fk_part"), F.lit("x").alias("fk_partner"))
+    lists = li.groupBy("l_orderkey").agg(F.concat_ws(",", F.collect_list(F.col("l_partkey").cast("string"))).alias("fk_part_list"))
+    return {"lines": lines, "baskets": lists}
+
+
+_SQL_REFS = """
+WITH d AS (SELECT l_partkey AS p_partkey, count(*) AS n, 'lines' AS ref_table FROM lineitem GROUP BY 1
+           UNION ALL SELECT l_partkey, count(DISTINCT l_orderkey), 'baskets' FROM lineitem GROUP BY 1)"""
+
+
+@register("e8_list_refs", _SQL_REFS + " SELECT p_partkey, n, ref_table FROM d WHERE p_partkey IN (SELECT p_partkey FROM part WHERE p_size > 45)")
+def e8l(spark, sf):
+    asked = table(spark, sf, "part").where("p_size > 45")
+    return E.dependency_counts(asked, "p_partkey", E.reference_columns(_referring(spark, sf), "part"))
+
+
+@register("e9_next_state", """
+SELECT p_partkey, p_name FROM part WHERE NOT (p_size > 45 AND p_partkey NOT IN (
+  SELECT l_partkey FROM lineitem WHERE l_quantity > 40))""")
+def e9n(spark, sf):
+    # only large lines hold their part, so that some requested parts are free
+    p = table(spark, sf, "part")
+    refs = E.reference_columns({"large": table(spark, sf, "lineitem").where("l_quantity > 40").groupBy("l_orderkey").agg(
+        F.concat_ws(", ", F.collect_list(F.col("l_partkey").cast("string"))).alias("fk_part_list"))}, "part")
+    after, _ = E.guarded_delete(p, p.where("p_size > 45"), "p_partkey", refs)
+    return after.select("p_partkey", "p_name")
+
+
+@register("e10_form_reorder", """
+SELECT a.c_custkey, coalesce(b.c_custkey * 10, a.c_custkey * 10) AS row_order
+FROM customer a LEFT JOIN customer b ON b.c_custkey = xor(a.c_custkey, 1)""")
+def e10f(spark, sf):
+    c = table(spark, sf, "customer")
+    state = c.select("c_custkey", (F.col("c_custkey") * 10).alias("row_order"))
+    ch = c.select(F.col("c_custkey").alias("seq"), F.lit("edit").alias("action"), F.col("c_custkey").alias("pkid"), F.lit("DT_RowId").alias("field"),
+                  F.col("c_custkey").bitwiseXOR(F.lit(1)).cast("string").alias("value"))
+    once = E.reorder_changes(state, ch, "c_custkey", "row_order")
+    # a post that holds another field as well leaves the order alone
+    mixed = ch.unionByName(ch.limit(1).withColumn("field", F.lit("row_order")))
+    return E.reorder_changes(once, mixed, "c_custkey", "row_order")
+
+
+# ---- the whole pipeline: posted pairs to the next table ----
+
+_POST_RULES = [E.FieldRule("name", "varchar", 30, unique=True), E.FieldRule("size", "int", 3), E.FieldRule("fk_nation", "int"),
+               E.FieldRule("files", "varchar", 200), E.FieldRule("tags", "varchar", 60)]
+
+
+def _post(spark, sf, action: str):
+    """One pair per posted key: customers with their nation by name (one nation is new), two files and two list values each."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.concat(F.lit("data["), F.col("c_custkey").cast("string"), F.lit("]"))
+    nation = F.when(F.col("c_nationkey") == 3, F.lit("ATLANTIS")).otherwise(F.col("n_name"))
+    pairs = [("[main][name]", F.concat(F.col("c_name"), F.lit("+"))), ("[main][size]", F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.lit("12"))),
+             ("[main][fk_nation]", nation), ("[uploads][0][id]", F.lit("7")), ("[uploads][1][id]", F.col("c_nationkey").cast("string")),
+             ("[uploads-many-count]", F.lit("2")), ("[main][tags][]", F.lit("a")), ("[main][tags][]", F.lit("b")), ("[DT_RowId]", F.lit("x"))]
+    posted = c.select("c_custkey", F.posexplode(F.array(*[F.struct(F.concat(key, F.lit(k)).alias("key"), v.cast("string").alias("value"))
+                                                         for k, v in pairs])).alias("i", "p"))
+    rows = posted.select((F.col("c_custkey") * 100 + F.col("i")).alias("pos"), "p.*")
+    head = spark.range(1).select(F.lit(-1).cast("bigint").alias("pos"), F.lit("action").alias("key"), F.lit(action).alias("value"))
+    return rows.unionByName(head)
+
+
+@register("e_pipeline_edit", """
+SELECT c_custkey, c_name || '+' AS name, CASE WHEN c_acctbal < 0 THEN NULL ELSE 12 END AS size,
+  CASE WHEN c_nationkey = 3 THEN (SELECT max(n_nationkey) + 1 FROM nation) ELSE c_nationkey END AS fk_nation,
+  '[{"id":"7"},{"id":"' || c_nationkey || '"}]' AS files, 'a,b' AS tags FROM customer""")
+def e_pipeline(spark, sf):
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("pkid"), F.col("n_name").alias("name"))
+    state = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit(0).alias("size"),
+                                                F.col("c_nationkey").cast("bigint").alias("fk_nation"), F.lit("").alias("files"), F.lit("").alias("tags"))
+    ch = E.form_changes(_post(spark, sf, "edit"), upload_many={"uploads": "files"})
+    return E.apply_edits(state, ch, _POST_RULES, "c_custkey", tags={"nation": E.Tag(nations, "name")}).state

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostlens.operators.scan import ordinal
-from hostlens.plans.fetch_spec import (FetchSpec, Lookup, fetch, json_ids, key_filter, list_bad_members, list_ids,
-                                       options)
+from hostlens.plans.fetch_spec import (FetchSpec, Lookup, catalogue, chart_list, fetch, json_ids, key_filter, list_bad_members,
+                                       list_ids, nest_dotted, options, role_options, side_options)
 from hostlens.registry import register, table
 
 
@@ -163,11 +163,7 @@ SELECT string_split(t.type, ' ')[-1] AS role, string_split(t.type, ' ')[-1] <> '
   h.pkid AS value, h.hostname AS label
 FROM hosts h JOIN types t ON h.fk_types = t.pkid WHERE t.object_type = 'Cucm'""")
 def t17(spark, sf):
-    t = _types(spark, sf).where(F.col("object_type") == "Cucm").select(F.col("pkid").alias("t_pkid"), "type")
-    j = _hosts(spark, sf).join(t, F.col("fk_types") == F.col("t_pkid"))
-    role = F.element_at(F.split(F.col("type"), " "), -1)
-    return j.select(role.alias("role"), (role != "Pub").alias("multi"),
-                    F.col("pkid").alias("value"), F.col("hostname").alias("label"))
+    return role_options(_hosts(spark, sf), _types(spark, sf))
 
 
 @register("t18_side_options", _SQL_TYPES + """
@@ -177,13 +173,7 @@ FROM hosts h JOIN types t ON h.fk_types = t.pkid,
               ELSE ['a', 'b'] END) AS s(side)
 WHERE t.object_type = 'Ucce'""")
 def t18(spark, sf):
-    t = _types(spark, sf).where(F.col("object_type") == "Ucce").select(F.col("pkid").alias("t_pkid"))
-    h = _hosts(spark, sf)
-    j = h.join(t, F.col("fk_types") == F.col("t_pkid"))
-    low = F.lower(F.col("hostname"))
-    sides = (F.when(low.endswith("a"), F.array(F.lit("a"))).when(low.endswith("b"), F.array(F.lit("b")))
-             .otherwise(F.array(F.lit("a"), F.lit("b"))))
-    return j.select(F.explode(sides).alias("side"), F.col("pkid").alias("value"), F.col("hostname").alias("label"))
+    return side_options(_hosts(spark, sf), _types(spark, sf))
 
 
 @register("t20_chart_list", """
@@ -191,10 +181,11 @@ SELECT o_orderkey, c_name, n_name, r_name, o_totalprice FROM orders
 LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
 LEFT JOIN region ON n_regionkey = r_regionkey""")
 def t20(spark, sf):
-    o, c, n, r = (table(spark, sf, x) for x in ("orders", "customer", "nation", "region"))
-    return (o.join(c, o.o_custkey == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left")
-            .join(r, n.n_regionkey == r.r_regionkey, "left")
-            .select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice"))
+    spec = chart_list("orders", "o_orderkey", ("o_totalprice",), [
+        ("customer", "o_custkey", "c_custkey", ("c_name",)), ("nation", "customer.c_nationkey", "n_nationkey", ("n_name",)),
+        ("region", "nation.n_regionkey", "r_regionkey", ("r_name",))])
+    out = fetch(spec, _t(spark, sf, "orders", "customer", "nation", "region"))
+    return out.select("main.o_orderkey", "customer.c_name", "nation.n_name", "region.r_name", "main.o_totalprice")
 
 
 # The two chart sources the catalogue is seeded with.
@@ -222,17 +213,30 @@ def t19(spark, sf):
                       F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("fk_graph_sources"),
                       F.col("n_regionkey").alias("fk_textfsm"), F.col("n_nationkey").alias("fk_perfmon_counters")))
     sources = spark.createDataFrame(GRAPH_SOURCES, "pkid int, field string, title string")
-    textfsm = r.select(F.col("r_regionkey").alias("t_pkid"),
-                       F.concat(F.lit("Value "), F.lower("r_name"), F.lit(" (\\S+)")).alias("script"))
-    counters = n.select(F.col("n_nationkey").alias("c_pkid"),
-                        F.concat("n_name", F.lit("\\% Processor Time")).alias("counter"))
-    ids = charts.select("pkid", "fk_graph_sources", "fk_textfsm", "fk_perfmon_counters",
-                        F.explode(json_ids("uploaded_files")).alias("f"))
-    res = (ids.join(p, F.col("f.id") == F.col("p_partkey"))
-           .join(F.broadcast(sources), F.col("fk_graph_sources") == sources.pkid)
-           .join(textfsm, F.col("fk_textfsm") == F.col("t_pkid"), "left")
-           .join(counters, F.col("fk_perfmon_counters") == F.col("c_pkid"), "left"))
-    return res.select(ids.pkid.alias("chart_id"), F.col("p_partkey").alias("upload_id"),
-                      F.col("p_name").alias("upload_name"), F.col("field").alias("source_field"),
-                      F.when(F.col("field") == "fk_textfsm", F.col("script")).otherwise(F.col("counter"))
-                      .alias("filter_data"))
+    templates = r.select(F.col("r_regionkey").alias("pkid"), F.concat(F.lit("Value "), F.lower("r_name"), F.lit(" (\\S+)")).alias("script"))
+    counters = n.select(F.col("n_nationkey").alias("pkid"), F.concat("n_name", F.lit("\\% Processor Time")).alias("name"))
+    uploads = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("filename"))
+    return catalogue(charts, uploads, sources, templates, counters)
+
+
+@register("t13_json_ids", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE coalesce(n, 0) END AS n_ids, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE coalesce(s, 0) END AS sum_ids
+FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n, CAST(sum(DISTINCT l_partkey) AS BIGINT) AS s
+                       FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def t13_ids(spark, sf):
+    files = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_set(
+        F.struct(F.col("l_partkey").cast("string").alias("id")))).alias("j"))
+    o = table(spark, sf, "orders").join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    ids = json_ids(F.when(F.col("o_orderstatus") == "P", F.lit("no json")).otherwise(F.col("j")))
+    return o.select("o_orderkey", F.size(ids).cast("bigint").alias("n_ids"),
+                    F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x["id"]).alias("sum_ids"))
+
+
+@register("t14_nested_names", "SELECT o_orderkey, o_orderstatus, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
+def t14(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    dotted = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.col("o_orderstatus").alias("main.status"), F.col("c_name").alias("customer.name"), F.col("c_acctbal").alias("customer.bal"))
+    nested = nest_dotted(dotted)
+    return nested.select("o_orderkey", F.col("main.status").alias("o_orderstatus"), F.col("customer.name").alias("c_name"),
+                         F.col("customer.bal").alias("c_acctbal"))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hostlens.functions.address import address_to_name
+from hostlens.functions.address import IPV4, address_to_name
 from hostlens.functions.headings import normalize_headings
 from hostlens.functions.timefmt import normalize_time_text
 from hostlens.plans.template import extract
 from hostlens.session import scratch_path
 from hostlens.sources.counters import read_counters
-from hostlens.sources.inventory import inventory, inventory_lookup
+from hostlens.sources.inventory import inventory, inventory_lookup, refresh_inventory
 from hostlens.sources.lines import raw_lines, read_lines, text_lines
 from hostlens.sources.render import render_counter_csv, render_device_log
+from hostlens.registered.common import building_hosts
 from hostlens.registry import register, table
 
 COUNTER = "Events\\purchase"
@@ -112,22 +113,132 @@ SELECT doc_id, CASE WHEN h.hostname IS NOT NULL THEN replace(f.text, f.ip, h.hos
 FROM f LEFT JOIN hosts h ON f.ip = h.ip""")
 def i6(spark, sf):
     docs = table(spark, sf, "documents")
-    ip_any = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
-    hosts = (docs.where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit(ip_any), 0)).alias("ip"))
+    hosts = (docs.where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit(IPV4), 0)).alias("ip"))
              .distinct().select("ip", F.concat(F.lit("host-"), F.regexp_replace("ip", r"\.", "-")).alias("hostname")))
     return address_to_name(docs.select("doc_id", "text"), "text", hosts)
 
 
-@register("i8_file_inventory")
+_SQL_BYTES = r"""
+WITH types AS (SELECT DISTINCT event_type AS t FROM events),
+h AS (SELECT user_id, 'HOST' || user_id AS host FROM events GROUP BY 1),
+head AS (SELECT host, user_id, length('"(PDH-CSV 4.0) (UTC)(0)"') + sum(length(',"\\' || host || '\Events\' || t || '"')) + 1 AS b FROM h, types GROUP BY 1, 2),
+body AS (SELECT user_id, sum(length('"01/01/2024 00:00:00.000"') + ((SELECT count(*) FROM types) - 1) * length('," "')
+                             + length(',"' || printf('%.2f', value) || '"') + 1) AS b FROM events GROUP BY 1)
+SELECT host, CAST(head.b + body.b AS BIGINT) AS filesize FROM head JOIN body USING (user_id)"""
+
+
+def _per_host(inv):
+    """Bytes per host folder (a host may have several files)."""
+    return inv.groupBy(F.regexp_extract("system_path", r"host=([^/]+)/", 1).alias("host")).agg(F.sum("filesize").cast("bigint").alias("filesize"))
+
+
+@register("i8_file_inventory", _SQL_BYTES)
 def i8(spark, sf):
-    return inventory(spark, counter_files(spark, sf))
+    return _per_host(inventory(spark, counter_files(spark, sf), name_parts=2))
 
 
-@register("i9_inventory_lookup")
+@register("i8_refresh_inventory", _SQL_BYTES)
+def i8r(spark, sf):
+    # an older inventory knows half of the files, with sizes of before
+    scanned = inventory(spark, counter_files(spark, sf), name_parts=2)
+    older = scanned.where(F.pmod(F.xxhash64("filename"), F.lit(2)) == 0).withColumn("filesize", F.lit(0).cast("bigint"))
+    return _per_host(refresh_inventory(older, scanned))
+
+
+@register("i9_inventory_lookup", _SQL_BYTES + " WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def i9(spark, sf):
-    inv = inventory(spark, counter_files(spark, sf))
-    keyed = inv.withColumn("id", F.xxhash64("filename"))
-    return inventory_lookup(keyed, keyed.select("id"))
+    # uploads asked for by the ids that charts of one group of hosts hold
+    inv = inventory(spark, counter_files(spark, sf), name_parts=2).withColumn("id", F.xxhash64("filename"))
+    host = F.regexp_extract("filename", r"host=HOST([^/]+)/", 1)
+    asked = inv.join(building_hosts(spark, sf), host == F.col("host"), "left_semi").select("id")
+    return _per_host(inventory_lookup(inv, asked))
+
+
+# ---- templates of our own: end anchor, empty captures, Required with Clear, Continue with List, Fillup ----
+
+_EVENT_TEXT = "printf('%.2f', value)"
+_HOST = "'cube' || CAST(user_id AS VARCHAR)"
+
+
+def _own(spark, sf, template: str):
+    return extract(raw_lines(spark, log_files(spark, sf)), template, order_cols=["_block", "_mid"])
+
+
+@register("i3_end_anchor", f"""
+SELECT {_HOST} AS "Host", split_part({_EVENT_TEXT}, '.', 1) AS "Whole", split_part({_EVENT_TEXT}, '.', 2) AS "Cents" FROM events""")
+def i3_anchor(spark, sf):
+    return _own(spark, sf, r"""Value Filldown host (\S+)
+Value Required whole (\d+)
+Value cents (\d\d)
+
+Start
+  ^${host}#show calls$$
+  ^Total Number of Active Calls : ${whole}\.${cents}$$ -> Record
+""").select("Host", "Whole", "Cents")
+
+
+@register("i3_empty_capture", f"""
+SELECT {_HOST} AS "Host", regexp_extract(strftime(ts, '%g'), '^[5-9]*') AS "High" FROM events
+WHERE CAST(split_part({_EVENT_TEXT}, '.', 1) AS INTEGER) % 2 = 0""")
+def i3_empty(spark, sf):
+    # the high digits of the milliseconds may be none; lines with an odd count make no record
+    return _own(spark, sf, r"""Value Filldown host (\S+)
+Value high ([5-9]*)
+
+Start
+  ^${host}#
+  ^Query @ .*\.${high}
+  ^Total .*[02468]\.\d\d$$ -> Record
+
+EOF
+""").select("Host", "High")
+
+
+@register("i3_required_clear", f"""
+SELECT {_HOST} AS "Host", strftime(ts, '%H:%M:%S') AS "Time", split_part({_EVENT_TEXT}, '.', 1) AS "Calls" FROM events
+WHERE CAST(split_part({_EVENT_TEXT}, '.', 1) AS INTEGER) >= 10""")
+def i3_required(spark, sf):
+    return _own(spark, sf, r"""Value Filldown host (\S+)
+Value time (\d+:\d+:\d+)
+Value Required calls ([1-9]\d+)
+
+Start
+  ^${host}#
+  ^Query @ \S+ ${time}
+  ^Total Number of Active Calls : ${calls}\.\d\d$$ -> Record
+  ^Total Number of Active Calls : 0 -> Clear
+  ^Total -> Record
+""").select("Host", "Time", "Calls")
+
+
+@register("i3_continue_list", f"""SELECT {_HOST} AS "Host", replace({_EVENT_TEXT}, '.', ',') AS "Part" FROM events""")
+def i3_list(spark, sf):
+    out = _own(spark, sf, r"""Value Filldown host (\S+)
+Value Required,List part (\d+)
+
+Start
+  ^${host}#
+  ^Total Number of Active Calls : ${part}\. -> Continue
+  ^Total .*\.${part}$$ -> Record
+""")
+    return out.select("Host", F.array_join("Part", ",").alias("Part"))
+
+
+@register("i3_fillup", f"""
+WITH d AS (SELECT *, CASE WHEN hour(ts) < 10 THEN strftime(ts, '%d') END AS d FROM events)
+SELECT {_HOST} AS "Host", {_EVENT_TEXT} AS "Calls",
+  coalesce(first_value(d IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), '') AS "Day" FROM d""")
+def i3_fillup(spark, sf):
+    # the day is seen only before ten o'clock; records without one take the next
+    return _own(spark, sf, r"""Value Filldown host (\S+)
+Value Fillup day (\d\d)
+Value Required calls (\S+)
+
+Start
+  ^${host}#
+  ^Query @ \d+-\d+-${day} 0
+  ^Total Number of Active Calls : ${calls} -> Record
+""").select("Host", "Calls", "Day")
 
 
 @register("i1_counter_rejects", """

@@ -32,6 +32,15 @@ def o1u(spark, sf):
     return natural_rank(p, "url", "page_id")
 
 
+@register("o1_natural_sort_numbers", """
+SELECT event_id, v, row_number() OVER (ORDER BY CAST(v AS DOUBLE), v, event_id) - 1 AS rank
+FROM (SELECT event_id, printf('%.2f', value - 50) AS v FROM events) WHERE v <> '-0.00'""")
+def o1n(spark, sf):
+    # signed decimals, ordered by the number they are
+    v = F.format_string("%.2f", F.col("value") - 50)
+    return natural_rank(table(spark, sf, "events").select("event_id", v.alias("v")).where("v <> '-0.00'"), "v", "event_id")
+
+
 @register("o2_natural_nohtml", """
 SELECT page_id, row_number() OVER (ORDER BY """ + _sql_natkey("regexp_replace(html, '<[^>]+>', '', 'g')")
           + """, html, page_id) - 1 AS rank FROM pages""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hostlens.plans.query_spec import JoinSpec, QuerySpec, first_row, raw_sql
+from hostlens.plans.query_spec import JoinSpec, QuerySpec, column_values, first_row, raw_sql
 from hostlens.registry import r6, register, table
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -45,7 +45,7 @@ SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey < r.r_reg
 def r3t(spark, sf):
     # theta join on two small dimension tables (nested loop is the right plan here)
     spec = QuerySpec("nation", "n", select=["n.n_name", "r.r_name"],
-                     joins=[JoinSpec("region", "r", "n.n_regionkey", "<", "r_regionkey")])
+                     joins=[JoinSpec("region", "r", "n.n_regionkey", "<", "r_regionkey", max_rows=5)])
     return spec.apply(_tables(spark, sf, ("nation", "region")))
 
 
@@ -57,6 +57,15 @@ def r4(spark, sf):
     return spec.apply(_tables(spark, sf, ("lineitem",)))
 
 
+@register("r4_where_params", """
+SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' AND l_linestatus <> ':x'""")
+def r4p(spark, sf):
+    spec = QuerySpec("lineitem", "l", select=["l.l_orderkey", "l.l_linenumber", "l.l_quantity * :times AS q"],
+                     where="l.l_quantity > :least AND l.l_returnflag = :flag AND l.l_linestatus <> ':x'",
+                     params={"least": 45, "flag": "R", "times": 2})
+    return spec.apply(_tables(spark, sf, ("lineitem",)))
+
+
 @register("r5_group_by", """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 6) AS sum_qty,
   round(sum(l_extendedprice), 6) AS sum_base_price,
@@ -96,7 +105,7 @@ SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS avg_bal FROM cus
 WHERE c_acctbal > 0 GROUP BY c_mktsegment""")
 def r8(spark, sf):
     return raw_sql(spark, "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS avg_bal "
-                          "FROM customer WHERE c_acctbal > :min_bal GROUP BY c_mktsegment",
+                          "FROM {customer} WHERE c_acctbal > :min_bal GROUP BY c_mktsegment",
                    _tables(spark, sf, ("customer",)), {"min_bal": 0})
 
 
@@ -109,7 +118,7 @@ def r12(spark, sf):
 
 @register("r13_column_values", "SELECT DISTINCT c_mktsegment FROM customer")
 def r13(spark, sf):
-    return table(spark, sf, "customer").select("c_mktsegment").distinct()
+    return column_values(table(spark, sf, "customer"), "c_mktsegment").distinct()
 
 
 @register("r10_update_order_limit", """

@@ -182,6 +182,7 @@ def q10(spark, sf):
                      ts_text("Timestamp").alias("Timestamp"), r6("Value").alias("Value"), "x")
 
 
+#: The event types of the generated tables; the query itself asks the data, so a new type gets its column.
 SERIES_VALUES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -189,9 +190,28 @@ SERIES_VALUES = ["click", "error", "purchase", "signup", "view"]
     f"round(avg(\"Value\") FILTER (WHERE \"Series\" = '{v}'), 6) AS {v}" for v in SERIES_VALUES)
     + f" FROM {M} m GROUP BY 1")
 def q11(spark, sf):
-    df = S.pivot_wide(_numeric(spark, sf), F.date_format("Timestamp", "yyyy-MM-dd"), "Series",
-                      SERIES_VALUES, "Value", agg="avg")
-    return df.select("row_key", *[r6(v).alias(v) for v in SERIES_VALUES])
+    df = _numeric(spark, sf)
+    values = S.pivot_values(df, "Series")
+    wide = S.pivot_wide(df, F.date_format("Timestamp", "yyyy-MM-dd"), "Series", values, "Value", agg="avg")
+    return wide.select("row_key", *[r6(v).alias(v) for v in values])
+
+
+@register("q11_pivot_left_first", f"""
+WITH h AS (SELECT date_trunc('hour', "Timestamp") AS t, "Series", "Value", pos FROM {M} m),
+f AS (SELECT t, "Series", arg_min("Value", pos) AS v FROM h GROUP BY 1, 2)
+SELECT strftime(a.t, '%Y-%m-%d %H') AS row_key, a.v AS error, b.v AS signup FROM f a LEFT JOIN f b ON a.t = b.t AND b."Series" = 'signup'
+WHERE a."Series" = 'error'""")
+def q11l(spark, sf):
+    return S.pivot_left(_numeric(spark, sf), F.date_format("Timestamp", "yyyy-MM-dd HH"), "Series", ["error", "signup"], "Value")
+
+
+@register("q10_grouped_positional", f"""
+WITH r AS (SELECT *, (row_number() OVER (ORDER BY pos) - 1) // 3 AS bucket FROM {M} m),
+b AS (SELECT bucket, arg_min("Series", pos) AS "Series", min("Timestamp") AS t, avg("Value") AS v FROM r GROUP BY bucket)
+SELECT bucket, "Series", {sql_ts('t')} AS "Timestamp", round(v, 6) AS "Value", row_number() OVER (PARTITION BY "Series" ORDER BY bucket) - 1 AS x FROM b""")
+def q10p(spark, sf):
+    df = S.grouped_series(_numeric(spark, sf), "Series", 45, "mean", positional=True)
+    return df.select("bucket", "Series", ts_text("Timestamp").alias("Timestamp"), r6("Value").alias("Value"), "x")
 
 
 @register("q12_ordinal_x", f"""
@@ -205,7 +225,7 @@ def q12(spark, sf):
 @register("q13_hour_ticks", f"""
 WITH s AS (SELECT "Hostname", min("Timestamp") AS st, max("Timestamp") AS en FROM {M} m GROUP BY 1),
 h AS (SELECT *, CAST(floor((epoch_us(en) - epoch_us(st)) / 3600000000) AS INTEGER) AS hours FROM s)
-SELECT "Hostname", {sql_ts('st')} AS start, unnest(generate_series(0, hours, greatest(CAST(floor(hours / 24) AS INTEGER), 1))) AS tick_hour
+SELECT "Hostname", {sql_ts('st')} AS start, unnest(generate_series(0, hours, greatest(CAST(ceil((hours + 1) / 24.0) AS INTEGER), 1))) AS tick_hour
 FROM h""")
 def q13(spark, sf):
     df = S.hour_ticks(measurements(spark, sf), max_labels=24)
@@ -254,20 +274,77 @@ def q14(spark, sf):
 
 def _saved_specs(spark, sf):
     """One saved chart per series value: options JSON as a chart page stores it;
-    click and view charts chose the max, the others kept the default."""
+    click and view charts chose the max, the others the last row of each hour."""
     ev = table(spark, sf, "events")
     et = ev.select("event_type").distinct()
-    opts = F.when(F.col("event_type").isin("click", "view"),
-                  F.to_json(F.create_map(F.lit("filter"), F.col("event_type"), F.lit("aggregation"), F.lit("MAX"))))\
-        .otherwise(F.to_json(F.create_map(F.lit("filter"), F.col("event_type"))))
+    agg = F.when(F.col("event_type").isin("click", "view"), F.lit("MAX")).otherwise(F.lit("last"))
+    opts = F.to_json(F.create_map(F.lit("filter"), F.col("event_type"), F.lit("aggregation"), agg, F.lit("interval"), F.lit("3600"),
+                                  F.lit("bucket"), F.lit("time"), F.lit("title"), F.lit("ignored")))
     return et.select(F.col("event_type").alias("spec_id"), opts.alias("options"))
 
 
 @register("q15_saved_specs", f"""
-SELECT "Series" AS spec_id, "Hostname", {sql_ts(_sql_bucket(3600))} AS bucket_start,
+SELECT "Series" AS spec_id, "Hostname", CAST(epoch_us("Timestamp") // 3600000000 * 3600 AS BIGINT) AS bucket,
   CASE WHEN "Series" IN ('click', 'view') THEN max("Value") ELSE arg_max("Value", ("Timestamp", pos)) END AS "Value"
-FROM {M} m GROUP BY "Series", "Hostname", {_sql_bucket(3600)}""")
+FROM {M} m GROUP BY "Series", "Hostname", epoch_us("Timestamp") // 3600000000""")
 def q15(spark, sf):
     from hostlens.operators.specs import run_specs
-    out = run_specs(_numeric(spark, sf), _saved_specs(spark, sf))
-    return out.withColumn("bucket_start", ts_text("bucket_start"))
+    return run_specs(_numeric(spark, sf), _saved_specs(spark, sf)).drop("Timestamp")
+
+
+def _spec(spark, *options: str):
+    return spark.range(len(options)).select(F.col("id").alias("spec_id"), F.element_at(F.array(*[F.lit(o) for o in options]), F.col("id").cast("int") + 1).alias("options"))
+
+
+def _run(spark, sf, *options: str):
+    from hostlens.operators.specs import run_specs
+    return run_specs(_numeric(spark, sf), _spec(spark, *options)).withColumn("Timestamp", ts_text("Timestamp"))
+
+
+@register("q15_no_filter", f"""
+WITH r AS (SELECT *, (row_number() OVER (PARTITION BY "Hostname" ORDER BY "Timestamp", pos) - 1) // 4 AS bucket FROM {M} m)
+SELECT 0::BIGINT AS spec_id, "Hostname", bucket, {sql_ts('min("Timestamp")')} AS "Timestamp", round(avg("Value"), 6) AS "Value"
+FROM r GROUP BY "Hostname", bucket""")
+def q15n(spark, sf):
+    return _run(spark, sf, '{"interval": "60", "aggregation": "average", "filter": null}').withColumn("Value", r6("Value"))
+
+
+@register("q15_host_list", f"""
+SELECT 0::BIGINT AS spec_id, "Hostname", NULL::BIGINT AS bucket, {sql_ts('"Timestamp"')} AS "Timestamp", "Value" FROM {M} m WHERE "Hostname" IN ('3', '14', '77')
+UNION ALL SELECT 1, "Hostname", NULL, {sql_ts('"Timestamp"')}, "Value" FROM {M} m WHERE "Hostname" = '3' AND "Series" = 'view'""")
+def q15h(spark, sf):
+    return _run(spark, sf, '{"hostnames": ["3", "14", "77", "3"], "interval": "", "aggregation": ""}', '{"hostnames": "3", "filter": "view"}')
+
+
+@register("q15_time_range", f"""
+SELECT 0::BIGINT AS spec_id, "Hostname", NULL::BIGINT AS bucket, {sql_ts('"Timestamp"')} AS "Timestamp", "Value" FROM {M} m
+WHERE "Timestamp" BETWEEN TIMESTAMP '{RANGE_START}' AND TIMESTAMP '{RANGE_END}' AND "Series" = 'error'
+UNION ALL SELECT 1, "Hostname", NULL, {sql_ts('"Timestamp"')}, "Value" FROM {M} m WHERE "Timestamp" <= TIMESTAMP '{RANGE_START}'""")
+def q15t(spark, sf):
+    return _run(spark, sf, f'{{"start_time": "{RANGE_START}", "end_time": "{RANGE_END}", "filter": "error"}}', f'{{"end_time": "{RANGE_START}"}}')
+
+
+@register("q15_bad_interval", f"""
+SELECT s AS spec_id, "Hostname", NULL::BIGINT AS bucket, {sql_ts('"Timestamp"')} AS "Timestamp", "Value"
+FROM {M} m, (SELECT unnest([0, 1, 2, 3])::BIGINT AS s) WHERE "Series" = 'signup'""")
+def q15b(spark, sf):
+    return _run(spark, sf, '{"interval": "0", "aggregation": "last", "bucket": "time", "filter": "signup"}',
+                '{"interval": "soon", "aggregation": "last", "filter": "signup"}', '{"interval": "20", "aggregation": "last", "filter": "signup"}',
+                '{"interval": "30", "aggregation": "median", "filter": "signup"}')
+
+
+@register("q5_text_index", f"""
+SELECT event_id AS pos, {sql_ts("date_trunc('second', ts)")} AS "Timestamp" FROM events""")
+def q5t(spark, sf):
+    text = table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.date_format("ts", "MM/dd/yyyy HH:mm:ss.SSS").alias("Timestamp"))
+    return S.time_index(text, "Timestamp").withColumn("Timestamp", ts_text("Timestamp"))
+
+
+def _sql_chart_magnitude(x: str) -> str:
+    return _sql_magnitude(x, 1024, False).replace("pow(1024", "pow(1000")
+
+
+@register("q14_chart_magnitude", f"SELECT o_orderkey, {_sql_chart_magnitude(_CENTS)} AS m FROM orders")
+def q14c(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    return add_magnitude(o, "cents", "m", chart=True).select("o_orderkey", "m")

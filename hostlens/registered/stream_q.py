@@ -40,7 +40,7 @@ def s1(spark, sf):
 def s1s(spark, sf):
     log = _log(spark, sf)
     src = scratch_path(spark, "log-source")
-    log.repartition(4).write.mode("errorifexists").parquet(src)
+    log.write.mode("errorifexists").parquet(src)
     sink = scratch_path(spark, "log-sink")
     tail_stream(spark, src, log.schema, "pkid", _cursor(spark, sf), sink, scratch_path(spark, "log-ckpt"))
     return spark.read.parquet(sink).withColumn("Time", ts_text("Time"))
@@ -60,7 +60,7 @@ def q9s(spark, sf):
                                            F.col("user_id").cast("string").alias("Hostname"),
                                            F.col("value").alias("Value"))
     src = scratch_path(spark, "events-source")
-    ev.repartition(4).write.mode("errorifexists").parquet(src)
+    ev.write.mode("errorifexists").parquet(src)
     sink = scratch_path(spark, "buckets-sink")
     stream_time_buckets(spark, src, ev.schema, time_col="Timestamp", host_col="Hostname", value_col="Value",
                         seconds=3600, delay=f"{DELAY_HOURS} hours", sink_dir=sink,

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from hostlens.operators.kernels import upsert
 
 
-def inventory(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
-    """One row per file; only metadata columns are read (content is pruned)."""
+def inventory(spark: SparkSession, paths, recursive: bool = True, name_parts: int = 1) -> DataFrame:
+    """One row per file; only metadata columns are read (content is pruned).  The name is the
+    last ``name_parts`` parts of the path, for folders in which names repeat."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
           .load(paths if isinstance(paths, (list, tuple)) else [paths]))
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("filename"),
+    return df.select(F.substring_index("path", "/", -name_parts).alias("filename"),
                      F.col("length").alias("filesize"),
                      F.col("modificationTime").cast("timestamp_ntz").alias("timestamp"),
                      F.col("path").alias("system_path"))

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostlens.operators.series import pivot_values
+
 # The performance-counter CSV header cell and the log line shapes.
 PDH_FIRST_HEADER = "(PDH-CSV 4.0) (UTC)(0)"
-EVENT_TYPES = ["click", "view", "purchase", "error", "signup"]
 LOG_QUERY_LINE = "Query @ {}"
 LOG_HOST_LINE = "{}#show calls"
 LOG_CALLS_LINE = "Total Number of Active Calls : {}"
@@ -22,9 +23,10 @@ def _q(c):
     return F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
 
 
-def render_counter_csv(events: DataFrame, out: str, counters=EVENT_TYPES) -> str:
+def render_counter_csv(events: DataFrame, out: str, counters=None) -> str:
     """one CSV per host; header ``"(PDH...)","\\\\HOST<h>\\Events\\<type>",...``;
     the cell of the event's type holds its value, the others a blank ``" "``."""
+    counters = counters or pivot_values(events, "event_type")
     host = F.concat(F.lit("HOST"), F.col("user_id").cast("string"))
     header_cells = [_q(F.lit(PDH_FIRST_HEADER))] + [
         _q(F.concat(F.lit("\\\\"), host, F.lit("\\Events\\" + c))) for c in counters]

@@ -21,10 +21,11 @@ def write_per_host(df: DataFrame, out: str, host_col: str = "Hostname", template
                    fmt: str = "parquet") -> str:
     """One folder per host (``file_name=<template value>``), written in parallel.
 
-    Hosts are not collected to the driver; the writer splits by the partition
-    column.  ``maxRecordsPerFile`` bounds file size when one host is large.
+    Hosts are not collected to the driver.  Rows are gathered by host before the
+    write, so a host makes a few files, not one per task; a rebalance splits a
+    large host over tasks, and ``maxRecordsPerFile`` bounds its files.
     """
-    (df.withColumn("file_name", file_name(template, F.col(host_col)))
+    (df.withColumn("file_name", file_name(template, F.col(host_col))).hint("rebalance", "file_name")
      .write.mode("errorifexists").option("maxRecordsPerFile", 5_000_000)
      .partitionBy("file_name").format(fmt).save(out))
     return out

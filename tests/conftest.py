@@ -18,18 +18,18 @@ SMALL = "/root/testdata/sf0.001"
 
 
 class small_slices:
-    """Force many scan slices on small test data (one slice per ``size`` of input)."""
+    """Force many scan slices on small test data (one slice per ``rows`` rows)."""
 
-    def __init__(self, spark, size="2k"):
-        self.spark, self.size = spark, size
+    def __init__(self, spark, rows=100):
+        self.spark, self.rows = spark, rows
 
     def __enter__(self):
-        self.old = self.spark.conf.get("hostlens.scan.sliceBytes", None)
-        self.spark.conf.set("hostlens.scan.sliceBytes", self.size)
+        self.old = self.spark.conf.get("hostlens.scan.sliceRows", None)
+        self.spark.conf.set("hostlens.scan.sliceRows", str(self.rows))
         return self
 
     def __exit__(self, *exc):
         if self.old is None:
-            self.spark.conf.unset("hostlens.scan.sliceBytes")
+            self.spark.conf.unset("hostlens.scan.sliceRows")
         else:
-            self.spark.conf.set("hostlens.scan.sliceBytes", self.old)
+            self.spark.conf.set("hostlens.scan.sliceRows", self.old)

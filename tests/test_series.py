@@ -81,7 +81,7 @@ def test_bucket_counts_sum_to_rows(spark):
 def test_hour_ticks_thinning(spark):
     df = _frame(spark, [(T0, "a", "x", "1", 0), (T0 + dt.timedelta(hours=10, minutes=5), "a", "x", "2", 1)])
     ticks = [r.tick_hour for r in S.hour_ticks(df, max_labels=4).orderBy("tick_hour").collect()]
-    assert ticks == [0, 2, 4, 6, 8, 10]
+    assert ticks == [0, 3, 6, 9]                    # at most four labels
 
 
 def test_pivot_and_ordinal(spark):
@@ -101,7 +101,7 @@ def test_same_answer_under_partition_counts(spark):
     try:
         for n in ("1", "4", "64"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            with small_slices(spark, "4k"):
+            with small_slices(spark, 100):
                 df = qs["q8a_last_30"].build(spark, SF)
                 results.append(sorted(map(tuple, df.collect())))
     finally:
@@ -115,3 +115,44 @@ def test_natural_rank_keeps_rows(spark):
     r = natural_rank(p, "url", "page_id")
     row = r.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
     assert row[0] == p.count() == row[1] and row[2] == 0 and row[3] == row[0] - 1
+
+
+def test_hour_ticks_never_exceed_the_limit(spark):
+    for hours in (0, 1, 9, 23, 24, 25, 239):
+        df = _frame(spark, [(T0, "a", "x", "1", 0), (T0 + dt.timedelta(hours=hours), "a", "x", "2", 1)])
+        for most in (1, 7, 10, 24):
+            ticks = [r.tick_hour for r in S.hour_ticks(df, max_labels=most).collect()]
+            assert 0 in ticks and len(ticks) <= most
+    assert S.hour_ticks(df).count() == 240
+
+
+def test_pivot_first_is_by_position(spark):
+    df = _frame(spark, [(T0, "a", "x", "late", 9), (T0, "a", "x", "early", 2), (T0, "a", "y", "only", 5), (T0, "b", "y", "q", 1)])
+    wide = {r.row_key: (r.x, r.y) for r in S.pivot_wide(df.repartition(3), "Hostname", "Series", ["x", "y"], "Value").collect()}
+    assert wide == {"a": ("early", "only"), "b": (None, "q")}
+    left = S.pivot_left(df, "Hostname", "Series", ["x", "y"], "Value").collect()
+    assert [(r.row_key, r.x, r.y) for r in left] == [("a", "early", "only")]
+    assert S.pivot_values(df, "Series") == ["x", "y"]
+
+
+def test_saved_specs_options(spark):
+    from hostlens.operators.specs import run_specs
+    df = S.coerce_numeric(_f3(spark), "Value")
+    specs = spark.createDataFrame([(0, "{}"), (1, '{"hostnames": ["b"]}'), (2, "not json"), (3, '{"interval": "30", "aggregation": "last"}'),
+                                   (4, '{"filter": "y", "interval": 0, "aggregation": "mean", "bucket": "time"}'), (5, None),
+                                   (6, '{"hostnames": "a", "start_time": "2018-05-11 09:00:15", "end_time": "2018-05-11 09:00:30"}'),
+                                   (7, '{"selected": "Hostname", "filter": "b", "plot": "pos"}')], "spec_id int, options string")
+    out = {}
+    for r in run_specs(df, specs, columns=["Hostname", "pos"]).collect():
+        out.setdefault(r.spec_id, []).append((r.Hostname, r.bucket, r.Value))
+    assert [len(out[i]) for i in (0, 1, 2, 4, 5, 6, 7)] == [8, 1, 8, 3, 8, 3, 1]
+    assert sorted(out[3], key=str) == [("a", 0, 1.5), ("a", 1, 3.5), ("a", 2, None), ("a", 3, 6.5), ("b", 0, 7.0)]
+    assert out[7] == [("b", None, 100.0)]
+
+
+def test_time_texts(spark):
+    from hostlens.functions.timefmt import parse_time, time_losses
+    df = spark.createDataFrame([("09:34:33.123 UTC Fri May 11 2018",), ("*9:34:33 UTC Tue May 1 2018",), ("2018-05-11 09:34:33",), ("soon",), ("",), (None,)], "t string")
+    got = [r.p for r in df.select(parse_time("t").alias("p")).collect()]
+    assert got[:3] == [dt.datetime(2018, 5, 11, 9, 34, 33), dt.datetime(2018, 5, 1, 9, 34, 33), dt.datetime(2018, 5, 11, 9, 34, 33)] and got[3:] == [None] * 3
+    assert tuple(time_losses(df, "t").first()) == (6, 1, "soon")
