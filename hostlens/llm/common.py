@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from hostlens.session import scratch_path
 
-#: Rows per Arrow batch sent to a Python worker; bounds a batch of long texts.
-ARROW_ROWS = 1000
+#: Rows per Arrow batch sent to a Python worker: of texts, which may be long, and of narrow rows.
+TEXT_ROWS, NARROW_ROWS = 500, 10_000
+_OWN_ROWS: dict[str, int] = {}
 
 
 def parked(df: DataFrame, name: str) -> DataFrame:
@@ -48,13 +49,13 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(str(name))
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` (texts may be very long) before Python runs."""
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Before Python runs on executors: send the package there, and set the session's Arrow batch
+    size to ``rows``, or to the user's own where that is smaller."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    own = _OWN_ROWS.setdefault(spark.sparkContext.applicationId, int(spark.conf.get(key)))
+    spark.conf.set(key, str(min(own, rows) if own > 0 else rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,9 +88,9 @@ def one_of_each(rows: DataFrame) -> DataFrame:
     return rows.join(twice, "_key", "left_anti").unionByName(again)
 
 
-def map_batches(df: DataFrame, schema: str | T.StructType, fn: Callable) -> DataFrame:
-    """``fn(pyarrow.RecordBatch) -> list of arrays`` over the batches of ``df``."""
-    small_batches(df.sparkSession)
+def map_batches(df: DataFrame, schema: str | T.StructType, fn: Callable, rows: int = TEXT_ROWS) -> DataFrame:
+    """``fn(pyarrow.RecordBatch) -> list of arrays`` over the batches of ``df``, of ``rows`` at most."""
+    batch_rows(df.sparkSession, rows)
     names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

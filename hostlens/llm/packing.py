@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import small_batches
+from hostlens.llm.common import batch_rows
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_length int, step_group long")
@@ -176,7 +176,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str], np.ndarray]], end
     if longest & (longest - 1) or shortest & (shortest - 1) or shortest > longest:
         raise ValueError("tiers are powers of two")
     spark = docs.sparkSession
-    small_batches(spark, 200)
+    batch_rows(spark, 200)
 
     def rows_of(packer: Packer, base: int, ids: dict) -> pa.RecordBatch:
         found = list(packer.flush())

@@ -164,7 +164,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
                 pa.array(unit, pa.binary()), pa.array(probes, pa.list_(pa.int64()))]
 
     entry = "label string, rep long, weight long, dim int, list long, error double, codes binary, unit binary, probes array<long>"
-    entries = parked(map_batches(classes.select("label", "rep", "weight", "dim", "vec"), entry, assign), "index")
+    entries = parked(map_batches(classes.select("label", "rep", "weight", "dim", "vec"), entry, assign, rows=2000), "index")
     # how many chunks of members and of queries each list has
     keys = ["label", "dim", "list"]
     probes = entries.select("label", "dim", F.explode("probes").alias("list"), "rep", "unit")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostlens.llm import chat, exact_dedup, html_wrappers, licenses, packing, pq_links, sentencepiece_bpe, simhash, token_counts, toxicity
-from hostlens.llm.common import small_batches, table
+from hostlens.llm.common import TEXT_ROWS, batch_rows, table
 from hostlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +75,7 @@ def _rollup(spark: SparkSession, sf_dir: str, counters: dict) -> DataFrame:
     quality (digits removed); then commit both batches again, which must change nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    small_batches(spark)
+    batch_rows(spark, TEXT_ROWS)
     store = token_counts.RollupStore(spark, scratch_path(spark, "token-counts"))
     load = token_counts.changes(docs, "insert", counters)
     touched = docs.join(labels.where("toxic = 1 or quality = 0"), "doc_id")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import components, grouped_batches, group_starts, keyed_rows, map_batches, one_of_each, parked, star_edges
+from hostlens.llm.common import NARROW_ROWS, batch_rows, components, grouped_batches, group_starts, keyed_rows, map_batches, one_of_each, parked, star_edges
 
 SEED = 42
 #: Hashes whose bits are added up at a time.
@@ -86,7 +86,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     n = -(-len(fps) // 64) * 64
     bits = np.zeros((n, 64), np.uint8)
     bits[:len(fps)] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8").astype(np.uint64)
 
 
 def within(queries: np.ndarray, words: np.ndarray, where: np.ndarray, radius: int) -> np.ndarray:
@@ -198,6 +198,7 @@ def links(distinct: DataFrame, n: int, radius: int, chunk: int = 4096) -> DataFr
             u, v = bucket_links(fps, group_starts([t.column(i) for i in range(4)]), np.asarray(t.column("side")), radius)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+    batch_rows(distinct.sparkSession, NARROW_ROWS)
     met = usual.unionByName(spread).repartition("t", "k", "ci", "cj").sortWithinPartitions("t", "k", "ci", "cj")
     return met.mapInArrow(run, "u long, v long")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import map_batches, parked
+from hostlens.llm.common import TEXT_ROWS, batch_rows, map_batches, parked
 
 #: General insults, per language.
 INSULTS = {
@@ -289,6 +289,5 @@ def drop_toxic(docs: DataFrame, classifier: Classifier, text_col: str = "text")
             keep = pa.array([one(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_())
             yield b.filter(keep)
 
-    from hostlens.llm.common import small_batches
-    small_batches(docs.sparkSession)
+    batch_rows(docs.sparkSession, TEXT_ROWS)
     return docs.mapInArrow(run, docs.schema)
