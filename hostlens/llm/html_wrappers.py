@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import grouped_batches, map_batches, parked, small_batches
+from hostlens.llm.common import TEXT_ROWS, batch_rows, grouped_batches, map_batches, parked
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -283,9 +283,11 @@ def region(w: list, pages: int, share: float = 0.6) -> list[str]:
 
 
 def constants(w: list, inside: bool = False) -> set[int]:
-    """Checksums of texts that no page changed and that stand in no paragraph or heading."""
+    """Checksums of texts that every page holds unchanged and that stand in no paragraph or heading."""
     out: set[int] = set()
-    for k, _ in w[1]:
+    for k, optional in w[1]:
+        if optional:
+            continue
         if k[0] == "#":
             if k[1] is not None and not inside:
                 out.add(k[1])
@@ -406,7 +408,7 @@ def infer(pages: DataFrame, html_col: str = "html", url_col: str = "url", salt:
                     [pa.array(list(by_host), pa.string()), pa.array([merge_all(w for w, _ in v) for v in by_host.values()], pa.string()),
                      pa.array([sum(n for _, n in v) for v in by_host.values()], pa.int64())], names=["host", "wrapper", "n"])
 
-        small_batches(df.sparkSession)
+        batch_rows(df.sparkSession, TEXT_ROWS)
         return (df.select(number, "host", "wrapper", "n").repartition("g").sortWithinPartitions("g")
                 .mapInArrow(run, "host string, wrapper string, n long"))
 

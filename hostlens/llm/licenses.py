@@ -24,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,15 +86,20 @@ class Template:
     slack: int
 
 
+def needed(n: int, coverage: float) -> int:
+    """Words of ``n`` that a match must hold."""
+    return ceil(coverage * n - 1e-9)
+
+
 def compiled(templates: dict[str, str], coverage: float) -> list[Template]:
     """Signatures: the longest words of a template, until they make up more than a match may lack."""
     out = []
     for name, text in templates.items():
         words = words_of(text)
         counts = Counter(words)
-        chosen, weight = [], 0
+        chosen, weight, may_lack = [], 0, len(words) - needed(len(words), coverage)
         for w in sorted(counts, key=lambda w: (-len(w), counts[w], w)):
-            if weight > (1 - coverage) * len(words):
+            if weight > may_lack:
                 break
             chosen.append(w)
             weight += counts[w]
@@ -122,23 +128,23 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence as pairs of places."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    """A longest common subsequence as pairs of places, the earliest in ``b``."""
+    rows = [[0] * (len(b) + 1)]      # rows[k][j]: longest of the last k words of a and b[j:]
+    for x in reversed(a):
+        last, row = rows[-1], [0] * (len(b) + 1)
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = last[j + 1] + 1 if x == b[j] else max(last[j], row[j + 1])
         rows.append(row)
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
+    out, i, j, n = [], 0, 0, len(a)
+    while i < n and j < len(b):
+        if a[i] == b[j]:
             out.append((i, j))
-        elif rows[i - 1][j] >= rows[i][j - 1]:
-            i -= 1
+            i, j = i + 1, j + 1
+        elif rows[n - i - 1][j] >= rows[n - i][j + 1]:
+            i += 1
         else:
-            j -= 1
-    return out[::-1]
+            j += 1
+    return out
 
 
 def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -171,34 +177,41 @@ def matches(text: str | None, templates: list[Template], coverage: float) -> lis
             places.setdefault(w, []).append(i)
     out = []
     for t in templates:
-        n, need = len(t.words), coverage * len(t.words)
+        n, need = len(t.words), needed(len(t.words), coverage)
         starts = sorted({p - o for w, offsets in t.signature.items() for p in places.get(w, ()) for o in offsets})
         free = 0        # words before this place belong to a match
         for s in starts:
             if s + n <= free:
                 continue
-            a, e = max(free, s - t.slack), min(len(words), s + n + t.slack)
-            window = words[a:e]
-            if sum((Counter(window) & t.counts).values()) < need:
-                continue
-            pairs = _one_copy(t.words, window)
+            at, pairs = _placed(t, words, s, free, need)
+            if len(pairs) < need:
+                # a stray word of the template before the copy can mislead the anchors
+                at, pairs = _placed(t, words, s, max(free, s), need)
             if len(pairs) >= need:
-                first, last = a + pairs[0][1], a + pairs[-1][1]
+                first, last = at + pairs[0][1], at + pairs[-1][1]
                 out.append((t.name, spans[first][0], spans[last][1], round(len(pairs) / n, 6)))
                 free = last + 1
     return sorted(out, key=lambda m: (m[1], m[0]))
 
 
-def _one_copy(template: list[str], window: list[str]) -> list[tuple[int, int]]:
-    """The alignment; where a second copy in the window hides unique words, that of the window cut behind the first."""
-    best = aligned(template, window)
-    if len(best) < len(template):
-        # short of whole: the same, by the last word that the first copy can end at
-        cut = window[:min(len(window), len(template) + (best[0][1] if best else 0))]
-        other = aligned(template, cut)
-        if len(other) > len(best):
-            best = other
-    return best
+def _placed(t: Template, words: list[str], start: int, free: int, need: int) -> tuple[int, list[tuple[int, int]]]:
+    """(first word of the window, alignment) near ``start``.  The place of a signature word may
+    belong to another place of the template, so a good alignment moves the window to where it
+    puts the template, as long as that aligns more."""
+    best: tuple[int, list[tuple[int, int]]] = (0, [])
+    while True:
+        a, e = max(free, start - t.slack), min(len(words), start + len(t.words) + t.slack)
+        window = words[a:e]
+        if sum((Counter(window) & t.counts).values()) < need:
+            return best
+        pairs = aligned(t.words, window)
+        if len(pairs) <= len(best[1]):
+            return best
+        best = (a, pairs)
+        moved = a + pairs[0][1] - pairs[0][0]
+        if moved == start:
+            return best
+        start = moved
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id",

@@ -60,9 +60,12 @@ class RollupStore:
         return (self._read("sums", TOTALS).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
                 .where("docs != 0 or tokens != 0"))
 
-    def present(self) -> DataFrame:
-        """What each document counts at present, per tokenizer version."""
-        return (self._read("ledger", LEDGER).groupBy("doc_key", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    def present(self, asked: DataFrame | None = None) -> DataFrame:
+        """What each document counts at present, per tokenizer version; only those of ``asked`` (doc_key, tokenizer)."""
+        rows = self._read("ledger", LEDGER)
+        if asked is not None:
+            rows = rows.join(asked, ["doc_key", "tokenizer"], "left_semi")
+        return (rows.groupBy("doc_key", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
                 .where("docs != 0 or tokens != 0"))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
@@ -80,7 +83,7 @@ class RollupStore:
         signed = added
         if self.committed():
             touched = last.select("doc_key", "tokenizer")
-            taken = (self.present().join(touched, ["doc_key", "tokenizer"], "left_semi")
+            taken = (self.present(touched)
                      .select("doc_key", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
             signed = added.unionByName(taken)
         ledger = f"{self.root}/ledger/{batch_id}@{attempt}"
