@@ -32,9 +32,11 @@ def hosts_in_order(df: DataFrame, host_col: str = "Hostname", pos_col: str = "po
     return ordinal(first, None, [F.col("first_pos"), F.col(host_col)], name="appearance")
 
 
-def columns_frame(df: DataFrame) -> list[str]:
-    """P4 (plan-time)."""
-    return list(df.columns)
+def columns_frame(df: DataFrame) -> DataFrame:
+    """The frame's columns in order, each with its number of values, in one pass."""
+    one = df.agg(*[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"c{i}").alias("n_values"))
+                                          for i, c in enumerate(df.columns)])).alias("c")).select("c.*")
 
 
 def first_per_time(df: DataFrame, time_col: str = "Timestamp", pos_col: str = "pos") -> DataFrame:

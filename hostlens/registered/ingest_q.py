@@ -9,7 +9,7 @@ from hostlens.functions.headings import normalize_headings
 from hostlens.functions.timefmt import normalize_time_text
 from hostlens.plans.template import extract
 from hostlens.session import scratch_path
-from hostlens.sources.counters import read_counters
+from hostlens.sources.counters import read_counters, stack
 from hostlens.sources.inventory import inventory, inventory_lookup, refresh_inventory
 from hostlens.sources.lines import raw_lines, read_lines, text_lines
 from hostlens.sources.render import render_counter_csv, render_device_log
@@ -241,6 +241,16 @@ Start
 """).select("Host", "Calls", "Day")
 
 
+@register("i7_stack", """
+SELECT event_id, value AS click, NULL::DOUBLE AS view, NULL::DOUBLE AS signup FROM events WHERE event_type = 'click'
+UNION ALL SELECT event_id, NULL, value, NULL FROM events WHERE event_type = 'view'
+UNION ALL SELECT event_id, NULL, NULL, value FROM events WHERE event_type = 'signup'""")
+def i7(spark, sf):
+    # frames whose value columns differ, as files with different counters do
+    ev = table(spark, sf, "events")
+    return stack(ev.where(F.col("event_type") == t).select("event_id", F.col("value").alias(t)) for t in ("click", "view", "signup"))
+
+
 @register("i1_counter_rejects", """
 SELECT DISTINCT 'HOST' || CAST(user_id AS VARCHAR) AS host, 'counter not found: Events\\refund' AS reason FROM events""")
 def i1r(spark, sf):

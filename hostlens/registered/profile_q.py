@@ -33,6 +33,14 @@ def p2t(spark, sf):
     return P.tail(_frame(spark, sf)).withColumn("Timestamp", ts_text("Timestamp"))
 
 
+@register("p4_columns", f"""
+SELECT unnest([0, 1, 2, 3, 4]) AS position, unnest(['Timestamp', 'Hostname', 'Series', 'Value', 'pos']) AS "column",
+  unnest([count("Timestamp"), count("Hostname"), count("Series"), count(CASE WHEN "Series" <> 'error' THEN "Value" END), count(pos)]) AS n_values FROM {M} m""")
+def p4(spark, sf):
+    df = _frame(spark, sf)
+    return P.columns_frame(df.withColumn("Value", F.when(F.col("Series") != "error", F.col("Value"))))
+
+
 @register("p3_hosts_in_order", f"""
 SELECT "Hostname", first_pos, row_number() OVER (ORDER BY first_pos, "Hostname") - 1 AS appearance
 FROM (SELECT "Hostname", min(pos) AS first_pos FROM {M} m GROUP BY 1)""")
