@@ -101,41 +101,47 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(each + log(self.prior / (1 - self.prior)), -50, 50)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, turns: int = 20) -> LabelModel:
+def fit_label_model(votes: np.ndarray, start: np.ndarray, times: np.ndarray | None = None, turns: int = 20) -> LabelModel:
     """Expectation maximisation from the first posterior ``start``; then once more with
-    the discounts that the residual correlations call for."""
-    n, v = votes.shape
+    the discounts that the residual correlations call for.  ``times`` counts equal rows."""
+    times = np.ones(len(votes)) if times is None else times.astype(float)
+    n, v = times.sum(), votes.shape[1]
     weight, correlation = np.ones(v), np.eye(v)
     for _ in range(2):
         post = start.copy()
         for _ in range(turns):
-            prior = float(np.clip((post.sum() + 1) / (n + 2), 1e-3, 0.999))
-            speaks = np.stack([((1 - post) @ votes + 0.05) / ((1 - post).sum() + 0.1), (post @ votes + 0.05) / (post.sum() + 0.1)])
+            toxic, clean = post * times, (1 - post) * times
+            prior = float(np.clip((toxic.sum() + 1) / (n + 2), 1e-3, 0.999))
+            speaks = np.stack([(clean @ votes + 0.05) / (clean.sum() + 0.1), (toxic @ votes + 0.05) / (toxic.sum() + 0.1)])
             model = LabelModel(prior, np.clip(speaks, 1e-4, 1 - 1e-4), weight, correlation)
             post, before = model.posterior(votes), post
             if np.abs(post - before).max() < 1e-6:
                 break
         mean = np.outer(1 - post, model.speaks[0]) + np.outer(post, model.speaks[1])
         rest = votes - mean
-        cov = rest.T @ rest / n
+        cov = (rest * times[:, None]).T @ rest / n
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         correlation = cov / np.outer(sd, sd)
         weight = 1 / np.maximum(1, np.clip(correlation, 0, 1).sum(axis=1))
     return LabelModel(model.prior, model.speaks, weight, correlation)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias for soft labels; classes weigh alike.  Accelerated gradient steps."""
-    share = float(np.clip(y.mean(), 1e-3, 0.999))
-    each = y / share + (1 - y) / (1 - share)
+def fit_logistic(hits: list[list[int]], size: int, y: np.ndarray, times: np.ndarray, ridge: float = 1.0, turns: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias for soft labels ``y`` of rows that hold the features ``hits``, ``times`` each;
+    classes weigh alike.  Accelerated gradient steps over the held features only."""
+    share = float(np.clip((y * times).sum() / times.sum(), 1e-3, 0.999))
+    each = (y / share + (1 - y) / (1 - share)) * times
     each /= each.sum()
-    w, b = np.zeros(x.shape[1]), 0.0
+    lengths = np.fromiter(map(len, hits), np.int64, len(hits))
+    row, col = np.repeat(np.arange(len(hits)), lengths), np.fromiter((c for h in hits for c in h), np.int64, int(lengths.sum()))
+    w, b = np.zeros(size), 0.0
     vw, vb = w.copy(), b
-    rate = 4.0 / (1 + (x * x).sum(axis=1).max(initial=0.0) / 4)
+    rate = 4.0 / (1 + lengths.max(initial=0) / 4)
     for t in range(turns):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, vw[col], len(hits)) + vb, -50, 50)))
         gap = each * (p - y)
-        nw, nb = vw - rate * (x.T @ gap + ridge * vw / max(1, len(x))), vb - rate * gap.sum()
+        nw = vw - rate * (np.bincount(col, gap[row], size) + ridge * vw / times.sum())
+        nb = vb - rate * gap.sum()
         vw, vb = nw + t / (t + 3) * (nw - w), nb + t / (t + 3) * (nb - b)
         w, b = nw, nb
     return w, float(b)
@@ -249,19 +255,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = map_batches(sample.select("text"), "hits array<int>", hits).groupBy("hits").count().collect()
     if not na or not nb:
         return Classifier({FIXED[0]: 2.0, FIXED[1]: 3.0, FIXED[2]: 2.0, FIXED[3]: 2.0}, -3.0)
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r.hits] = 1
-    times = np.array([r["count"] for r in rows])
-    votes = [x[:, i] for i in range(len(FIXED))]
+    found = [r.hits for r in rows]
+    times = np.array([r["count"] for r in rows], float)
+    # pattern -> its voters; a fixed pattern is a voter of its own
+    voice = {i: i for i in range(len(FIXED))}
     place = {p: i for i, p in enumerate(names)}
-    votes += [x[:, [place[p] for p in f]].max(axis=1) for f in voters]
-    votes.append((np.stack(votes).max(axis=0) == 0).astype(np.float32))      # the clean voter
-    matrix = np.repeat(np.stack(votes, axis=1), times, axis=0).astype(np.float64)
-    start = np.where(matrix[:, -1] > 0, 0.02, np.where(matrix[:, :-1].sum(axis=1) > 1, 0.95, 0.6))
-    model = fit_label_model(matrix, start)
-    posterior = model.posterior(np.stack(votes, axis=1))
-    w, b = fit_logistic(np.repeat(x, times, axis=0), np.repeat(posterior, times))
+    for k, family in enumerate(voters):
+        voice |= {place[p]: len(FIXED) + k for p in family}
+    votes = np.zeros((len(rows), len(FIXED) + len(voters) + 1))
+    for k, hit in enumerate(found):
+        votes[k, [voice[h] for h in hit]] = 1
+    votes[:, -1] = votes[:, :-1].max(axis=1) == 0       # the clean voter
+    start = np.where(votes[:, -1] > 0, 0.02, np.where(votes[:, :-1].sum(axis=1) > 1, 0.95, 0.6))
+    model = fit_label_model(votes, start, times)
+    w, b = fit_logistic(found, len(names), model.posterior(votes), times)
     return Classifier({p: float(v) for p, v in zip(names, w) if v}, b, voters, model)
 
 
