@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.address import IPV4, address_to_name
 from hostlens.functions.headings import normalize_headings
-from hostlens.functions.timefmt import normalize_time_text
+from hostlens.functions.timefmt import normalize_time_text, time_losses
 from hostlens.plans.template import extract
 from hostlens.session import scratch_path
 from hostlens.sources.counters import read_counters, stack
@@ -241,6 +241,24 @@ Start
 """).select("Host", "Calls", "Day")
 
 
+@register("i5_time_losses", """
+SELECT count(*) AS n_rows, count(*) FILTER (event_type = 'error') AS n_unparsed,
+  min(CASE WHEN event_type = 'error' THEN 'at ' || CAST(event_id AS VARCHAR) END) AS example FROM events""")
+def i5_losses(spark, sf):
+    # device clocks, log times and, for errors, text that is no time
+    ev = table(spark, sf, "events")
+    clock = F.date_format("ts", "H:mm:ss.SSS 'UTC' EEE MMM d yyyy")
+    text = (F.when(F.col("event_type") == "error", F.concat(F.lit("at "), F.col("event_id").cast("string"))).when(F.col("event_type") == "view", clock)
+            .when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "MM/dd/yyyy HH:mm:ss.SSS")))
+    return time_losses(ev.select(text.alias("t")), "t")
+
+
+@register("i5_device_clock", "SELECT event_id, strftime(date_trunc('second', ts), '%m/%d/%Y %H:%M:%S') AS t FROM events")
+def i5_clock(spark, sf):
+    ev = table(spark, sf, "events")
+    return ev.select("event_id", normalize_time_text(F.date_format("ts", "H:mm:ss.SSS 'UTC' EEE MMM d yyyy")).alias("t"))
+
+
 @register("i7_stack", """
 SELECT event_id, value AS click, NULL::DOUBLE AS view, NULL::DOUBLE AS signup FROM events WHERE event_type = 'click'
 UNION ALL SELECT event_id, NULL, value, NULL FROM events WHERE event_type = 'view'
