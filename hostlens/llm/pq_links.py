@@ -127,7 +127,7 @@ def _usable() -> Column:
 
 
 def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-                   threshold: float = 0.98, fit_rows: int = 65536, list_rows: int = 1024, chunk: int = 2048) -> DataFrame:
+                   threshold: float = 0.98, fit_rows: int = 32768, list_rows: int = 1024, chunk: int = 2048) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
