@@ -24,6 +24,8 @@ from hostlens.llm.common import keyed_rows, one_of_each, parked, row_key
 
 #: The deleted characters (fixed by the contract).
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bits of a sieve, and so the bound of its broadcast: 65,536 rows of 64 bits.
+SIEVE_BITS = 22
 
 
 def normalised(text: Column) -> Column:
@@ -48,7 +50,7 @@ def sift(df: DataFrame, columns: list[str], table: DataFrame, bits: int) -> Data
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256,
-                sieve_bits: int = 22, digest_all: bool = False) -> DataFrame:
+                sieve_bits: int = SIEVE_BITS, digest_all: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, row_key, sha256 (null for rows
     whose text was not read in full, unless ``digest_all``), keep_id, group_size, kept.
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from hostlens.llm import chat, exact_dedup, html_wrappers, licenses, packing, pq_links, sentencepiece_bpe, simhash, token_counts, toxicity
 from hostlens.llm.common import TEXT_ROWS, batch_rows, table
+from hostlens.llm.exact_dedup import SIEVE_BITS, sieve, sift
 from hostlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +79,10 @@ def _rollup(spark: SparkSession, sf_dir: str, counters: dict) -> DataFrame:
     batch_rows(spark, TEXT_ROWS)
     store = token_counts.RollupStore(spark, scratch_path(spark, "token-counts"))
     load = token_counts.changes(docs, "insert", counters)
-    touched = docs.join(labels.where("toxic = 1 or quality = 0"), "doc_id")
+    marked = labels.where("toxic = 1 or quality = 0")
+    # a bit table of the marked ids filters the scan, so that only about their texts are moved to meet the labels
+    near = sift(docs, ["doc_id"], sieve(marked, ["doc_id"], SIEVE_BITS), SIEVE_BITS).where("_shared").drop("_shared")
+    touched = near.join(marked, "doc_id")
     gone = token_counts.changes(touched.where("toxic = 1"), "delete", {v: lambda t: F.lit(0).cast("long") for v in counters}, seq=1)
     cleaned = touched.where("coalesce(toxic, 0) = 0").withColumn("text", F.regexp_replace("text", "[0-9]+", ""))
     for _ in range(2):
