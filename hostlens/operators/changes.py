@@ -85,12 +85,12 @@ def form_changes(pairs: DataFrame, key_col: str = "key", value_col: str = "value
     k = F.col(key_col)
     names = F.regexp_extract_all(k, F.lit(r"\[([A-Za-z0-9_\-]+)\]"), 1)
     action = pairs.where(k == "action").agg(F.max(value_col).alias("action"))      # one row
-    part = F.element_at(names, 2)
+    part = F.get(names, F.lit(1))
     file_field = F.try_element_at(F.create_map(*[F.lit(x) for p in upload_many.items() for x in p]), part) if upload_many else F.lit(None).cast("string")
     own = [F.lit(n) for n in upload_many]
     counts = part.endswith("-many-count") & (F.substring_index(part, "-", 1).isin(*own) if own else F.lit(False))
-    rows = (pairs.where(k.rlike(r"^data\[") & (F.size(names) >= 2) & F.element_at(names, 1).rlike("^[0-9]+$") & ~counts)
-            .select(F.element_at(names, 1).cast("bigint").alias("pkid"), F.coalesce(file_field, F.element_at(names, -1)).alias("field"),
+    rows = (pairs.where(k.rlike(r"^data\[") & (F.size(names) >= 2) & F.get(names, F.lit(0)).rlike("^[0-9]+$") & ~counts)
+            .select(F.get(names, F.lit(0)).cast("bigint").alias("pkid"), F.coalesce(file_field, F.try_element_at(names, F.lit(-1))).alias("field"),
                     F.when(file_field.isNotNull(), "files").when(k.endswith("[]"), "list").otherwise("text").alias("kind"),
                     F.col(value_col).alias("value"), F.col(pos_col).alias("pos")))
     at = F.struct(F.col("pos"), F.col("value").alias("v"))
