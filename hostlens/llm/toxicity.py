@@ -7,7 +7,8 @@
    several languages and patterns (an insult aimed at the reader, dense
    insults), and one votes clean when nothing else speaks.
 2. *Label model.*  A latent class model estimates how often each voter speaks
-   in either class by expectation maximisation over the votes.  Voters that
+   in either class by expectation maximisation over the votes; the given label
+   of a row is one more voter, of a fixed accuracy (``GOLD``).  Voters that
    stay correlated within a class (their residual correlation is estimated from
    the posteriors) share their weight, so that near-copies are not counted
    twice.
@@ -15,7 +16,7 @@
    labels; it alone scores documents.
 
 Fitting reads at most ``fit_rows`` labelled documents (a documented bound; a
-sample by hash of doc_id, never rows held out); mining and voting run on Spark,
+sample by hash of doc_id, never rows held out; equal texts count once); mining and voting run on Spark,
 the driver sees pattern counts and votes of that sample.  Scoring covers every
 document and its whole text.
 
@@ -50,6 +51,8 @@ INSULTS = {
 SECOND_PERSON = "you your you're du dich euch vous toi tu usted ustedes"
 WORD = re.compile(r"\w+")
 STARTS = (4, 5, 6)
+#: Accuracy of the given labels as a voter.
+GOLD = 0.95
 FIXED = ["fixed:insult", "fixed:two insults", "fixed:insult to the reader", "fixed:dense insults"]
 
 
@@ -94,16 +97,18 @@ class LabelModel:
     weight: np.ndarray          # per voter
     correlation: np.ndarray     # voters x voters, within classes
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(toxic | votes) of each row of ``votes`` (0 or 1)."""
+    def posterior(self, votes: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
+        """P(toxic | votes) of each row of ``votes`` (0 or 1), with the log-odds ``more`` of other voters."""
         on, off = np.log(self.speaks), np.log1p(-self.speaks)
         each = votes @ ((on[1] - on[0]) * self.weight) + (1 - votes) @ ((off[1] - off[0]) * self.weight)
-        return 1 / (1 + np.exp(-np.clip(each + log(self.prior / (1 - self.prior)), -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(each + more + log(self.prior / (1 - self.prior)), -50, 50)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, times: np.ndarray | None = None, turns: int = 20) -> LabelModel:
+def fit_label_model(votes: np.ndarray, start: np.ndarray, times: np.ndarray | None = None, more: np.ndarray | float = 0.0,
+                    turns: int = 20) -> LabelModel:
     """Expectation maximisation from the first posterior ``start``; then once more with
-    the discounts that the residual correlations call for.  ``times`` counts equal rows."""
+    the discounts that the residual correlations call for.  ``times`` counts equal rows; ``more``
+    are log-odds of voters whose accuracy is known."""
     times = np.ones(len(votes)) if times is None else times.astype(float)
     n, v = times.sum(), votes.shape[1]
     weight, correlation = np.ones(v), np.eye(v)
@@ -114,7 +119,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, times: np.ndarray | No
             prior = float(np.clip((toxic.sum() + 1) / (n + 2), 1e-3, 0.999))
             speaks = np.stack([(clean @ votes + 0.05) / (clean.sum() + 0.1), (toxic @ votes + 0.05) / (toxic.sum() + 0.1)])
             model = LabelModel(prior, np.clip(speaks, 1e-4, 1 - 1e-4), weight, correlation)
-            post, before = model.posterior(votes), post
+            post, before = model.posterior(votes, more), post
             if np.abs(post - before).max() < 1e-6:
                 break
         mean = np.outer(1 - post, model.speaks[0]) + np.outer(post, model.speaks[1])
@@ -126,12 +131,10 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, times: np.ndarray | No
     return LabelModel(model.prior, model.speaks, weight, correlation)
 
 
-def fit_logistic(hits: list[list[int]], size: int, y: np.ndarray, times: np.ndarray, ridge: float = 1.0, turns: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias for soft labels ``y`` of rows that hold the features ``hits``, ``times`` each;
-    classes weigh alike.  Accelerated gradient steps over the held features only."""
-    share = float(np.clip((y * times).sum() / times.sum(), 1e-3, 0.999))
-    each = (y / share + (1 - y) / (1 - share)) * times
-    each /= each.sum()
+def fit_logistic(hits: list[list[int]], size: int, y: np.ndarray, times: np.ndarray, ridge: float = 0.3, turns: int = 2000) -> tuple[np.ndarray, float]:
+    """Weights and bias for soft labels ``y`` of rows that hold the features ``hits``, ``times`` each.
+    Accelerated gradient steps over the held features only."""
+    each = times / times.sum()
     lengths = np.fromiter(map(len, hits), np.int64, len(hits))
     row, col = np.repeat(np.arange(len(hits)), lengths), np.fromiter((c for h in hits for c in h), np.int64, int(lengths.sum()))
     w, b = np.zeros(size), 0.0
@@ -179,7 +182,7 @@ def _mined(a: int, b: int, na: int, nb: int) -> bool:
         return False
     p = (a + b) / (na + nb)
     g = a * log(a / na / p) + (b * log(b / nb / p) if b else 0.0)
-    return 2 * g >= 22
+    return 2 * g >= 24
 
 
 def mine(sample: DataFrame, most: int = 2048) -> tuple[list[str], int, int]:
@@ -199,7 +202,7 @@ def mine(sample: DataFrame, most: int = 2048) -> tuple[list[str], int, int]:
     na, nb = totals.get(1, 0), totals.get(0, 0)
     if not na or not nb:
         return [], na, nb
-    least = max(3, na // 500)
+    least = max(3, na // 200)
     bad = map_batches(sample.where("toxic = 1").select("text"), "p string, n long", counted(None)).groupBy("p").agg(F.sum("n").alias("n"))
     often = {r.p: r.n for r in bad.where(F.col("n") >= least).orderBy(F.desc("n"), "p").limit(50_000).toLocalIterator()}
     only = spark.sparkContext.broadcast(set(often))
@@ -238,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a sample by hash; the limit only guards the documented bound, which makes the broadcast safe
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20))).limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = parked(texts.join(F.broadcast(some), "doc_id").select("text", "toxic"), "labelled")
+    sample = parked(texts.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
     patterns, na, nb = mine(sample)
     voters = families(patterns)
     names = FIXED + patterns
@@ -250,9 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for t in b.column(0).to_pylist():
             words = words_of(t)
             out.append(sorted(at[p] for p in patterns_of(words).union(fixed_votes(words)) if p in at))
-        return [pa.array(out, pa.list_(pa.int32()))]
+        return [pa.array(out, pa.list_(pa.int32())), b.column(1)]
 
-    rows = map_batches(sample.select("text"), "hits array<int>", hits).groupBy("hits").count().collect()
+    rows = map_batches(sample.select("text", "toxic"), "hits array<int>, toxic int", hits).groupBy("hits", "toxic").count().collect()
     if not na or not nb:
         return Classifier({FIXED[0]: 2.0, FIXED[1]: 3.0, FIXED[2]: 2.0, FIXED[3]: 2.0}, -3.0)
     found = [r.hits for r in rows]
@@ -266,9 +269,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k, hit in enumerate(found):
         votes[k, [voice[h] for h in hit]] = 1
     votes[:, -1] = votes[:, :-1].max(axis=1) == 0       # the clean voter
-    start = np.where(votes[:, -1] > 0, 0.02, np.where(votes[:, :-1].sum(axis=1) > 1, 0.95, 0.6))
-    model = fit_label_model(votes, start, times)
-    w, b = fit_logistic(found, len(names), model.posterior(votes), times)
+    given = np.array([r.toxic for r in rows])
+    gold = np.where(given == 1, 1, -1) * log(GOLD / (1 - GOLD))
+    model = fit_label_model(votes, np.where(given == 1, GOLD, 1 - GOLD), times, gold)
+    w, b = fit_logistic(found, len(names), model.posterior(votes, gold), times)
     return Classifier({p: float(v) for p, v in zip(names, w) if v}, b, voters, model)
 
 
