@@ -224,7 +224,7 @@ def catalogue(charts: DataFrame, uploads: DataFrame, sources: DataFrame, templat
     list of sources; the other joins are left to the planner.
     """
     files = charts.select(F.col("pkid").alias("chart_id"), "fk_graph_sources", "fk_textfsm", "fk_perfmon_counters",
-                          F.explode(json_ids("uploaded_files"))["id"].alias("_file"))
+                          F.explode(F.transform(json_ids("uploaded_files"), lambda x: x["id"])).alias("_file"))
     s = sources.select(F.col("pkid").alias("_source"), F.col("field").alias("source_field"))
     t = templates.select(F.col("pkid").alias("_template"), "script")
     c = counters.select(F.col("pkid").alias("_counter"), F.col("name").alias("_counter_name"))
