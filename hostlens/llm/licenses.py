@@ -9,8 +9,8 @@ anchors is kept, and the gaps between anchors are aligned in the same way (gaps
 without unique words by a longest common subsequence).  The aligned share of
 the template is its coverage; windows of ``coverage`` or more are matches.
 
-Texts without any signature word are filtered in the scan by one pattern; the
-work on the rest is per document, so nothing is shuffled.
+Texts without any signature word are passed over after one look by an automaton
+of all of them; the work on the rest is per document, so nothing is shuffled.
 
 Defined results: a null or empty text has no match; overlapping matches of one
 template are reported once, the first by position; matches of different
@@ -218,14 +218,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
          text_col: str = "text") -> DataFrame:
     """One row per match: doc_id, license, start, end (characters of the text), coverage."""
     known = compiled(templates or TEMPLATES, coverage)
-    pattern = "(?i)(" + "|".join(sorted({w for t in known for w in t.signature})) + ")"
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(text.rlike(pattern))
+    words = sorted({w for t in known for w in t.signature})
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
 
     def run(b: pa.RecordBatch) -> list:
-        found = [[dict(zip(("license", "start", "end", "coverage"), m)) for m in matches(t, known, coverage)] for t in b.column(1).to_pylist()]
+        signs = automaton(words)
+        found = [[dict(zip(("license", "start", "end", "coverage"), m)) for m in matches(t, known, coverage)]
+                 if t and next(signs.iter(t.lower()), None) else [] for t in b.column(1).to_pylist()]
         return [b.column(0), pa.array(found, kind)]
 
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = map_batches(rows, "doc_id long, found array<struct<license:string,start:long,end:long,coverage:double>>", run)
     return out.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+
+
+def automaton(words: list[str]):
+    """Finds any of ``words`` in a text in one pass."""
+    import ahocorasick
+    a = ahocorasick.Automaton()
+    for w in words:
+        a.add_word(w, w)
+    a.make_automaton()
+    return a
