@@ -79,6 +79,8 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = (seen.where("shared").groupBy("n_bytes", "sha256").agg(F.count("*").alias("group_size"), best)
               .where("group_size > 1").select("n_bytes", "sha256", "group_size", F.col("best.doc_id").alias("keep_id"),
                                               F.col("best.uid").alias("keep_uid")))
+    # written, so that the join below is between two plain exchanges and Spark can split the rows of a large group
+    groups = parked(groups, "groups")
     return (seen.join(groups, ["n_bytes", "sha256"], "left")
             .select("doc_id", "n_chars", "row_key", "sha256",
                     F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
