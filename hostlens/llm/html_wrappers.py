@@ -38,19 +38,22 @@ from hostlens.llm.common import TEXT_ROWS, batch_rows, grouped_batches, map_batc
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements without article text, if their own end tag closes them; left open, they would swallow what follows.
+SKIPPED = frozenset("noscript template svg select optgroup option datalist button object canvas".split())
 BLOCK = frozenset(("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tr td th tbody thead tfoot caption section article main "
                    "figure figcaption address hr body html header footer nav aside form details summary center fieldset").split())
 INLINE_BREAK = frozenset(["br"])
 CLOSES = {"p": frozenset(("p div h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table section article main figure header footer nav aside form "
                           "address hr fieldset details").split()),
           "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
-          "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+          "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"]),
+          "button": frozenset(["button"])}
 SCOPES = frozenset("ul ol dl table tr tbody thead tfoot div section article main nav aside body header footer form blockquote td".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 LISTS = frozenset("ul ol dl table".split())
 #: Elements, roles and name parts of what is not the article.
-FURNITURE = frozenset("nav footer aside form script style noscript head template iframe svg math select button textarea dialog menu".split())
+FURNITURE = frozenset("nav footer aside form script style head iframe textarea dialog menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 FURNITURE_WORDS = frozenset(("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer foot masthead topbar toolbar banner ad ads advert "
                              "adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert "
@@ -77,6 +80,11 @@ class Node:
         stable = [*sorted(found.get("class", "").split()), *("#" + w for w in found.get("id", "").split())]
         self.label = name + "".join("." + w for w in stable if not any(c.isdigit() for c in w))
 
+    def closed(self) -> None:
+        """The element's own end tag was met."""
+        self.furniture = True
+        self.label += ".@off"
+
 
 def parse(html: str | None) -> Node:
     """Elements of a page; ends that are left out are supplied, odd ones ignored."""
@@ -103,6 +111,8 @@ def parse(html: str | None) -> Node:
         if m[1]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].name == name:
+                    if name in SKIPPED:
+                        open_[k].closed()
                     del open_[k:]
                     break
                 if name in ("p", "li", "b", "i", "a", "span", "em", "strong", "u", "small", "font") and open_[k].name in SCOPES:
@@ -117,8 +127,10 @@ def parse(html: str | None) -> Node:
         node = Node(name, m[3])
         open_[-1].kids.append(node)
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(text, at)
-            at = close.end() if close else end
+            close = None if m[3].rstrip().endswith("/") and name not in ("script", "style") else \
+                re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(text, at)
+            # without an end tag only code runs to the end of the page
+            at = close.end() if close else end if name in ("script", "style") else at
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             open_.append(node)
     return root
@@ -263,7 +275,7 @@ def text_weight(w: list) -> int:
 
 def furniture_label(label: str) -> bool:
     name, *classes = label.split(".")
-    return name in FURNITURE or any(x.lower() in FURNITURE_WORDS for c in classes for x in _PART.findall(c))
+    return name in FURNITURE or "@off" in classes or any(x.lower() in FURNITURE_WORDS for c in classes for x in _PART.findall(c))
 
 
 def region(w: list, pages: int, share: float = 0.6) -> list[str]:

@@ -84,6 +84,19 @@ def test_odd_pages(spark):
     assert html_wrappers.extract(df.limit(0)).count() == 0
 
 
+def text_of(page, path=None):
+    return html_wrappers.main_text(page, path, frozenset())
+
+
+def test_elements_left_open_swallow_no_text():
+    for odd in ("<svg class=i />", "<object data=x />", "<canvas/>", "<iframe src=x />", "<textarea/>", "<svg><path d='M0'/></svg>", "<button>x</button>",
+                "<select><option>x<option>y</select>", "<noscript>x</noscript>"):
+        assert text_of(f"<body><p>one</p>{odd}<p>two</p><svg></svg><p>three</p></body>") == "one\n\ntwo\n\nthree", odd
+    for odd in ("<button>", "<option>", "<select><option>", "<object>", "<canvas>", "<svg>", "<iframe>", "<title>"):
+        assert text_of(f"<body><p>one</p>{odd}<p>two</p><div>three</div></body>") == "one\n\ntwo\n\nthree", odd
+    assert text_of("<article><p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds</p></article>") == "so a=b holds"
+
+
 # ---- chats ----
 
 def _records(spark, items):
