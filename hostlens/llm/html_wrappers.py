@@ -13,7 +13,8 @@ and equal wrappers are moved once.
 The wrapper says where the article is: an ``article`` or ``main`` element, or
 else the innermost element that holds most of the host's slot text.  Menus,
 headers, footers, sidebars, notices, adverts, forms and comments are known by
-element, role, class or id; texts that are the same on every one of several
+element, role, class or id; a class or id alone marks nothing that holds more of
+the host's text than the rest.  Texts that are the same on every one of several
 pages and stand in no paragraph or heading are furniture of the template too.
 
 Defined results: null html is empty, and a page without text gives an empty
@@ -57,28 +58,41 @@ FURNITURE = frozenset("nav footer aside form script style head iframe textarea d
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 FURNITURE_WORDS = frozenset(("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer foot masthead topbar toolbar banner ad ads advert "
                              "adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert "
-                             "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
+                             "popup modal overlay legal copyright newsletter subscribe subscription signup login share sharing social related recommended comment comments "
                              "reply replies respond disqus discussion pagination pager widget skip hidden").split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|aria-label)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# every attribute in turn, quoted values consumed, so that names inside values are not seen
+_ATTR = re.compile(r"([^\s=\"'>/][^\s=\"'>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?|\"[^\"]*\"|'[^']*'")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Words before a name part that make it tell of something else (``has-sidebar``, ``no-comments``).
+STATES = frozenset("no not has have with without is hide".split())
+
+
 class Node:
-    __slots__ = ("name", "label", "kids", "furniture", "article", "header")
+    """``furniture`` by element, role or attribute is certain; ``named`` by class or id is a
+    hint that the host's wrapper may overrule.  Both, and ``article``, are part of the label."""
+    __slots__ = ("name", "label", "kids", "furniture", "named", "article", "header", "path")
 
     def __init__(self, name: str, attrs: str = ""):
-        self.name, self.kids = name, []
-        found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)} if attrs else {}
-        names = f"{found.get('class', '')} {found.get('id', '')}"
-        words = {w.lower() for w in _PART.findall(names)}
-        self.furniture = (name in FURNITURE or found.get("role", "").lower() in FURNITURE_ROLES or bool(words & FURNITURE_WORDS)
-                          or "hidden" in found or found.get("aria-hidden") == "true")
-        self.article = (name in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody")
-        self.header = name == "header" or "header" in words
-        stable = [*sorted(found.get("class", "").split()), *("#" + w for w in found.get("id", "").split())]
-        self.label = name + "".join("." + w for w in stable if not any(c.isdigit() for c in w))
+        self.name, self.kids, self.path = name, [], ""
+        found: dict[str, str] = {}
+        for m in _ATTR.finditer(attrs) if attrs else ():
+            if m[1]:
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        names = [entities.unescape(found.get("class", "")).split(), entities.unescape(found.get("id", "")).split()]
+        parts = [[w.lower() for w in _PART.findall(t)] for ts in names for t in ts]
+        self.article = name in ("article", "main") or found.get("role", "").lower() == "main" or "articleBody" in found.get("itemprop", "").split()
+        self.furniture = (name in FURNITURE or found.get("role", "").lower() in FURNITURE_ROLES
+                          or "hidden" in found or found.get("aria-hidden", "").lower() == "true")
+        self.named = name not in ("html", "body") and not self.article and any(
+            w in FURNITURE_WORDS and not (i and p[i - 1] in STATES) for p in parts for i, w in enumerate(p))
+        self.header = name == "header" or any(w == "header" and not (i and p[i - 1] in STATES) for p in parts for i, w in enumerate(p))
+        stable = [*sorted(names[0]), *("#" + w for w in names[1])]
+        self.label = name + "".join("." + w for w in stable if not any(c.isdigit() for c in w)) + "".join(
+            mark for mark, holds in ((".@off", self.furniture), (".@named", self.named), (".@article", self.article)) if holds)
 
     def closed(self) -> None:
         """The element's own end tag was met."""
@@ -86,6 +100,19 @@ class Node:
         self.label += ".@off"
 
 
+def placed(node: Node, kept: frozenset[str], path: str = "") -> Node:
+    """Paths for all elements; what is furniture by its name alone is so unless its path is in ``kept``."""
+    todo = [(node, path)]
+    while todo:
+        n, n.path = todo.pop()
+        for k in n.kids:
+            if not isinstance(k, str):
+                at = f"{n.path}/{k.label}"
+                k.furniture = k.furniture or (k.named and at not in kept)
+                todo.append((k, at))
+    return node
+
+
 def parse(html: str | None) -> Node:
     """Elements of a page; ends that are left out are supplied, odd ones ignored."""
     root = Node("#root")
@@ -133,6 +160,16 @@ def parse(html: str | None) -> Node:
             at = close.end() if close else end if name in ("script", "style") else at
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             open_.append(node)
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n.header and not n.article and not _holds_heading(n):
+            if n.name == "header":
+                n.closed()
+            elif n.name not in ("html", "body") and not n.named:
+                n.named = True
+                n.label += ".@named"
+        todo += [k for k in n.kids if not isinstance(k, str)]
     return root
 
 
@@ -260,38 +297,95 @@ def expression(w: list) -> str:
     return one(w)
 
 
-def slot_weight(w: list) -> int:
-    """Characters of slots (texts that differ between pages)."""
-    if w[0] == "#":
-        return w[2] if w[1] is None else 0
-    return 0 if furniture_label(w[0]) else sum(slot_weight(k[0]) for k in w[1])
+def kids_of(w: list, varies: bool) -> Iterator[tuple[list, bool]]:
+    """Children with those of repeated groups; with whether they are not on every page."""
+    for k, optional in w[1]:
+        if k[0] == "+":
+            yield from kids_of(k, varies or bool(optional))
+        else:
+            yield k, varies or bool(optional)
+
+
+def marked(label: str) -> bool:
+    """Furniture by element, role or attribute."""
+    return label.split(".")[0] in FURNITURE or ".@off" in label
 
 
-def text_weight(w: list) -> int:
-    if w[0] == "#":
-        return w[2]
-    return 0 if furniture_label(w[0]) else sum(text_weight(k[0]) for k in w[1])
+def weigh(w: list, slots: bool, kept: frozenset[str] | None, path: str = "", varies: bool = False) -> int:
+    """Characters of texts that differ between pages (``slots``) or of all texts, outside furniture;
+    elements that are furniture by name alone count where ``kept`` has their path, or is None."""
+    total = 0
+    for k, v in kids_of(w, varies):
+        if k[0] == "#":
+            total += k[2] if not slots or v or k[1] is None else 0
+        elif not marked(k[0]):
+            at = f"{path}/{k[0]}"
+            if ".@named" not in k[0] or kept is None or at in kept:
+                total += weigh(k, slots, kept, at, v)
+    return total
+
+
+def named_elements(w: list, slots: bool, kept: frozenset[str], path: str = "", varies: bool = False, out: dict[str, int] | None = None) -> dict[str, int]:
+    """Weights of the outermost elements that are furniture by name alone, by path."""
+    out = {} if out is None else out
+    for k, v in kids_of(w, varies):
+        if k[0] != "#" and not marked(k[0]):
+            at = f"{path}/{k[0]}"
+            if ".@named" in k[0] and at not in kept:
+                out[at] = out.get(at, 0) + weigh(k, slots, None, at, v)
+            else:
+                named_elements(k, slots, kept, at, v, out)
+    return out
+
+
+def hint_weight(w: list, slots: bool, kept: frozenset[str], path: str = "", varies: bool = False) -> int:
+    """What ``weigh`` counts in article elements."""
+    total = 0
+    for k, v in kids_of(w, varies):
+        at = f"{path}/{k[0]}"
+        if k[0] != "#" and not marked(k[0]) and (".@named" not in k[0] or at in kept):
+            total += (weigh if ".@article" in k[0] else hint_weight)(k, slots, kept, at, v)
+    return total
 
 
-def furniture_label(label: str) -> bool:
-    name, *classes = label.split(".")
-    return name in FURNITURE or "@off" in classes or any(x.lower() in FURNITURE_WORDS for c in classes for x in _PART.findall(c))
+def content_by_weight(w: list, slots: bool) -> frozenset[str]:
+    """Paths of elements that are no furniture in spite of their names: as long as one of them
+    holds more of the host's text than is left outside all of them, it holds the article.  Beside
+    article elements it must hold twice as much."""
+    kept: frozenset[str] = frozenset()
+    while True:
+        named, hints = named_elements(w, slots, kept), hint_weight(w, slots, kept)
+        fair = {p: n if not hints or ".@article" in p else n / 2 for p, n in named.items()}
+        most = max(fair, key=lambda p: (fair[p], p), default=None)
+        if most is None or fair[most] <= weigh(w, slots, kept):
+            return kept
+        kept |= {most}
 
 
 def region(w: list, pages: int, share: float = 0.6) -> list[str]:
     """Labels from the root to the element that holds the article's text; slots tell it from
     the template once there are a few pages."""
-    weight = slot_weight if pages >= 3 and slot_weight(w) else text_weight
-    path, here = [], w
+    slots = told_by_slots(w, pages)
+    kept = content_by_weight(w, slots)
+    path, here, at = [], w, ""
     while True:
         kids = [k for x in here[1] for k in (x[0][1] if x[0][0] == "+" else [x])]
         repeated = {id(k) for x in here[1] if x[0][0] == "+" for k in x[0][1]}
-        total = weight(here)
-        best = max((k for k in kids if k[0][0] not in ("#", "+")), key=lambda k: weight(k[0]), default=None)
-        if best is None or not total or weight(best[0]) < share * total or id(best) in repeated or best[0][0].split(".")[0] in PROSE | LISTS:
+        total = weigh(here, slots, kept, at)
+
+        def weight(k: list) -> int:
+            return weigh([here[0], [k]], slots, kept, at)
+
+        best = max((k for k in kids if k[0][0] not in ("#", "+")), key=weight, default=None)
+        if best is None or not total or weight(best) < share * total or id(best) in repeated or best[0][0].split(".")[0] in PROSE | LISTS:
             return path
         path.append(best[0][0])
-        here = best[0]
+        here, at = best[0], f"{at}/{best[0][0]}"
+
+
+def told_by_slots(w: list, pages: int) -> bool:
+    """Whether there are pages enough to tell the article by the texts that differ."""
+    return pages >= 3 and weigh(w, True, None) > 0
 
 
 def constants(w: list, inside: bool = False) -> set[int]:
@@ -329,7 +423,7 @@ def blocks(node: Node, furniture_texts: frozenset[int], top: bool = True) -> lis
                 line.append(k)
             elif k.name in INLINE_BREAK:
                 line.append(" ")
-            elif k.furniture or k.name in RAW or (k.header and not _holds_heading(k)):
+            elif k.furniture or k.name in RAW:
                 if k.name in BLOCK:
                     end()
             elif k.name in BLOCK:
@@ -347,7 +441,7 @@ def blocks(node: Node, furniture_texts: frozenset[int], top: bool = True) -> lis
 def _holds_heading(header: Node) -> bool:
     """A header counts as text only where it holds the heading of an article and no menu."""
     return any(not isinstance(k, str) and k.name in ("h1", "h2") for k in header.kids) and not any(
-        not isinstance(k, str) and (k.name in ("nav", "ul") or k.furniture) for k in header.kids)
+        not isinstance(k, str) and (k.name in ("nav", "ul") or k.furniture or k.named) for k in header.kids)
 
 
 def articles(node: Node) -> list[Node]:
@@ -372,8 +466,8 @@ def find_region(root: Node, path: list[str]) -> Node | None:
     return node
 
 
-def main_text(html: str | None, path: list[str] | None, furniture_texts: frozenset[int]) -> str:
-    root = parse(html)
+def main_text(html: str | None, path: list[str] | None, furniture_texts: frozenset[int], kept: frozenset[str] = frozenset()) -> str:
+    root = placed(parse(html), kept)
     found = articles(root)
     if found:
         heads = [b for f in found for b in blocks(f, frozenset())]
@@ -435,22 +529,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     pages of the host hold it unchanged.
     """
     def spec(b: pa.RecordBatch) -> list:
-        paths, same = [], []
+        paths, same, kept = [], [], []
         for w, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             w = json.loads(w)
             paths.append(region(w, n))
             same.append(sorted(constants(w)) if n >= constant_pages else [])
-        return [b.column(0), pa.array(paths, pa.list_(pa.string())), pa.array(same, pa.list_(pa.int64()))]
+            kept.append(sorted(content_by_weight(w, told_by_slots(w, n))))
+        return [b.column(0), pa.array(paths, pa.list_(pa.string())), pa.array(same, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.string()))]
 
-    rules = parked(map_batches(parked(infer(pages, html_col, url_col), "wrappers"), "host string, path array<string>, same array<long>", spec), "regions")
+    rules = parked(map_batches(parked(infer(pages, html_col, url_col), "wrappers"), "host string, path array<string>, same array<long>, kept array<string>", spec), "regions")
     url = F.col(url_col).cast("string")
     # the same rule as host_of
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), r"\.+$", ""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    joined = rows.join(rules, "host", "left").select("page_id", "url", "html", "path", "same")
+    joined = rows.join(rules, "host", "left").select("page_id", "url", "html", "path", "same", "kept")
 
     def run(b: pa.RecordBatch) -> list:
-        texts = [main_text(h, p, frozenset(s or ())) for h, p, s in zip(*[b.column(i).to_pylist() for i in (2, 3, 4)])]
+        texts = [main_text(h, p, frozenset(s or ()), frozenset(k or ())) for h, p, s, k in zip(*[b.column(i).to_pylist() for i in (2, 3, 4, 5)])]
         return [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
     return map_batches(joined, "page_id long, url string, text string, n_chars long", run)

@@ -97,6 +97,21 @@ def test_elements_left_open_swallow_no_text():
     assert text_of("<article><p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds</p></article>") == "so a=b holds"
 
 
+def site_texts(spark, pages, host="h"):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_wrappers.extract(df).orderBy("page_id").collect()]
+
+
+def test_names_do_not_discard_the_article(spark):
+    for page in ("<body class='has-sidebar'><p>{0}</p></body>", "<div class='no-comments'><p>{0}</p></div>", "<article class='post has-sidebar'><p>{0}</p></article>",
+                 "<body style='overflow:hidden'><p>{0}</p></body>", "<p><a href='/the-hidden-valley'>{0}</a></p>", "<p><a href='/post?id=comment-5'>{0}</a></p>",
+                 "<div data-role=menu class=related><p>{0}</p><p>and more text</p></div>", "<div class=sticky-header><div class=widget><p>{0}</p></div></div><i class=ad>buy</i>"):
+        for n in (1, 6):
+            got = site_texts(spark, [page.format(f"article {i * 7919}") for i in range(n)])
+            assert [t.split("\n")[0] for t in got] == [f"article {i * 7919}" for i in range(n)], page
+    assert html_wrappers.main_text("<article><p>a</p></article><div id=comments><article>troll</article></div>", [], frozenset()) == "a"
+
+
 # ---- chats ----
 
 def _records(spark, items):
