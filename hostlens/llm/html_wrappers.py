@@ -29,6 +29,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -490,17 +491,28 @@ def merge_all(wrappers: Iterator[str]) -> str:
     return json.dumps(total, separators=(",", ":"))
 
 
-def infer(pages: DataFrame, html_col: str = "html", url_col: str = "url", salt: int = 64) -> DataFrame:
-    """(host, wrapper, n_pages): wrappers in JSON, one per host."""
+def text_digest(root: Node) -> int:
+    """Of the page's text as it is extracted, to tell copies from different pages."""
+    return int.from_bytes(blake2b("\n".join(blocks(root, frozenset())).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def infer(pages: DataFrame, html_col: str = "html", url_col: str = "url", salt: int = 64, digests: int = 8) -> DataFrame:
+    """(host, wrapper, n_pages, n_texts): wrappers in JSON, one per host.  ``n_texts`` counts
+    different page texts; it is exact up to ``digests``, where it stops."""
+    def few(found) -> list[int]:
+        return sorted(set(found))[:digests]
+
     def first(b: pa.RecordBatch) -> list:
-        by_host: dict[str, list[str]] = {}
+        by_host: dict[str, list[tuple[str, int]]] = {}
         for h, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            by_host.setdefault(host_of(u), []).append(json.dumps(wrapper(parse(h)), separators=(",", ":")))
-        return [pa.array(list(by_host), pa.string()), pa.array([merge_all(v) for v in by_host.values()], pa.string()),
-                pa.array([len(v) for v in by_host.values()], pa.int64())]
+            root = parse(h)
+            by_host.setdefault(host_of(u), []).append((json.dumps(wrapper(root), separators=(",", ":")), text_digest(root)))
+        return [pa.array(list(by_host), pa.string()), pa.array([merge_all(w for w, _ in v) for v in by_host.values()], pa.string()),
+                pa.array([len(v) for v in by_host.values()], pa.int64()), pa.array([few(d for _, d in v) for v in by_host.values()], pa.list_(pa.int64()))]
 
-    part = map_batches(pages.select(F.col(html_col).cast("string"), F.col(url_col).cast("string")), "host string, wrapper string, n long", first)
-    part = part.groupBy("host", "wrapper").agg(F.sum("n").alias("n"))
+    kind = "host string, wrapper string, n long, texts array<long>"
+    part = map_batches(pages.select(F.col(html_col).cast("string"), F.col(url_col).cast("string")), kind, first)
+    part = part.groupBy("host", "wrapper", "texts").agg(F.sum("n").alias("n")).select("host", "wrapper", "n", "texts")
 
     def again(df: DataFrame, *keys: str) -> DataFrame:
         number = F.xxhash64(*keys).alias("g")
@@ -508,25 +520,26 @@ def infer(pages: DataFrame, html_col: str = "html", url_col: str = "url", salt:
         def run(batches):
             for t in grouped_batches(batches, 1, 2000):
                 by_host: dict[str, list] = {}
-                for host, w, n in zip(*[t.column(c).to_pylist() for c in ("host", "wrapper", "n")]):
-                    by_host.setdefault(host, []).append((w, n))
+                for host, w, n, d in zip(*[t.column(c).to_pylist() for c in ("host", "wrapper", "n", "texts")]):
+                    by_host.setdefault(host, []).append((w, n, d))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(by_host), pa.string()), pa.array([merge_all(w for w, _ in v) for v in by_host.values()], pa.string()),
-                     pa.array([sum(n for _, n in v) for v in by_host.values()], pa.int64())], names=["host", "wrapper", "n"])
+                    [pa.array(list(by_host), pa.string()), pa.array([merge_all(w for w, _, _ in v) for v in by_host.values()], pa.string()),
+                     pa.array([sum(n for _, n, _ in v) for v in by_host.values()], pa.int64()),
+                     pa.array([few(x for _, _, d in v for x in d) for v in by_host.values()], pa.list_(pa.int64()))], names=["host", "wrapper", "n", "texts"])
 
         batch_rows(df.sparkSession, TEXT_ROWS)
-        return (df.select(number, "host", "wrapper", "n").repartition("g").sortWithinPartitions("g")
-                .mapInArrow(run, "host string, wrapper string, n long"))
+        return (df.select(number, "host", "wrapper", "n", "texts").repartition("g").sortWithinPartitions("g")
+                .mapInArrow(run, kind))
 
-    salted = again(part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salt))), "host", "salt")
-    return again(salted, "host").select("host", "wrapper", F.col("n").alias("n_pages"))
+    salted = again(part.withColumn("salt", F.pmod(F.xxhash64("wrapper", "texts"), F.lit(salt))), "host", "salt")
+    return again(salted, "host").select("host", "wrapper", F.col("n").alias("n_pages"), F.size("texts").cast("long").alias("n_texts"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", constant_pages: int = 5) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    A text counts as furniture of the template when ``constant_pages`` or more
-    pages of the host hold it unchanged.
+    A text counts as furniture of the template when all pages of the host hold it
+    unchanged and their texts are ``constant_pages`` or more different ones.
     """
     def spec(b: pa.RecordBatch) -> list:
         paths, same, kept = [], [], []
@@ -537,7 +550,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
             kept.append(sorted(content_by_weight(w, told_by_slots(w, n))))
         return [b.column(0), pa.array(paths, pa.list_(pa.string())), pa.array(same, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.string()))]
 
-    rules = parked(map_batches(parked(infer(pages, html_col, url_col), "wrappers"), "host string, path array<string>, same array<long>, kept array<string>", spec), "regions")
+    rules = parked(map_batches(parked(infer(pages, html_col, url_col).select("host", "wrapper", "n_texts"), "wrappers"), "host string, path array<string>, same array<long>, kept array<string>", spec), "regions")
     url = F.col(url_col).cast("string")
     # the same rule as host_of
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), r"\.+$", ""))

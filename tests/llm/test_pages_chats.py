@@ -112,6 +112,12 @@ def test_names_do_not_discard_the_article(spark):
     assert html_wrappers.main_text("<article><p>a</p></article><div id=comments><article>troll</article></div>", [], frozenset()) == "a"
 
 
+def test_copies_are_no_evidence_of_a_template(spark):
+    page = "<body><div>one<br>two</div><ul><li>three</ul></body>"
+    assert site_texts(spark, [page] * 8) == ["one two\n\nthree"] * 8
+    assert site_texts(spark, [page] * 8 + ["<body><div>one<br>else</div><ul><li>three</ul></body>"])[0] == "one two\n\nthree"
+
+
 # ---- chats ----
 
 def _records(spark, items):
