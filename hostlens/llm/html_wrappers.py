@@ -11,7 +11,7 @@ salted groups per host, then per host; what is moved are wrappers, never pages,
 and equal wrappers are moved once.
 
 The wrapper says where the article is: an ``article`` or ``main`` element, or
-else the innermost element that holds most of the host's slot text.  Menus,
+else the innermost elements that hold all of the host's slot text.  Menus,
 headers, footers, sidebars, notices, adverts, forms and comments are known by
 element, role, class or id; a class or id alone marks nothing that holds more of
 the host's text than the rest.  Texts that are the same on every one of several
@@ -178,7 +178,9 @@ def squeezed(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-# ---- wrappers: ["label", kids], ["#", crc or None, characters], ["+", kids]; as items [node, optional] ----
+# ---- wrappers: ["label", kids], ["#", checksums or None, characters], ["+", kids]; as items [node, optional] ----
+# Repeated neighbours of one page (``within``) unite their texts' checksums; a text is a slot
+# (None) where pages differ in them.
 
 def wrapper(node: Node) -> list:
     """The wrapper of one page's element: text as its checksum, repeated neighbours folded."""
@@ -187,7 +189,7 @@ def wrapper(node: Node) -> list:
         if isinstance(k, str):
             t = squeezed(k)
             if t:
-                kids.append([["#", crc32(t.encode("utf-8", "replace")), len(t)], 0])
+                kids.append([["#", [crc32(t.encode("utf-8", "replace"))], len(t)], 0])
         elif k.name not in RAW and k.name not in VOID and k.name != "head":
             kids.append([wrapper(k), 0])
     return [node.label, folded(kids)]
@@ -207,44 +209,45 @@ def folded(items: list, longest: int = 3) -> list:
             if len(out) >= n + 1 and out[-n - 1][0][0] == "+" and len(out[-n - 1][0][1]) == n and \
                     [key(k) for k in out[-n - 1][0][1]] == [key(k) for k in out[-n:]]:
                 group = out[-n - 1][0]
-                group[1] = [merged_item(a, b) for a, b in zip(group[1], out[-n:])]
+                group[1] = [merged_item(a, b, True) for a, b in zip(group[1], out[-n:])]
                 del out[-n:]
                 break
             if len(out) >= 2 * n and [key(k) for k in out[-2 * n:-n]] == [key(k) for k in out[-n:]] and \
                     not all(k[0][0] == "#" for k in out[-n:]) and not any(k[0][0] == "+" for k in out[-n:]):
-                group = [merged_item(a, b) for a, b in zip(out[-2 * n:-n], out[-n:])]
+                group = [merged_item(a, b, True) for a, b in zip(out[-2 * n:-n], out[-n:])]
                 out[-2 * n:] = [[["+", group], 0]]
                 break
     return out
 
 
-def merged_item(a: list, b: list) -> list:
-    return [merged(a[0], b[0]), a[1] | b[1]]
+def merged_item(a: list, b: list, within: bool = False) -> list:
+    return [merged(a[0], b[0], within), a[1] | b[1]]
 
 
-def merged(a: list, b: list) -> list:
+def merged(a: list, b: list, within: bool = False) -> list:
     """One wrapper for what both match; their keys are equal."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2]]
-    return [a[0], aligned(a[1], b[1])]
+        same = sorted({*a[1], *b[1]}) if within and a[1] and b[1] else a[1] if a[1] == b[1] else None
+        return ["#", same, a[2] + b[2]]
+    return [a[0], aligned(a[1], b[1], within)]
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, within: bool = False) -> list:
     """Children side by side: matches merge, the rest becomes optional.  A single
     element matches a repeated group of it."""
     ka, kb = [key(x) for x in a], [key(x) for x in b]
     if ka == kb:
-        return [merged_item(x, y) for x, y in zip(a, b)]
+        return [merged_item(x, y, within) for x, y in zip(a, b)]
     head = 0
     while head < min(len(a), len(b)) and ka[head] == kb[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and ka[-1 - tail] == kb[-1 - tail]:
         tail += 1
-    out = [merged_item(x, y) for x, y in zip(a[:head], b[:head])]
-    out += _middle(a[head:len(a) - tail], b[head:len(b) - tail])
+    out = [merged_item(x, y, within) for x, y in zip(a[:head], b[:head])]
+    out += _middle(a[head:len(a) - tail], b[head:len(b) - tail], within)
     if tail:
-        out += [merged_item(x, y) for x, y in zip(a[-tail:], b[-tail:])]
+        out += [merged_item(x, y, within) for x, y in zip(a[-tail:], b[-tail:])]
     return out
 
 
@@ -253,15 +256,15 @@ def _same(x: list, y: list) -> bool:
     return kx == ky or kx == "+" + ky or ky == "+" + kx
 
 
-def _join(x: list, y: list) -> list:
+def _join(x: list, y: list, within: bool) -> list:
     kx, ky = key(x), key(y)
     if kx == ky:
-        return merged_item(x, y)
+        return merged_item(x, y, within)
     group, one = (x, y) if kx.startswith("+") else (y, x)
-    return [["+", [merged_item(group[0][1][0], [one[0], 0])]], x[1] | y[1]]
+    return [["+", [merged_item(group[0][1][0], [one[0], 0], within)]], x[1] | y[1]]
 
 
-def _middle(a: list, b: list) -> list:
+def _middle(a: list, b: list, within: bool) -> list:
     """Longest common subsequence by the items' keys; what has no partner is optional."""
     rows = [[0] * (len(b) + 1)]
     for x in a:
@@ -273,7 +276,7 @@ def _middle(a: list, b: list) -> list:
     while i or j:
         if i and j and _same(a[i - 1], b[j - 1]) and rows[i][j] == rows[i - 1][j - 1] + 1:
             i, j = i - 1, j - 1
-            out.append(_join(a[i], b[j]))
+            out.append(_join(a[i], b[j], within))
         elif i and (not j or rows[i - 1][j] >= rows[i][j - 1]):
             i -= 1
             out.append([a[i][0], 1])
@@ -291,7 +294,7 @@ def expression(w: list) -> str:
 
     def one(n: list) -> str:
         if n[0] == "#":
-            return "#TEXT" if n[1] is None else "text"
+            return "#TEXT" if n[1] is None or len(n[1]) > 1 else "text"
         body = " ".join(item(k) for k in n[1])
         return f"({body})+" if n[0] == "+" else f"<{n[0]}>{body}</{n[0].split('.')[0]}>"
 
@@ -363,25 +366,25 @@ def content_by_weight(w: list, slots: bool) -> frozenset[str]:
         kept |= {most}
 
 
-def region(w: list, pages: int, share: float = 0.6) -> list[str]:
-    """Labels from the root to the element that holds the article's text; slots tell it from
-    the template once there are a few pages."""
-    slots = told_by_slots(w, pages)
-    kept = content_by_weight(w, slots)
-    path, here, at = [], w, ""
-    while True:
-        kids = [k for x in here[1] for k in (x[0][1] if x[0][0] == "+" else [x])]
-        repeated = {id(k) for x in here[1] if x[0][0] == "+" for k in x[0][1]}
-        total = weigh(here, slots, kept, at)
-
-        def weight(k: list) -> int:
-            return weigh([here[0], [k]], slots, kept, at)
-
-        best = max((k for k in kids if k[0][0] not in ("#", "+")), key=weight, default=None)
-        if best is None or not total or weight(best) < share * total or id(best) in repeated or best[0][0].split(".")[0] in PROSE | LISTS:
+def region(w: list, pages: int, kept: frozenset[str]) -> list[str]:
+    """Labels from the root to the innermost elements that hold all of the host's slot text outside
+    furniture; all elements with these labels belong to it.  No label, and so the whole page, where
+    there are too few pages to tell slots from the template."""
+    path: list[str] = []
+    here, at = [(w, False)], ""
+    while told_by_slots(w, pages):
+        total = sum(weigh(n, True, kept, at, v) for n, v in here)
+        by_label: dict[str, list] = {}
+        for n, varies in here:
+            for k, v in kids_of(n, varies):
+                if k[0].split(".")[0] in BLOCK - PROSE - LISTS and not marked(k[0]) and (".@named" not in k[0] or f"{at}/{k[0]}" in kept):
+                    by_label.setdefault(k[0], []).append((k, v))
+        label = next((x for x, ns in by_label.items() if total and sum(weigh(n, True, kept, f"{at}/{x}", v) for n, v in ns) == total), None)
+        if label is None:
             return path
-        path.append(best[0][0])
-        here, at = best[0], f"{at}/{best[0][0]}"
+        path.append(label)
+        here, at = by_label[label], f"{at}/{label}"
+    return path
 
 
 def told_by_slots(w: list, pages: int) -> bool:
@@ -389,17 +392,21 @@ def told_by_slots(w: list, pages: int) -> bool:
     return pages >= 3 and weigh(w, True, None) > 0
 
 
-def constants(w: list, inside: bool = False) -> set[int]:
-    """Checksums of texts that every page holds unchanged and that stand in no paragraph or heading."""
+def spot(path: str, checksum: int) -> int:
+    """A text at its place."""
+    return crc32(path.encode("utf-8", "replace"), checksum)
+
+
+def constants(w: list, path: str = "", inside: bool = False) -> set[int]:
+    """Texts, with their places, that every page holds unchanged and that stand in no paragraph or heading."""
     out: set[int] = set()
-    for k, optional in w[1]:
-        if optional:
+    for k, varies in kids_of(w, False):
+        if varies:
             continue
-        if k[0] == "#":
-            if k[1] is not None and not inside:
-                out.add(k[1])
-        else:
-            out |= constants(k, inside or k[0].split(".")[0] in PROSE)
+        if k[0] != "#":
+            out |= constants(k, f"{path}/{k[0]}", inside or k[0].split(".")[0] in PROSE)
+        elif k[1] is not None and not inside:
+            out |= {spot(path, c) for c in k[1]}
     return out
 
 
@@ -419,7 +426,7 @@ def blocks(node: Node, furniture_texts: frozenset[int], top: bool = True) -> lis
     def walk(n: Node, prose: bool) -> None:
         for k in n.kids:
             if isinstance(k, str):
-                if furniture_texts and not prose and crc32(squeezed(k).encode("utf-8", "replace")) in furniture_texts:
+                if furniture_texts and not prose and spot(n.path, crc32(squeezed(k).encode("utf-8", "replace"))) in furniture_texts:
                     continue
                 line.append(k)
             elif k.name in INLINE_BREAK:
@@ -458,13 +465,12 @@ def articles(node: Node) -> list[Node]:
     return out
 
 
-def find_region(root: Node, path: list[str]) -> Node | None:
-    node = root
+def find_regions(root: Node, path: list[str]) -> list[Node]:
+    """All elements below ``root`` that the labels lead to."""
+    nodes = [root]
     for label in path:
-        node = next((k for k in node.kids if not isinstance(k, str) and k.label == label), None)
-        if node is None:
-            return None
-    return node
+        nodes = [k for n in nodes for k in n.kids if not isinstance(k, str) and k.label == label]
+    return nodes
 
 
 def main_text(html: str | None, path: list[str] | None, furniture_texts: frozenset[int], kept: frozenset[str] = frozenset()) -> str:
@@ -473,8 +479,7 @@ def main_text(html: str | None, path: list[str] | None, furniture_texts: frozens
     if found:
         heads = [b for f in found for b in blocks(f, frozenset())]
         return "\n\n".join(heads)
-    node = (find_region(root, path) if path else None) or root
-    return "\n\n".join(blocks(node, furniture_texts))
+    return "\n\n".join(b for node in find_regions(root, path or []) or [root] for b in blocks(node, furniture_texts))
 
 
 def host_of(url: str | None) -> str:
@@ -545,12 +550,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
         paths, same, kept = [], [], []
         for w, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             w = json.loads(w)
-            paths.append(region(w, n))
             same.append(sorted(constants(w)) if n >= constant_pages else [])
-            kept.append(sorted(content_by_weight(w, told_by_slots(w, n))))
+            content = content_by_weight(w, told_by_slots(w, n))
+            kept.append(sorted(content))
+            paths.append(region(w, n, content))
         return [b.column(0), pa.array(paths, pa.list_(pa.string())), pa.array(same, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.string()))]
 
-    rules = parked(map_batches(parked(infer(pages, html_col, url_col).select("host", "wrapper", "n_texts"), "wrappers"), "host string, path array<string>, same array<long>, kept array<string>", spec), "regions")
+    rules = parked(map_batches(parked(infer(pages, html_col, url_col, digests=max(8, constant_pages)).select("host", "wrapper", "n_texts"), "wrappers"), "host string, path array<string>, same array<long>, kept array<string>", spec), "regions")
     url = F.col(url_col).cast("string")
     # the same rule as host_of
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), r"\.+$", ""))

@@ -118,6 +118,13 @@ def test_copies_are_no_evidence_of_a_template(spark):
     assert site_texts(spark, [page] * 8 + ["<body><div>one<br>else</div><ul><li>three</ul></body>"])[0] == "one two\n\nthree"
 
 
+def test_region_holds_all_slot_text(spark):
+    page = ("<body><div><a>Home</a><a>About</a></div><div id=content><h1>title {0}</h1><div class=body><p>{1}</div><div class=body><p>tail {0}</div></div>"
+            "<p>Site of the year</p></body>")
+    texts = [(i * 7919, f"long text {i} " * 20) for i in range(6)]
+    assert site_texts(spark, [page.format(*t) for t in texts]) == [f"title {a}\n\n{b.strip()}\n\ntail {a}" for a, b in texts]
+
+
 # ---- chats ----
 
 def _records(spark, items):
