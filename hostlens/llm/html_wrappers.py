@@ -10,12 +10,16 @@ texts, without alternatives.  Wrappers merge like pages do, so wrappers are merg
 salted groups per host, then per host; what is moved are wrappers, never pages,
 and equal wrappers are moved once.
 
-The wrapper says where the article is: an ``article`` or ``main`` element, or
-else the innermost elements that hold all of the host's slot text.  Menus,
+The wrapper says where the article is: in the ``article`` and ``main`` elements
+that stand in no furniture, unless the host's pages hold more than twice as much
+slot text beside them; else, and on pages without such an element, in the
+innermost elements that hold all of the host's slot text.  Menus,
 headers, footers, sidebars, notices, adverts, forms and comments are known by
 element, role, class or id; a class or id alone marks nothing that holds more of
-the host's text than the rest.  Texts that are the same on every one of several
-pages and stand in no paragraph or heading are furniture of the template too.
+the host's text than the rest.  Texts that are the same at their place on every one of several different
+pages and stand in no paragraph or heading are furniture of the template too,
+inside the article as well.  Text that differs but stands beside the article
+elements of a host whose rule they are is left out.
 
 Defined results: null html is empty, and a page without text gives an empty
 text; a null or odd url is a host of its own name ("" if there is none), and a
@@ -371,8 +375,8 @@ def region(w: list, pages: int, kept: frozenset[str]) -> list[str]:
     furniture; all elements with these labels belong to it.  No label, and so the whole page, where
     there are too few pages to tell slots from the template."""
     path: list[str] = []
-    here, at = [(w, False)], ""
-    while told_by_slots(w, pages):
+    here, at, told = [(w, False)], "", told_by_slots(w, pages)
+    while told:
         total = sum(weigh(n, True, kept, at, v) for n, v in here)
         by_label: dict[str, list] = {}
         for n, varies in here:
@@ -387,6 +391,13 @@ def region(w: list, pages: int, kept: frozenset[str]) -> list[str]:
     return path
 
 
+def hinted(w: list, pages: int, kept: frozenset[str]) -> bool:
+    """Whether article elements are the region of the pages that hold them: not where more than
+    twice as much slot text outside furniture stands beside them as in them."""
+    slots = told_by_slots(w, pages)
+    return not slots or weigh(w, True, kept) <= 3 * hint_weight(w, True, kept)
+
+
 def told_by_slots(w: list, pages: int) -> bool:
     """Whether there are pages enough to tell the article by the texts that differ."""
     return pages >= 3 and weigh(w, True, None) > 0
@@ -453,15 +464,12 @@ def _holds_heading(header: Node) -> bool:
 
 
 def articles(node: Node) -> list[Node]:
-    """Outermost article elements that stand in no furniture; inside ``main`` the articles, if it has any."""
+    """Outermost article elements that stand in no furniture."""
     out: list[Node] = []
     for k in node.kids:
-        if isinstance(k, str) or k.furniture or k.name == "head":
+        if isinstance(k, str) or k.furniture:
             continue
-        if k.article:
-            out += (articles(k) if k.name == "main" else []) or [k]
-        else:
-            out += articles(k)
+        out += [k] if k.article else articles(k)
     return out
 
 
@@ -473,13 +481,12 @@ def find_regions(root: Node, path: list[str]) -> list[Node]:
     return nodes
 
 
-def main_text(html: str | None, path: list[str] | None, furniture_texts: frozenset[int], kept: frozenset[str] = frozenset()) -> str:
+def main_text(html: str | None, path: list[str] | None, furniture_texts: frozenset[int], kept: frozenset[str] = frozenset(), hints: bool = True) -> str:
+    """The text of a page by its host's rule: the region's labels, the template's texts, elements
+    that are no furniture in spite of their names, and whether article elements are the region."""
     root = placed(parse(html), kept)
-    found = articles(root)
-    if found:
-        heads = [b for f in found for b in blocks(f, frozenset())]
-        return "\n\n".join(heads)
-    return "\n\n".join(b for node in find_regions(root, path or []) or [root] for b in blocks(node, furniture_texts))
+    found = (articles(root) if hints else []) or find_regions(root, path or []) or [root]
+    return "\n\n".join(b for node in found for b in blocks(node, furniture_texts))
 
 
 def host_of(url: str | None) -> str:
@@ -547,24 +554,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     unchanged and their texts are ``constant_pages`` or more different ones.
     """
     def spec(b: pa.RecordBatch) -> list:
-        paths, same, kept = [], [], []
+        paths, same, kept, hints = [], [], [], []
         for w, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             w = json.loads(w)
             same.append(sorted(constants(w)) if n >= constant_pages else [])
             content = content_by_weight(w, told_by_slots(w, n))
             kept.append(sorted(content))
             paths.append(region(w, n, content))
-        return [b.column(0), pa.array(paths, pa.list_(pa.string())), pa.array(same, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.string()))]
+            hints.append(hinted(w, n, content))
+        return [b.column(0), pa.array(paths, pa.list_(pa.string())), pa.array(same, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.string())),
+                pa.array(hints, pa.bool_())]
 
-    rules = parked(map_batches(parked(infer(pages, html_col, url_col, digests=max(8, constant_pages)).select("host", "wrapper", "n_texts"), "wrappers"), "host string, path array<string>, same array<long>, kept array<string>", spec), "regions")
+    rules = parked(map_batches(parked(infer(pages, html_col, url_col, digests=max(8, constant_pages)).select("host", "wrapper", "n_texts"), "wrappers"), "host string, path array<string>, same array<long>, kept array<string>, hints boolean", spec), "regions")
     url = F.col(url_col).cast("string")
     # the same rule as host_of
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), r"\.+$", ""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    joined = rows.join(rules, "host", "left").select("page_id", "url", "html", "path", "same", "kept")
+    joined = rows.join(rules, "host", "left").select("page_id", "url", "html", "path", "same", "kept", "hints")
 
     def run(b: pa.RecordBatch) -> list:
-        texts = [main_text(h, p, frozenset(s or ()), frozenset(k or ())) for h, p, s, k in zip(*[b.column(i).to_pylist() for i in (2, 3, 4, 5)])]
+        texts = [main_text(h, p, frozenset(s or ()), frozenset(k or ()), a is not False)
+                 for h, p, s, k, a in zip(*[b.column(i).to_pylist() for i in (2, 3, 4, 5, 6)])]
         return [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
     return map_batches(joined, "page_id long, url string, text string, n_chars long", run)

@@ -125,6 +125,15 @@ def test_region_holds_all_slot_text(spark):
     assert site_texts(spark, [page.format(*t) for t in texts]) == [f"title {a}\n\n{b.strip()}\n\ntail {a}" for a, b in texts]
 
 
+def test_the_wrapper_rules_pages_with_article_elements(spark):
+    story = "<body><main><h1>t {0}</h1><article><span>Share this</span><p>text {0}</p><div class=line>All rights reserved</div></article><p>own {0}</p></main></body>"
+    assert site_texts(spark, [story.format(i * 7919) for i in range(6)]) == [f"t {i * 7919}\n\ntext {i * 7919}\n\nown {i * 7919}" for i in range(6)]
+    # small article elements beside the text of a page
+    cards = "<body><div class=text><p>{0}</p></div><article>card {1}</article></body>"
+    texts = [(f"long text {i} " * 20, i) for i in range(6)]
+    assert site_texts(spark, [cards.format(*t) for t in texts]) == [f"{a.strip()}\n\ncard {i}" for a, i in texts]
+
+
 # ---- chats ----
 
 def _records(spark, items):
