@@ -17,8 +17,11 @@
 
 Fitting reads at most ``fit_rows`` labelled documents (a documented bound; a
 sample by hash of doc_id, never rows held out; equal texts count once); mining and voting run on Spark,
-the driver sees pattern counts and votes of that sample.  Scoring covers every
-document and its whole text.
+the driver sees pattern counts and votes of that sample.  Within it, patterns
+of fewer than 3 toxic documents, or than a 200th of them, are not looked at, the
+2,048 patterns with the strongest tie are kept, and the 48 first families are
+voters of their own, all others one voter.  Scoring covers every document and
+its whole text.
 
 Defined results: a null text counts as empty; an empty text scores like a text
 without any pattern; without labelled rows, or with labels of one class, the
@@ -175,18 +178,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _mined(a: int, b: int, na: int, nb: int) -> bool:
-    """Whether a pattern of ``a`` toxic and ``b`` clean documents is tied to the toxic class:
-    ten times as frequent there, and a likelihood ratio beyond chance for a million patterns."""
+def _tie(a: int, b: int, na: int, nb: int) -> float:
+    """How a pattern of ``a`` toxic and ``b`` clean documents is tied to the toxic class: the likelihood
+    ratio; 0 unless ten times as frequent there, and a ratio beyond chance for a million patterns."""
     if a / na < 10 * (b + 0.3) / nb:
-        return False
+        return 0.0
     p = (a + b) / (na + nb)
     g = a * log(a / na / p) + (b * log(b / nb / p) if b else 0.0)
-    return 2 * g >= 24
+    return 2 * g if 2 * g >= 24 else 0.0
 
 
 def mine(sample: DataFrame, most: int = 2048) -> tuple[list[str], int, int]:
-    """The patterns of ``sample`` (text, toxic) that are tied to toxic documents, at most ``most``, most frequent first."""
+    """The patterns of ``sample`` (text, toxic) that are tied to toxic documents, most frequent first;
+    where they are more than ``most``, those with the strongest tie."""
     spark = sample.sparkSession
 
     def counted(only: set[str] | None):
@@ -204,7 +208,7 @@ def mine(sample: DataFrame, most: int = 2048) -> tuple[list[str], int, int]:
         return [], na, nb
     least = max(3, na // 200)
     bad = map_batches(sample.where("toxic = 1").select("text"), "p string, n long", counted(None)).groupBy("p").agg(F.sum("n").alias("n"))
-    often = {r.p: r.n for r in bad.where(F.col("n") >= least).orderBy(F.desc("n"), "p").limit(50_000).toLocalIterator()}
+    often = {r.p: r.n for r in bad.where(F.col("n") >= least).toLocalIterator()}
     only = spark.sparkContext.broadcast(set(often))
 
     def clean(b: pa.RecordBatch) -> list:
@@ -212,8 +216,9 @@ def mine(sample: DataFrame, most: int = 2048) -> tuple[list[str], int, int]:
 
     good = {r.p: r.n for r in map_batches(sample.where("toxic = 0").select("text"), "p string, n long", clean)
             .groupBy("p").agg(F.sum("n").alias("n")).toLocalIterator()}
-    found = [p for p, a in often.items() if _mined(a, good.get(p, 0), na, nb)]
-    return sorted(found, key=lambda p: (-often[p], len(p), p))[:most], na, nb
+    found = {p: tie for p, a in often.items() if (tie := _tie(a, good.get(p, 0), na, nb))}
+    strongest = sorted(found, key=lambda p: (-found[p], len(p), p))[:most]
+    return sorted(strongest, key=lambda p: (-often[p], len(p), p)), na, nb
 
 
 def families(patterns: list[str], largest: int = 48) -> list[list[str]]:

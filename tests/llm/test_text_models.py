@@ -253,6 +253,13 @@ def test_label_model_finds_accuracies_and_correlations():
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.85
 
 
+
+def test_strongest_patterns_are_kept(spark):
+    rows = [(f"{'mild' if i < 30 else ''} {'fits' if i < 25 else ''} w{i}", 1) for i in range(40)] + [(f"{'mild' if i < 20 else ''} c{i}", 0) for i in range(400)]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    assert toxicity.mine(sample, most=1)[0] == ["fits"] and toxicity.mine(sample)[0] == ["mild", "fits"]
+
+
 # ---- licenses ----
 
 def _best_cover(template, words):
