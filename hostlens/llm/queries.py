@@ -78,16 +78,18 @@ def _rollup(spark: SparkSession, sf_dir: str, counters: dict) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     batch_rows(spark, TEXT_ROWS)
     store = token_counts.RollupStore(spark, scratch_path(spark, "token-counts"))
-    load = token_counts.changes(docs, "insert", counters)
+    # each row of the table is a document, as in the SQL, also rows without an id or with a repeated one
+    key = token_counts.row_key(*[F.col(c) for c in ("doc_id", "text", "source", "lang")])
+    load = token_counts.changes(docs.withColumn("row_key", key), "insert", counters, key_col="row_key")
     marked = labels.where("toxic = 1 or quality = 0")
     # a bit table of the marked ids filters the scan, so that only about their texts are moved to meet the labels
     near = sift(docs, ["doc_id"], sieve(marked, ["doc_id"], SIEVE_BITS), SIEVE_BITS).where("_shared").drop("_shared")
-    touched = near.join(marked, "doc_id")
-    gone = token_counts.changes(touched.where("toxic = 1"), "delete", {v: lambda t: F.lit(0).cast("long") for v in counters}, seq=1)
+    touched = near.join(marked, "doc_id").withColumn("row_key", key)
+    gone = token_counts.changes(touched.where("toxic = 1"), "delete", {v: lambda t: F.lit(0).cast("long") for v in counters}, seq=1, key_col="row_key")
     cleaned = touched.where("coalesce(toxic, 0) = 0").withColumn("text", F.regexp_replace("text", "[0-9]+", ""))
     for _ in range(2):
         store.commit("load", load)
-        store.commit("labels", gone.unionByName(token_counts.changes(cleaned, "revise", counters)))
+        store.commit("labels", gone.unionByName(token_counts.changes(cleaned, "revise", counters, key_col="row_key")))
     return store.totals()
 
 

@@ -13,10 +13,12 @@ one marker that is renamed into place; a batch id that is already committed is
 left alone, so a repeated or restarted commit counts once.
 
 Defined results: changes of one batch to one (doc_id, tokenizer) are reduced to
-the last by ``seq``; an insert of a known document is a revision; null source
-and language are groups of their own; rows with a null doc_id are kept apart by
-their text's hash, so that they count too; a null text has no tokens; an empty
-batch commits and changes nothing.
+the last by ``seq``, so repeated rows of one doc_id count once; with keys of
+``row_key`` each row of a batch counts, also equal ones.  Rows with a null doc_id
+are keyed by text, source and language and always count one by one; a later
+batch with such a row says anew how many there are.  An insert of a known
+document is a revision; null source and language are groups of their own; a null
+text has no tokens; an empty batch commits and changes nothing.
 """
 
 from __future__ import annotations
@@ -69,17 +71,18 @@ class RollupStore:
                 .where("docs != 0 or tokens != 0"))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Apply ``changes`` (op: insert, revise or delete; doc_key, source, lang, tokenizer,
-        tokens, seq) once; False if the batch was committed before."""
+        """Apply ``changes`` (op: insert, revise or delete; doc_key, each_row, source, lang,
+        tokenizer, tokens, seq) once; False if the batch was committed before."""
         if not batch_id or set(batch_id) & set("@/"):
             raise ValueError("a batch id has no @ or /")
         if batch_id in self.committed():
             return False
         attempt = uuid.uuid4().hex[:12]
-        last = (changes.groupBy("doc_key", "tokenizer").agg(F.max(F.struct("seq", "op", "tokens", "source", "lang")).alias("c"))
-                .select("doc_key", "tokenizer", "c.*"))
-        added = last.where("op != 'delete'").select("doc_key", "source", "lang", "tokenizer", F.lit(1).cast("long").alias("docs"),
-                                                     F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
+        last = (changes.groupBy("doc_key", "tokenizer").agg(F.max(F.struct("seq", "op", "tokens", "source", "lang")).alias("c"),
+                                                            F.count_if(F.col("each_row") & (F.col("op") != "delete")).alias("n"))
+                .select("doc_key", "tokenizer", "c.*", F.greatest("n", F.lit(1).cast("long")).alias("docs")))
+        added = last.where("op != 'delete'").select("doc_key", "source", "lang", "tokenizer", "docs",
+                                                     (F.coalesce(F.col("tokens").cast("long"), F.lit(0)) * F.col("docs")).alias("tokens"))
         signed = added
         if self.committed():
             touched = last.select("doc_key", "tokenizer")
@@ -102,9 +105,15 @@ class RollupStore:
         return bool(self._fs.rename(mark, self._path(f"{self.root}/commits/{batch_id}@{attempt}")))
 
 
-def doc_key(doc_id: Column, text: Column) -> Column:
-    """The id as text; rows without an id by their text's digest."""
-    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)))
+def doc_key(doc_id: Column, text: Column, source: Column, lang: Column) -> Column:
+    """The id as text; rows without an id by the digest of what they count."""
+    row = F.to_json(F.struct(text.alias("text"), source.alias("source"), lang.alias("lang")))
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("row:"), F.sha2(F.encode(row, "UTF-8"), 256)))
+
+
+def row_key(doc_id: Column, text: Column, source: Column, lang: Column) -> Column:
+    """A key that tells rows of one id apart, for tables in which each row is a document."""
+    return F.concat(doc_key(doc_id, text, source, lang), F.lit("#"), F.hex(F.xxhash64(text, source, lang)))
 
 
 def word_count(text: Column) -> Column:
@@ -113,10 +122,12 @@ def word_count(text: Column) -> Column:
 
 
 def changes(docs: DataFrame, op: str, counters: dict[str, Callable[[Column], Column]], seq: int = 0, id_col: str = "doc_id",
-            text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """One change per row and tokenizer version; ``counters`` maps versions to expressions of the text."""
-    text = F.col(text_col).cast("string")
+            text_col: str = "text", source_col: str = "source", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
+    """One change per row and tokenizer version; ``counters`` maps versions to expressions of the text.
+    ``key_col`` holds keys of ``row_key``, of the rows as they were first inserted."""
+    text, source, lang = (F.col(c).cast("string") for c in (text_col, source_col, lang_col))
     each = F.array(*[F.struct(F.lit(v).alias("tokenizer"), count(text).alias("tokens")) for v, count in counters.items()])
-    return (docs.select(doc_key(F.col(id_col), text).alias("doc_key"), F.col(source_col).cast("string").alias("source"),
-                        F.col(lang_col).cast("string").alias("lang"), F.explode(each).alias("t"))
-            .select(F.lit(op).alias("op"), "doc_key", "source", "lang", "t.tokenizer", "t.tokens", F.lit(seq).cast("long").alias("seq")))
+    known = doc_key(F.col(id_col), text, source, lang) if key_col is None else F.col(key_col)
+    return (docs.select(known.alias("doc_key"), (F.col(id_col).isNull() if key_col is None else F.lit(True)).alias("each_row"),
+                        source.alias("source"), lang.alias("lang"), F.explode(each).alias("t"))
+            .select(F.lit(op).alias("op"), "doc_key", "each_row", "source", "lang", "t.tokenizer", "t.tokens", F.lit(seq).cast("long").alias("seq")))

@@ -206,6 +206,21 @@ def test_a_broken_commit_is_not_seen(spark):
     assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "words@1", 1, 2)]
 
 
+def test_rows_without_an_id_count_each(spark):
+    rows = [(None, "a b", "en", "s")] * 3 + [(None, "a b", "de", "s"), (1, "c", "en", "s"), (1, "c", "en", "s"), (1, "d e", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    store = token_counts.RollupStore(spark, scratch_path(spark, "rollup-test"))
+    store.commit("b", token_counts.changes(docs, "insert", {"words@1": token_counts.word_count}))
+    assert _totals(store) == [("s", "de", "words@1", 1, 2), ("s", "en", "words@1", 4, 8)]
+    key = token_counts.row_key(*[F.col(c) for c in ("doc_id", "text", "source", "lang")])
+    store = token_counts.RollupStore(spark, scratch_path(spark, "rollup-test"))
+    each = docs.withColumn("row_key", key)
+    store.commit("b", token_counts.changes(each, "insert", {"words@1": token_counts.word_count}, key_col="row_key"))
+    assert _totals(store) == [("s", "de", "words@1", 1, 2), ("s", "en", "words@1", 6, 10)]
+    store.commit("c", token_counts.changes(each.where("text = 'c'"), "delete", {"words@1": token_counts.word_count}, key_col="row_key"))
+    assert _totals(store) == [("s", "de", "words@1", 1, 2), ("s", "en", "words@1", 4, 8)]
+
+
 # ---- toxicity ----
 
 def test_toxicity_on_held_out_rows(spark):
