@@ -14,7 +14,7 @@ of all of them; the work on the rest is per document, so nothing is shuffled.
 
 Defined results: a null or empty text has no match; overlapping matches of one
 template are reported once, the first by position; matches of different
-templates may overlap; repeated rows report the same matches each; an empty
+templates may overlap, but of close variants (``VARIANTS``) the best is reported; repeated rows report the same matches each; an empty
 table gives an empty result; other columns are not looked at.
 """
 
@@ -32,6 +32,28 @@ from pyspark.sql import functions as F
 
 from hostlens.llm.common import map_batches
 
+_BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+
+def _gnu_header(program: str, name: str, version: str) -> str:
+    return (f"{program} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public "
+            f"License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+            f"later version. {program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+            f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for "
+            "more details.")
+
+
 #: Public notices and license texts.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
@@ -63,13 +85,39 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" "
         "AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
-        "FITNESS."),
-    "bsd-2-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
-        "the following disclaimer in the documentation and/or other materials provided with the distribution."),
+        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    "bsd-2-clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
+    "bsd-3-clause": _BSD_CONDITIONS + (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission. ") + _BSD_DISCLAIMER,
+    "lgpl-2.1-header": _gnu_header("This library", "Lesser", "2.1"),
+    "lgpl-3.0-header": _gnu_header("This program", "Lesser", "3"),
+    "agpl-3.0-header": _gnu_header("This program", "Affero", "3"),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "cc-by-4.0-notice": (
+        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by/4.0/"),
+    "cc0-1.0-notice": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. "
+        "CC0 1.0 Universal http://creativecommons.org/publicdomain/zero/1.0/"),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
+        "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+        "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+        "relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
+        "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+        "USE OR OTHER DEALINGS IN THE SOFTWARE."),
 }
+#: Texts that differ in a few words: where matches of one line overlap, only the best is a match.
+VARIANTS = [frozenset(v.split()) for v in ("gpl-3.0-header lgpl-2.1-header lgpl-3.0-header agpl-3.0-header", "bsd-2-clause bsd-3-clause")]
 WORD = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -189,9 +237,18 @@ def matches(text: str | None, templates: list[Template], coverage: float) -> lis
                 at, pairs = _placed(t, words, s, max(free, s), need)
             if len(pairs) >= need:
                 first, last = at + pairs[0][1], at + pairs[-1][1]
-                out.append((t.name, spans[first][0], spans[last][1], round(len(pairs) / n, 6)))
+                out.append((t.name, spans[first][0], spans[last][1], round(len(pairs) / n, 6), len(pairs)))
                 free = last + 1
-    return sorted(out, key=lambda m: (m[1], m[0]))
+    return sorted((m[:4] for m in best_variants(out)), key=lambda m: (m[1], m[0]))
+
+
+def best_variants(found: list[tuple]) -> list[tuple]:
+    """Without matches that overlap a better one of a variant: of higher coverage, then of more words."""
+    out: list[tuple] = []
+    for m in sorted(found, key=lambda m: (-m[3], -m[4], m[1], m[0])):
+        if not any(m[0] != o[0] and m[1] < o[2] and o[1] < m[2] and any(m[0] in v and o[0] in v for v in VARIANTS) for o in out):
+            out.append(m)
+    return out
 
 
 def _placed(t: Template, words: list[str], start: int, free: int, need: int) -> tuple[int, list[tuple[int, int]]]:

@@ -327,3 +327,13 @@ def test_patience_alignment_is_a_common_subsequence():
         p = licenses.aligned(a, b)
         assert all(a[i] == b[j] for i, j in p) and p == sorted(p) and len({i for i, _ in p}) == len(p) == len({j for _, j in p})
         assert len(p) <= len(licenses.common(a, b))
+
+
+def test_each_license_is_found_under_its_own_name_only():
+    known = licenses.compiled(licenses.TEMPLATES, 0.8)
+    for name, text in licenses.TEMPLATES.items():
+        found = {m[0]: m[3] for m in licenses.matches(text, known, 0.8)}
+        assert found.pop(name) == 1.0 and set(found) <= {"apache-2.0-notice"}, (name, found)
+    bsd, isc = licenses.TEMPLATES["bsd-2-clause"], licenses.TEMPLATES["isc"]
+    for cut in (bsd[:bsd.index("THIS SOFTWARE")], isc[:isc.index("IN NO EVENT")]):
+        assert all(m[3] < 1 for m in licenses.matches(cut, known, 0.8))
