@@ -2,19 +2,21 @@
 
 Spark has no in-place update of parquet; each kernel returns the next version
 of a table as a DataFrame.  ``publish`` writes it to a new versioned folder
-under the shared scratch root and only then adds the marker that shows it, so
-a reader never sees a half-written table and nothing that is read is ever
-overwritten.
+under the shared scratch root and only then makes the numbered commit that
+shows it, so a reader never sees a half-written table and nothing that is read
+is ever overwritten; ``transact`` keeps concurrent writers from losing changes.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.functions.identity import row_hash
+from hostlens.operators.commits import CommitLog, Conflict
 from hostlens.operators.scan import ordinal
 
 
@@ -87,49 +89,65 @@ def delete(state: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def affected(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Inserted / deleted / changed row counts between two versions, in one join."""
+    """Inserted / deleted / changed row counts between two versions, in one join.  A null key
+    is a key like any other, and a value that moves from one column to another is a change."""
     cols = [c for c in before.columns if c != key]
-    b = before.select(key, F.xxhash64(*[F.col(c) for c in cols]).alias("_hb"))
-    a = after.select(key, F.xxhash64(*[F.col(c) for c in cols]).alias("_ha"))
-    j = b.join(a, key, "full")
+    b = before.select(F.col(key).alias("_kb"), row_hash(before, cols).alias("_hb"))
+    a = after.select(F.col(key).alias("_ka"), row_hash(after.select(key, *cols), cols).alias("_ha"))
+    j = b.join(a, F.col("_kb").eqNullSafe(F.col("_ka")), "full")
     return j.agg(F.count_if(F.col("_hb").isNull()).alias("n_inserted"),
                  F.count_if(F.col("_ha").isNull()).alias("n_deleted"),
                  F.count_if(F.col("_hb").isNotNull() & F.col("_ha").isNotNull() &
                             (F.col("_hb") != F.col("_ha"))).alias("n_updated"))
 
 
-def publish(spark: SparkSession, df: DataFrame, root: str, name: str) -> str:
+def _log(spark: SparkSession, root: str, name: str) -> CommitLog:
+    return CommitLog(spark, f"{root}/{name}/_published")
+
+
+def publish(spark: SparkSession, df: DataFrame, root: str, name: str, after: int | None = None) -> str:
     """Write ``df`` as a new version of table ``name`` and show it; returns the version's path.
 
-    A version is shown by a marker file that is made whole or not at all and never
-    changed: ``<root>/<name>/_published/<number>@<version folder>``.  Readers take the
-    highest number, so there is a complete version at every moment.
+    A version is shown by a numbered commit that is made whole or not at all and never
+    changed, so there is a complete version at every moment.  ``after`` is the number of
+    the version that ``df`` was made from (``current_number``): if another writer has published
+    since, nothing is shown and ``Conflict`` is raised.  Without it the version takes the
+    next free number, whatever is there.
     """
     version = f"v-{uuid.uuid4().hex[:12]}"
     df.write.mode("errorifexists").parquet(f"{root}/{name}/{version}")
-    fs, path = _file_system(spark, root)
-    markers = path(f"{root}/{name}/_published")
-    fs.mkdirs(markers)
-    last = max([int(m.split("@")[0]) for m in _markers(fs, markers)], default=0)
-    fs.createNewFile(path(f"{root}/{name}/_published/{last + 1:012d}@{version}"))
+    log = _log(spark, root, name)
+    if after is not None:
+        if not log.claim(after + 1, version):
+            raise Conflict(f"version {after + 1} of {name} was published by another writer")
+    else:
+        while not log.claim(log.last()[0] + 1, version):
+            pass
     return f"{root}/{name}/{version}"
 
 
-def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest published version of table ``name``."""
-    fs, path = _file_system(spark, root)
-    newest = max(_markers(fs, path(f"{root}/{name}/_published")))
-    return spark.read.parquet(f"{root}/{name}/{newest.split('@')[1]}")
+def current_number(spark: SparkSession, root: str, name: str) -> int:
+    """The number of the newest published version of table ``name``; 0 if there is none."""
+    return _log(spark, root, name).last()[0]
 
 
-def _file_system(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+def current(spark: SparkSession, root: str, name: str, number: int | None = None) -> DataFrame:
+    """The newest published version of table ``name``, or the one of that number."""
+    log = _log(spark, root, name)
+    version = log.last()[1] if number is None else log.entries()[number - 1]
+    return spark.read.parquet(f"{root}/{name}/{version}")
 
 
-def _markers(fs, folder) -> list[str]:
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return [n for n in names if "@" in n and not n.endswith(".crc")]
+def transact(spark: SparkSession, root: str, name: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> str:
+    """Publish ``change`` of the newest version; if another writer was first, it is made again from that
+    writer's version, so that no change is lost."""
+    for _ in range(tries):
+        number = current_number(spark, root, name)
+        try:
+            return publish(spark, change(current(spark, root, name, number)), root, name, after=number)
+        except Conflict:
+            continue
+    raise Conflict(f"{name} was changed by other writers {tries} times")
 
 
 #: Key sets up to this size may be broadcast; larger ones are joined as tables.
