@@ -15,10 +15,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hostlens.functions.identity import row_key
 from hostlens.session import scratch_path
 
 #: Rows per Arrow batch sent to a Python worker: of texts, which may be long, and of narrow rows.
@@ -62,18 +63,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def hashable(df: DataFrame) -> list[Column]:
-    """The columns of ``df`` that Spark can hash (all but maps and variants)."""
-    return [F.col(f"`{f.name}`") for f in df.schema.fields
-            if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-
-
-def row_key(df: DataFrame) -> Column:
-    """128-bit hash of a whole row."""
-    cols = hashable(df)
-    return F.concat(F.hex(F.xxhash64(*cols)), F.lit(" "), F.hex(F.xxhash64(F.lit("second"), *cols)))
-
-
 def keyed_rows(df: DataFrame) -> DataFrame:
     """(_key, _row): the row key, and the row as one struct, so that no name can clash."""
     return df.select(row_key(df).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import keyed_rows, one_of_each, parked, row_key
+from hostlens.functions.identity import row_key
+from hostlens.llm.common import keyed_rows, one_of_each, parked
 
 #: The deleted characters (fixed by the contract).
 BLANKS = " \t\n\x0b\x0c\r"

@@ -9,8 +9,10 @@ document counts at present is itself the sum of its ledger rows, so a deletion
 of an unknown document, or a second one, changes nothing.
 
 A batch is written to folders of its own attempt and becomes visible through
-one marker that is renamed into place; a batch id that is already committed is
-left alone, so a repeated or restarted commit counts once.
+one numbered commit; a batch id that is already committed is left alone, so a
+repeated or restarted commit counts once.  A writer that finds its number taken
+reads the new commits and does its batch again, so concurrent batches take each
+row back once.
 
 Defined results: changes of one batch to one (doc_id, tokenizer) are reduced to
 the last by ``seq``, so repeated rows of one doc_id count once; with keys of
@@ -29,6 +31,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.operators.commits import CommitLog
+
 GROUP = ["source", "lang", "tokenizer"]
 LEDGER = "doc_key string, source string, lang string, tokenizer string, docs long, tokens long"
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -39,20 +43,15 @@ class RollupStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._log = CommitLog(spark, f"{self.root}/commits")
 
     def committed(self) -> dict[str, str]:
         """Committed batch ids and the attempts that hold them."""
-        folder = self._path(f"{self.root}/commits")
-        if not self._fs.exists(folder):
-            return {}
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return dict(n.split("@", 1) for n in sorted(names, reverse=True) if "@" in n)
-
-    def _read(self, what: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{what}/{b}@{a}" for b, a in sorted(self.committed().items())]
+        return dict(n.split("@", 1) for n in self._log.entries())
+
+    def _read(self, what: str, schema: str, committed: dict[str, str] | None = None) -> DataFrame:
+        committed = self.committed() if committed is None else committed
+        paths = [f"{self.root}/{what}/{b}@{a}" for b, a in sorted(committed.items())]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
@@ -62,9 +61,9 @@ class RollupStore:
         return (self._read("sums", TOTALS).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
                 .where("docs != 0 or tokens != 0"))
 
-    def present(self, asked: DataFrame | None = None) -> DataFrame:
+    def present(self, asked: DataFrame | None = None, committed: dict[str, str] | None = None) -> DataFrame:
         """What each document counts at present, per tokenizer version; only those of ``asked`` (doc_key, tokenizer)."""
-        rows = self._read("ledger", LEDGER)
+        rows = self._read("ledger", LEDGER, committed)
         if asked is not None:
             rows = rows.join(asked, ["doc_key", "tokenizer"], "left_semi")
         return (rows.groupBy("doc_key", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
@@ -72,11 +71,24 @@ class RollupStore:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply ``changes`` (op: insert, revise or delete; doc_key, each_row, source, lang,
-        tokenizer, tokens, seq) once; False if the batch was committed before."""
+        tokenizer, tokens, seq) once; False if the batch was committed before, also by another
+        writer meanwhile."""
         if not batch_id or set(batch_id) & set("@/"):
             raise ValueError("a batch id has no @ or /")
-        if batch_id in self.committed():
-            return False
+        while True:
+            committed = self.committed()
+            if batch_id in committed:
+                return False
+            attempt = self._prepare(batch_id, changes, committed)
+            # what was taken back is what these commits hold: another commit since then, and it is done again
+            if self._publish(len(committed) + 1, batch_id, attempt):
+                return True
+
+    def _publish(self, number: int, batch_id: str, attempt: str) -> bool:
+        return self._log.claim(number, f"{batch_id}@{attempt}")
+
+    def _prepare(self, batch_id: str, changes: DataFrame, committed: dict[str, str]) -> str:
+        """Write the batch's ledger and sums, as they follow on ``committed``; returns the attempt."""
         attempt = uuid.uuid4().hex[:12]
         last = (changes.groupBy("doc_key", "tokenizer").agg(F.max(F.struct("seq", "op", "tokens", "source", "lang")).alias("c"),
                                                             F.count_if(F.col("each_row") & (F.col("op") != "delete")).alias("n"))
@@ -84,9 +96,9 @@ class RollupStore:
         added = last.where("op != 'delete'").select("doc_key", "source", "lang", "tokenizer", "docs",
                                                      (F.coalesce(F.col("tokens").cast("long"), F.lit(0)) * F.col("docs")).alias("tokens"))
         signed = added
-        if self.committed():
+        if committed:
             touched = last.select("doc_key", "tokenizer")
-            taken = (self.present(touched)
+            taken = (self.present(touched, committed)
                      .select("doc_key", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
             signed = added.unionByName(taken)
         ledger = f"{self.root}/ledger/{batch_id}@{attempt}"
@@ -94,15 +106,7 @@ class RollupStore:
         sums = (self.spark.read.schema(LEDGER).parquet(ledger).groupBy(*GROUP)
                 .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
         sums.write.parquet(f"{self.root}/sums/{batch_id}@{attempt}")
-        return self._publish(batch_id, attempt)
-
-    def _publish(self, batch_id: str, attempt: str) -> bool:
-        """Show the attempt: its marker is renamed into place as a whole.  Should two writers
-        commit one batch at once, readers take one of them, the same for all."""
-        self._fs.mkdirs(self._path(f"{self.root}/commits"))
-        mark = self._path(f"{self.root}/.{batch_id}@{attempt}")
-        self._fs.createNewFile(mark)
-        return bool(self._fs.rename(mark, self._path(f"{self.root}/commits/{batch_id}@{attempt}")))
+        return attempt
 
 
 def doc_key(doc_id: Column, text: Column, source: Column, lang: Column) -> Column:
@@ -113,7 +117,8 @@ def doc_key(doc_id: Column, text: Column, source: Column, lang: Column) -> Colum
 
 def row_key(doc_id: Column, text: Column, source: Column, lang: Column) -> Column:
     """A key that tells rows of one id apart, for tables in which each row is a document."""
-    return F.concat(doc_key(doc_id, text, source, lang), F.lit("#"), F.hex(F.xxhash64(text, source, lang)))
+    cols = [x for c in (text, source, lang) for x in (c.isNull(), c)]      # hashes pass over nulls
+    return F.concat(doc_key(doc_id, text, source, lang), F.lit("#"), F.hex(F.xxhash64(*cols)))
 
 
 def word_count(text: Column) -> Column:
