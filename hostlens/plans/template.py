@@ -3,9 +3,14 @@
 The template is read into a ``Template`` (values and rules); ``extract``
 turns it into a DataFrame plan over ``(file, line_no, line)``:
 
-* rule choice: first rule whose pattern matches (``rlike`` chain).  Rules with
-  ``Continue`` apply and let the line go on to the rules below them; such a
-  line becomes one row per rule that applies;
+* states: every line is a function from the state before it to the state after
+  it (the new state of the first rule of that state that matches), and a scan over
+  functions gives the state at each line, with a hot file in many tasks.
+  Templates of one state need no such scan.  ``End`` and ``EOF`` end a file: no
+  rule applies after them, and ``End`` leaves the pending record out;
+* rule choice: first rule of the line's state whose pattern matches (``rlike``
+  chain).  Rules with ``Continue`` apply and let the line go on to the rules
+  below them; such a line becomes one row per rule that applies;
 * captures:   ``regexp_extract`` of the rule's group for each value.  A group
   that matches the empty text is a capture too;
 * one keyed scan over the lines brings the last capture of every value, and the
@@ -18,10 +23,14 @@ turns it into a DataFrame plan over ``(file, line_no, line)``:
 * List values: the captures of a segment, gathered per record;
 * Fillup values: a second keyed scan, backwards.
 
-Supported natively: one state (``Start``), actions Next and Continue with Record
-/ NoRecord / Clear / Clearall, options Filldown, Required, Key, List, Fillup.
-State changes and ``List`` with ``Filldown`` or ``Fillup`` raise
-``NotImplementedError``.  ``$$`` in a rule is the end of the line.
+* ``Error``: a file in which such a rule matches has no records; ``errors``
+  returns the first such line of each file.
+
+Supported natively: any states, line actions Next, Continue and Error with Record /
+NoRecord / Clear / Clearall and a new state, options Filldown, Required, Key,
+List, Fillup.  ``List`` with ``Filldown`` or ``Fillup`` raises
+``NotImplementedError``.  ``$$`` in a rule is the end of the line.  The captures of a
+List value up to a record are gathered in one row, as they are one value.
 """
 
 from __future__ import annotations
@@ -33,10 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.headings import heading
+from hostlens.operators.function_scan import function_scan
 from hostlens.operators.scan import keyed_scan
 
 SUPPORTED_OPTIONS = {"Filldown", "Required", "Key", "List", "Fillup"}
+LINE_OPS = {"Next", "Continue", "Error"}
 RECORD_OPS = {"Record", "NoRecord", "Clear", "Clearall"}
+#: States that end a file; they hold no rules.
+START, END, EOF, ERROR = "Start", "End", "EOF", "Error"
 
 
 @dataclass(frozen=True)
@@ -68,6 +81,9 @@ class Rule:
     groups: dict          # value name -> group index
     record_op: str        # Record | NoRecord | Clear | Clearall
     goes_on: bool = False  # Continue: the line is also offered to the rules below
+    state: str = START     # the state the rule belongs to
+    target: str | None = None   # the state after the line, if it changes; Error for an error rule
+    message: str = ""      # of an error rule
 
 
 @dataclass(frozen=True)
@@ -75,6 +91,15 @@ class Template:
     values: tuple[Value, ...]
     rules: tuple[Rule, ...]
     has_eof_state: bool
+    states: tuple[str, ...] = (START,)
+
+    def machine(self) -> list[str]:
+        """All states by number: Start, the others, then those that end a file."""
+        return [START, *[s for s in self.states if s != START], END, EOF, ERROR]
+
+    @property
+    def changes_state(self) -> bool:
+        return any(r.target not in (None, r.state) for r in self.rules)
 
 
 def _capturing_groups(regex: str) -> int:
@@ -139,33 +164,17 @@ def parse_template(text: str, unescape: bool = False) -> Template:
             continue
         if not line[0].isspace():
             state = line.strip()
+            if not re.fullmatch(r"\w+", state) or state in states or state in LINE_OPS | RECORD_OPS:
+                raise ValueError(f"no name of a state, or the second of that name: {state!r}")
             states.append(state)
             continue
-        if state != "Start":
-            if state == "EOF":
-                continue
-            raise NotImplementedError("only the Start state is supported natively")
+        if state in (None, END, EOF):
+            raise ValueError(f"no rules stand in state {state}")
         body = line.strip()
         if not body.startswith("^"):
             raise ValueError(f"rule must start with ^: {body!r}")
         pat, _, action = body.partition(" -> ")
-        action = action.strip()
-        line_op, record_op = "Next", "NoRecord"
-        if action:
-            toks = action.split()
-            if len(toks) > 1:
-                raise NotImplementedError("state changes are not supported natively")
-            op = toks[0]
-            if "." in op:
-                line_op, record_op = op.split(".", 1)
-            elif op in ("Next", "Continue"):
-                line_op = op
-            elif op in RECORD_OPS:
-                record_op = op
-            else:
-                raise NotImplementedError(f"action {op} is not supported natively")
-        if line_op not in ("Next", "Continue") or record_op not in RECORD_OPS:
-            raise NotImplementedError(f"action {action} is not supported natively")
+        line_op, record_op, target, message = _action(action.strip())
         # substitute ${name} / $name; $$ is the end of the line
         groups: dict[str, int] = {}
         out = ""
@@ -185,8 +194,36 @@ def parse_template(text: str, unescape: bool = False) -> Template:
                 continue
             out += pat[i]
             i += 1
-        rules.append(Rule(_to_java(out), groups, record_op, line_op == "Continue"))
-    return Template(tuple(values), tuple(rules), "EOF" in states)
+        rules.append(Rule(_to_java(out), groups, record_op, line_op == "Continue", state, ERROR if line_op == "Error" else target, message))
+    if START not in states:
+        raise ValueError("a template needs a Start state")
+    for r in rules:
+        if r.target not in (None, END, EOF, ERROR, *states):
+            raise ValueError(f"no such state: {r.target}")
+    return Template(tuple(values), tuple(rules), EOF in states, tuple(s for s in states if s not in (END, EOF)))
+
+
+def _action(text: str) -> tuple[str, str, str | None, str]:
+    """(line action, record action, new state, message) of what stands behind the arrow:
+    ``[line action][.record action] [new state]``, each part optional."""
+    m = re.fullmatch(r"(?:(\w+)(?:\.(\w+))?)?\s*(?:(\w+)|\"(.*)\")?", text)
+    if not m:
+        raise ValueError(f"no action: {text!r}")
+    first, second, target, message = m.groups()
+    line_op, record_op = "Next", "NoRecord"
+    if first in LINE_OPS:
+        line_op, record_op = first, second or "NoRecord"
+    elif first in RECORD_OPS and second is None:
+        record_op = first
+    elif first and second is None and target is None:
+        target = first
+    elif first:
+        raise ValueError(f"no action: {text!r}")
+    if record_op not in RECORD_OPS or (message is not None and line_op != "Error") or (target in LINE_OPS | RECORD_OPS):
+        raise ValueError(f"no action: {text!r}")
+    if line_op == "Continue" and target is not None:
+        raise ValueError("a Continue rule has no new state")
+    return line_op, record_op, None if line_op == "Error" else target, message or (target if line_op == "Error" else "") or ""
 
 
 def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file",
@@ -204,7 +241,16 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
     onames = [f"_o{i}" for i in range(len(ocols))]
     base = lines.select(F.col(file_col).alias("_file"), F.col(text_col).alias("_line"),
                         *[F.col(c).alias(o) for c, o in zip(ocols, onames)])
-    base = _applied(base, t.rules).withColumn("_key", F.lit("") if carry_across_files else F.col("_file"))
+    base = base.withColumn("_key", F.lit("") if carry_across_files else F.col("_file"))
+    machine = t.machine()
+    if t.changes_state:
+        base = _in_states(base, t, onames)
+        if ERROR in [r.target for r in t.rules]:
+            bad = base.where(F.col("_after") == machine.index(ERROR)).select("_key").distinct()
+            base = base.join(bad, "_key", "left_anti")
+    else:
+        base = base.withColumns({"_before": F.lit(0), "_after": F.lit(0)})
+    base = _applied(base, t)
     rule = F.col("_rule")
 
     def op_flag(*ops):
@@ -219,7 +265,7 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
         return c
 
     step = ["_file", *onames, "_rule_no"]
-    base = base.select("_key", *step, op_flag("Record").alias("_rec"), op_flag("Record", "Clear", "Clearall").alias("_reset"),
+    base = base.select("_key", *step, "_after", op_flag("Record").alias("_rec"), op_flag("Record", "Clear", "Clearall").alias("_reset"),
                        op_flag("Clearall").alias("_reset_all"), *[capture(v).alias("_c_" + v.name) for v in vals])
     here = F.struct(*step)
 
@@ -232,7 +278,7 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
                      befores={"_cleared": F.when(F.col("_reset"), here), "_cleared_all": F.when(F.col("_reset_all"), here)},
                      mark_last="_key_end")
     # a line closes its segment with a record; the last line of a file also stands for the end of input
-    end = F.lit(implicit_eof and not t.has_eof_state) & F.col("_key_end")
+    end = F.lit(implicit_eof and not t.has_eof_state) & F.col("_key_end") & (F.col("_after") != machine.index(END))
     at_end = seg.select("*", F.explode(F.filter(F.array(F.when(F.col("_rec"), F.lit(False)), F.when(end, F.lit(True))),
                                                 lambda x: x.isNotNull())).alias("_eof"))
     cleared = F.when(F.col("_eof") & F.col("_reset"), here).otherwise(F.col("_cleared"))
@@ -267,21 +313,61 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
           for v in vals])
 
 
-def _applied(base: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``base`` with the rule that applies to a line (``_rule``, null if none); a line that
-    goes on after a Continue rule is one row per rule, numbered by ``_rule_no``."""
-    line = F.col("_line")
-    if not any(r.goes_on for r in rules):
-        first = F.lit(None).cast("int")
-        for i in reversed(range(len(rules))):
-            first = F.when(line.rlike(rules[i].pattern), F.lit(i)).otherwise(first)
-        return base.withColumn("_rule", first).withColumn("_rule_no", F.lit(0))
-    open_, hits = F.lit(True), []
-    for i, r in enumerate(rules):
-        hit = line.rlike(r.pattern)
-        hits.append(F.when(open_ & hit, F.lit(i)))
-        if not r.goes_on:
-            open_ = open_ & ~F.coalesce(hit, F.lit(False))
+def errors(lines: DataFrame, template: Template | str, *, file_col: str = "file", order_cols=("line_no",), text_col: str = "line",
+           carry_across_files: bool = False) -> DataFrame:
+    """(file, the order columns, line, message): the line at which an Error rule matched, for each file that has one
+    (``carry_across_files``: the first of all)."""
+    t = parse_template(template) if isinstance(template, str) else template
+    ocols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    onames = [f"_o{i}" for i in range(len(ocols))]
+    base = lines.select(F.col(file_col).alias("_file"), F.col(text_col).alias("_line"), *[F.col(c).alias(o) for c, o in zip(ocols, onames)])
+    base = _in_states(base.withColumn("_key", F.lit("") if carry_across_files else F.col("_file")), t, onames)
+    at = t.machine().index(ERROR)
+    hit = _applied(base.where((F.col("_after") == at) & (F.col("_before") != at)), t)
+    message = F.lit(None).cast("string")
+    for i, r in enumerate(t.rules):
+        if r.target == ERROR:
+            message = F.when(F.col("_rule") == i, F.lit(r.message)).otherwise(message)
+    return (hit.withColumn("message", message).where("message is not null")
+            .select(F.col("_file").alias("file"), *[F.col(o).alias(c) for o, c in zip(onames, ocols)], F.col("_line").alias("line"), "message"))
+
+
+def _in_states(base: DataFrame, t: Template, onames: list[str]) -> DataFrame:
+    """``base`` with the state before and after each line, by number."""
+    machine, line = t.machine(), F.col("_line")
+    step = []
+    for at, state in enumerate(machine):
+        to = F.lit(at)
+        for r in reversed([r for r in t.rules if r.state == state and not r.goes_on]):
+            to = F.when(line.rlike(r.pattern), F.lit(machine.index(r.target) if r.target else at)).otherwise(to)
+        step.append(to)
+    return function_scan(base, "_key", ["_file", *onames], F.array(*step), states=len(machine))
+
+
+def _applied(base: DataFrame, t: Template) -> DataFrame:
+    """``base`` with the rule that applies to a line in its state (``_rule``, null if none); a line
+    that goes on after a Continue rule is one row per rule, numbered by ``_rule_no``."""
+    line, by_state = F.col("_line"), []
+    for at, state in enumerate(t.machine()):
+        own = [(i, r) for i, r in enumerate(t.rules) if r.state == state]
+        if own:
+            by_state.append((F.col("_before") == at, own))
+    if not any(r.goes_on for r in t.rules):
+        rule = F.lit(None).cast("int")
+        for here, own in by_state:
+            first = F.lit(None).cast("int")
+            for i, r in reversed(own):
+                first = F.when(line.rlike(r.pattern), F.lit(i)).otherwise(first)
+            rule = F.when(here, first).otherwise(rule)
+        return base.withColumn("_rule", rule).withColumn("_rule_no", F.lit(0))
+    hits = []
+    for here, own in by_state:
+        open_ = here
+        for i, r in own:
+            hit = line.rlike(r.pattern)
+            hits.append(F.when(open_ & hit, F.lit(i)))
+            if not r.goes_on:
+                open_ = open_ & ~F.coalesce(hit, F.lit(False))
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())
     return (base.select("*", F.posexplode_outer(found).alias("_rule_no", "_rule"))
             .withColumn("_rule_no", F.coalesce("_rule_no", F.lit(0))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hostlens.functions.address import IPV4, address_to_name
 from hostlens.functions.headings import normalize_headings
 from hostlens.functions.timefmt import normalize_time_text, time_losses
+from hostlens.plans.template import errors as template_errors
 from hostlens.plans.template import extract
 from hostlens.session import scratch_path
 from hostlens.sources.counters import read_counters, stack
@@ -241,6 +242,47 @@ Start
 """).select("Host", "Calls", "Day")
 
 
+# ---- templates with several states ----
+
+def _states(hour: str, first_rules: str) -> str:
+    """Calls lines count only behind a query line that leads to their state."""
+    return rf"""Value Filldown host (\S+)
+Value Required hour ({hour})
+Value calls (\S+)
+
+Start
+  ^${{host}}#
+{first_rules}
+
+Calls
+  ^Total Number of Active Calls : ${{calls}} -> Record Start
+"""
+
+
+@register("i3_states", f"""
+SELECT {_HOST} AS "Host", strftime(ts, '%H') AS "Hour", {_EVENT_TEXT} AS "Calls" FROM events WHERE hour(ts) < 12""")
+def i3_states(spark, sf):
+    # the calls of the morning: other calls lines match no rule in the state Start
+    return _own(spark, sf, _states(r"0\d|1[01]", r"  ^Query @ \S+ ${hour}: -> Calls")).select("Host", "Hour", "Calls")
+
+
+@register("i3_state_end", f"""
+WITH e AS (SELECT *, count(*) FILTER (hour(ts) = 23) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS late FROM events)
+SELECT {_HOST} AS "Host", strftime(ts, '%H') AS "Hour", {_EVENT_TEXT} AS "Calls" FROM e WHERE late = 0""")
+def i3_state_end(spark, sf):
+    # a host's calls up to its first query after eleven at night
+    rules = "  ^Query @ \\S+ 23: -> End\n  ^Query @ \\S+ ${hour}: -> Calls"
+    return _own(spark, sf, _states(r"\d\d", rules)).select("Host", "Hour", "Calls")
+
+
+@register("i3_state_errors", f"""
+SELECT {_HOST} AS "Host", strftime(min(ts), '%d %H:%M') AS "Time", 'on the hour' AS message FROM events WHERE minute(ts) = 0 GROUP BY user_id""")
+def i3_state_errors(spark, sf):
+    rules = '  ^Query @ \\S+ \\d\\d:00 -> Error "on the hour"\n  ^Query @ \\S+ ${hour}: -> Calls'
+    found = template_errors(raw_lines(spark, log_files(spark, sf)), _states(r"\d\d", rules), order_cols=["_block", "_mid"])
+    return found.select(F.regexp_extract("file", r"host=([^/]+)/", 1).alias("Host"), F.regexp_extract("line", r"-(\d\d \d\d:\d\d)", 1).alias("Time"), "message")
+
+
 @register("i5_time_losses", """
 SELECT count(*) AS n_rows, count(*) FILTER (event_type = 'error') AS n_unparsed,
   min(CASE WHEN event_type = 'error' THEN 'at ' || CAST(event_id AS VARCHAR) END) AS example FROM events""")

@@ -93,7 +93,7 @@ def _run(spark, template, lines, **kw):
 
 
 def test_template_unsupported_forms():
-    with pytest.raises(NotImplementedError):
+    with pytest.raises(ValueError):      # a state that is not there
         parse_template("Value a (x)\n\nStart\n  ^${a} -> Record Other\n")
     with pytest.raises(NotImplementedError):
         parse_template("Value List,Filldown a (x)\n\nStart\n  ^${a} -> Record\n")
