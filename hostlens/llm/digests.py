@@ -58,7 +58,7 @@ PIECE = 1 << 19
 #: New text that is fingerprinted at a time.
 PORTION = 1 << 20
 #: Bytes of text per range of ``with_next``, and the most ranges there are (their bounds are broadcast).
-RANGE_BYTES, RANGES = 64 << 20, 1 << 16
+RANGE_BYTES, RANGES = 16 << 20, 1 << 16
 
 _COUNT = np.arange(WINDOW + 1)
 #: c log2 c in units of 1/1024, and what one more equal byte adds.
