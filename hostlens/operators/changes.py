@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostlens.operators.kernels import assign_keys, delete, insert_ignore, update
+from hostlens.operators.scan import keyed_scan
 from hostlens.plans.fetch_spec import list_ids
+from hostlens.session import scratch_path
 
 # The messages the reference reports for field errors.
 MSG_TOO_LONG = "Data length ({}) greater than DB length of {}"
@@ -24,6 +26,8 @@ MSG_DUPLICATE = "Duplicate data, modify to be unique."
 MSG_NO_MULTI_FIELD = "System error: No field found for multi-select"
 MSG_NOT_TEXT = "Required type varchar(string) but submitted as {}"
 MSG_UNKNOWN_FIELD = 'Unable to validate field "{}"'
+#: A message of our own: text that the column's stored type cannot hold.
+MSG_NOT_STORED = "Not a value of type {}"
 NULL_MARKER = "^NULL^"
 ROW_ID = "DT_RowId"
 
@@ -118,8 +122,11 @@ def validate(changes: DataFrame, rules: Sequence[FieldRule], state: DataFrame, k
 
     Output: every input row with ``out_value`` (normalised text, or the null
     marker), ``drop`` (field removed from the write) and ``status`` (error text
-    or null).  Unique checks look at the stored state (create: any owner;
-    edit: another owner) and at earlier rows of the same batch.  Multi-select
+    or null).  A value must fit its column's stored type (a number its range, a
+    date the calendar), so that no later cast can fail.  Unique checks see the
+    table as the valid records before a record leave it (create: any owner; edit:
+    another owner), as if records were validated and applied one by one; with
+    contested values that change hands this runs a few jobs.  Multi-select
     counts are checked (E2g): a missing field of a count above 0 is an error row,
     of a count of 0 a blank row.  An optional column ``kind`` tells what a value
     was submitted as; anything but text, a list or files is an error for text
@@ -162,32 +169,107 @@ def validate(changes: DataFrame, rules: Sequence[FieldRule], state: DataFrame, k
                     length_err(F.length(as_int.cast("string")))))
     out = j.select("seq", "action", "pkid", "field", "value", "is_unique", out_value.alias("out_value"),
                    drop.alias("drop"), status.alias("status"))
+    out = out.withColumn("status", F.when(F.col("status").isNull() & ~F.col("drop"), _unfit(state, rules)).otherwise(F.col("status")))
     return _unique_checks(out, [r.name for r in rules if r.unique], state, key)
 
 
+def _unfit(state: DataFrame, rules: Sequence[FieldRule]) -> Column:
+    """The error of an ``out_value`` that its column's stored type cannot hold, else null."""
+    out = F.lit(None).cast("string")
+    for name, kind in state.dtypes:
+        if kind != "string" and name in [r.name for r in rules]:
+            bad = (F.col("field") == name) & (F.col("out_value") != NULL_MARKER) & F.col("out_value").try_cast(kind).isNull()
+            out = F.when(bad, F.lit(MSG_NOT_STORED.format(kind))).otherwise(out)
+    return out
+
+
 def _unique_checks(rows: DataFrame, names: Sequence[str], state: DataFrame, key: str) -> DataFrame:
-    """E2e / E2f: a value of a unique field belongs to whom it came from first, a stored row
-    before any change.  A change that brings it for another owner is a duplicate; a
-    row that sends its own value again is not.  Only rows of unique fields are
-    shuffled, once, by (field, value); the few hits are joined back."""
+    """E2e / E2f: a claim of a value that another row holds at that moment is a duplicate.
+
+    A row holds its stored value until a valid record changes it, and a record's value from
+    then on; a record that sends its row's own value again claims nothing new.  First the claimed and
+    stored values are grouped once, by (field, value); those with one owner are free.  Of the others,
+    a value whose stored owner is not changed by the batch is held throughout.  Only values
+    that may change hands are left for ``_handed_over``.
+    """
     if not names:
         return rows.drop("is_unique")
-    stored = state.select(F.lit(-(1 << 63)).alias("seq"), F.col(key).cast("string").alias("owner"),
-                          F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("out_value"))
-                                              for n in names])).alias("_u")).select("seq", "owner", "_u.*").where("out_value is not null")
+    value = F.when(F.col("out_value") != NULL_MARKER, F.col("out_value"))
     new = F.lower("action") == "create"
-    asked = (rows.where(F.coalesce("is_unique", F.lit(False)) & F.col("status").isNull() & ~F.col("drop") & F.col("out_value").isNotNull()
-                        & (F.col("out_value") != NULL_MARKER))
-             .select(F.col("seq").cast("bigint").alias("seq"),
-                     F.when(new, F.concat(F.lit("new "), F.col("seq").cast("string"))).otherwise(F.col("pkid").cast("string")).alias("owner"),
-                     "field", "out_value"))
-    first = asked.unionByName(stored).groupBy("field", "out_value").agg(F.min(F.struct("seq", "owner"))["owner"].alias("first_owner"))
-    hits = (asked.join(first, ["field", "out_value"]).where("owner != first_owner")
-            .select("seq", "field").distinct().withColumn("_dup", F.lit(True)))
-    return (rows.join(hits, ["seq", "field"], "left")
+    # what records write to unique fields, were they applied
+    written = rows.where(F.coalesce("is_unique", F.lit(False)) & F.col("status").isNull() & ~F.col("drop")).select(
+        F.col("seq").cast("bigint").alias("seq"),
+        F.when(new, F.concat(F.lit("new "), F.col("seq").cast("string"))).otherwise(F.col("pkid").cast("string")).alias("owner"), "field", value.alias("held"))
+    claims = written.where("held is not null")
+    stored = state.select(F.col(key).cast("string").alias("owner"),
+                          F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("held"))
+                                              for n in names])).alias("_u")).select("owner", "_u.*").where("held is not null")
+    by_value = (claims.select("field", "held", "owner", F.lit(1).alias("claimed")).unionByName(stored.withColumn("claimed", F.lit(0)))
+                .groupBy("field", "held").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max("claimed").alias("claimed"))
+                .where("claimed = 1 and lo != hi").select("field", "held"))
+    contested = _written(by_value, "contested")
+    holders = _written(stored.join(contested, ["field", "held"], "left_semi"), "holders")
+    fixed = (holders.join(written.select("owner", "field").distinct(), ["owner", "field"], "left_anti")
+             .groupBy("field", "held").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")))
+    asked = claims.join(contested, ["field", "held"], "left_semi").join(fixed, ["field", "held"], "left")
+    asked = _written(asked.select("seq", "owner", "field", "held", F.col("lo").isNotNull().alias("settled"),
+                                  F.coalesce((F.col("owner") != F.col("lo")) | (F.col("owner") != F.col("hi")), F.lit(False)).alias("dup")), "claims")
+    hits = asked.where("dup").select("seq", "field")
+    if asked.where("not settled").take(1):
+        refused = rows.where(F.col("status").isNotNull()).select(F.col("seq").cast("bigint").alias("seq")).union(hits.select("seq")).distinct()
+        hits = hits.unionByName(_handed_over(asked.where("not settled").select("seq", "owner", "field", "held"), written, stored, refused))
+    return (rows.join(hits.distinct().withColumn("_dup", F.lit(True)), ["seq", "field"], "left")
             .withColumn("status", F.coalesce("status", F.when(F.col("_dup"), F.lit(MSG_DUPLICATE)))).drop("_dup", "is_unique"))
 
 
+def _handed_over(claims: DataFrame, written: DataFrame, stored: DataFrame, refused: DataFrame) -> DataFrame:
+    """(seq, field) of the duplicates among claims of values that may change hands.
+
+    The timeline of a value: one owner more at a record that brings it to a row, one less at the
+    row's next change.  A claim is a duplicate if owners other than its own are left in the running sum
+    before it.  Only valid records count, and which are valid is what is asked; so this goes in rounds:
+    each takes the records that the last one found valid.  A record's answer depends on earlier
+    ones alone, so every round settles at least the next record of each chain of records that depend on each
+    other, and the first round that changes nothing is the answer of going record by record.
+    """
+    first = F.lit(-(1 << 63))
+    pairs = claims.select("owner", "field").unionByName(
+        stored.join(claims.select("field", "held").distinct(), ["field", "held"], "left_semi").select("owner", "field")).distinct()
+    line = _written(written.join(pairs, ["owner", "field"], "left_semi").withColumn("stored", F.lit(False)).unionByName(
+        stored.join(pairs, ["owner", "field"], "left_semi").withColumns({"seq": first, "stored": F.lit(True)})), "timeline")
+    asked = _written(claims, "open-claims")
+    always = _written(refused, "refused")
+    bad, found = always, None
+    while True:
+        known = line.join(bad.withColumn("_bad", F.lit(True)), "seq", "left")
+        own = Window.partitionBy("owner", "field").orderBy("seq", "held")
+        counts = F.coalesce(~F.col("_bad"), F.lit(True))
+        steps = known.withColumn("counts", counts).withColumns({
+            "before": F.last(F.when(F.col("counts"), F.struct("held")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)),
+            "end": F.first(F.when(F.col("counts"), F.col("seq")), ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))})
+        steps = _written(steps.where("held is not null").select("seq", "owner", "field", "held", "counts", "end",
+                                                                F.coalesce(F.col("before.held") == F.col("held"), F.lit(False)).alias("own_before")), "steps")
+        held = steps.where("counts")
+        name = F.concat_ws("\u0001", "field", "held").alias("_value")
+        moves = held.select(name, "seq", F.lit(1).alias("n")).unionByName(held.where("end is not null").select(name, F.col("end").alias("seq"), F.lit(-1).alias("n")))
+        checks = asked.join(steps, ["seq", "owner", "field", "held"]).select(
+            name, "seq", F.lit(0).alias("n"), "field", F.col("own_before").cast("int").alias("mine"))
+        rows = checks.unionByName(moves, allowMissingColumns=True).withColumn("_kind", F.col("field").isNull().cast("int"))
+        scanned = keyed_scan(rows, "_value", ["seq", "_kind", "field", "n"], sums={"owners": F.col("n")})
+        dups = _written(scanned.where("field is not null and owners > mine").select("seq", "field").distinct(), "duplicates")
+        now = _written(always.union(dups.select("seq")).distinct(), "refused")
+        if found is not None and not now.join(bad, "seq", "left_anti").take(1) and not bad.join(now, "seq", "left_anti").take(1):
+            return dups
+        bad, found = now, dups
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def record_status(validated: DataFrame) -> DataFrame:
     """Per record: ``valid`` and ``errors array<struct<name,status>>`` (sorted)."""
     return validated.groupBy("seq", "action", "pkid").agg(

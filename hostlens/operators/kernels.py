@@ -73,14 +73,33 @@ def update(state: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]
     ``changes`` holds ``key``, a value column per field and ``_set_<field>``
     flags; a set flag with a null value writes NULL (the null marker), an unset
     flag keeps the stored value.  Changes that share a key are first reduced to
-    one, applied in the order of ``seq``.
+    one, applied in the order of ``seq``.  A value that the column's stored type cannot
+    hold leaves the stored value as it is (``unfit`` lists these).
     """
     ch = changes.groupBy(key).agg(*_last_set(changes, key, fields, seq, lambda f: F.coalesce(F.col("_set_" + f), F.lit(False))),
                                   *[F.bool_or(F.coalesce(F.col("_set_" + f), F.lit(False))).alias("_s_" + f) for f in fields])
     j = state.join(ch, key, "left")
-    types = dict(state.dtypes)
-    return j.select(*[F.when(F.coalesce(F.col("_s_" + c), F.lit(False)), F.col("_n_" + c).cast(types[c])).otherwise(F.col(c)).alias(c)
-                      if c in fields else F.col(c) for c in state.columns])
+    types = {**dict(state.dtypes), "_from": dict(changes.dtypes)}
+
+    def written(c: str) -> Column:
+        new = _stored_as(F.col("_n_" + c), types["_from"].get(c), types[c])
+        kept = ~F.coalesce(F.col("_s_" + c), F.lit(False)) | (F.col("_n_" + c).isNotNull() & new.isNull())
+        return F.when(kept, F.col(c)).otherwise(new).alias(c)
+
+    return j.select(*[written(c) if c in fields else F.col(c) for c in state.columns])
+
+
+def _stored_as(value: Column, given: str | None, kind: str) -> Column:
+    """``value`` in the column's stored type; null where it does not fit."""
+    return value if given == kind else value.try_cast(kind)
+
+
+def unfit(state: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, field, value) of changes that the stored type cannot hold; ``update`` leaves these fields as they are."""
+    types, given = dict(state.dtypes), dict(changes.dtypes)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"),
+                              (F.col("_set_" + f) & F.col(f).isNotNull() & _stored_as(F.col(f), given[f], types[f]).isNull()).alias("bad")) for f in fields])
+    return changes.select(key, F.explode(each).alias("_e")).where("_e.bad").select(key, "_e.field", "_e.value")
 
 
 def delete(state: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 A measurement frame has a time column, a host column, a selected (series)
 column, a plot column and a unique position column (``pos``) that gives the
-frame order.  Every function is lazy and DataFrame-in / DataFrame-out.
+frame order.  Every function is DataFrame-in / DataFrame-out.  Those that need
+row positions (Q7, positional Q8 and Q10, Q12) count and write sorted slices when
+they are called (``scan.keyed_scan``); the others are lazy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hostlens.functions.timefmt import parse_time
 from hostlens.operators.scan import keyed_scan, ordinal
@@ -42,9 +46,18 @@ def select_hosts(df: DataFrame, hosts=None, host_col: str = "Hostname") -> DataF
 
 # Q2 / Q3 / Q4 ----------------------------------------------------------------
 def filter_equals(df: DataFrame, col: str, value) -> DataFrame:
+    """Q2: rows whose ``col`` equals ``value``, compared in the column's type; a value that is none of
+    that type equals nothing.  A blank value filters nothing."""
     if value is None or value == "":
         return df
-    return df.where(F.col(col) == F.lit(value))
+    kind = df.schema[col].dataType
+    number = isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+    if number and isinstance(kind, T.NumericType):
+        return df.where(F.col(col) == F.lit(value))
+    text = str(value).lower() if isinstance(value, bool) else str(value)
+    if isinstance(kind, T.StringType):
+        return df.where(F.col(col) == F.lit(text))
+    return df.where(F.col(col) == F.lit(text).try_cast(kind))
 
 
 def project(df: DataFrame, index: str | None, selected: str, plot: str, keep: Sequence[str] = ()) -> DataFrame:

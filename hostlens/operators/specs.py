@@ -69,12 +69,9 @@ def run_specs(measurements: DataFrame, specs: DataFrame, *, selected: str = "Ser
 
     ``columns`` are the frame's columns that specs may name in ``selected`` and
     ``plot`` besides the defaults.  ``max_specs`` is the declared
-    number of saved charts; they are broadcast behind that check.
+    number of saved charts, times the hosts each lists; they are broadcast behind that check.
     """
     spec = _options(specs)
-    many = spec.limit(max_specs + 1).count()
-    if many > max_specs:
-        raise ValueError(f"more than {max_specs} specs")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     names = [c for c in dict.fromkeys([selected, host_col, *columns]) if c not in (time_col, pos_col, value_col)]
 
@@ -90,6 +87,10 @@ def run_specs(measurements: DataFrame, specs: DataFrame, *, selected: str = "Ser
     keyed = spec.withColumn("_k", F.explode(
         F.when(F.size("_hosts") > 0, F.transform(F.array_distinct("_hosts"), lambda h: F.concat(F.lit("h"), h)))
         .when(own & (F.col("_filter") != ""), F.array(F.concat(F.lit("f"), F.col("_filter")))).otherwise(F.array(F.lit("a")))))
+    # what is broadcast is one row per spec and host it lists
+    many = keyed.limit(max_specs + 1).count()
+    if many > max_specs:
+        raise ValueError(f"more than {max_specs} specs and hosts")
     time = F.col(time_col).cast("timestamp_ntz")
     rows = measurements.select(*names, time_col, pos_col, value_col).withColumn("_k", F.explode(F.array(
         F.concat(F.lit("h"), F.coalesce(F.col(host_col), F.lit(""))), F.concat(F.lit("f"), F.coalesce(F.col(selected), F.lit(""))), F.lit("a"))))

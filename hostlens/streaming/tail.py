@@ -16,20 +16,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def new_rows(df: DataFrame, key: str, cursor) -> DataFrame:
+    return df.where(F.col(key) > F.lit(cursor)) if cursor is not None else df
+
+
+def tail_cursor(df: DataFrame, key: str, cursor) -> DataFrame:
+    """Batch S1: the next cursor, always one row: the largest key of the new rows, or ``cursor`` if there is none.
+    Only rows behind the cursor are read, where the source can push the filter down."""
+    return new_rows(df, key, cursor).agg(F.coalesce(F.max(key), F.lit(cursor)).alias("next_cursor"))
+
+
 def tail_after(df: DataFrame, key: str, cursor) -> DataFrame:
-    """Batch S1: rows with ``key > cursor`` plus ``next_cursor`` (max key seen)."""
-    new = df.where(F.col(key) > F.lit(cursor)) if cursor is not None else df
-    top = df.agg(F.max(key).alias("next_cursor"))
-    return new.crossJoin(F.broadcast(top))
+    """Batch S1: rows with ``key > cursor``, each with ``next_cursor``; with no new row there is none, and
+    ``tail_cursor`` tells the cursor."""
+    return new_rows(df, key, cursor).crossJoin(F.broadcast(tail_cursor(df, key, cursor)))
 
 
 def tail_stream(spark: SparkSession, source_dir: str, schema: StructType, key: str, cursor,
                 sink_dir: str, checkpoint_dir: str, fmt: str = "parquet") -> None:
     """Streaming S1: copy rows above ``cursor`` from a file source to a file sink
     for everything available now, then stop."""
-    src = spark.readStream.format(fmt).schema(schema).load(source_dir)
-    if cursor is not None:
-        src = src.where(F.col(key) > F.lit(cursor))
+    src = new_rows(spark.readStream.format(fmt).schema(schema).load(source_dir), key, cursor)
     q = (src.writeStream.format("parquet").option("checkpointLocation", checkpoint_dir)
          .outputMode("append").trigger(availableNow=True).start(sink_dir))
     q.awaitTermination()
