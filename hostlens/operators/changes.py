@@ -194,6 +194,7 @@ def _unique_checks(rows: DataFrame, names: Sequence[str], state: DataFrame, key:
     """
     if not names:
         return rows.drop("is_unique")
+    rows = _written(rows, "validated")      # read several times
     value = F.when(F.col("out_value") != NULL_MARKER, F.col("out_value"))
     new = F.lower("action") == "create"
     # what records write to unique fields, were they applied
@@ -237,32 +238,44 @@ def _handed_over(claims: DataFrame, written: DataFrame, stored: DataFrame, refus
         stored.join(claims.select("field", "held").distinct(), ["field", "held"], "left_semi").select("owner", "field")).distinct()
     line = _written(written.join(pairs, ["owner", "field"], "left_semi").withColumn("stored", F.lit(False)).unionByName(
         stored.join(pairs, ["owner", "field"], "left_semi").withColumns({"seq": first, "stored": F.lit(True)})), "timeline")
-    asked = _written(claims, "open-claims")
     always = _written(refused, "refused")
+    size = line.count()
     bad, found = always, None
     while True:
-        known = line.join(bad.withColumn("_bad", F.lit(True)), "seq", "left")
         own = Window.partitionBy("owner", "field").orderBy("seq", "held")
         counts = F.coalesce(~F.col("_bad"), F.lit(True))
-        steps = known.withColumn("counts", counts).withColumns({
+        known = line.join(bad.withColumn("_bad", F.lit(True)), "seq", "left").withColumn("counts", counts)
+        steps = known.withColumns({
             "before": F.last(F.when(F.col("counts"), F.struct("held")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)),
-            "end": F.first(F.when(F.col("counts"), F.col("seq")), ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))})
-        steps = _written(steps.where("held is not null").select("seq", "owner", "field", "held", "counts", "end",
-                                                                F.coalesce(F.col("before.held") == F.col("held"), F.lit(False)).alias("own_before")), "steps")
-        held = steps.where("counts")
-        name = F.concat_ws("\u0001", "field", "held").alias("_value")
-        moves = held.select(name, "seq", F.lit(1).alias("n")).unionByName(held.where("end is not null").select(name, F.col("end").alias("seq"), F.lit(-1).alias("n")))
-        checks = asked.join(steps, ["seq", "owner", "field", "held"]).select(
-            name, "seq", F.lit(0).alias("n"), "field", F.col("own_before").cast("int").alias("mine"))
-        rows = checks.unionByName(moves, allowMissingColumns=True).withColumn("_kind", F.col("field").isNull().cast("int"))
-        scanned = keyed_scan(rows, "_value", ["seq", "_kind", "field", "n"], sums={"owners": F.col("n")})
-        dups = _written(scanned.where("field is not null and owners > mine").select("seq", "field").distinct(), "duplicates")
-        now = _written(always.union(dups.select("seq")).distinct(), "refused")
-        if found is not None and not now.join(bad, "seq", "left_anti").take(1) and not bad.join(now, "seq", "left_anti").take(1):
-            return dups
+            "end": F.first(F.when(F.col("counts"), F.col("seq")), ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing))}).where("held is not null")
+        # one row each for the claim itself, for the owner more at its record and for the owner less at the row's next change
+        event = lambda when, seq, n, check: F.when(when, F.struct(seq.alias("at"), F.lit(n).alias("n"), F.lit(check).alias("check")))
+        is_claim, seq = F.col("seq") > first, F.col("seq")
+        events = F.array(event(is_claim, seq, 0, True), event(F.col("counts"), seq, 1, False), event(F.col("counts") & F.col("end").isNotNull(), F.col("end"), -1, False))
+        rows = steps.select(F.concat_ws("\u0001", "field", "held").alias("_value"), "field", F.coalesce(F.col("before.held") == F.col("held"), F.lit(False)).cast("int").alias("mine"),
+                            F.explode(F.filter(events, lambda e: e.isNotNull())).alias("_e")).select("_value", "field", "mine", "_e.*")
+        scanned = _owners(rows, size)
+        dups = _written(scanned.where(F.col("check") & (F.col("owners") > F.col("mine"))).select(F.col("at").alias("seq"), "field").distinct(), "duplicates")
+        now = always.union(dups.select("seq")).distinct()
+        if found is not None:
+            both = now.withColumn("_now", F.lit(True)).join(bad.withColumn("_then", F.lit(True)), "seq", "full")
+            if not both.where("_now is null or _then is null").take(1):
+                return dups.join(claims.select("seq", "field").distinct(), ["seq", "field"], "left_semi")
         bad, found = now, dups
 
 
+#: Timelines up to this many rows are summed in a window per value; longer ones in slices, whatever a value's share.
+SMALL_TIMELINE = 100_000
+
+
+def _owners(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with the number of owners of the value before each check."""
+    order = [F.col("at"), (~F.col("check")).cast("int"), F.col("field"), F.col("mine"), F.col("n")]
+    if size > int(rows.sparkSession.conf.get("hostlens.changes.smallTimeline", str(SMALL_TIMELINE))):
+        return keyed_scan(rows, "_value", order, sums={"owners": F.col("n")})
+    return rows.withColumn("owners", F.sum("n").over(Window.partitionBy("_value").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back."""
     path = scratch_path(df.sparkSession, name)

@@ -108,6 +108,42 @@ def e2r(spark, sf):
                                  "; ").alias("errors"))
 
 
+@register("e2_stored_types", """
+WITH v AS (SELECT c_custkey AS seq, f.field, f.value FROM customer, unnest([
+    {'field': 'c_nationkey', 'value': CASE WHEN c_custkey % 3 = 0 THEN '9' || CAST(c_custkey + 9000000000 AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END},
+    {'field': 'since', 'value': CASE WHEN c_custkey % 5 = 0 THEN '2020-02-30' WHEN c_custkey % 5 = 1 THEN 'someday' ELSE '2020-02-28' END}]) AS t(f))
+SELECT seq, field, CASE WHEN field = 'c_nationkey' AND TRY_CAST(value AS INTEGER) IS NULL THEN 'Not a value of type int'
+  WHEN field = 'since' AND TRY_CAST(value AS DATE) IS NULL THEN 'Not a value of type date' END AS status FROM v""")
+def e2_stored(spark, sf):
+    # numbers beyond the stored type and dates the calendar has not: errors of their rows
+    c = table(spark, sf, "customer")
+    state = c.select("c_custkey", F.col("c_nationkey").cast("int").alias("c_nationkey"), F.lit("2020-01-01").cast("date").alias("since"))
+    k = F.col("c_custkey")
+    number = F.when(k % 3 == 0, F.concat(F.lit("9"), (k + F.lit(9000000000)).cast("string"))).otherwise(k.cast("string"))
+    day = F.when(k % 5 == 0, "2020-02-30").when(k % 5 == 1, "someday").otherwise("2020-02-28")
+    fields = F.array(F.struct(F.lit("c_nationkey").alias("field"), number.alias("value")), F.struct(F.lit("since").alias("field"), day.alias("value")))
+    changes = c.select(k.cast("bigint").alias("seq"), F.lit("edit").alias("action"), k.alias("pkid"), F.explode(fields).alias("_f")).select("seq", "action", "pkid", "_f.*")
+    rules = [E.FieldRule("c_nationkey", "int", 12), E.FieldRule("since", "date")]
+    return E.validate(changes, rules, state, "c_custkey").select("seq", "field", "status")
+
+
+@register("e2_handed_over", """
+WITH r AS (SELECT c_custkey AS k, c_custkey % 3 AS place, c_nationkey = 0 AS bad FROM customer),
+v AS (SELECT *, coalesce(bool_or(bad) OVER (PARTITION BY k // 3 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS kept FROM r)
+SELECT k AS seq, CASE WHEN place > 0 AND kept AND EXISTS (SELECT 1 FROM r WHERE r.k = v.k - 1) THEN 'Duplicate data, modify to be unique.' END AS status FROM v""")
+def e2_handed_over(spark, sf):
+    # in threes, each customer takes the name that the one before has just given up, unless that record was refused
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    before = F.format_string("Customer#%09d", k - 1)
+    name = F.when(k % 3 == 0, F.concat(F.lit("new "), k.cast("string"))).otherwise(before)
+    fields = F.array(F.struct(F.lit("c_name").alias("field"), name.alias("value")),
+                     F.struct(F.lit("c_mktsegment").alias("field"), F.when(F.col("c_nationkey") == 0, "far too long").otherwise("ok").alias("value")))
+    changes = c.select(k.cast("bigint").alias("seq"), F.lit("edit").alias("action"), k.alias("pkid"), F.explode(fields).alias("_f")).select("seq", "action", "pkid", "_f.*")
+    checked = E.validate(changes, RULES, c, "c_custkey")
+    return checked.where("field = 'c_name'").select("seq", "status")
+
+
 # the batch in an order that puts the records that can be valid first, by falling balance: it stops midway
 _BALANCE_FIRST = ("CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 0 ELSE 1000000000000000 END"
                   " + (1000000 - CAST(floor(c_acctbal) AS BIGINT)) * 10000000 + c_custkey")

@@ -13,7 +13,7 @@ from hostlens.session import scratch_path
 from hostlens.sources.counters import read_counters, stack
 from hostlens.sources.inventory import inventory, inventory_lookup, refresh_inventory
 from hostlens.sources.lines import raw_lines, read_lines, text_lines
-from hostlens.sources.render import render_counter_csv, render_device_log
+from hostlens.sources.render import render_counter_csv, render_device_log, render_document_csv
 from hostlens.registered.common import building_hosts
 from hostlens.registry import register, table
 
@@ -58,6 +58,18 @@ def i1(spark, sf):
     return rows.select(normalize_time_text("time_text").alias("Timestamp"), "Hostname", F.col(f"`{COUNTER}`"))
 
 
+@register("i1_quoted_breaks", """
+SELECT 'DOCS-' || coalesce(source, 'none') AS "Hostname", CAST(doc_id AS VARCHAR) AS "Id",
+  CASE WHEN doc_id % 3 <> 0 THEN CAST(n_chars AS DOUBLE) END AS "Chars" FROM documents""")
+def i1_quoted(spark, sf):
+    # texts with line breaks and quotes in quoted cells, and lines without their last cells
+    k = (spark.sparkContext.applicationId, sf.rstrip("/"), "documents")
+    if k not in _RENDERED:
+        _RENDERED[k] = render_document_csv(table(spark, sf, "documents"), scratch_path(spark, "document-csv"))
+    rows, _ = read_counters(spark, _RENDERED[k], "Texts\\chars")
+    return rows.select("Hostname", F.col("time_text").alias("Id"), F.col("`Texts\\chars`").alias("Chars"))
+
+
 @register("i2_line_scan", """
 SELECT 'cube' || CAST(user_id AS VARCHAR) AS host, count(*) * 2 + 1 AS n_lines, count(*) * 2 AS last_line_no,
   count(*) * 2 * (count(*) * 2 + 1) // 2 AS sum_line_no FROM events GROUP BY user_id""")

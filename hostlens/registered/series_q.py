@@ -43,6 +43,23 @@ def q3(spark, sf):
     return df.withColumn("Timestamp", ts_text("Timestamp"))
 
 
+@register("q2_typed_filter", """
+SELECT 'text as number' AS f, c_custkey FROM customer WHERE c_custkey = 17
+UNION ALL SELECT 'number as text', c_custkey FROM customer WHERE c_name = '17'
+UNION ALL SELECT 'number', c_custkey FROM customer WHERE c_nationkey = 3""")
+def q2_typed(spark, sf):
+    # a value that is none of the column's type equals nothing, and ends no job
+    c = table(spark, sf, "customer")
+    pick = lambda name, *dfs: [d.select(F.lit(name).alias("f"), "c_custkey") for d in dfs]
+    parts = (pick("text as number", S.filter_equals(c, "c_custkey", "17"), S.filter_equals(c, "c_acctbal", "no number"))
+             + pick("number as text", S.filter_equals(c, "c_name", 17))
+             + pick("number", S.filter_equals(c, "c_nationkey", 3), S.filter_equals(c, "c_custkey", "2024-01-01")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("q4_numeric_coercion", """
 SELECT event_id AS pos,
   CASE WHEN event_type = 'error' THEN NULL ELSE value END AS "Value" FROM events""")

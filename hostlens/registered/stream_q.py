@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostlens.session import scratch_path
-from hostlens.streaming.tail import stream_time_buckets, tail_after, tail_stream
+from hostlens.streaming.tail import stream_time_buckets, tail_after, tail_cursor, tail_stream
 from hostlens.registry import r6, register, sql_ts, table, ts_text
 
 SEEN_UNTIL = "2024-01-15 00:00:00"
@@ -36,6 +36,16 @@ def s1(spark, sf):
     return out.withColumn("Time", ts_text("Time"))
 
 
+@register("s1_log_cursor", """
+SELECT 'new rows' AS seen, max(event_id) AS next_cursor FROM events UNION ALL SELECT 'no new row', max(event_id) FROM events""")
+def s1c(spark, sf):
+    # the cursor is told also when no row is new
+    log = _log(spark, sf)
+    last = log.agg(F.max("pkid")).first()[0]
+    return (tail_cursor(log, "pkid", _cursor(spark, sf)).select(F.lit("new rows").alias("seen"), "next_cursor")
+            .unionByName(tail_cursor(log, "pkid", last).select(F.lit("no new row").alias("seen"), "next_cursor")))
+
+
 @register("s1_log_tail_stream", _SQL_TAIL.replace(",\n  (SELECT max(event_id) FROM events) AS next_cursor", ""))
 def s1s(spark, sf):
     log = _log(spark, sf)

@@ -61,3 +61,17 @@ def render_device_log(events: DataFrame, out: str) -> str:
     (lines.repartition("host").sortWithinPartitions("host", F.col("_t").asc_nulls_first(), "_o", "_k")
      .select("host", "value").write.mode("errorifexists").partitionBy("host").text(out))
     return out
+
+
+def render_document_csv(docs: DataFrame, out: str, parts: int = 4) -> str:
+    """Documents as counter CSVs: ``doc_id``, ``n_chars`` and the quoted text with its line breaks; one
+    file per source and remainder of the id, each with a header.  Every third line is cut behind the id."""
+    host = F.concat(F.lit("DOCS-"), F.coalesce("source", F.lit("none")))
+    part = F.pmod(F.col("doc_id"), F.lit(parts))
+    head = F.concat_ws(",", _q(F.lit(PDH_FIRST_HEADER)), *[_q(F.concat(F.lit("\\\\"), F.col("host"), F.lit(f"\\Texts\\{c}"))) for c in ("chars", "text")])
+    body = docs.select(host.alias("host"), part.alias("part"), F.col("doc_id").alias("_o"), F.when(F.col("doc_id") % 3 == 0, _q(F.col("doc_id").cast("string"))).otherwise(
+        F.concat_ws(",", _q(F.col("doc_id").cast("string")), F.col("n_chars").cast("string"), _q(F.coalesce("text", F.lit(""))))).alias("value"))
+    heads = body.select("host", "part").distinct().select("host", "part", F.lit(None).cast("long").alias("_o"), head.alias("value"))
+    (heads.unionByName(body).repartition("host", "part").sortWithinPartitions("host", "part", F.col("_o").asc_nulls_first())
+     .select("host", "part", "value").write.mode("errorifexists").partitionBy("host", "part").text(out))
+    return out

@@ -66,6 +66,7 @@ def test_random_batches_against_interpreter(spark, seed):
     state = {k: {"name": "ABCDEFGHIJ"[k - 1], "code": k, "note": "x"} for k in range(1, 9)}
     records = _batch(rng, 60, list(state))
     rows, changes = _frames(spark, state, records)
+    spark.conf.set("hostlens.changes.smallTimeline", "0" if seed == 2 else "100000")     # in slices, or in windows
     with small_slices(spark, 20):
         got = E.apply_edits(rows, changes, RULES, "pkid", stop=False)
         table, dups, applied = interpret(state, records, stop=False)
@@ -74,6 +75,7 @@ def test_random_batches_against_interpreter(spark, seed):
         assert {(r.seq, r.field) for r in checked.where(F.col("status") == E.MSG_DUPLICATE).collect()} == dups
         assert sorted(r.seq for r in got.records.collect() if r.valid) == sorted(applied)
         assert {r.pkid: {"name": r.name, "code": r.code, "note": r.note} for r in got.state.collect()} == table
+    spark.conf.unset("hostlens.changes.smallTimeline")
 
 
 def test_stops_at_the_first_bad_record(spark):
