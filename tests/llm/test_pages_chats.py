@@ -5,6 +5,7 @@ import html
 import json
 import random
 import re
+import sys
 
 from pyspark.sql import functions as F
 
@@ -201,3 +202,41 @@ def test_query_digests_by_hand(spark):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+# ---- deep pages, many pages of one host ----
+
+DEEP = {"div": "<div>" * 100_000 + "deep" + "</div>" * 100_000, "open": "<b>x " * 100_000, "cells": "<table><tr><td>" * 30_000 + "deep", "lists": "<ul><li>a" * 20_000,
+        "ends": "<i>" * 50_000 + "</div></u>" * 50_000 + "deep"}
+
+
+def test_deeply_nested_and_unclosed_elements(spark):
+    """One such page ends no job and takes no other page's text along; the recursion limit stays as it is."""
+    limit = sys.getrecursionlimit()
+    pages = [*DEEP.values(), *["<body><div class=text><p>text {0}</p></div></body>".format(i * 7919) for i in range(3)]]
+    got = site_texts(spark, pages)
+    assert got[0] == got[2] == got[4] == "deep" and got[1] == " ".join(["x"] * 100_000) and got[3] == "\n\n".join(["a"] * 20_000)
+    assert got[5:] == [f"text {i * 7919}" for i in range(3)] and sys.getrecursionlimit() == limit
+
+
+def test_flat_wrappers_read_back():
+    for page in [*DEEP.values(), SITE.format("a", "b", "c", "<ul><li>x<li>y</ul>" * 3), ""]:
+        w = html_wrappers.wrapper(html_wrappers.parse(page))
+        nodes = html_wrappers.flat(w)
+        assert html_wrappers.flat(html_wrappers.unflat(nodes)) == nodes == html_wrappers.flat(html_wrappers.read(html_wrappers.written(w)))
+        assert html_wrappers.flat(html_wrappers.merged(w, w))[0] == nodes[0]
+
+
+def test_merge_tree_of_a_hot_host(spark):
+    """Groups of two wrappers or of all: the same rule, and one wrapper per host."""
+    page = "<body><div><a>Home</a></div><div class=c{1}><h2>t {0}</h2><p>{0}</p></div><div class=foot><i>All rights</i></div></body>"
+    rows = [(i, "http://hot/" if i % 3 else f"http://h{i % 4}/", page.format(i * 7919, "ab"[i % 2])) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(20)
+    few = {r.host: r for r in html_wrappers.infer(df, fan_in=2).collect()}
+    all_ = {r.host: r for r in html_wrappers.infer(df, fan_in=1000).collect()}
+    assert few.keys() == all_.keys() == {"hot", "h0", "h1", "h2", "h3"}
+    for host, r in few.items():
+        a, b = html_wrappers.read(r.wrapper), html_wrappers.read(all_[host].wrapper)
+        assert (r.n_pages, r.n_texts) == (all_[host].n_pages, all_[host].n_texts)
+        assert html_wrappers.constants(a) == html_wrappers.constants(b)
+        assert html_wrappers.weigh(a, True, frozenset()) == html_wrappers.weigh(b, True, frozenset())
