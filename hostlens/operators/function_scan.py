@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlens.operators.scan import _KEY, _PART, _ROLE, slice_count, sliced
+from hostlens.operators.scan import _KEY, _PART, _ROLE, computed_once, slice_count, sliced
 
 #: Rows whose functions are composed at a time.
 CHUNK = 4096
@@ -40,8 +40,8 @@ def function_scan(df: DataFrame, key: Column | str | None, order: Sequence[Colum
     key_col = F.lit(0) if key is None else (F.col(key) if isinstance(key, str) else key)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     ords = [f"_sk{i}" for i in range(len(order_cols))]
-    base = df.withColumns({_KEY: key_col, "_step": step.cast("array<int>"), **dict(zip(ords, order_cols))})
-    n = partitions or slice_count(df)
+    base = computed_once(df.withColumns({_KEY: key_col, "_step": step.cast("array<int>"), **dict(zip(ords, order_cols))}))
+    n = partitions or slice_count(base)
     data = sliced(base, [_KEY, *ords], n)
 
     # 1. the function of each slice

@@ -19,13 +19,21 @@ slice, one slice per core at least) and has no upper limit.  Range bounds hold
 at most ``PREFIX`` characters of a text; longer texts with the same prefix stay
 in one slice, and are told apart inside it.
 
-Supported scans: running sums of integer columns (row ordinals are a running
-count of ones) and "last non-null value so far" (fill down).  Both are
-inclusive of the current row.
+Supported scans: running sums of integer columns and "last non-null value so
+far" (fill down).  Both are inclusive of the current row.
+
+Row ordinals need no scan (``ordinal``): slices are written sorted, with each
+row's place in its slice, and what a (slice, key) adds to it comes from the
+slices' counts.  So the rows are shuffled once, by range.
+
+An input that is dear to compute (joins, aggregates, regular expressions, ...)
+is written once first, as counting, sampling for the range bounds and
+the shuffle each read it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +44,10 @@ from hostlens.session import scratch_path
 
 SLICE_ROWS = 1_000_000
 PREFIX = 256
+#: (slice, key) pairs up to this number go to the rows as a broadcast; more of them as a table that is joined.
+BROADCAST_STARTS = 200_000
+_DEAR = re.compile(r"\b(Join|Aggregate|Window|Generate|Expand|Sort|Union|Repartition\w*|MapIn\w+|\w*EvalPython|rlike|regexp_\w+)\b", re.I)
+_INDEX = "_scan_index"
 _KEY = "_scan_key"
 _PART = "_scan_part"
 _ROLE = "_scan_role"        # -1 carry at the head of a slice, 0 data, 1 mark at its tail
@@ -63,17 +75,38 @@ def _range_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return out
 
 
-def sliced(df: DataFrame, sort_names: Sequence[str], n: int) -> DataFrame:
-    """``df`` with its slice number, written once: slices are contiguous in the sort order."""
+def computed_once(df: DataFrame) -> DataFrame:
+    """``df``, written to the scratch folder first if its plan does more than read and project."""
+    if not _DEAR.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    return _stored(df, "scan-input")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    plain = [F.col(f"`{f.name}`").cast("string").alias(f"c{i}") if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`").alias(f"c{i}")
+             for i, f in enumerate(df.schema.fields)]
+    stored, path = df.select(*plain), scratch_path(df.sparkSession, name)
+    stored.write.parquet(path)
+    back = df.sparkSession.read.schema(stored.schema).parquet(path)
+    return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(df.schema.fields)])
+
+
+def sliced(df: DataFrame, sort_names: Sequence[str], n: int, index: str | None = None) -> DataFrame:
+    """``df`` with its slice number, written once: slices are contiguous in the sort order.  ``index``
+    names a column for the row's place in its sorted slice."""
     spark = df.sparkSession
     plain = [F.col(f"`{f.name}`").cast("string").alias(f"c{i}") if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`").alias(f"c{i}")
              for i, f in enumerate(df.schema.fields)]
     ranged = df.repartitionByRange(n, *_range_columns(df, sort_names))
-    stored = ranged.select(*plain, F.spark_partition_id().alias(_PART))
+    more = [F.spark_partition_id().alias(_PART)]
+    if index:
+        ranged = ranged.sortWithinPartitions(*sort_names)
+        more.append(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(index))
+    stored = ranged.select(*plain, *more)
     path = scratch_path(spark, "slices")
     stored.write.parquet(path)
     back = spark.read.schema(stored.schema).parquet(path)
-    return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(df.schema.fields)], _PART)
+    return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(df.schema.fields)], _PART, *([index] if index else []))
 
 
 def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column | str], *,
@@ -106,8 +139,8 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
     made |= {"_in_" + name: F.col(expr) if isinstance(expr, str) else expr for name, expr in fills.items()}
     ords = [f"_sk{i}" for i in range(len(order_cols))]
     made |= dict(zip(ords, order_cols))
-    base = df.withColumns(made)
-    n = partitions or slice_count(df)
+    base = computed_once(df.withColumns(made))
+    n = partitions or slice_count(base)
     data = sliced(base, [_KEY, *ords], n)
 
     # what earlier slices carry into a slice's first key
@@ -151,7 +184,27 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
 
 
 def ordinal(df: DataFrame, key: Column | str | None, order: Sequence[Column | str],
-            name: str = "rn", partitions: int | None = None) -> DataFrame:
-    """0-based row position within ``key`` (or the frame) by ``order``."""
-    out = keyed_scan(df, key, order, sums={"_ord1": F.lit(1)}, partitions=partitions)
-    return out.withColumn(name, F.col("_ord1") - 1).drop("_ord1")
+            name: str = "rn", partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """0-based row position within ``key`` (or the frame) by ``order``; ``total`` names a column
+    for the number of rows of the key."""
+    key_col = F.lit(0) if key is None else (F.col(key) if isinstance(key, str) else key)
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    ords = [f"_sk{i}" for i in range(len(order_cols))]
+    base = computed_once(df.withColumns({_KEY: key_col, **dict(zip(ords, order_cols))}))
+    n = partitions or slice_count(base)
+    data = sliced(base, [_KEY, *ords], n, index=_INDEX)
+    # one row per slice and key: its first place in the slice, and the key's rows in earlier slices
+    runs = data.groupBy(_PART, _KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(_INDEX).alias("_first"))
+    path = scratch_path(df.sparkSession, "slice-counts")
+    runs.write.parquet(path)
+    runs = df.sparkSession.read.schema(runs.schema).parquet(path)
+    by_key = Window.partitionBy(_KEY)
+    before = F.coalesce(F.sum("_n").over(by_key.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select(F.col(_PART).alias("_p"), F.col(_KEY).alias("_k"), (before - F.col("_first")).alias("_base"), F.sum("_n").over(by_key).alias("_total"))
+    if runs.count() <= BROADCAST_STARTS:
+        starts = F.broadcast(starts)
+    out = data.join(starts, (F.col(_PART) == F.col("_p")) & F.col(_KEY).eqNullSafe(F.col("_k")))
+    out = out.withColumn(name, F.col("_base") + F.col(_INDEX))
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop(_KEY, _PART, _INDEX, *ords, "_p", "_k", "_base", *(["_total"] if total != "_total" else []))

@@ -133,8 +133,15 @@ def positional_buckets(df: DataFrame, interval, aggregation: str, *, key: str |
     if not k or (aggregation or "").lower() not in AGGREGATIONS:
         return df
     order = list(order) if order else [time_col, pos_col]
-    ranked = ordinal(df, key, [F.col(o) for o in order], name="_rn", partitions=partitions)
+    ranked = ordinal(df, key, [F.col(o) for o in order], name="_rn", partitions=partitions, total="_of")
     ranked = ranked.withColumn("bucket", F.floor(F.col("_rn") / F.lit(k)).cast("bigint"))
+    if aggregation.lower() in ("first", "last"):
+        # the first and last rows of buckets are known by their positions: nothing is grouped
+        at = F.pmod(F.col("_rn"), F.lit(k))
+        ranked = ranked.where(at == 0 if aggregation.lower() == "first" else (at == k - 1) | (F.col("_rn") == F.col("_of") - 1))
+        keys = ([key] if key else []) + ["bucket"]
+        return ranked.select(*keys, *[c for c in ranked.columns if c not in keys and not c.startswith("_")])
+    ranked = ranked.drop("_of")
     keys = ([key] if key else []) + ["bucket"]
     return _aggregate(ranked, keys, F.col("_rn"), aggregation, time_col, value_cols, carry)
 

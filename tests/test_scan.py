@@ -37,7 +37,7 @@ def test_frame_ordinal_is_dense(spark):
 
 def test_scan_places_rows_by_slice_and_broadcasts_nothing(spark):
     ev = _skewed(spark)
-    out = ordinal(ev, "host", ["ts", "event_id"], partitions=16)
+    out = keyed_scan(ev, "host", ["ts", "event_id"], sums={"rn": F.lit(1)}, partitions=16)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "MapInArrow" not in plan
     # the rows move once after the slices are written: by slice number, which the window keeps
@@ -83,3 +83,52 @@ def test_marks_and_values_before_a_row(spark):
         assert out.columns == ["h", "o", "v", "b", "last"]
         assert {(r.h, r.o): (r.b, r.last) for r in out.collect()} == want
     assert keyed_scan(df.limit(0), "h", ["o"], sums={"s": F.lit(1)}).count() == 0
+
+
+def test_ordinals_move_no_row_after_the_slices(spark, monkeypatch):
+    """Positions are arithmetic over the written slices; many (slice, key) pairs are joined instead of broadcast."""
+    from hostlens.operators import scan
+    ev = _skewed(spark)
+    w = W.partitionBy("host")
+    ref = ev.select("event_id", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("rn"), F.count("*").over(w).alias("of"))
+    for most in (scan.BROADCAST_STARTS, 0):
+        monkeypatch.setattr(scan, "BROADCAST_STARTS", most)
+        out = ordinal(ev, "host", ["ts", "event_id"], partitions=16, total="of")
+        assert set(out.columns) == {*ev.columns, "rn", "of"}
+        if most:
+            rows = out._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+            assert "Exchange" not in rows
+        got = out.select("event_id", "rn", "of")
+        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_a_dear_input_is_computed_once(spark):
+    """An input with a join is written once; a plain scan is not."""
+    from hostlens.operators.scan import computed_once
+    ev = _skewed(spark)
+    assert computed_once(ev) is ev
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    made = ev.select("event_id", "host").mapInArrow(count, "event_id long, host string")
+    out = ordinal(made, "host", ["event_id"])
+    n = ev.count()
+    assert out.count() == n and out.agg(F.max("rn")).first()[0] > 0
+    assert seen.value == n
+
+
+def test_first_and_last_of_buckets_by_position(spark):
+    from hostlens.operators.series import positional_buckets
+    ev = _skewed(spark).select(F.col("host").alias("Hostname"), F.col("ts").alias("Timestamp"), F.col("event_id").alias("pos"), F.col("value").alias("Value"))
+    w = W.partitionBy("Hostname").orderBy("Timestamp", "pos")
+    ranked = ev.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / 3).cast("bigint"))
+    at = F.struct("Timestamp", "pos")
+    for agg, pick in (("last", F.max_by), ("first", F.min_by)):
+        want = ranked.groupBy("Hostname", "bucket").agg(pick(F.struct("Timestamp", "pos", "Value"), at).alias("r")).select("Hostname", "bucket", "r.*")
+        got = positional_buckets(ev, 45, agg)
+        assert got.columns == want.columns
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
