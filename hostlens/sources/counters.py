@@ -94,11 +94,11 @@ def read_counters(spark: SparkSession, paths, counter: str, recursive: bool = Tr
     return _measured(lines, first, counter)
 
 
-def header_cells(first: DataFrame, counter: str) -> DataFrame:
+def header_cells(first: DataFrame, counter: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per file the place of the counter's column (0: none) and the host ("": none)."""
     cells = csv_cells(F.col("_h.line"))
     return first.select(
-        "file", F.col("_h._mid").alias("_hmid"),
+        "file", *keep, F.col("_h._mid").alias("_hmid"),
         F.coalesce(F.array_position(F.transform(cells, lambda h: h.endswith(counter)), True), F.lit(0)).alias("_idx"),
         F.coalesce(F.regexp_extract(F.get(cells, F.lit(1)), HOST_PATTERN, 1), F.lit("")).alias("_host"))
 
@@ -130,3 +130,37 @@ def stack(frames) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def counter_stream(lines: DataFrame, counter: str, delay: str, salts: int = 8) -> tuple[DataFrame, DataFrame]:
+    """I1 on a stream: (rows, rejects) of a streaming frame of records (file, pos, seen, line), as files that grow
+    arrive in pieces and in any order.  ``pos`` is a record's place in its file, 0 the header; ``seen`` a timestamp.
+
+    Headers and bodies meet in a stream join: a header is kept for the bodies to come and a body that is
+    earlier than its header waits, both within ``delay`` of ``seen``, which is the watermark that clears the state.  The
+    rows of one file are spread over ``salts`` keys.  Rows are those of ``read_counters``; ``rejects`` are headers
+    without the counter or a host.
+    """
+    timed = lines.withColumn("seen", F.col("seen").cast("timestamp"))
+    first = timed.where("pos = 0").select("file", F.col("seen").alias("_hseen"), F.struct(F.col("pos").alias("_mid"), "line").alias("_h"))
+    hdr = header_cells(first, counter, ("_hseen",))
+    good = (F.col("_idx") > 0) & (F.col("_host") != "")
+    rejects = hdr.where(~good).select("file", F.when(F.col("_idx") == 0, F.lit(f"counter not found: {counter}"))
+                                      .otherwise(F.lit("no host in second header cell")).alias("reason"))
+    headers = (hdr.where(good).withWatermark("_hseen", delay)
+               .select(F.col("file").alias("_file"), "_hseen", "_idx", "_host", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_hsalt")))
+    body = (timed.where((F.col("pos") > 0) & (F.trim("line") != "")).withWatermark("seen", delay)
+            .withColumn("_salt", F.pmod(F.hash("pos"), F.lit(salts))))
+    near = (F.col("seen") >= F.col("_hseen") - F.expr(f"INTERVAL {delay}")) & (F.col("seen") <= F.col("_hseen") + F.expr(f"INTERVAL {delay}"))
+    met = body.join(headers, (F.col("file") == F.col("_file")) & (F.col("_salt") == F.col("_hsalt")) & near, "inner")
+    return met.select("file", "pos", *measurement(F.col("line"), counter)), rejects
+
+
+def stream_counters(spark: SparkSession, source_dir: str, counter: str, delay: str, sink_dir: str, checkpoint_dir: str) -> None:
+    """Run ``counter_stream`` over a folder of parquet pieces (file, pos, seen, line) for everything available now;
+    rows go to ``sink_dir``/rows and rejects to ``sink_dir``/rejects.  Started again with the same checkpoint, it goes on."""
+    schema = "file string, pos long, seen timestamp, line string"
+    for i, name in enumerate(("rows", "rejects")):
+        out = counter_stream(spark.readStream.schema(schema).parquet(source_dir), counter, delay)[i]
+        (out.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint_dir}/{name}").outputMode("append")
+         .trigger(availableNow=True).start(f"{sink_dir}/{name}").awaitTermination())

@@ -44,16 +44,19 @@ def tail_stream(spark: SparkSession, source_dir: str, schema: StructType, key: s
 
 def stream_time_buckets(spark: SparkSession, source_dir: str, schema: StructType, *, time_col: str,
                         host_col: str, value_col: str, seconds: int, delay: str, sink_dir: str,
-                        checkpoint_dir: str, fmt: str = "parquet") -> None:
-    """Streaming Q9: ``withWatermark`` + ``window`` per host, append mode, file sink."""
+                        checkpoint_dir: str, fmt: str = "parquet", pos_col: str | None = None) -> None:
+    """Streaming Q9: ``withWatermark`` + ``window`` per host, append mode, file sink.  With ``pos_col``, which
+    orders rows of one time, the buckets hold all five aggregations."""
     src = spark.readStream.format(fmt).schema(schema).load(source_dir)
     # watermarks need an instant type; with the session zone at UTC the wall time is unchanged
     src = src.withColumn(time_col, F.col(time_col).cast("timestamp"))
-    agg = (src.withWatermark(time_col, delay)
-           .groupBy(F.col(host_col), F.window(F.col(time_col), f"{int(seconds)} seconds"))
-           .agg(F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean_value"),
-                F.max(value_col).alias("max_value")))
-    out = agg.select(host_col, F.col("window.start").alias("bucket_start"), "n", "mean_value", "max_value")
+    made = [F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean_value"), F.max(value_col).alias("max_value")]
+    if pos_col:
+        at = F.struct(time_col, pos_col)
+        made += [F.min(value_col).alias("min_value"), F.min_by(value_col, at).alias("first_value"), F.max_by(value_col, at).alias("last_value")]
+    agg = src.withWatermark(time_col, delay).groupBy(F.col(host_col), F.window(F.col(time_col), f"{int(seconds)} seconds")).agg(*made)
+    names = ["n", "mean_value", "max_value", *(["min_value", "first_value", "last_value"] if pos_col else [])]
+    out = agg.select(host_col, F.col("window.start").alias("bucket_start"), *names)
     q = (out.writeStream.format("parquet").option("checkpointLocation", checkpoint_dir)
          .outputMode("append").trigger(availableNow=True).start(sink_dir))
     q.awaitTermination()
