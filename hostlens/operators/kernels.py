@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.functions.identity import row_hash
@@ -54,20 +54,35 @@ def _last_set(rows: DataFrame, key: str, fields: Sequence[str], seq: str | None,
             for f in fields]
 
 
-def upsert(state: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+def upsert(state: DataFrame, rows: DataFrame, key: str, seq: str | None = None, op: str | None = None) -> DataFrame:
     """K3: insert new keys, refresh the fields of existing ones (new non-null values win).
 
-    Rows that share a key are first reduced to one, applied in the order of ``seq``.
+    Rows that share a key are first reduced to one, applied in the order of ``seq``.  ``op`` names
+    a column that says what became of a row: inserted, updated or kept.
     """
     cols = [c for c in state.columns if c != key]
     given = [c for c in cols if c in rows.columns]
     s = state.select(key, *[F.col(c).alias("_o_" + c) for c in cols], F.lit(True).alias("_stored"))
     r = rows.groupBy(key).agg(*_last_set(rows, key, given, seq, lambda f: F.col(f).isNotNull()), F.lit(True).alias("_given"))
     j = s.join(r, key, "full")
-    return j.select(key, *[F.coalesce(F.col("_n_" + c), F.col("_o_" + c)).alias(c) if c in given else F.col("_o_" + c).alias(c) for c in cols])
+    changed = _any(F.col("_n_" + c).isNotNull() & ~F.col("_n_" + c).eqNullSafe(F.col("_o_" + c)) for c in given)
+    kind = F.when(F.col("_stored").isNull(), INSERTED).when(changed, UPDATED).otherwise(KEPT)
+    return j.select(key, *[F.coalesce(F.col("_n_" + c), F.col("_o_" + c)).alias(c) if c in given else F.col("_o_" + c).alias(c) for c in cols],
+                    *([kind.alias(op)] if op else []))
 
 
-def update(state: DataFrame, changes: DataFrame, key: str, fields: Sequence[str], seq: str | None = None) -> DataFrame:
+#: What a kernel did with a row.
+INSERTED, UPDATED, DELETED, KEPT = "inserted", "updated", "deleted", "kept"
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | F.coalesce(c, F.lit(False))
+    return out
+
+
+def update(state: DataFrame, changes: DataFrame, key: str, fields: Sequence[str], seq: str | None = None, op: str | None = None) -> DataFrame:
     """K4: set fields of existing keys.
 
     ``changes`` holds ``key``, a value column per field and ``_set_<field>``
@@ -86,7 +101,8 @@ def update(state: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]
         kept = ~F.coalesce(F.col("_s_" + c), F.lit(False)) | (F.col("_n_" + c).isNotNull() & new.isNull())
         return F.when(kept, F.col(c)).otherwise(new).alias(c)
 
-    return j.select(*[written(c) if c in fields else F.col(c) for c in state.columns])
+    changed = _any(~written(c).eqNullSafe(F.col(c)) for c in fields)
+    return j.select(*[written(c) if c in fields else F.col(c) for c in state.columns], *([F.when(changed, UPDATED).otherwise(KEPT).alias(op)] if op else []))
 
 
 def _stored_as(value: Column, given: str | None, kind: str) -> Column:
@@ -102,9 +118,22 @@ def unfit(state: DataFrame, changes: DataFrame, key: str, fields: Sequence[str])
     return changes.select(key, F.explode(each).alias("_e")).where("_e.bad").select(key, "_e.field", "_e.value")
 
 
-def delete(state: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """K5: remove rows by key (anti join)."""
-    return state.join(keys.select(key).distinct(), key, "left_anti")
+def delete(state: DataFrame, keys: DataFrame, key: str, op: str | None = None) -> DataFrame:
+    """K5: remove rows by key (anti join).  With ``op`` the rows that go are still there, marked, for ``write_counted``."""
+    gone = keys.select(key).distinct()
+    if not op:
+        return state.join(gone, key, "left_anti")
+    return state.join(gone.withColumn("_gone", F.lit(True)), key, "left").select(*state.columns, F.when(F.col("_gone"), DELETED).otherwise(KEPT).alias(op))
+
+
+def write_counted(df: DataFrame, path: str, op: str, partition_by: Sequence[str] = ()) -> dict[str, int]:
+    """R14 while writing: write the rows that stay and return how many were inserted, deleted and updated.
+    The counts are observed on the rows as they are written: no second look at either version."""
+    seen = Observation()
+    counted = df.observe(seen, *[F.count_if(F.col(op) == kind).alias(f"n_{kind}") for kind in (INSERTED, DELETED, UPDATED)])
+    rows = counted.where(F.col(op) != DELETED).drop(op)
+    (rows.write.partitionBy(*partition_by) if partition_by else rows.write).mode("errorifexists").parquet(path)
+    return {k: int(v or 0) for k, v in seen.get.items()}
 
 
 def affected(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

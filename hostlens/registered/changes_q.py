@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from hostlens.operators import changes as E
 from hostlens.operators import kernels as K
+from hostlens.operators.file_table import FileTable
 from hostlens.registry import register, table
+from hostlens.session import scratch_path
 
 RULES = [
     E.FieldRule("c_name", "varchar", 18, unique=True),
@@ -597,3 +599,42 @@ def e_pipeline(spark, sf):
                                                 F.col("c_nationkey").cast("bigint").alias("fk_nation"), F.lit("").alias("files"), F.lit("").alias("tags"))
     ch = E.form_changes(_post(spark, sf, "edit"), upload_many={"uploads": "files"})
     return E.apply_edits(state, ch, _POST_RULES, "c_custkey", tags={"nation": E.Tag(nations, "name")}).state
+
+
+# ---- copy on write by file, with the affected rows counted while writing ----
+
+def _file_table(spark, sf):
+    """Customers in files of some hundred rows, changed three times: (table, counts of the changes)."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    files = FileTable(spark, scratch_path(spark, "file-table"), "c_custkey", file_rows=max(100, c.count() // 20))
+    files.create(c)
+    k = F.col("c_custkey")
+    low = c.where(k < 100)
+    counts = [files.upsert(low.where(k < 50).select(k, F.concat("c_name", F.lit("!")).alias("c_name"))
+                           .unionByName(low.where(k < 10).select((k - 10).alias("c_custkey"), F.lit("early").alias("c_name")))),
+              files.update(low.select(k, (F.col("c_acctbal") * 2).alias("c_acctbal"), (F.col("c_acctbal") < 0).alias("_set_c_acctbal")), ["c_acctbal"]),
+              files.delete(low.where(k % 10 == 3))]
+    return files, counts
+
+
+_SQL_FILES = """
+WITH s AS (SELECT c_custkey, CASE WHEN c_custkey < 50 THEN c_name || '!' ELSE c_name END AS c_name,
+                  CASE WHEN c_custkey < 100 AND c_acctbal < 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer
+           UNION ALL SELECT c_custkey - 10, 'early', NULL FROM customer WHERE c_custkey < 10)"""
+
+
+@register("k_files_changed", _SQL_FILES + """
+SELECT * FROM s WHERE NOT (c_custkey >= 0 AND c_custkey < 100 AND c_custkey % 10 = 3)""")
+def k_files(spark, sf):
+    return _file_table(spark, sf)[0].read()
+
+
+@register("r14_counted_while_writing", """
+SELECT 'upsert' AS change, (SELECT count(*) FROM customer WHERE c_custkey < 10) AS n_inserted, 0::BIGINT AS n_deleted,
+  (SELECT count(*) FROM customer WHERE c_custkey < 50) AS n_updated
+UNION ALL SELECT 'update', 0, 0, (SELECT count(*) FROM customer WHERE c_custkey < 100 AND c_acctbal < 0)
+UNION ALL SELECT 'delete', 0, (SELECT count(*) FROM customer WHERE c_custkey < 100 AND c_custkey % 10 = 3), 0""")
+def r14_counted(spark, sf):
+    counts = _file_table(spark, sf)[1]
+    return spark.createDataFrame([(name, c["n_inserted"], c["n_deleted"], c["n_updated"]) for name, c in zip(("upsert", "update", "delete"), counts)],
+                                 "change string, n_inserted long, n_deleted long, n_updated long")
