@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hostlens.functions.identity import row_hash
 from hostlens.operators.kernels import assign_keys, delete, insert_ignore, update
 from hostlens.operators.scan import keyed_scan
 from hostlens.plans.fetch_spec import list_ids
@@ -344,14 +345,31 @@ def resolve_tags(changes: DataFrame, tags: Mapping[str, Tag]) -> tuple[DataFrame
 
 
 # E7 ------------------------------------------------------------------------
-def read_back(requested: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Requested vs stored values per (key, field): rows where they differ."""
+def read_back(requested: DataFrame, stored: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+    """Requested vs stored values per (key, field): rows where they differ.
+
+    Both sides are first reduced to a digest per bucket of keys (count and sum of the rows' hashes); only rows
+    of buckets that differ are compared, and only their fields spread out.  Equal tables cost one
+    aggregate each.  ``buckets`` is the size of the two digests, which are compared when this is called.
+    """
     cols = [c for c in requested.columns if c != key]
-    req = requested.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"),
-                                                             F.col(c).cast("string").alias("requested")) for c in cols])).alias("_r")).select(key, "_r.*")
-    sto = stored.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"),
-                                                          F.col(c).cast("string").alias("stored")) for c in cols])).alias("_s")).select(key, "_s.*")
-    j = req.join(sto, [key, "field"], "full")
+
+    def digests(df: DataFrame, side: str) -> DataFrame:
+        # in text, as fields are compared; a second hash keeps sums from cancelling out
+        texts = df.select(F.col(key).cast("string").alias("_k"), *[F.col(c).cast("string").alias(c) for c in cols])
+        row = row_hash(texts)
+        return (texts.select(F.pmod(F.xxhash64("_k"), F.lit(buckets)).alias("_b"), F.shiftright(row, 20).alias("_hi"), row.bitwiseAND(F.lit((1 << 20) - 1)).alias("_lo"))
+                .groupBy("_b").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col("_hi").cast("decimal(38,0)")).alias("hi"),
+                                            F.sum("_lo").alias("lo")).alias(side)))
+
+    both = digests(requested, "r").join(digests(stored.select(key, *cols), "s"), "_b", "full")
+    bad = [r["_b"] for r in both.where(~F.col("r").eqNullSafe(F.col("s"))).select("_b").collect()]      # at most ``buckets``
+
+    def fields(df: DataFrame, name: str) -> DataFrame:
+        mine = df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).isin(bad)) if len(bad) < buckets else df
+        return mine.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(name)) for c in cols])).alias("_f")).select(key, "_f.*")
+
+    j = fields(requested, "requested").join(fields(stored, "stored"), [key, "field"], "full")
     return j.where(~F.col("requested").eqNullSafe(F.col("stored")))
 
 

@@ -91,12 +91,13 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(df.schema.fields)])
 
 
-def sliced(df: DataFrame, sort_names: Sequence[str], n: int, index: str | None = None) -> DataFrame:
+def sliced(df: DataFrame, sort_names: Sequence[str], n: int, index: str | None = None, drop: Sequence[str] = ()) -> DataFrame:
     """``df`` with its slice number, written once: slices are contiguous in the sort order.  ``index``
-    names a column for the row's place in its sorted slice."""
+    names a column for the row's place in its sorted slice; ``drop`` are columns for the sort alone."""
     spark = df.sparkSession
+    fields = [f for f in df.schema.fields if f.name not in drop]
     plain = [F.col(f"`{f.name}`").cast("string").alias(f"c{i}") if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`").alias(f"c{i}")
-             for i, f in enumerate(df.schema.fields)]
+             for i, f in enumerate(fields)]
     ranged = df.repartitionByRange(n, *_range_columns(df, sort_names))
     more = [F.spark_partition_id().alias(_PART)]
     if index:
@@ -106,7 +107,7 @@ def sliced(df: DataFrame, sort_names: Sequence[str], n: int, index: str | None =
     path = scratch_path(spark, "slices")
     stored.write.parquet(path)
     back = spark.read.schema(stored.schema).parquet(path)
-    return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(df.schema.fields)], _PART, *([index] if index else []))
+    return back.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], _PART, *([index] if index else []))
 
 
 def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column | str], *,
@@ -188,11 +189,11 @@ def ordinal(df: DataFrame, key: Column | str | None, order: Sequence[Column | st
     """0-based row position within ``key`` (or the frame) by ``order``; ``total`` names a column
     for the number of rows of the key."""
     key_col = F.lit(0) if key is None else (F.col(key) if isinstance(key, str) else key)
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ords = [f"_sk{i}" for i in range(len(order_cols))]
-    base = computed_once(df.withColumns({_KEY: key_col, **dict(zip(ords, order_cols))}))
+    # columns are sorted by as they are, expressions by a column that is not written
+    made = {f"_sk{i}": o for i, o in enumerate(order) if not isinstance(o, str)}
+    base = computed_once(df.withColumns({_KEY: key_col, **made}))
     n = partitions or slice_count(base)
-    data = sliced(base, [_KEY, *ords], n, index=_INDEX)
+    data = sliced(base, [_KEY, *[o if isinstance(o, str) else f"_sk{i}" for i, o in enumerate(order)]], n, index=_INDEX, drop=list(made))
     # one row per slice and key: its first place in the slice, and the key's rows in earlier slices
     runs = data.groupBy(_PART, _KEY).agg(F.count(F.lit(1)).alias("_n"), F.min(_INDEX).alias("_first"))
     path = scratch_path(df.sparkSession, "slice-counts")
@@ -207,4 +208,4 @@ def ordinal(df: DataFrame, key: Column | str | None, order: Sequence[Column | st
     out = out.withColumn(name, F.col("_base") + F.col(_INDEX))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop(_KEY, _PART, _INDEX, *ords, "_p", "_k", "_base", *(["_total"] if total != "_total" else []))
+    return out.drop(_KEY, _PART, _INDEX, "_p", "_k", "_base", *(["_total"] if total != "_total" else []))

@@ -133,7 +133,7 @@ def positional_buckets(df: DataFrame, interval, aggregation: str, *, key: str |
     if not k or (aggregation or "").lower() not in AGGREGATIONS:
         return df
     order = list(order) if order else [time_col, pos_col]
-    ranked = ordinal(df, key, [F.col(o) for o in order], name="_rn", partitions=partitions, total="_of")
+    ranked = ordinal(df, key, order, name="_rn", partitions=partitions, total="_of")
     ranked = ranked.withColumn("bucket", F.floor(F.col("_rn") / F.lit(k)).cast("bigint"))
     if aggregation.lower() in ("first", "last"):
         # the first and last rows of buckets are known by their positions: nothing is grouped
@@ -187,7 +187,7 @@ def time_bucket_stats(df: DataFrame, seconds: int, *, key: str = "Hostname", tim
 def ordinal_x(df: DataFrame, key: str | None, order: Sequence[str], name: str = "x",
               partitions: int | None = None) -> DataFrame:
     """Q12: replace time by 0..n-1 within each series."""
-    return ordinal(df, key, [F.col(o) for o in order], name=name, partitions=partitions)
+    return ordinal(df, key, list(order), name=name, partitions=partitions)
 
 
 def grouped_series(df: DataFrame, selected: str, seconds: int, aggregation: str, *,
@@ -200,10 +200,10 @@ def grouped_series(df: DataFrame, selected: str, seconds: int, aggregation: str,
         rows = positional_buckets(df, seconds, aggregation, key=None, time_col=time_col, pos_col=pos_col,
                                   value_cols=value_cols, order=[pos_col], carry=(selected,))
         order = [c for c in ("bucket", pos_col) if c in rows.columns]
-        return ordinal(rows, selected, [F.col(c) for c in order], name="x")
+        return ordinal(rows, selected, order, name="x")
     b = time_buckets(df, seconds, aggregation, key=selected, time_col=time_col, pos_col=pos_col,
                      value_cols=value_cols)
-    return ordinal(b, selected, [F.col("bucket_start")], name="x")
+    return ordinal(b, selected, ["bucket_start"], name="x")
 
 
 # Q11 -----------------------------------------------------------------------

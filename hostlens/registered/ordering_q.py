@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hostlens.operators.ordering import filtered_counts, natural_rank, page
+from hostlens.operators.ordering import OrderedPages, filtered_counts, natural_rank, page
 from hostlens.registry import register, table
+from hostlens.session import scratch_path
 
 
 def _sql_natkey(x: str) -> str:
@@ -64,6 +65,16 @@ def o4(spark, sf):
         .select("c_custkey", "c_name", "c_acctbal")
 
 
+@register("o4_deep_page", """
+SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) - 1 AS position FROM orders
+QUALIFY position >= (SELECT count(*) // 2 FROM orders) AND position < (SELECT count(*) // 2 FROM orders) + 50""")
+def o4_deep(spark, sf):
+    # a page in the middle of the order, through the directory of its slices
+    o = table(spark, sf, "orders")
+    pages = OrderedPages.store(o, [F.col("o_orderstatus"), F.col("o_totalprice").desc()], "o_orderkey", scratch_path(spark, "ordered"))
+    return pages.page(o.count() // 2, 50).select("o_orderkey", "o_totalprice", "position")
+
+
 @register("o5_filtered_count", """
 SELECT count(*) AS n_total, count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE') AS n_shown,
   count(*) - count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE') AS n_filtered_out FROM customer""")
