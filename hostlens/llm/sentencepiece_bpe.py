@@ -36,8 +36,8 @@ from hostlens.llm.common import map_batches
 
 SPACE = "▁"
 NONE = np.int64(1) << 62
-#: Words kept per task; beyond that the memory starts anew.
-CACHE = 800_000
+#: Bytes of words kept per worker; beyond that the memory starts anew.
+CACHE_BYTES = 256 << 20
 #: Words of more characters merge by local minima.
 LONG = 48
 
@@ -67,6 +67,8 @@ class Vocabulary:
         for p, i in pieces.items():
             if len(p) == 1:
                 self.char_ids[ord(p)] = i
+        if any("\n" in p and len(p) > 1 for p in pieces):
+            raise ValueError("pieces that reach over a line end")
         # pairs of ids that join to a piece; single characters out of the vocabulary never merge
         table: dict[int, int] = {}
         unsafe = np.zeros(n, bool)
@@ -210,19 +212,26 @@ def _renew(pair: np.ndarray, at: np.ndarray, flat: np.ndarray, word: np.ndarray,
     pair[at] = np.where(word[at] == word[at + 1], v.merged(flat[at], flat[at + 1]), -1)
 
 
+def _size(word: str) -> int:
+    """Bytes that a held word and its ids take at most: an id per byte of UTF-8 where no piece has it."""
+    return 200 + 20 * len(word)
+
+
 class Codec:
     """Encodes and decodes texts, with a bounded memory of words (their ids as 32-bit integers)."""
 
     def __init__(self, model_file: str):
         self.v = Vocabulary(model_file)
         self.words: dict[str, bytes] = {}
+        self.held = 0       # bytes of them, about
         self.numerals = list(map(str, range(self.v.n)))
 
     def learn(self, words: set[str]) -> None:
+        """Encode the words that are not held; beyond ``CACHE_BYTES`` only those of this batch stay."""
         new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > CACHE:
-            self.words = {}
-            new = list(words)
+        if self.held + sum(map(_size, new)) > CACHE_BYTES:
+            self.words, self.held, new = {}, 0, list(words)
+        self.held += sum(map(_size, new))
         for part, windowed in (([w for w in new if len(w) <= LONG], False), ([w for w in new if len(w) > LONG], True)):
             for i in range(0, len(part), 20_000):
                 some = part[i:i + 20_000]
@@ -238,8 +247,15 @@ class Codec:
     def encode_many(self, texts: list[str | None]) -> list[list[int]]:
         # a text that holds the cutting mark itself is cut at it by hand
         parts = [self._cut(t) if t else [] for t in texts]
-        self.learn({w for p in parts for w in p})
-        return [self._ids(p) for p in parts]
+        words = {w for p in parts for w in p}
+        self.learn(words)
+        out = [self._ids(p) for p in parts]
+        # long words hardly come again, and each may be as long as its text
+        for w in words:
+            if len(w) > LONG:
+                del self.words[w]
+                self.held -= _size(w)
+        return out
 
     def _cut(self, text: str) -> list[str]:
         if "\x00" not in text:

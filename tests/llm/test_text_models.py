@@ -124,6 +124,21 @@ def codec():
     return CODEC[0]
 
 
+def test_held_words_are_bounded_in_bytes(monkeypatch):
+    """Long runs without spaces are not kept, and the words that are kept stay under the bound."""
+    import sentencepiece
+    codec = sentencepiece_bpe.Codec(piece_model())
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    monkeypatch.setattr(sentencepiece_bpe, "CACHE_BYTES", 40_000)
+    rng = random.Random(5)
+    for _ in range(6):
+        texts = [" ".join("".join(rng.choices("abcdeéß日本", k=rng.choice([3, 5, 200, 3000]))) for _ in range(12)) for _ in range(8)]
+        assert codec.encode_many(texts) == [sp.encode(t) for t in texts]
+        assert all(len(w) <= sentencepiece_bpe.LONG for w in codec.words)
+        assert codec.held == sum(map(sentencepiece_bpe._size, codec.words)) <= 40_000 + 100 * sentencepiece_bpe._size("x" * sentencepiece_bpe.LONG)
+
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(max_size=80) | st.text(alphabet="abehtn  ▁\n\t\x00é日0.<s>", max_size=120), min_size=1, max_size=5))
 def test_pieces_equal_the_library(library, texts):
