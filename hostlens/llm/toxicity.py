@@ -243,8 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n = known.count()
     share = min(1.0, fit_rows / max(1, n))
-    # a sample by hash; the limit only guards the documented bound, which makes the broadcast safe
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20))).limit(fit_rows)
+    # a sample by hash, the same whatever the order of the rows; the limit only guards the documented bound, which makes the broadcast safe
+    some = (known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
+            .orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id").limit(fit_rows))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = parked(texts.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
     patterns, na, nb = mine(sample)
