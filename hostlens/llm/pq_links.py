@@ -133,6 +133,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"),
                           F.col(label_col).cast("string").alias("label"))
+    # vectors travel as they came, in 32 bits where that is what they are, and are scaled to length 1 where they meet
+    dtype = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     key = F.sha2(F.to_json(F.struct("vec")), 256)
     usable = rows.where(_usable())
     classes = parked(usable.groupBy("label", key.alias("key")).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
@@ -156,10 +158,11 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
         codes, unit, probes = [None] * size, [None] * size, [None] * size
         for d in np.unique(dim):
             at = np.flatnonzero(dim == d)
-            x = _unit(np.asarray(vec.take(pa.array(at)).flatten()), int(d))
+            raw = np.asarray(vec.take(pa.array(at)).flatten())
+            x, raw = _unit(raw, int(d)), raw.reshape(-1, int(d)).astype(dtype)
             own[at], c, error[at], p = index_rows(x, model.value.get(int(d)), radius)
             for k, i in enumerate(at.tolist()):
-                codes[i], unit[i], probes[i] = c[k].tobytes(), x[k].tobytes(), p[k]
+                codes[i], unit[i], probes[i] = c[k].tobytes(), raw[k].tobytes(), p[k]
         return [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(own), pa.array(error), pa.array(codes, pa.binary()),
                 pa.array(unit, pa.binary()), pa.array(probes, pa.list_(pa.int64()))]
 
@@ -186,7 +189,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
         for t in grouped_batches(batches, 1, 20_000):
             starts = group_starts([t.column(0)])
             for a, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows]):
-                yield from _compare_group(t.slice(a, e - a), model.value, threshold)
+                yield from _compare_group(t.slice(a, e - a), model.value, threshold, dtype)
 
     found = parked(met.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long, n long"), "links")
     counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
@@ -202,7 +205,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
                                            F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def _compare_group(t: pa.Table, model: dict, threshold: float, rows: int = 256):
+def _compare_group(t: pa.Table, model: dict, threshold: float, dtype: str, rows: int = 256):
     """Links of one (list, chunk, chunk) group; groups of one hash that differ in key are kept apart."""
     keys = list(zip(*[t.column(i).to_pylist() for i in range(1, 6)]))
     kind, rep, weight = (np.asarray(t.column(i)) for i in (6, 7, 8))
@@ -214,14 +217,14 @@ def _compare_group(t: pa.Table, model: dict, threshold: float, rows: int = 256):
             continue
         _, dim, lst = keys[m[0]][:3]
         unit, codes_col = t.column(11), t.column(10)
-        x = np.frombuffer(b"".join(unit.take(pa.array(m)).to_pylist()), np.float64).reshape(-1, dim)
+        x = _unit(np.frombuffer(b"".join(unit.take(pa.array(m)).to_pylist()), dtype), dim)
         codes = np.frombuffer(b"".join(codes_col.take(pa.array(m)).to_pylist()), np.uint8).reshape(len(m), -1)
         error = np.asarray(t.column(9))[m]
         centroids, cuts, books = model.get(dim, (None, [], []))
         centroid = None if centroids is None else centroids[lst]
         for i in range(0, len(q), rows):
             part = q[i:i + rows]
-            y = np.frombuffer(b"".join(unit.take(pa.array(part)).to_pylist()), np.float64).reshape(-1, dim)
+            y = _unit(np.frombuffer(b"".join(unit.take(pa.array(part)).to_pylist()), dtype), dim)
             linked = block_links(y, x, codes, error, centroid, cuts, books, threshold) & (rep[part][:, None] != rep[m][None])
             n = linked @ weight[m]
             hit = n > 0
