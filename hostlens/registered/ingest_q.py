@@ -307,6 +307,19 @@ def i5_losses(spark, sf):
     return time_losses(ev.select(text.alias("t")), "t")
 
 
+@register("i5_time_shapes", """
+SELECT event_id, strftime(CASE event_id % 8 WHEN 5 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END,
+                          '%m/%d/%Y %H:%M:%S') AS t FROM events""")
+def i5_shapes(spark, sf):
+    ev = table(spark, sf, "events")
+    shapes = ["yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "M/d/yyyy h:mm:ss a", "EEE, d MMM yyyy HH:mm:ss 'GMT'", "MMMM d, yyyy HH:mm:ss.SSSSSS", "EEE MMM d HH:mm:ss yyyy", "yyyyMMdd",
+              "d-MMM-yyyy H:mm", "yyyy/MM/dd HH:mm:ss,SSS"]
+    text = F.lit(None).cast("string")
+    for i, f in enumerate(shapes):
+        text = F.when(F.col("event_id") % len(shapes) == i, F.date_format("ts", f)).otherwise(text)
+    return ev.select("event_id", normalize_time_text(text).alias("t"))
+
+
 @register("i5_device_clock", "SELECT event_id, strftime(date_trunc('second', ts), '%m/%d/%Y %H:%M:%S') AS t FROM events")
 def i5_clock(spark, sf):
     ev = table(spark, sf, "events")
