@@ -62,14 +62,41 @@ def _options(specs: DataFrame) -> DataFrame:
         F.when(known & ~by_time & whole, F.floor(width / SAMPLE_PERIOD)).alias("_rows"), agg.alias("_agg"))
 
 
+#: Widths of time bins in seconds; a spec takes the first that cuts its range into ``MOST_BINS`` at most.
+BIN_SECONDS = (3_600, 57_600, 921_600, 14_745_600, 235_929_600)
+MOST_BINS = 17
+
+
+def _named_bin(width: int):
+    return lambda b: F.concat(F.lit(f"{width}:"), b.cast("string"))
+
+
+def _by_bins(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Rows (with their time ``_at``) and the specs of their key whose range overlaps their bin, as an equi-join:
+    a spec stands in its bins of one width, a row in one bin of each width that is in use.  Specs with an open
+    range, or one too long for the widest bins, meet all rows of their key, as they must."""
+    start, end = (F.unix_seconds(F.col(c).cast("timestamp")) for c in ("_from", "_to"))
+    bins = F.array(F.lit(""))
+    used = []
+    for width in reversed(BIN_SECONDS):
+        first, last = F.floor(start / width), F.floor(end / width)
+        fits = F.col("_from").isNotNull() & F.col("_to").isNotNull() & (last - first < MOST_BINS)
+        cut = F.when(last >= first, F.transform(F.sequence(first, F.greatest(first, last)), _named_bin(width)))
+        bins = F.when(fits, F.coalesce(cut, F.array().cast("array<string>"))).otherwise(bins)
+        used.append(_named_bin(width)(F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / width)))
+    specs = keyed.withColumn("_bin", F.explode(bins))
+    placed = rows.withColumn("_bin", F.explode(F.filter(F.array(F.lit(""), *used), lambda b: b.isNotNull())))
+    return placed.join(specs, ["_k", "_bin"]).drop("_bin")
+
+
 def run_specs(measurements: DataFrame, specs: DataFrame, *, selected: str = "Series", host_col: str = "Hostname",
               time_col: str = "Timestamp", pos_col: str = "pos", value_col: str = "Value",
               columns: Sequence[str] = (), max_specs: int = 10_000) -> DataFrame:
     """(spec_id, host, bucket, Timestamp, Value) of every spec.
 
     ``columns`` are the frame's columns that specs may name in ``selected`` and
-    ``plot`` besides the defaults.  ``max_specs`` is the declared
-    number of saved charts, times the hosts each lists; they are broadcast behind that check.
+    ``plot`` besides the defaults.  Up to ``max_specs`` specs, times the hosts each lists, are
+    broadcast behind that check; more of them are joined as a table, by bins of time.
     """
     spec = _options(specs)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -87,14 +114,14 @@ def run_specs(measurements: DataFrame, specs: DataFrame, *, selected: str = "Ser
     keyed = spec.withColumn("_k", F.explode(
         F.when(F.size("_hosts") > 0, F.transform(F.array_distinct("_hosts"), lambda h: F.concat(F.lit("h"), h)))
         .when(own & (F.col("_filter") != ""), F.array(F.concat(F.lit("f"), F.col("_filter")))).otherwise(F.array(F.lit("a")))))
-    # what is broadcast is one row per spec and host it lists
-    many = keyed.limit(max_specs + 1).count()
-    if many > max_specs:
-        raise ValueError(f"more than {max_specs} specs and hosts")
     time = F.col(time_col).cast("timestamp_ntz")
     rows = measurements.select(*names, time_col, pos_col, value_col).withColumn("_k", F.explode(F.array(
         F.concat(F.lit("h"), F.coalesce(F.col(host_col), F.lit(""))), F.concat(F.lit("f"), F.coalesce(F.col(selected), F.lit(""))), F.lit("a"))))
-    j = rows.join(F.broadcast(keyed), "_k")
+    # one row per spec and host it lists: a few are broadcast; many meet the rows by bins of time
+    if keyed.limit(max_specs + 1).count() <= max_specs:
+        j = rows.join(F.broadcast(keyed), "_k")
+    else:
+        j = _by_bins(rows.withColumn("_at", time), keyed).drop("_at")
     j = j.where((F.col("_from").isNull() | (time >= F.col("_from"))) & (F.col("_to").isNull() | (time <= F.col("_to"))))
     j = j.where((F.col("_filter") == "") | (named("_selected", selected, "string") == F.col("_filter")))
     j = j.select("spec_id", F.col(host_col), time.alias("_t"), pos_col, named("_plot", value_col, "double").alias("_v"), "_agg", "_seconds", "_rows")

@@ -341,6 +341,22 @@ def q15t(spark, sf):
     return _run(spark, sf, f'{{"start_time": "{RANGE_START}", "end_time": "{RANGE_END}", "filter": "error"}}', f'{{"end_time": "{RANGE_START}"}}')
 
 
+@register("q15_many_specs", f"""
+SELECT c_custkey AS spec_id, "Hostname", NULL::BIGINT AS bucket, {sql_ts('"Timestamp"')} AS "Timestamp", "Value"
+FROM {M} m JOIN customer ON "Hostname" = CAST(c_custkey % 40 AS VARCHAR)
+ AND "Timestamp" BETWEEN TIMESTAMP '2024-01-01' + c_custkey * INTERVAL 20 MINUTE AND TIMESTAMP '2024-01-01' + c_custkey * INTERVAL 20 MINUTE + (c_custkey % 7) * INTERVAL 5 HOUR""")
+def q15_many(spark, sf):
+    # a spec per customer, each of one host and some hours: joined as a table, by bins of time
+    from hostlens.operators.specs import run_specs
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("c_custkey") * 20).cast("int"))
+    text = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+    specs = table(spark, sf, "customer").select(F.col("c_custkey").alias("spec_id"), F.to_json(F.struct(
+        (F.col("c_custkey") % 40).cast("string").alias("hostnames"), text(at).alias("start_time"),
+        text(at + F.make_dt_interval(hours=((F.col("c_custkey") % 7) * 5).cast("int"))).alias("end_time"))).alias("options"))
+    out = run_specs(_numeric(spark, sf), specs, max_specs=100)
+    return out.withColumn("Timestamp", ts_text("Timestamp"))
+
+
 @register("q15_bad_interval", f"""
 SELECT s AS spec_id, "Hostname", NULL::BIGINT AS bucket, {sql_ts('"Timestamp"')} AS "Timestamp", "Value"
 FROM {M} m, (SELECT unnest([0, 1, 2, 3])::BIGINT AS s) WHERE "Series" = 'signup'""")
