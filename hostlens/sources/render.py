@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostlens.operators.scan import slice_count
 from hostlens.operators.series import pivot_values
+from hostlens.sources.sinks import write_lines_per_host
 
 # The performance-counter CSV header cell and the log line shapes.
 PDH_FIRST_HEADER = "(PDH-CSV 4.0) (UTC)(0)"
@@ -39,9 +41,7 @@ def render_counter_csv(events: DataFrame, out: str, counters=None) -> str:
     body = events.select(host.alias("host"), F.col("event_id").alias("_o"), F.col("ts").alias("_t"),
                          F.concat_ws(",", *data_cells).alias("value"))
     lines = head.unionByName(body)
-    (lines.repartition("host").sortWithinPartitions("host", F.col("_t").asc_nulls_first(), "_o")
-     .select("host", "value").write.mode("errorifexists").partitionBy("host").text(out))
-    return out
+    return write_lines_per_host(lines, ["_t", "_o"], out, slice_count(events))
 
 
 def render_device_log(events: DataFrame, out: str) -> str:
@@ -58,9 +58,7 @@ def render_device_log(events: DataFrame, out: str) -> str:
                       F.format_string(LOG_CALLS_LINE.replace("{}", "%s"),
                                       F.format_string("%.2f", F.col("value"))).alias("value"))
     lines = first.unionByName(q).unionByName(c)
-    (lines.repartition("host").sortWithinPartitions("host", F.col("_t").asc_nulls_first(), "_o", "_k")
-     .select("host", "value").write.mode("errorifexists").partitionBy("host").text(out))
-    return out
+    return write_lines_per_host(lines, ["_t", "_o", "_k"], out, slice_count(events))
 
 
 def render_document_csv(docs: DataFrame, out: str, parts: int = 4) -> str:
