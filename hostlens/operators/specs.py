@@ -20,11 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.functions.timefmt import parse_time
-from hostlens.operators.scan import ordinal
+from hostlens.operators.scan import computed_once, ordinal, slice_count
 from hostlens.operators.series import AGGREGATIONS, SAMPLE_PERIOD
 
 # Option defaults used when a saved spec leaves them out.
@@ -65,27 +65,37 @@ def _options(specs: DataFrame) -> DataFrame:
 #: Widths of time bins in seconds; a spec takes the first that cuts its range into ``MOST_BINS`` at most.
 BIN_SECONDS = (3_600, 57_600, 921_600, 14_745_600, 235_929_600)
 MOST_BINS = 17
+#: Keys of specs up to this number go to the rows as a broadcast, which leaves out rows that no spec can want.
+BROADCAST_KEYS = 200_000
 
 
 def _named_bin(width: int):
     return lambda b: F.concat(F.lit(f"{width}:"), b.cast("string"))
 
 
-def _by_bins(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+def _by_bins(rows: DataFrame, keyed: DataFrame, row_keys: Mapping[str, Column]) -> DataFrame:
     """Rows (with their time ``_at``) and the specs of their key whose range overlaps their bin, as an equi-join:
-    a spec stands in its bins of one width, a row in one bin of each width that is in use.  Specs with an open
-    range, or one too long for the widest bins, meet all rows of their key, as they must."""
+    a spec stands in its bins of one width, a row in one bin of each kind of key and width that is in use.  Specs with
+    an open range, or one too long for the widest bins, meet all rows of their key, as they must."""
+    keyed = computed_once(keyed)
     start, end = (F.unix_seconds(F.col(c).cast("timestamp")) for c in ("_from", "_to"))
     bins = F.array(F.lit(""))
-    used = []
+    at = {"": F.lit("")}
     for width in reversed(BIN_SECONDS):
         first, last = F.floor(start / width), F.floor(end / width)
         fits = F.col("_from").isNotNull() & F.col("_to").isNotNull() & (last - first < MOST_BINS)
         cut = F.when(last >= first, F.transform(F.sequence(first, F.greatest(first, last)), _named_bin(width)))
         bins = F.when(fits, F.coalesce(cut, F.array().cast("array<string>"))).otherwise(bins)
-        used.append(_named_bin(width)(F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / width)))
+        at[str(width)] = _named_bin(width)(F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / width))
     specs = keyed.withColumn("_bin", F.explode(bins))
-    placed = rows.withColumn("_bin", F.explode(F.filter(F.array(F.lit(""), *used), lambda b: b.isNotNull())))
+    # at most one row per kind of key and width
+    used = keyed.select(F.substring("_k", 1, 1).alias("kind"), F.substring_index(F.get(bins, F.lit(0)), ":", 1).alias("width")).distinct().collect()
+    places = [F.struct(row_keys[u.kind].alias("_k"), at[u.width].alias("_bin")) for u in used if u.width is not None]
+    places = F.array(*places) if places else F.array().cast("array<struct<_k:string,_bin:string>>")
+    placed = rows.select("*", F.explode(F.filter(places, lambda p: p["_bin"].isNotNull())).alias("_p")).select(*rows.columns, "_p.*")
+    keys = keyed.select("_k").distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        placed = placed.join(F.broadcast(keys), "_k", "left_semi")
     return placed.join(specs, ["_k", "_bin"]).drop("_bin")
 
 
@@ -98,7 +108,6 @@ def run_specs(measurements: DataFrame, specs: DataFrame, *, selected: str = "Ser
     ``plot`` besides the defaults.  Up to ``max_specs`` specs, times the hosts each lists, are
     broadcast behind that check; more of them are joined as a table, by bins of time.
     """
-    spec = _options(specs)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     names = [c for c in dict.fromkeys([selected, host_col, *columns]) if c not in (time_col, pos_col, value_col)]
 
@@ -111,20 +120,25 @@ def run_specs(measurements: DataFrame, specs: DataFrame, *, selected: str = "Ser
     # specs and rows meet by equality: on the host where a spec lists hosts, else on the filter value
     # of the frame's own selected column, else (a spec over the whole frame) on a common key
     own = (F.col("_selected") == "") | (F.col("_selected") == selected)
-    keyed = spec.withColumn("_k", F.explode(
-        F.when(F.size("_hosts") > 0, F.transform(F.array_distinct("_hosts"), lambda h: F.concat(F.lit("h"), h)))
-        .when(own & (F.col("_filter") != ""), F.array(F.concat(F.lit("f"), F.col("_filter")))).otherwise(F.array(F.lit("a")))))
+    spec_keys = (F.when(F.size("_hosts") > 0, F.transform(F.array_distinct("_hosts"), lambda h: F.concat(F.lit("h"), h)))
+                 .when(own & (F.col("_filter") != ""), F.array(F.concat(F.lit("f"), F.col("_filter")))).otherwise(F.array(F.lit("a"))))
+    keyed = _options(specs).withColumn("_k", F.explode(spec_keys)).drop("_hosts")
     time = F.col(time_col).cast("timestamp_ntz")
-    rows = measurements.select(*names, time_col, pos_col, value_col).withColumn("_k", F.explode(F.array(
-        F.concat(F.lit("h"), F.coalesce(F.col(host_col), F.lit(""))), F.concat(F.lit("f"), F.coalesce(F.col(selected), F.lit(""))), F.lit("a"))))
+    rows = measurements.select(*names, time_col, pos_col, value_col)
+    row_keys = {"h": F.concat(F.lit("h"), F.coalesce(F.col(host_col), F.lit(""))), "f": F.concat(F.lit("f"), F.coalesce(F.col(selected), F.lit(""))), "a": F.lit("a")}
     # one row per spec and host it lists: a few are broadcast; many meet the rows by bins of time
-    if keyed.limit(max_specs + 1).count() <= max_specs:
-        j = rows.join(F.broadcast(keyed), "_k")
+    many = keyed.limit(max_specs + 1).count() > max_specs
+    if not many:
+        j = rows.withColumn("_k", F.explode(F.array(*row_keys.values()))).join(F.broadcast(keyed), "_k")
     else:
-        j = _by_bins(rows.withColumn("_at", time), keyed).drop("_at")
+        # options are dear to read: a table of many specs may come in one file, which one task would read
+        keyed = _options(specs.repartition(slice_count(specs))).withColumn("_k", F.explode(spec_keys)).drop("_hosts")
+        j = _by_bins(rows.withColumn("_at", time), keyed, row_keys).drop("_at")
     j = j.where((F.col("_from").isNull() | (time >= F.col("_from"))) & (F.col("_to").isNull() | (time <= F.col("_to"))))
     j = j.where((F.col("_filter") == "") | (named("_selected", selected, "string") == F.col("_filter")))
     j = j.select("spec_id", F.col(host_col), time.alias("_t"), pos_col, named("_plot", value_col, "double").alias("_v"), "_agg", "_seconds", "_rows")
+    if many:
+        j = computed_once(j)        # read below by specs with and without positional buckets
     # positions are needed only by specs with positional buckets
     ranked = ordinal(j.where("_rows is not null").withColumn("_series", F.concat_ws("\u0001", F.col("spec_id").cast("string"), F.col(host_col))),
                      "_series", ["_t", pos_col], name="_rn").drop("_series")
