@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.identity import row_hash
 from hostlens.operators.kernels import assign_keys, delete, insert_ignore, update
-from hostlens.operators.scan import keyed_scan
+from hostlens.operators.scan import keyed_scan, slice_count
 from hostlens.plans.fetch_spec import list_ids
 from hostlens.session import scratch_path
 
@@ -69,10 +69,12 @@ def parse_form(pairs: DataFrame, key_col: str = "key", value_col: str = "value")
     last = F.element_at(parts, -1)
     is_file = (F.size(parts) >= 3) & (last == "id") & F.element_at(parts, -2).rlike(r"^\d+$")
     field = F.when(is_file, F.element_at(parts, 1)).otherwise(last)
+    # spread by the number of pairs first: a reading task would else hold all its pairs in one aggregate
+    cols = ["pkid", "section", "field", "is_file", "value"]
     return (pairs.where(k.rlike(FORM_KEY))
             .select(pk.alias("pkid"), F.element_at(parts, 1).alias("section"), field.alias("field"),
                     is_file.alias("is_file"), F.col(value_col).alias("value"))
-            .dropDuplicates(["pkid", "section", "field", "is_file", "value"]))
+            .repartition(slice_count(pairs), *cols).dropDuplicates(cols))
 
 
 def form_changes(pairs: DataFrame, key_col: str = "key", value_col: str = "value", pos_col: str = "pos",
