@@ -45,12 +45,13 @@ def function_scan(df: DataFrame, key: Column | str | None, order: Sequence[Colum
     data = sliced(base, [_KEY, *ords], n)
 
     # 1. the function of each slice
-    in_slice = Window.partitionBy(_PART).orderBy(F.struct(_KEY), *ords)
+    in_slice = Window.partitionBy(_PART).orderBy(_KEY, *ords)        # the order of the sort below: one sort serves both
     starts = F.coalesce(F.row_number().over(in_slice) > 1, F.lit(False)) & ~F.lag(F.struct(_KEY)).over(in_slice).eqNullSafe(F.struct(_KEY))
     narrow = (data.select(_PART, _KEY, *ords, "_step").repartitionById(n, _PART).withColumn("_starts", starts)
               .sortWithinPartitions(_PART, _KEY, *ords).select(_PART, "_starts", "_step"))
     composed = narrow.mapInArrow(_compose(states, start), f"{_PART} int, _map array<int>")
-    ends = data.groupBy(_PART).agg(F.min(F.struct(_KEY)).alias("first_k"), F.max(F.struct(_KEY)).alias("last_k"))
+    # by slice number too: the least and the greatest of texts are found by sorting, here one slice at a time
+    ends = data.select(_PART, _KEY).repartitionById(n, _PART).groupBy(_PART).agg(F.min(F.struct(_KEY)).alias("first_k"), F.max(F.struct(_KEY)).alias("last_k"))
     # 2. one row per slice from here on: whether it goes on with the key of the slice before, and its entry state
     by_part = Window.orderBy(_PART)
     linked = (composed.join(ends, _PART)
@@ -59,7 +60,7 @@ def function_scan(df: DataFrame, key: Column | str | None, order: Sequence[Colum
     head = heads.select(_PART, F.lit(-1).alias(_ROLE), F.array_repeat("_entry", states).alias("_step"))
     # 3. the slices once more, from their entry states
     placed = (data.withColumn(_ROLE, F.lit(0)).unionByName(head, allowMissingColumns=True).repartitionById(n, _PART))
-    in_order = Window.partitionBy(_PART).orderBy(_ROLE, F.struct(_KEY), *ords)
+    in_order = Window.partitionBy(_PART).orderBy(_ROLE, _KEY, *ords)
     # a row that stands behind another key's row starts its key; the first row of a slice is told by the head
     starts = F.coalesce(F.lag(_ROLE).over(in_order) == 0, F.lit(False)) & ~F.lag(F.struct(_KEY)).over(in_order).eqNullSafe(F.struct(_KEY))
     ready = placed.withColumn("_starts", starts).sortWithinPartitions(_PART, _ROLE, _KEY, *ords)

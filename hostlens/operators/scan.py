@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from hostlens.session import scratch_path
 
-SLICE_ROWS = 1_000_000
+SLICE_ROWS = 200_000
 PREFIX = 256
 #: (slice, key) pairs up to this number go to the rows as a broadcast; more of them as a table that is joined.
 BROADCAST_STARTS = 200_000
@@ -147,7 +147,9 @@ def keyed_scan(df: DataFrame, key: Column | str | None, order: Sequence[Column |
     # what earlier slices carry into a slice's first key
     kstruct = F.struct(F.col(_KEY))
     at = F.struct(*[F.col(c) for c in ords])
-    per_key = data.groupBy(_PART, _KEY).agg(
+    # rows are placed by slice number: values such as texts are aggregated by sorting, here one slice at a time
+    narrow = data.select(_PART, _KEY, *ords, *["_in_" + c for c in [*sums, *fills]]).repartitionById(n, _PART)
+    per_key = narrow.groupBy(_PART, _KEY).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum("_in_" + s).alias("s_" + s) for s in sums],
         *[F.max_by("_in_" + f, F.when(F.col("_in_" + f).isNotNull(), at)).alias("f_" + f) for f in fills])

@@ -241,10 +241,12 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
     onames = [f"_o{i}" for i in range(len(ocols))]
     base = lines.select(F.col(file_col).alias("_file"), F.col(text_col).alias("_line"),
                         *[F.col(c).alias(o) for c, o in zip(ocols, onames)])
-    base = base.withColumn("_key", F.lit("") if carry_across_files else F.col("_file"))
+    # a file's lines need no file in their order, nor in the places that the scans carry
+    base = base.withColumn("_key", F.lit("")) if carry_across_files else base.withColumnRenamed("_file", "_key")
+    own = ["_file"] if carry_across_files else []
     machine = t.machine()
     if t.changes_state:
-        base = _in_states(base, t, onames)
+        base = _in_states(base, t, [*own, *onames])
         if ERROR in [r.target for r in t.rules]:
             bad = base.where(F.col("_after") == machine.index(ERROR)).select("_key").distinct()
             base = base.join(bad, "_key", "left_anti")
@@ -264,7 +266,7 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
                 c = F.when(rule == i, F.regexp_extract("_line", r.pattern, r.groups[v.name])).otherwise(c)
         return c
 
-    step = ["_file", *onames, "_rule_no"]
+    step = [*own, *onames, "_rule_no"]
     base = base.select("_key", *step, "_after", op_flag("Record").alias("_rec"), op_flag("Record", "Clear", "Clearall").alias("_reset"),
                        op_flag("Clearall").alias("_reset_all"), *[capture(v).alias("_c_" + v.name) for v in vals])
     here = F.struct(*step)
@@ -308,7 +310,7 @@ def extract(lines: DataFrame, template: Template | str, *, file_col: str = "file
         records = _filled_up(records, seg, ups, step, onames)
     empty = {v.name: F.array().cast("array<string>") if v.listed else F.lit("") for v in vals}
     return records.select(
-        F.col("_file").alias("file"), F.col("_no").alias("record_no"),
+        F.col("_file" if carry_across_files else "_key").alias("file"), F.col("_no").alias("record_no"),
         *[F.coalesce(F.col(v.name), empty[v.name]).alias(heading(v.name, title_headings) if title_headings else v.name)
           for v in vals])
 
@@ -321,7 +323,9 @@ def errors(lines: DataFrame, template: Template | str, *, file_col: str = "file"
     ocols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     onames = [f"_o{i}" for i in range(len(ocols))]
     base = lines.select(F.col(file_col).alias("_file"), F.col(text_col).alias("_line"), *[F.col(c).alias(o) for c, o in zip(ocols, onames)])
-    base = _in_states(base.withColumn("_key", F.lit("") if carry_across_files else F.col("_file")), t, onames)
+    file = "_file" if carry_across_files else "_key"
+    base = _in_states(base.withColumn("_key", F.lit("")), t, ["_file", *onames]) if carry_across_files else _in_states(
+        base.withColumnRenamed("_file", "_key"), t, onames)
     at = t.machine().index(ERROR)
     hit = _applied(base.where((F.col("_after") == at) & (F.col("_before") != at)), t)
     message = F.lit(None).cast("string")
@@ -329,10 +333,10 @@ def errors(lines: DataFrame, template: Template | str, *, file_col: str = "file"
         if r.target == ERROR:
             message = F.when(F.col("_rule") == i, F.lit(r.message)).otherwise(message)
     return (hit.withColumn("message", message).where("message is not null")
-            .select(F.col("_file").alias("file"), *[F.col(o).alias(c) for o, c in zip(onames, ocols)], F.col("_line").alias("line"), "message"))
+            .select(F.col(file).alias("file"), *[F.col(o).alias(c) for o, c in zip(onames, ocols)], F.col("_line").alias("line"), "message"))
 
 
-def _in_states(base: DataFrame, t: Template, onames: list[str]) -> DataFrame:
+def _in_states(base: DataFrame, t: Template, order: list[str]) -> DataFrame:
     """``base`` with the state before and after each line, by number."""
     machine, line = t.machine(), F.col("_line")
     step = []
@@ -341,7 +345,7 @@ def _in_states(base: DataFrame, t: Template, onames: list[str]) -> DataFrame:
         for r in reversed([r for r in t.rules if r.state == state and not r.goes_on]):
             to = F.when(line.rlike(r.pattern), F.lit(machine.index(r.target) if r.target else at)).otherwise(to)
         step.append(to)
-    return function_scan(base, "_key", ["_file", *onames], F.array(*step), states=len(machine))
+    return function_scan(base, "_key", order, F.array(*step), states=len(machine))
 
 
 def _applied(base: DataFrame, t: Template) -> DataFrame:
