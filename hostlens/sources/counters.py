@@ -24,6 +24,7 @@ from hostlens.operators.function_scan import function_scan
 from hostlens.operators.scan import keyed_scan
 from hostlens.session import scratch_path
 from hostlens.sources.lines import raw_lines
+from hostlens.streaming.waiting import WaitingJoin
 
 # CSV cells (quoted with doubled quotes, or bare) and the host pattern.
 QUOTED = r'[^"]*+(?:""[^"]*+)*+"[^,]*+'
@@ -132,14 +133,10 @@ def stack(frames) -> DataFrame:
     return out
 
 
-def counter_stream(lines: DataFrame, counter: str, delay: str, salts: int = 8) -> tuple[DataFrame, DataFrame]:
-    """I1 on a stream: (rows, rejects) of a streaming frame of records (file, pos, seen, line), as files that grow
-    arrive in pieces and in any order.  ``pos`` is a record's place in its file, 0 the header; ``seen`` a timestamp.
-
-    Headers and bodies meet in a stream join: a header is kept for the bodies to come and a body that is
-    earlier than its header waits, both within ``delay`` of ``seen``, which is the watermark that clears the state.  The
-    rows of one file are spread over ``salts`` keys.  Rows are those of ``read_counters``; ``rejects`` are headers
-    without the counter or a host.
+def counter_stream(lines: DataFrame, counter: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """I1 on a stream: (body, headers, rejects) of a frame of records (file, pos, seen, line), streaming or a batch of one, as
+    files that grow arrive in pieces and in any order.  ``pos`` is a record's place in its file, 0 the header; ``seen`` a
+    timestamp.  ``headers`` are those with the counter and a host; ``rejects`` are the others.
     """
     timed = lines.withColumn("seen", F.col("seen").cast("timestamp"))
     first = timed.where("pos = 0").select("file", F.col("seen").alias("_hseen"), F.struct(F.col("pos").alias("_mid"), "line").alias("_h"))
@@ -147,20 +144,29 @@ def counter_stream(lines: DataFrame, counter: str, delay: str, salts: int = 8) -
     good = (F.col("_idx") > 0) & (F.col("_host") != "")
     rejects = hdr.where(~good).select("file", F.when(F.col("_idx") == 0, F.lit(f"counter not found: {counter}"))
                                       .otherwise(F.lit("no host in second header cell")).alias("reason"))
-    headers = (hdr.where(good).withWatermark("_hseen", delay)
-               .select(F.col("file").alias("_file"), "_hseen", "_idx", "_host", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_hsalt")))
-    body = (timed.where((F.col("pos") > 0) & (F.trim("line") != "")).withWatermark("seen", delay)
-            .withColumn("_salt", F.pmod(F.hash("pos"), F.lit(salts))))
-    near = (F.col("seen") >= F.col("_hseen") - F.expr(f"INTERVAL {delay}")) & (F.col("seen") <= F.col("_hseen") + F.expr(f"INTERVAL {delay}"))
-    met = body.join(headers, (F.col("file") == F.col("_file")) & (F.col("_salt") == F.col("_hsalt")) & near, "inner")
-    return met.select("file", "pos", *measurement(F.col("line"), counter)), rejects
-
-
-def stream_counters(spark: SparkSession, source_dir: str, counter: str, delay: str, sink_dir: str, checkpoint_dir: str) -> None:
-    """Run ``counter_stream`` over a folder of parquet pieces (file, pos, seen, line) for everything available now;
-    rows go to ``sink_dir``/rows and rejects to ``sink_dir``/rejects.  Started again with the same checkpoint, it goes on."""
+    return timed.where((F.col("pos") > 0) & (F.trim("line") != "")), hdr.where(good).select("file", "_hseen", "_idx", "_host"), rejects
+
+
+def stream_counters(spark: SparkSession, source_dir: str, counter: str, delay: str, sink_dir: str, checkpoint_dir: str, salts: int = 8) -> None:
+    """Run I1 over a folder of parquet pieces (file, pos, seen, line) for everything available now;
+    rows go to ``sink_dir``/rows and rejects to ``sink_dir``/rejects.  Started again with the same checkpoint, it goes on;
+    a checkpoint whose waiting rows are in a state store is refused.
+
+    Headers and bodies meet in a join of the stream's two sides: a header is kept for the bodies to come and a body that is
+    earlier than its header waits, both within ``delay`` of ``seen``, which is the watermark that clears what waits.  The
+    rows of one file are spread over ``salts`` keys.  Rows are those of ``read_counters``.
+    """
     schema = "file string, pos long, seen timestamp, line string"
-    for i, name in enumerate(("rows", "rejects")):
-        out = counter_stream(spark.readStream.schema(schema).parquet(source_dir), counter, delay)[i]
+    pieces = lambda: spark.readStream.schema(schema).parquet(source_dir)
+    body, headers, rejects = counter_stream(pieces(), counter)
+    join = WaitingJoin(spark, f"{checkpoint_dir}/waiting", body.schema, headers.schema, key="file", left_time="seen", right_time="_hseen",
+                       delay=delay, spread="pos", salts=salts)
+    if join.exists(f"{checkpoint_dir}/rows/state"):
+        raise ValueError(f"the waiting rows of {checkpoint_dir} are in a state store, which is not read")
+    (pieces().writeStream.foreachBatch(lambda df, i: join.append(i, *counter_stream(df, counter)[:2]) and None)
+     .option("checkpointLocation", f"{checkpoint_dir}/met").trigger(availableNow=True).start().awaitTermination())
+    join.publish()
+    met = spark.readStream.schema(join.schema).option("recursiveFileLookup", "true").option("cleanSource", "delete").parquet(join.met)
+    for name, out in (("rows", met.select("file", "pos", *measurement(F.col("line"), counter))), ("rejects", rejects)):
         (out.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint_dir}/{name}").outputMode("append")
          .trigger(availableNow=True).start(f"{sink_dir}/{name}").awaitTermination())
